@@ -8,9 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+BLANKS = " \t\r\n\f\v"
+
+
 def clean(col: Column) -> Column:
     """Trimmed text, blank becomes null."""
-    return F.nullif(F.trim(col, F.lit(" \t\r\n\f\v")), F.lit(""))
+    return F.nullif(F.trim(col, F.lit(BLANKS)), F.lit(""))
 
 
 def first_filled(*cols: Column) -> Column:
@@ -19,7 +22,7 @@ def first_filled(*cols: Column) -> Column:
 
 def strict_int(col: Column) -> Column:
     """Decimal integer with optional sign; floats and other text give null."""
-    text = F.trim(col)
+    text = F.trim(col, F.lit(BLANKS))
     return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
 
 
@@ -83,3 +86,4 @@ def has_any(items: Column, wanted) -> Column:
 
 def has_all(items: Column, wanted) -> Column:
     return F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), items)) == 0
+

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.plans.oracle_views import PKT
+from tracemill.plans.oracle_views import ENDPOINTS, PKT
 
 ORACLE: dict[str, str] = {}
 
@@ -143,3 +143,31 @@ ORACLE["unanswered_requests"] = pkt(f", {DIAMETER} {UNANSWERED}")
 ORACLE["gtp_anomalies"] = pkt(f", {GTP} {GTP_ANOMALIES}")
 ALL_ANOMALIES = f"{TRANSPORT_ANOMALIES} UNION ALL {RESULT_CODES} UNION ALL {DUPLICATES} UNION ALL {UNANSWERED} UNION ALL {GTP_ANOMALIES}"
 ORACLE["anomaly_counts"] = pkt(f", {DIAMETER}, {GTP}, found AS ({ALL_ANOMALIES}) SELECT capture_id, layer, count(*) AS anomalies FROM found GROUP BY 1, 2")
+
+ORACLE["endpoint_resolve"] = pkt(f", {ENDPOINTS} SELECT * FROM endpoints")
+ORACLE["cidr_match"] = pkt("""
+SELECT ip, r_name AS alias FROM (SELECT src_ip AS ip FROM pkt UNION SELECT dst_ip FROM pkt) JOIN region ON r_regionkey =
+  CASE WHEN ip LIKE '10.1.%' THEN 0 WHEN ip LIKE '10.%' THEN 1 WHEN ip LIKE '192.168.0.%' OR ip LIKE '192.168.1.%' THEN 2 WHEN ip LIKE '2001:db8:%' THEN 3 END""")
+SIDES = """
+occ AS (SELECT s.capture_id, s.frame_no, s.side, e.* FROM sides s JOIN endpoints e
+        ON e.ip IS NOT DISTINCT FROM s.ip AND e.port IS NOT DISTINCT FROM s.port AND e.code IS NOT DISTINCT FROM s.code)"""
+ORACLE["packet_endpoints"] = pkt(f"""
+, {ENDPOINTS}, {SIDES}
+SELECT a.capture_id, a.frame_no, a.alias AS src_alias, a.element_type AS src_element, a.role AS src_role,
+  b.alias AS dst_alias, b.element_type AS dst_element, b.role AS dst_role
+FROM occ a JOIN occ b ON a.frame_no = b.frame_no AND a.side = 0 AND b.side = 1""")
+PEERS = """
+seen AS (SELECT *, coalesce(alias, hostname) AS name FROM occ WHERE ip IS NOT NULL AND coalesce(alias, hostname) IS NOT NULL),
+peers AS (SELECT capture_id, ip, name, CASE WHEN hostname <> name THEN hostname END AS hostname, role, element_type AS network_element_type,
+    source AS network_element_source, code_alias AS ss7_point_code_alias
+  FROM (SELECT *, row_number() OVER (PARTITION BY capture_id, ip ORDER BY frame_no DESC, side DESC) AS rn FROM seen) WHERE rn = 1)"""
+ORACLE["resolved_peers"] = pkt(f", {ENDPOINTS}, {SIDES}, {PEERS} SELECT * FROM peers")
+ORACLE["conversation_names"] = pkt(f"""
+, {ENDPOINTS}, {SIDES}, {PEERS}, conv AS ({CONVERSATIONS})
+SELECT conv.*, a.name AS src_name, b.name AS dst_name FROM conv
+LEFT JOIN peers a ON a.capture_id = conv.capture_id AND a.ip = src LEFT JOIN peers b ON b.capture_id = conv.capture_id AND b.ip = dst""")
+ORACLE["element_overview"] = pkt(f"""
+, {ENDPOINTS}, {SIDES}
+SELECT capture_id, 'type' AS facet, element_type AS name, count(*) AS packets FROM occ GROUP BY 1, 3
+UNION ALL SELECT capture_id, 'source', source, count(*) FROM occ GROUP BY 1, 3
+UNION ALL SELECT capture_id, 'warning', warning, count(*) FROM occ WHERE warning IS NOT NULL GROUP BY 1, 3""")

@@ -36,3 +36,54 @@ pkt AS (
   FROM base
 )
 """
+
+# every distinct endpoint with the columns of its resolution
+ENDPOINTS = """
+hosts AS (SELECT '10.' || (n_nationkey % 3) || '.0.' || (n_nationkey + 1) AS ip,
+            ['mme', 'HSS', 'pgw-core', 'node', 'fw-dns'][n_nationkey % 5 + 1] || '-' || n_nationkey AS hostname FROM nation),
+nodes AS (SELECT '192.168.' || (r_regionkey % 4) || '.' || (r_regionkey + 1) AS ip, r_regionkey AS r,
+            CASE WHEN r_regionkey % 2 = 0 THEN 'smf-' || r_regionkey END AS hostname, 'NODE-' || r_name AS alias,
+            CASE WHEN r_regionkey < 3 THEN lower(r_name) END AS role, 'site-' || r_regionkey AS site, r_name AS zone FROM region),
+sides AS (
+  SELECT capture_id, frame_no, 0 AS side, src_ip AS ip, CAST(NULL AS INTEGER) AS port, CAST(NULL AS VARCHAR) AS code FROM pkt
+  UNION ALL
+  SELECT capture_id, frame_no, 1, dst_ip, CASE WHEN dst_port IN (53, 80, 443, 2123, 2152, 2905, 3868, 8805, 36422, 38412, 36412) THEN dst_port END,
+    'PC-' || (frame_no % 6) FROM pkt),
+keys AS (SELECT DISTINCT ip, port, code FROM sides),
+named AS (
+  SELECT k.ip, k.port, k.code, h.hostname AS h_host, n.r AS n_r, n.hostname AS n_host, n.alias AS n_alias, n.role AS n_role, n.site AS n_site, n.zone AS n_zone,
+    net.r_name AS net_alias, pc.r_name AS pc_name,
+    CASE k.port WHEN 53 THEN 'dns' WHEN 443 THEN 'tls' WHEN 2123 THEN 'gtpc' WHEN 3868 THEN 'diameter' END AS port_role,
+    CASE k.port WHEN 53 THEN 'DNS' WHEN 3868 THEN 'DRA' WHEN 2123 THEN 'SGW' WHEN 36412 THEN 'MME' END AS port_element,
+    CASE k.port WHEN 3868 THEN 'Protocol-port heuristic is ambiguous (DRA/HSS)' WHEN 2123 THEN 'Protocol-port heuristic is ambiguous (SGW/PGW/MME)'
+      WHEN 36412 THEN 'Protocol-port heuristic is ambiguous (MME/eNodeB)' END AS port_warning,
+    (SELECT max(['MME', 'HSS', 'Firewall'][n_nationkey % 3 + 1]) FROM nation
+      WHERE n_nationkey < 20 AND k.ip = '10.' || (n_nationkey % 3) || '.0.' || (n_nationkey + 3)) AS by_ip,
+    (SELECT arg_min(['MME', 'HSS', 'Firewall'][n_nationkey % 3 + 1], n_nationkey) FROM nation
+      WHERE n_nationkey >= 20 AND k.ip LIKE '192.168.' || (n_nationkey % 4) || '._') AS by_net
+  FROM keys k LEFT JOIN hosts h ON h.ip = k.ip LEFT JOIN nodes n ON n.ip = k.ip
+  LEFT JOIN region net ON net.r_regionkey = CASE WHEN k.ip LIKE '10.1.%' THEN 0 WHEN k.ip LIKE '10.%' THEN 1
+      WHEN k.ip LIKE '192.168.0.%' OR k.ip LIKE '192.168.1.%' THEN 2 WHEN k.ip LIKE '2001:db8:%' THEN 3 END
+  LEFT JOIN region pc ON 'PC-' || pc.r_regionkey = k.code),
+entry AS (
+  SELECT *, coalesce(n_host, CASE WHEN n_r IS NULL THEN h_host END) AS hostname,
+    CASE WHEN n_r IS NOT NULL THEN n_alias WHEN h_host IS NOT NULL THEN h_host WHEN net_alias IS NOT NULL THEN net_alias WHEN pc_name IS NOT NULL THEN 'STP ' || pc_name END AS alias,
+    CASE WHEN n_r IS NOT NULL THEN coalesce(n_role, port_role) WHEN h_host IS NOT NULL OR net_alias IS NOT NULL THEN port_role
+      WHEN pc_name IS NOT NULL THEN 'ss7' ELSE port_role END AS role,
+    CASE WHEN n_r IS NOT NULL THEN n_site END AS site, CASE WHEN n_r IS NOT NULL THEN n_zone END AS zone
+  FROM named),
+sig AS (
+  SELECT *, CASE WHEN hostname LIKE '%HSS%' THEN 'HSS' WHEN hostname LIKE '%pgw%' THEN 'PGW' WHEN hostname LIKE '%mme%' THEN 'MME'
+    WHEN hostname LIKE '%smf%' THEN 'SMF' WHEN hostname LIKE '%dns%' THEN 'DNS' END AS by_name FROM entry),
+endpoints AS (
+  SELECT ip, port, code, hostname, alias, role, site, zone, CASE WHEN pc_name IS NOT NULL THEN 'STP ' || pc_name END AS code_alias,
+    CASE WHEN n_r = 4 THEN 'UPF' ELSE coalesce(by_ip, by_net, by_name, port_element, 'unknown') END AS element_type,
+    CASE WHEN n_r = 4 THEN 100 WHEN by_ip IS NOT NULL THEN 100 WHEN by_net IS NOT NULL THEN 90 WHEN by_name IS NOT NULL THEN 80
+      WHEN port_element IS NOT NULL THEN 50 ELSE 0 END AS confidence,
+    CASE WHEN n_r = 4 THEN 'manual_override' WHEN by_ip IS NOT NULL THEN 'ip_mapping' WHEN by_net IS NOT NULL THEN 'subnet_mapping'
+      WHEN by_name IS NOT NULL THEN 'hostname_pattern' WHEN port_element IS NOT NULL THEN 'protocol' ELSE 'unknown' END AS source,
+    CASE WHEN n_r = 4 THEN NULL
+      WHEN len(list_distinct(list_filter([by_ip, by_net, by_name, port_element], lambda x: x IS NOT NULL))) > 1 THEN 'Conflicting detection signals'
+      ELSE port_warning END AS warning
+  FROM sig)
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill.operators import anomalies as an
 from tracemill.operators import classify, selection, stats, timing
+from tracemill.operators import endpoints as ep
 from tracemill.plans import views
 from tracemill.sources import index as index_source
 from tracemill.sources.profiles import builtin_profiles
@@ -52,9 +53,9 @@ def index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" "), text("diameter_result_code"), F.lit(""),
         text("gtpv2_message_type"), F.lit(""), text("gtpv2_seq_no"), F.lit(""), text("gtpv2_cause"),
     ]
-    line = F.concat_ws("|", *cols)
-    line = F.when(F.col("frame_no") % 11 == 5, line).otherwise(F.concat_ws("|", line, text("dns_qry_name")))
-    return df.select("capture_id", line.alias("value"))
+    last = F.when(F.col("frame_no") % 11 != 5, text("dns_qry_name"))  # a null is left out, the line is short
+    # explode keeps the reader's filter from being pushed into the line building
+    return df.select("capture_id", F.explode(F.array(F.concat_ws("|", *cols, last))).alias("value"))
 
 
 @query
@@ -208,3 +209,61 @@ def gtp_anomalies(spark, sf_dir):
 @query
 def anomaly_counts(spark, sf_dir):
     return an.anomaly_counts(an.all_anomalies(views.packet_index(spark, sf_dir), "lte-core"))
+
+
+# ------------------------------------------------------------------ endpoints
+def trace_occurrences(spark, sf_dir):
+    src, dst = views.endpoint_columns()
+    return ep.occurrences(views.packet_index(spark, sf_dir), src, dst)
+
+
+def resolved_endpoints(spark, sf_dir):
+    return ep.resolve(trace_occurrences(spark, sf_dir).select("endpoint"), views.lookups(spark, sf_dir))
+
+
+@query
+def endpoint_resolve(spark, sf_dir):
+    r = F.col("resolved")
+    return resolved_endpoints(spark, sf_dir).select(
+        "endpoint.ip", "endpoint.port", F.col("endpoint.point_code").alias("code"),
+        r["hostname"].alias("hostname"), r["alias"].alias("alias"), r["role"].alias("role"), r["site"].alias("site"),
+        r["labels"]["zone"].alias("zone"), r["labels"]["ss7_point_code_alias"].alias("code_alias"),
+        r["element_type"].alias("element_type"), r["element_confidence"].alias("confidence"),
+        r["element_source"].alias("source"), r["element_warning"].alias("warning"),
+    )
+
+
+@query
+def cidr_match(spark, sf_dir):
+    ips = trace_occurrences(spark, sf_dir).select("endpoint.ip").where("ip is not null").distinct()
+    return ep.network_matches(ips, views.lookups(spark, sf_dir).subnets, "alias")
+
+
+@query
+def packet_endpoints(spark, sf_dir):
+    src, dst = views.endpoint_columns()
+    named = ep.attach(views.packet_index(spark, sf_dir), views.lookups(spark, sf_dir), src, dst)
+    return named.select(
+        "capture_id", "frame_no",
+        F.col("src.alias").alias("src_alias"), F.col("src.element_type").alias("src_element"), F.col("src.role").alias("src_role"),
+        F.col("dst.alias").alias("dst_alias"), F.col("dst.element_type").alias("dst_element"), F.col("dst.role").alias("dst_role"),
+    )
+
+
+@query
+def resolved_peers(spark, sf_dir):
+    peers = ep.resolved_peers(trace_occurrences(spark, sf_dir), resolved_endpoints(spark, sf_dir))
+    return peers.select(
+        "capture_id", "ip", "name", "hostname", "role", "network_element_type", "network_element_source", "ss7_point_code_alias"
+    )
+
+
+@query
+def conversation_names(spark, sf_dir):
+    peers = ep.resolved_peers(trace_occurrences(spark, sf_dir), resolved_endpoints(spark, sf_dir))
+    return stats.attach_names(stats.conversations(lte_index(spark, sf_dir)), peers)
+
+
+@query
+def element_overview(spark, sf_dir):
+    return ep.element_overview(trace_occurrences(spark, sf_dir), resolved_endpoints(spark, sf_dir))

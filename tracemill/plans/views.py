@@ -25,65 +25,99 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def by_type(values: dict) -> Column:
-    out = None
-    for name, value in values.items():
-        hit = F.col("event_type") == name
-        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
-    return out
+def by_type(values: dict) -> str:
+    """SQL case over the event type."""
+    show = lambda v: str(v) if isinstance(v, int) else f"'{v}'"
+    return "case event_type " + " ".join(f"when '{k}' then {show(v)}" for k, v in values.items()) + " end"
 
 
 def trace_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(spark, sf_dir, "events").select(
-        F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")).alias("capture_id"),
-        (F.col("event_id") + 1).alias("frame_no"),
-        us.alias("us"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "concat('c', user_id % 4) as capture_id",
+        "event_id + 1 as frame_no",
+        "unix_micros(cast(ts as timestamp)) as us",
         "user_id",
         "event_type",
-        k.alias("k"),
+        "cast(get_json_object(props, '$.k') as int) as k",
     )
 
 
 def packet_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` with the columns of a packet index, plus ``time_rel_ms``."""
-    k, kind, user = F.col("k"), F.col("event_type"), F.col("user_id")
-
-    def only(name: str, value: Column) -> Column:
-        return F.when(kind == name, value)
-
-    dst_v4 = F.concat(F.lit("192.168."), (k % 4).cast("string"), F.lit("."), (k % 7 + 1).cast("string"))
-    dst_v6 = F.concat(F.lit("2001:db8::"), (k % 7 + 1).cast("string"))
-    half, quarter = F.floor(k / 2), F.floor(k / 4)
-    answer = k % 2 == 1
-    return trace_base(spark, sf_dir).select(
+    only = lambda kind, value, name: f"if(event_type = '{kind}', {value}, null) as {name}"
+    return trace_base(spark, sf_dir).selectExpr(
         "capture_id",
         "frame_no",
-        F.concat((F.expr("us div 1000000")).cast("string"), F.lit("."), F.lpad((F.col("us") % 1000000).cast("string"), 6, "0")).alias("time_epoch"),
-        ((F.col("us") - 1704067200000000) / 1000).alias("time_rel_ms"),
-        F.split(by_type(STACK), ":").alias("protocols"),
-        F.concat(
-            F.lit("10."), (user % 3).cast("string"), F.lit("."), F.expr("user_id div 250").cast("string"),
-            F.lit("."), (user % 250 + 1).cast("string"),
-        ).alias("src_ip"),
-        F.when(k == 99, F.lit(None)).when(k % 10 == 9, dst_v6).otherwise(dst_v4).alias("dst_ip"),
-        by_type(TRANSPORT).alias("transport"),
-        (F.lit(30000) + user).cast("int").alias("src_port"),
-        by_type(SERVICE_PORT).alias("dst_port"),
-        user.cast("string").alias("stream"),
-        F.coalesce(only("purchase", k % 11 == 0), F.lit(False)).alias("tcp_retransmission"),
-        F.coalesce(only("purchase", k % 13 == 0), F.lit(False)).alias("tcp_out_of_order"),
-        only("view", F.when(k == 7, F.lit(None)).when(answer, "0x40").otherwise("192")).alias("diameter_flags"),
-        only("view", F.when(k < 50, "316").otherwise("318")).alias("diameter_cmd_code"),
-        only("view", F.concat(F.lit("0x"), (half % 10).cast("string"))).alias("diameter_hop_by_hop_id"),
-        only("view", F.when(answer, F.when(k % 3 == 0, "2001").when(k % 3 == 1, "5004").otherwise("3002"))).alias("diameter_result_code"),
-        only("click", F.when(k % 4 == 0, "32").when(k % 4 == 1, "33").when(k % 4 == 2, "34").otherwise("26")).alias("gtpv2_message_type"),
-        only("click", (quarter % 8).cast("string")).alias("gtpv2_seq_no"),
-        only("click", F.when(k % 8 == 1, "16").when(k % 8 == 5, "0x49")).alias("gtpv2_cause"),
+        "concat(us div 1000000, '.', lpad(cast(us % 1000000 as string), 6, '0')) as time_epoch",
+        "(us - 1704067200000000) / 1000 as time_rel_ms",
+        f"split({by_type(STACK)}, ':') as protocols",
+        "concat('10.', user_id % 3, '.', user_id div 250, '.', user_id % 250 + 1) as src_ip",
+        "case when k = 99 then null when k % 10 = 9 then concat('2001:db8::', k % 7 + 1)"
+        " else concat('192.168.', k % 4, '.', k % 7 + 1) end as dst_ip",
+        f"{by_type(TRANSPORT)} as transport",
+        "cast(30000 + user_id as int) as src_port",
+        f"{by_type(SERVICE_PORT)} as dst_port",
+        "cast(user_id as string) as stream",
+        "coalesce(event_type = 'purchase' and k % 11 = 0, false) as tcp_retransmission",
+        "coalesce(event_type = 'purchase' and k % 13 = 0, false) as tcp_out_of_order",
+        only("view", "case when k = 7 then null when k % 2 = 1 then '0x40' else '192' end", "diameter_flags"),
+        only("view", "if(k < 50, '316', '318')", "diameter_cmd_code"),
+        only("view", "concat('0x', (k div 2) % 10)", "diameter_hop_by_hop_id"),
+        only("view", "if(k % 2 = 1, case k % 3 when 0 then '2001' when 1 then '5004' else '3002' end, null)", "diameter_result_code"),
+        only("click", "case k % 4 when 0 then '32' when 1 then '33' when 2 then '34' else '26' end", "gtpv2_message_type"),
+        only("click", "cast((k div 4) % 8 as string)", "gtpv2_seq_no"),
+        only("click", "case k % 8 when 1 then '16' when 5 then '0x49' end", "gtpv2_cause"),
         only(
             "error",
-            F.when(k % 5 == 0, F.concat(F.lit("Node"), k.cast("string"), F.lit(".epc.mnc001.mcc262.3gppnetwork.org")))
-            .otherwise(F.concat(F.lit("Host"), k.cast("string"), F.lit(".Example.org"))),
-        ).alias("dns_qry_name"),
+            "if(k % 5 = 0, concat('Node', k, '.epc.mnc001.mcc262.3gppnetwork.org'), concat('Host', k, '.Example.org'))",
+            "dns_qry_name",
+        ),
+    )
+
+
+# ------------------------------------------------------------------ lookup tables
+def lookups(spark: SparkSession, sf_dir: str):
+    """Lookup tables made of the nation and region tables."""
+    from tracemill.operators.endpoints import Lookups
+    from tracemill.sources.lookups import check_element_types
+
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    hosts = nation.selectExpr(
+        "cast(n_nationkey as bigint) as ord",
+        "concat('10.', n_nationkey % 3, '.0.', n_nationkey + 1) as ip",
+        "concat(array('mme', 'HSS', 'pgw-core', 'node', 'fw-dns')[n_nationkey % 5], '-', n_nationkey) as hostname",
+    )
+    nodes = region.selectExpr(
+        "cast(r_regionkey as bigint) as ord",
+        "concat('192.168.', r_regionkey % 4, '.', r_regionkey + 1) as ip",
+        "if(r_regionkey % 2 = 0, concat('smf-', r_regionkey), null) as hostname",
+        "cast(null as string) as cidr",
+        "concat('NODE-', r_name) as alias",
+        "if(r_regionkey < 3, lower(r_name), null) as role",
+        "concat('site-', r_regionkey) as site",
+        "map('zone', r_name) as labels",
+        "if(r_regionkey = 4, 'upf', null) as network_element_override",
     )
+    subnets = region.selectExpr(
+        "cast(r_regionkey as bigint) as ord",
+        "array('10.1.0.0/16', '10.0.0.0/8', '192.168.0.0/23', '2001:db8::/32', '10.2.0.0/255.255.0.0')[r_regionkey] as cidr",
+        "r_name as alias",
+    )
+    codes = region.selectExpr(
+        "cast(r_regionkey as bigint) as ord", "concat('PC-', r_regionkey) as point_code", "concat('STP ', r_name) as alias"
+    )
+    elements = nation.selectExpr(
+        "cast(n_nationkey as bigint) as ord",
+        "if(n_nationkey < 20, 'ip', 'subnet') as type",
+        "if(n_nationkey < 20, concat('10.', n_nationkey % 3, '.0.', n_nationkey + 3), concat('192.168.', n_nationkey % 4, '.0/29')) as value",
+        "array('mme', 'HSS', 'Firewall')[n_nationkey % 3] as network_element_type",
+    )
+    return Lookups(hosts, nodes, subnets, codes, check_element_types(elements).drop("problem"))
+
+
+def endpoint_columns() -> tuple[Column, Column]:
+    """Source and destination endpoints; the point code is derived from the destination port class."""
+    from tracemill.operators.endpoints import endpoint
+
+    code = F.concat(F.lit(" pc-"), (F.col("frame_no") % 6).cast("string"))
+    return endpoint(F.col("src_ip"), F.col("src_port")), endpoint(F.col("dst_ip"), F.col("dst_port"), code)

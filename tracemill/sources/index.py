@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.functions.convert import clean, strict_int
+from tracemill.functions.convert import BLANKS, clean, strict_int
 from tracemill.functions.tables import INDEX_FIELDS, INDEX_SEPARATOR
 
 INDEX_COLUMNS = """
@@ -31,7 +31,11 @@ def parse_index(lines: DataFrame, fields: Sequence[str] = INDEX_FIELDS, line: st
     ``fields`` is the column list of this export: an older export that lacks some columns is read
     with its own shorter list, absent columns become null.  Extra columns in a line are ignored.
     """
-    cut = lines.withColumn("_cols", F.transform(F.split(F.col(line), "\\" + INDEX_SEPARATOR, -1), clean))
+    # validity reads the plain line, so a pushed-down filter does not repeat the split
+    separators = F.length(line) - F.length(F.replace(F.col(line), F.lit(INDEX_SEPARATOR), F.lit("")))
+    number = strict_int(F.split_part(F.col(line), F.lit(INDEX_SEPARATOR), F.lit(list(fields).index("frame.number") + 1)))
+    trimmed = F.transform(F.split(F.col(line), "\\" + INDEX_SEPARATOR, -1), lambda x: F.when(x != "", F.trim(x, F.lit(BLANKS))))
+    cut = lines.withColumn("_cols", F.transform(trimmed, lambda x: F.nullif(x, F.lit(""))))
     place = {name: i for i, name in enumerate(fields)}
 
     def field(name: str) -> Column:
@@ -55,7 +59,7 @@ def parse_index(lines: DataFrame, fields: Sequence[str] = INDEX_FIELDS, line: st
     return cut.select(
         "capture_id",
         F.col(line).alias("line"),
-        ((F.size("_cols") >= len(fields)) & frame_no.isNotNull()).alias("is_valid"),
+        ((separators >= len(fields) - 1) & number.isNotNull()).alias("is_valid"),
         frame_no.alias("frame_no"),
         field("frame.time_epoch").alias("time_epoch"),
         F.coalesce(protocol_stack(field("frame.protocols")), F.array().cast("array<string>")).alias("protocols"),
