@@ -171,3 +171,83 @@ ORACLE["element_overview"] = pkt(f"""
 SELECT capture_id, 'type' AS facet, element_type AS name, count(*) AS packets FROM occ GROUP BY 1, 3
 UNION ALL SELECT capture_id, 'source', source, count(*) FROM occ GROUP BY 1, 3
 UNION ALL SELECT capture_id, 'warning', warning, count(*) FROM occ WHERE warning IS NOT NULL GROUP BY 1, 3""")
+
+
+# ------------------------------------------------------------------ privacy
+W = "[\\p{L}\\p{N}_]"
+NOT_W = "[^\\p{L}\\p{N}_]"
+OCTET = "(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+IP = f"(^|{NOT_W})(({OCTET}\\.){{3}}{OCTET}|([0-9a-fA-F]{{1,4}}:){{2,7}}[0-9a-fA-F]{{1,4}})($|{NOT_W})"
+EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
+URI = "(https?://|sip:|tel:|www\\.)"
+TOKEN = "(bearer\\s+[A-Za-z0-9._-]+|authorization|cookie|token=)"
+NUMBER = f"(^|{NOT_W})[0-9]{{10,16}}($|{NOT_W})"
+VALUE_CLASS = f"""CASE WHEN regexp_matches(value, '{IP}') THEN 'ip' WHEN regexp_matches(value, '{EMAIL}') THEN 'email'
+  WHEN regexp_matches(value, '{TOKEN}', 'i') THEN 'token' WHEN regexp_matches(value, '{URI}', 'i') THEN 'uri'
+  WHEN regexp_matches(value, '(imsi|msisdn|imei|supi|suci)', 'i') OR regexp_matches(value, '{NUMBER}') THEN 'payload_text' END"""
+LEAVES = f"""
+leaves AS (
+  SELECT 'documents' AS capture_id, CAST(doc_id AS VARCHAR) AS leaf, text AS value, 'value' AS how FROM documents
+  UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), url, 'value' FROM pages
+  UNION ALL SELECT 'conversations', conv_id || '-' || turn, text, CASE WHEN turn % 2 = 0 THEN 'body' ELSE 'value' END FROM conversations
+  UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), c_name, 'host' FROM customer
+  UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name, 'realm' FROM supplier
+  UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR), n_name, 'apn' FROM nation),
+cls AS (
+  SELECT *, CASE WHEN how = 'body' THEN CASE WHEN regexp_matches(value, '{IP}') THEN 'ip' ELSE 'payload_text' END
+    WHEN how = 'host' THEN 'hostname' WHEN how = 'realm' THEN 'diameter_identity' WHEN how = 'apn' THEN 'apn_dnn'
+    ELSE {VALUE_CLASS} END AS data_class FROM leaves)"""
+ORACLE["leaf_classify"] = f"WITH {LEAVES} SELECT capture_id, leaf, data_class FROM cls"
+ALIAS = "upper(data_class) || '_' || left(sha256(data_class || ':' || value), 8)"
+ORACLE["protect_share"] = f"""
+WITH {LEAVES} SELECT capture_id, leaf, md5(CASE WHEN data_class IN ('ip', 'hostname', 'diameter_identity') THEN {ALIAS}
+  WHEN data_class IN ('email', 'uri', 'payload_text') THEN '[redacted]' ELSE value END) AS protected
+FROM cls WHERE data_class IS DISTINCT FROM 'token'"""
+ORACLE["protect_lab"] = f"""
+WITH {LEAVES} SELECT capture_id, data_class, count(*) AS leaves, count(*) FILTER (WHERE data_class = 'uri' OR value = '[redacted]') AS masked
+FROM cls WHERE data_class IS NULL OR data_class NOT IN ('email', 'token', 'payload_text', 'diameter_identity') GROUP BY 1, 2"""
+SUBSCRIBERS = """
+sub AS (
+  SELECT c_custkey, 'imsi' AS path, ['26201', '310410', '20801', '2620'][c_custkey % 4 + 1] || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS value FROM customer
+  UNION ALL SELECT c_custkey, 'msisdn', ['+49151', '49171', '+1', '+351', '0', '+4930'][c_custkey % 6 + 1] || lpad(CAST(c_custkey AS VARCHAR), 8, '0') FROM customer
+  UNION ALL SELECT c_custkey, 'imei', ['35', '3587', '12'][c_custkey % 3 + 1] || CASE WHEN c_custkey % 7 = 0 THEN '1' ELSE lpad(CAST(c_custkey AS VARCHAR), 10, '0') END FROM customer)"""
+
+
+def kept(path: str, length: str, tail: str, country: str) -> str:
+    return f"WHEN path = '{path}' THEN left(value, {length}) || {tail.format(n=length)} || {country}"
+
+
+COUNTRY_IMSI = "CASE WHEN left(value, 3) = '262' THEN ' (Germany)' WHEN left(value, 3) = '310' THEN ' (United States of America)' ELSE '' END"
+COUNTRY_TEL = "CASE WHEN c_custkey % 6 IN (0, 1, 5) THEN ' (Germany)' ELSE '' END"
+TEL_LENGTH = "(CASE c_custkey % 6 WHEN 0 THEN 5 WHEN 1 THEN 5 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 4 THEN 1 ELSE 3 END)"
+IMSI_LENGTH = "(CASE WHEN left(value, 1) = '3' THEN 6 ELSE 5 END)"
+MASKED = "repeat('X', length(value) - {n})"
+ORACLE["keep_prefix"] = f"""
+WITH {SUBSCRIBERS} SELECT c_custkey, path, CASE
+  {kept('imsi', IMSI_LENGTH, MASKED, COUNTRY_IMSI)}
+  {kept('msisdn', TEL_LENGTH, MASKED, COUNTRY_TEL)}
+  WHEN length(value) <= 8 THEN '[redacted]' ELSE left(value, 8) || repeat('X', length(value) - 8) END AS protected
+FROM sub"""
+IMSI_LENGTH_2 = "(CASE WHEN left(value, 1) = '3' OR left(value, 3) = '208' THEN 6 ELSE 5 END)"
+TEL_LENGTH_2 = "(CASE c_custkey % 6 WHEN 0 THEN 5 WHEN 1 THEN 5 WHEN 2 THEN 2 WHEN 3 THEN 6 WHEN 4 THEN 1 ELSE 3 END)"
+HASHED = "'{up}_SUFFIX_' || left(sha256('{low}_suffix:' || left(value, {{n}}) || ':' || substr(value, {{n}} + 1)), 8)"
+ORACLE["keep_prefix_pseudonym"] = f"""
+WITH {SUBSCRIBERS} SELECT c_custkey, path, CASE
+  {kept('imsi', IMSI_LENGTH_2, HASHED.format(up='IMSI', low='imsi'), COUNTRY_IMSI)}
+  {kept('msisdn', TEL_LENGTH_2, HASHED.format(up='MSISDN', low='msisdn'), COUNTRY_TEL)}
+  ELSE '[redacted]' END AS protected FROM sub"""
+ORACLE["pseudonym_sha"] = f"""
+WITH {LEAVES} SELECT DISTINCT data_class, value AS original, {ALIAS} AS alias FROM cls WHERE data_class IN ('diameter_identity', 'hostname', 'apn_dnn')"""
+ORACLE["pseudonym_audit"] = f"""
+WITH {LEAVES} SELECT data_class, count(DISTINCT value) AS originals FROM cls WHERE data_class IN ('ip', 'hostname', 'diameter_identity') GROUP BY 1"""
+ORACLE["pseudonym_collisions"] = f"""
+WITH {SUBSCRIBERS} SELECT path AS data_class, upper(path) || '_' || left(sha256(path || ':' || value), 2) AS alias, count(DISTINCT value) AS originals
+FROM sub GROUP BY 1, 2 HAVING count(DISTINCT value) > 1"""
+ORACLE["encrypt_roundtrip"] = f"""
+WITH {SUBSCRIBERS} SELECT c_custkey, path, CASE WHEN path = 'msisdn' THEN '[redacted]' ELSE value END AS plain, path <> 'imei' AS changed FROM sub"""
+ORACLE["leak_audit"] = f"WITH {LEAVES} SELECT capture_id, data_class, count(*) AS leaves FROM cls WHERE data_class IN ('ip', 'hostname') GROUP BY 1, 2"
+ORACLE["canonical_classes"] = f"""
+WITH {LEAVES}, owner(data_class, canonical_class) AS (VALUES ('ip', 'network_address'), ('hostname', 'network_address'),
+  ('hostname', 'operator_internal_name'), ('diameter_identity', 'operator_internal_name'), ('apn_dnn', 'operator_internal_name'),
+  ('token', 'application_secret'), ('payload_text', 'payload_text'), ('email', 'payload_text'), ('uri', 'payload_text'))
+SELECT canonical_class, count(*) AS leaves FROM cls JOIN owner USING (data_class) GROUP BY 1"""

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from tracemill.operators import anomalies as an
 from tracemill.operators import classify, selection, stats, timing
 from tracemill.operators import endpoints as ep
+from tracemill.operators import privacy as pv
 from tracemill.plans import views
 from tracemill.sources import index as index_source
+from tracemill.functions.pseudonym import sha_hex
+from tracemill.functions.tables import PRIVACY_PROFILES
 from tracemill.sources.profiles import builtin_profiles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -267,3 +270,111 @@ def conversation_names(spark, sf_dir):
 @query
 def element_overview(spark, sf_dir):
     return ep.element_overview(trace_occurrences(spark, sf_dir), resolved_endpoints(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ privacy
+def text_leaves(spark, sf_dir):
+    """Every text of the tables as a leaf with a path."""
+    part = lambda name, key, path, value: views.table(spark, sf_dir, name).selectExpr(
+        f"'{name}' as capture_id", f"cast({key} as string) as leaf", f"{path} as path", f"{value} as value"
+    )
+    return (
+        part("documents", "doc_id", "'message.fields.note'", "text")
+        .unionByName(part("pages", "page_id", "'message.fields.link'", "url"))
+        .unionByName(part("conversations", "concat(conv_id, '-', turn)", "if(turn % 2 = 0, 'message.body', 'message.fields.info')", "text"))
+        .unionByName(part("customer", "c_custkey", "'message.fields.origin-host'", "c_name"))
+        .unionByName(part("supplier", "s_suppkey", "'message.fields.diameter.origin_realm'", "s_name"))
+        .unionByName(part("nation", "n_nationkey", "'message.fields.gtpv2.apn'", "n_name"))
+    )
+
+
+def classified_leaves(spark, sf_dir):
+    return pv.classify_leaves(text_leaves(spark, sf_dir))
+
+
+def subscriber_leaves(spark, sf_dir):
+    """Subscriber, telephone and device numbers made of the customer keys."""
+    rows = views.table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey",
+        """explode(map(
+          'imsi', concat(array('26201', '310410', '20801', '2620')[c_custkey % 4], lpad(cast(c_custkey as string), 9, '0')),
+          'msisdn', concat(array('+49151', '49171', '+1', '+351', '0', '+4930')[c_custkey % 6], lpad(cast(c_custkey as string), 8, '0')),
+          'imei', concat(array('35', '3587', '12')[c_custkey % 3], if(c_custkey % 7 = 0, '1', lpad(cast(c_custkey as string), 10, '0')))
+        )) as (path, value)""",
+    )
+    return pv.classify_leaves(rows)
+
+
+@query
+def leaf_classify(spark, sf_dir):
+    return classified_leaves(spark, sf_dir).select("capture_id", "leaf", "data_class")
+
+
+@query
+def protect_share(spark, sf_dir):
+    out = pv.protect_leaves(classified_leaves(spark, sf_dir), PRIVACY_PROFILES["share"], digest=sha_hex)
+    return out.select("capture_id", "leaf", F.md5("protected").alias("protected"))
+
+
+@query
+def protect_lab(spark, sf_dir):
+    out = pv.protect_leaves(classified_leaves(spark, sf_dir), {**PRIVACY_PROFILES["lab"], "diameter_identity": "remove"})
+    return out.groupBy("capture_id", "data_class").agg(
+        F.count("*").alias("leaves"), F.count_if(F.col("protected") == "[redacted]").alias("masked")
+    )
+
+
+@query
+def keep_prefix(spark, sf_dir):
+    modes = {"imsi": "keep_mcc_mnc_mask_msin", "msisdn": "keep_cc_ndc_mask_subscriber", "imei": "keep_tac_mask_serial"}
+    return pv.protect_leaves(subscriber_leaves(spark, sf_dir), modes).select("c_custkey", "path", "protected")
+
+
+@query
+def keep_prefix_pseudonym(spark, sf_dir):
+    modes = {"imsi": "keep_mcc_mnc_pseudonymize_msin", "msisdn": "keep_cc_ndc_pseudonymize_subscriber", "imei": "keep_cc_ndc_mask_subscriber"}
+    numbering = pv.Numbering(imsi_mnc_lengths={"208": 3}, msisdn_ndc_lengths={"351": 2})
+    out = pv.protect_leaves(subscriber_leaves(spark, sf_dir), modes, numbering=numbering, digest=sha_hex)
+    return out.select("c_custkey", "path", "protected")
+
+
+@query
+def pseudonym_sha(spark, sf_dir):
+    modes = {"diameter_identity": "pseudonymize", "hostname": "pseudonymize", "apn_dnn": "pseudonymize"}
+    return pv.pseudonym_map(classified_leaves(spark, sf_dir), modes, digest=sha_hex)
+
+
+@query
+def pseudonym_blake(spark, sf_dir):
+    modes = {"diameter_identity": "pseudonymize", "hostname": "pseudonymize", "apn_dnn": "pseudonymize"}
+    return pv.pseudonym_map(classified_leaves(spark, sf_dir), modes)
+
+
+@query
+def pseudonym_audit(spark, sf_dir):
+    modes = PRIVACY_PROFILES["share"]
+    return pv.pseudonym_audit(pv.pseudonym_map(classified_leaves(spark, sf_dir), modes, digest=sha_hex))
+
+
+@query
+def pseudonym_collisions(spark, sf_dir):
+    modes = {"imsi": "pseudonymize", "msisdn": "pseudonymize", "imei": "pseudonymize"}
+    mapping = pv.pseudonym_map(subscriber_leaves(spark, sf_dir), modes, digest=sha_hex, digest_bytes=1)
+    return pv.pseudonym_collisions(mapping)
+
+
+@query
+def encrypt_roundtrip(spark, sf_dir):
+    out = pv.protect_leaves(subscriber_leaves(spark, sf_dir), {"imsi": "encrypt", "msisdn": "mask"}, key=F.lit("0123456789abcdef"))
+    plain = F.expr("if(path = 'imsi', cast(aes_decrypt(unbase64(protected), '0123456789abcdef', 'GCM') as string), protected)")
+    return out.select("c_custkey", "path", plain.alias("plain"), (F.col("protected") != F.col("value")).alias("changed"))
+
+
+@query
+def leak_audit(spark, sf_dir):
+    return pv.leak_audit(classified_leaves(spark, sf_dir), PRIVACY_PROFILES["lab"])
+
+
+@query
+def canonical_classes(spark, sf_dir):
+    return pv.canonical_rollup(classified_leaves(spark, sf_dir))
