@@ -9,15 +9,12 @@ than the same tree of Column calls.
 
 from __future__ import annotations
 
+from tracemill.functions.sqltext import bound
+
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _V4 = rf"r'^{_OCTET}([.]{_OCTET}){{3}}$'"
 
 
-def bound(value: str, name: str, use: str) -> str:
-    """SQL ``use``, in which ``name`` stands for ``value``, computed once."""
-    return f"get(transform(array({value}), {name} -> {use}), 0)"
-
-
 def _v4_bits(text: str) -> str:
     return f"if({text} rlike {_V4}, array_join(transform(split({text}, '[.]'), o -> lpad(bin(cast(o as bigint)), 8, '0')), ''), null)"
 

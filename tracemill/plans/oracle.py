@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.plans.oracle_views import ENDPOINTS, PKT
+from tracemill.plans.oracle_views import ENDPOINTS, EVENTS, PACKETS, PKT
 
 ORACLE: dict[str, str] = {}
 
@@ -251,3 +251,144 @@ WITH {LEAVES}, owner(data_class, canonical_class) AS (VALUES ('ip', 'network_add
   ('hostname', 'operator_internal_name'), ('diameter_identity', 'operator_internal_name'), ('apn_dnn', 'operator_internal_name'),
   ('token', 'application_secret'), ('payload_text', 'payload_text'), ('email', 'payload_text'), ('uri', 'payload_text'))
 SELECT canonical_class, count(*) AS leaves FROM cls JOIN owner USING (data_class) GROUP BY 1"""
+
+
+# ------------------------------------------------------------------ full packets and flow
+def packets(sql: str) -> str:
+    return f"WITH {PACKETS}{sql}"
+
+
+LEAF_ROWS = """
+SELECT capture_id, 'frame' AS top, 'frame.frame.number' AS path, 2 AS depth, false AS in_list, true AS is_text, CAST(packet_no AS VARCHAR) AS value FROM pk
+UNION ALL SELECT capture_id, 'frame', 'frame.frame.time_epoch', 2, false, true, (us // 1000000) || '.' || lpad(CAST(us % 1000000 AS VARCHAR), 6, '0') FROM pk
+UNION ALL SELECT capture_id, 'frame', 'frame.frame.time_relative', 2, false, true, ((us - 1704067200000000) // 1000000) || '.' || lpad(CAST(us % 1000000 AS VARCHAR), 6, '0') FROM pk
+UNION ALL SELECT capture_id, 'frame', 'frame.frame.protocols', 2, false, true, stack FROM pk
+UNION ALL SELECT capture_id, 'ip', 'ip.ip.src', 2, false, true, src_ip FROM pk
+UNION ALL SELECT capture_id, 'ip', 'ip.ip.dst', 2, false, true, dst_ip FROM pk
+UNION ALL SELECT capture_id, proto, proto || '.' || proto || '.srcport', 2, false, true, CAST(src_port AS VARCHAR) FROM pk
+UNION ALL SELECT capture_id, proto, proto || '.' || proto || '.dstport', 2, false, true, CAST(dst_port AS VARCHAR) FROM pk
+UNION ALL SELECT capture_id, proto, proto || '.' || proto || CASE proto WHEN 'sctp' THEN '.assoc_index' ELSE '.stream' END, 2, false, true, CAST(user_id AS VARCHAR) FROM pk
+UNION ALL SELECT capture_id, 'sctp', 'sctp.sctp.chunk_type', 2, true, true, unnest(['0', '3']) FROM pk WHERE event_type = 'signup' AND k % 5 = 0
+UNION ALL SELECT capture_id, 'tcp', 'tcp.tcp.analysis.retransmission', 2, false, true, '1' FROM pk WHERE event_type = 'purchase' AND k % 11 = 0
+UNION ALL SELECT capture_id, 'tcp', 'tcp.tcp.analysis.out_of_order', 2, false, true, '1' FROM pk WHERE event_type = 'purchase' AND k % 13 = 0
+UNION ALL SELECT capture_id, 'diameter', 'diameter.diameter.cmd.code', 2, false, true, CASE WHEN k < 50 THEN '316' ELSE '318' END FROM pk WHERE event_type = 'view'
+UNION ALL SELECT capture_id, 'diameter', 'diameter.diameter.flags', 2, false, true, CASE WHEN answer THEN '0x40' ELSE '0xc0' END FROM pk WHERE event_type = 'view'
+UNION ALL SELECT capture_id, 'diameter', 'diameter.diameter.flags.request', 2, false, true, CASE WHEN answer THEN '0' ELSE '1' END FROM pk WHERE event_type = 'view' AND k <> 7
+UNION ALL SELECT capture_id, 'diameter', 'diameter.diameter.hopbyhopid', 2, false, true, '0x' || ((k // 2) % 4) FROM pk WHERE event_type = 'view'
+UNION ALL SELECT capture_id, 'diameter', 'diameter.diameter.Result-Code', 2, false, code <> 5004, CAST(code AS VARCHAR) FROM pk WHERE event_type = 'view' AND answer
+UNION ALL SELECT capture_id, 'diameter', 'diameter.diameter.avp', 2, true, true, unnest(['aa', 'bb']) FROM pk WHERE event_type = 'view'
+UNION ALL SELECT capture_id, 'diameter', 'diameter.diameter.avp_tree.diameter.Session-Id', 3, false, true, 'node;' || k FROM pk WHERE event_type = 'view'
+UNION ALL SELECT capture_id, 'diameter', 'diameter.diameter.avp_tree.e212.imsi', 3, false, true, '26201' || lpad(CAST(user_id AS VARCHAR), 10, '0') FROM pk WHERE event_type = 'view'
+UNION ALL SELECT capture_id, 'diameter', 'diameter._ws.expert._ws.expert.message', 3, false, true, 'note' FROM pk WHERE event_type = 'view'
+UNION ALL SELECT capture_id, 'gtpv2', 'gtpv2.gtpv2.message_type', 2, false, true, CAST(32 + k % 4 AS VARCHAR) FROM pk WHERE event_type = 'click'
+UNION ALL SELECT capture_id, 'gtpv2', 'gtpv2.gtpv2.seq', 2, false, true, CAST((k // 4) % 3 AS VARCHAR) FROM pk WHERE event_type = 'click'
+UNION ALL SELECT capture_id, 'gtpv2', 'gtpv2.gtpv2.apn', 2, false, true, 'internet.mnc001' FROM pk WHERE event_type = 'click'
+UNION ALL SELECT capture_id, 'gtpv2', 'gtpv2.Cause : .gtpv2.cause', 3, false, true, CASE k % 8 WHEN 1 THEN '16' ELSE '0x49' END FROM pk WHERE event_type = 'click' AND k % 8 IN (1, 5)
+UNION ALL SELECT capture_id, 'dns', 'dns.dns.id', 2, false, true, '0x' || ((k // 2) % 5) FROM pk WHERE event_type = 'error'
+UNION ALL SELECT capture_id, 'dns', 'dns.Queries.host.dns.qry.name', 4, false, true, 'Host' || (k % 4) || '.Example.org.' FROM pk WHERE event_type = 'error'
+UNION ALL SELECT capture_id, 'dns', 'dns.Queries.host.dns.qry.type', 4, false, true, CASE k % 3 WHEN 1 THEN '1' WHEN 2 THEN '28' ELSE '99' END FROM pk WHERE event_type = 'error'
+UNION ALL SELECT capture_id, 'dns', 'dns.dns.flags_tree.dns.flags.response', 3, false, true, CASE WHEN answer THEN '1' ELSE '0' END FROM pk WHERE event_type = 'error'
+UNION ALL SELECT capture_id, 'dns', 'dns.dns.flags_tree.dns.flags.rcode', 3, false, true, CASE WHEN k % 10 = 3 THEN '3' ELSE '0' END FROM pk WHERE event_type = 'error' AND answer
+UNION ALL SELECT capture_id, 'dns', 'dns.dns.count.answers', 2, false, true, CAST(k % 4 AS VARCHAR) FROM pk WHERE event_type = 'error'
+UNION ALL SELECT capture_id, 'http2', 'http2.http2.headers.method', 2, false, true, 'POST' FROM pk WHERE event_type = 'purchase' AND NOT answer
+UNION ALL SELECT capture_id, 'http2', 'http2.http2.headers.path', 2, false, true, '/nsmf/' || (k % 5) FROM pk WHERE event_type = 'purchase' AND NOT answer
+UNION ALL SELECT capture_id, 'http2', 'http2.http2.headers.status', 2, false, true, CAST(http AS VARCHAR) FROM pk WHERE event_type = 'purchase' AND answer
+UNION ALL SELECT capture_id, 'http2', 'http2.http2.streamid', 2, false, true, CAST(k % 6 AS VARCHAR) FROM pk WHERE event_type = 'purchase'
+UNION ALL SELECT capture_id, 's1ap', 's1ap.s1ap.procedureCode', 2, false, true, CAST(k % 50 AS VARCHAR) FROM pk WHERE event_type = 'signup'
+UNION ALL SELECT capture_id, 's1ap', 's1ap.s1ap.nas_pdu_tree.nas_eps.message_type', 3, false, true, CASE k % 4 WHEN 0 THEN '0x41' WHEN 1 THEN '0x42' WHEN 2 THEN '67' ELSE '0x99' END FROM pk WHERE event_type = 'signup'"""
+ORACLE["packet_leaves"] = packets(f"""
+, leaves AS ({LEAF_ROWS})
+SELECT capture_id, top, path, depth, in_list, is_text, count(*) AS leaves, min(value) AS smallest, count(DISTINCT value) AS values
+FROM leaves GROUP BY ALL""")
+ORACLE["normalised_packets"] = packets("""
+SELECT capture_id, packet_no, round((us - 1704067200000000) / 1000000.0::DOUBLE, 6) AS time_rel_ms,
+  (us // 1000000) || '.' || lpad(CAST(us % 1000000 AS VARCHAR), 6, '0') AS time_epoch, top_protocol, stack, src_ip, dst_ip, proto, src_port, dst_port,
+  CAST(user_id AS VARCHAR) AS stream, event_type = 'purchase' AND notes <> '' AS anomaly, notes, true AS is_valid FROM pk""")
+ORACLE["message_fields"] = packets(f"""
+, leaves AS ({LEAF_ROWS}),
+kept AS (SELECT capture_id, substr(path, length(top) + 2) AS path, CASE WHEN in_list THEN '["aa","bb"]' ELSE value END AS value FROM leaves
+  WHERE top IN ('diameter', 'gtpv2', 'dns', 'http2', 's1ap') AND path NOT LIKE '%.\\_ws.%' ESCAPE '\\' AND value <> 'bb')
+SELECT capture_id, path, count(*) AS n, min(value) AS lo, max(value) AS hi FROM kept GROUP BY 1, 2""")
+ORACLE["verbatim_fields"] = packets(f"""
+, leaves AS ({LEAF_ROWS}),
+kept AS (SELECT capture_id, CASE WHEN path LIKE '%Session-Id' THEN 'diameter.Session-Id' ELSE substr(path, 10) END AS path, value FROM leaves
+  WHERE top = 'diameter' AND path NOT LIKE '%.\\_ws.%' ESCAPE '\\' AND NOT in_list AND path NOT LIKE '%e212.imsi')
+SELECT capture_id, path, count(*) AS n, min(value) AS lo, max(value) AS hi FROM kept GROUP BY 1, 2""")
+ORACLE["deep_fields"] = packets("""
+SELECT capture_id, packet_no, CASE event_type WHEN 'click' THEN CASE k % 8 WHEN 1 THEN '16' WHEN 5 THEN '0x49' END
+    WHEN 'error' THEN CASE WHEN answer THEN CASE WHEN k % 10 = 3 THEN '3' ELSE '0' END END
+    WHEN 'signup' THEN CASE k % 4 WHEN 0 THEN '0x41' WHEN 1 THEN '0x42' WHEN 2 THEN '67' ELSE '0x99' END END AS found,
+  CASE WHEN event_type = 'view' THEN '["aa","bb"]' END AS avp FROM pk""")
+ORACLE["message_labels"] = packets("SELECT capture_id, packet_no, message_name, status, correlation_id, src_node, dst_node FROM flow")
+ORACLE["flow_events"] = packets(f""", {EVENTS}
+SELECT capture_id, event_no, first_packet_no, last_packet_no, src_node, dst_node, message_name, status, correlation_id,
+  'pkt ' || first_packet_no || CASE WHEN repeat_count > 1 THEN '..' || last_packet_no ELSE '' END AS detail_label, repeat_count,
+  round(last_relative_ms, 6) AS last_relative_ms FROM ev""")
+CAPPED = EVENTS.replace("FROM flow WINDOW", "FROM (SELECT * FROM flow QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY packet_no) <= 120) WINDOW")
+ORACLE["flow_capped"] = packets(f", {CAPPED} SELECT capture_id, event_no, first_packet_no, message_name, repeat_count FROM ev")
+ORACLE["event_refs"] = packets(f", {EVENTS} SELECT capture_id, event_no, packet_no FROM numbered")
+
+
+def fifo_sql(source: str, keys: str, order: str, asks: str, tag: str) -> str:
+    """CTEs ending in ``pairs_{tag}``: the reflected walk with plain windows."""
+    return f"""
+s_{tag} AS (SELECT *, sum(CASE WHEN {asks} THEN 1 ELSE -1 END) OVER (PARTITION BY {keys} ORDER BY {order}) AS level FROM {source}),
+m_{tag} AS (SELECT *, NOT {asks} AND level >= least(0, coalesce(min(level) OVER (PARTITION BY {keys} ORDER BY {order}
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS matched FROM s_{tag}),
+c_{tag} AS (SELECT *, sum(CASE WHEN {asks} THEN 1 ELSE 0 END) OVER w AS nq, sum(CASE WHEN matched THEN 1 ELSE 0 END) OVER w AS np
+    FROM m_{tag} WINDOW w AS (PARTITION BY {keys} ORDER BY {order})),
+pairs_{tag} AS (SELECT q.*, p.{order} AS response FROM c_{tag} q JOIN c_{tag} p USING ({keys}) WHERE q.{asks} AND p.matched AND q.nq = p.np)"""
+
+
+ORACLE["fifo_pairs"] = pkt(f"""
+, f AS (SELECT capture_id, user_id, frame_no, event_type IN ('view', 'signup') AS asks FROM base WHERE event_type IN ('view', 'signup', 'click', 'purchase')),
+{fifo_sql('f', 'capture_id, user_id', 'frame_no', 'asks', 'a')}
+SELECT capture_id, user_id, frame_no AS request, response FROM pairs_a""")
+PAIRS = f"""
+, pe AS (SELECT capture_id, frame_no AS event_no, event_type AS protocol, CASE WHEN k % 10 >= 3 THEN 'id:' || (k // 20) END AS corr,
+    ['alpha', 'beta', 'gamma'][user_id % 3 + 1] AS stem, k % 2 = 0 AS asks, 'a' || (user_id % 2) || '|b' || (k % 3) AS route,
+    CASE WHEN k % 2 = 0 THEN 'request' WHEN k % 7 = 0 THEN 'error' ELSE 'response' END AS status FROM base),
+keyed AS (SELECT *, protocol || '|' || coalesce(corr, stem) || '|' || route AS strict_key, protocol || '|' || stem || '|' || route AS loose_key FROM pe),
+{fifo_sql('keyed', 'capture_id, strict_key', 'event_no', 'asks', 'a')},
+done AS (SELECT capture_id, event_no FROM pairs_a UNION SELECT capture_id, response FROM pairs_a),
+rest AS (SELECT * FROM keyed ANTI JOIN done USING (capture_id, event_no) WHERE asks OR corr IS NOT NULL),
+{fifo_sql('rest', 'capture_id, loose_key', 'event_no', 'asks', 'b')},
+pairs AS (SELECT capture_id, event_no AS request, response, 'strict' AS by FROM pairs_a UNION ALL SELECT capture_id, event_no, response, 'loose' FROM pairs_b)"""
+ORACLE["paired_events"] = pkt(f"{PAIRS} SELECT * FROM pairs")
+ORACLE["pair_write_back"] = pkt(f"""{PAIRS}
+SELECT pe.capture_id, pe.event_no, status, asks AS is_request, NOT asks AS is_response, 'event-' || coalesce(r.response, a.request) AS paired_event_id
+FROM pe LEFT JOIN pairs r ON r.capture_id = pe.capture_id AND r.request = pe.event_no LEFT JOIN pairs a ON a.capture_id = pe.capture_id AND a.response = pe.event_no""")
+KIND = """CASE
+  WHEN regexp_matches(lower(message_name), 'attach|initial ue|downlink nas transport') THEN 'registration|Registration'
+  WHEN regexp_matches(lower(message_name), 'create session|modify bearer|gtpv2') THEN 'session_setup|Session Setup'
+  WHEN regexp_matches(lower(message_name), 'reject|fail|error|timeout|401|403|500') THEN 'failure|Failure / Retry'
+  WHEN regexp_matches(lower(message_name), 'auth|air|aia|aka|eap') THEN 'authentication|Authentication'
+  WHEN regexp_matches(lower(message_name), 'security|smc') THEN 'security|Security Mode'
+  WHEN regexp_matches(lower(message_name), 'session|createsmcontext|pfcp') THEN 'session_setup|Session Setup'
+  WHEN regexp_matches(lower(message_name), 'register') THEN 'registration|Registration'
+  WHEN regexp_matches(lower(message_name), 'release|detach') THEN 'release|Release'
+  WHEN status = 'error' THEN 'failure|Failure / Retry' ELSE 'signaling|Signaling' END"""
+ORACLE["flow_phases"] = packets(f""", {EVENTS},
+ph AS (SELECT capture_id, event_no, {KIND} AS kl FROM ev),
+pm AS (SELECT *, CASE WHEN lag(kl) OVER (PARTITION BY capture_id ORDER BY event_no) = kl THEN 0 ELSE 1 END AS st FROM ph),
+pn AS (SELECT *, sum(st) OVER (PARTITION BY capture_id ORDER BY event_no) AS phase_no FROM pm)
+SELECT capture_id, phase_no, 'phase-' || phase_no AS id, split_part(min(kl), '|', 2) AS label, split_part(min(kl), '|', 1) AS kind,
+  'event-' || min(event_no) AS start_event, 'event-' || max(event_no) AS end_event FROM pn GROUP BY 1, 2""")
+ORACLE["flow_nodes"] = packets("""
+, n AS (SELECT DISTINCT capture_id, src_node AS id, src_ip AS ip FROM flow UNION SELECT DISTINCT capture_id, dst_node, dst_ip FROM flow),
+a AS (SELECT capture_id, id, CASE WHEN id = 'alias:core-1' THEN 'core-1 (' || ip || ')' ELSE ip END AS label,
+    CASE WHEN ip LIKE '192.%' THEN 'mme' ELSE 'enb' END AS role, 'endpoint' AS family, id = 'alias:core-1' AS pseudonymized,
+    CASE WHEN ip LIKE '192.%' THEN 30 ELSE 20 END AS lane_priority FROM n)
+SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY lane_priority, label, id) - 1 AS lane_index FROM a""")
+ORACLE["flow_totals"] = packets(f""", {CAPPED}
+SELECT capture_id, packet_count_total, event_count_uncollapsed, event_count_rendered, time_span_ms, first_packet_date,
+  CASE WHEN packet_count_total > 120 THEN 'Flow visualization truncated to 120 events out of ' || packet_count_total || '.' END AS warning
+FROM (SELECT capture_id, count(*) AS packet_count_total, strftime(make_timestamp(arg_min(us, packet_no)), '%d.%m.%Y') AS first_packet_date FROM flow GROUP BY 1)
+JOIN (SELECT capture_id, count(*) AS event_count_uncollapsed FROM numbered GROUP BY 1) USING (capture_id)
+JOIN (SELECT capture_id, count(*) AS event_count_rendered, round(max(rel) - min(rel), 3) AS time_span_ms FROM ev GROUP BY 1) USING (capture_id)""")
+ORACLE["collapse_turns"] = """
+WITH t AS (SELECT *, CASE WHEN turn % 3 = 0 THEN 'a' ELSE 'b' END AS message_name FROM conversations),
+m AS (SELECT *, CASE WHEN lag(role || message_name) OVER (PARTITION BY conv_id ORDER BY turn) = role || message_name THEN 0 ELSE 1 END AS st FROM t),
+n AS (SELECT *, sum(st) OVER (PARTITION BY conv_id ORDER BY turn) AS event_no FROM m)
+SELECT conv_id, event_no, min(role) AS src_node, min(message_name) AS message_name, min(turn) AS first_packet_no, max(turn) AS last_packet_no, count(*) AS repeat_count
+FROM n GROUP BY 1, 2"""

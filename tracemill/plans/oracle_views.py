@@ -87,3 +87,69 @@ endpoints AS (
       ELSE port_warning END AS warning
   FROM sig)
 """
+
+# full packets: what the packets of the trace say, one row each
+PACKETS = """
+base AS (
+  SELECT 'c' || CAST(user_id % 4 AS VARCHAR) AS capture_id, event_id + 1 AS packet_no, epoch_us(ts) AS us,
+         user_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+  FROM events
+),
+sides AS (
+  SELECT *, k % 2 = 1 AS answer, '10.0.0.' || (user_id % 12 + 1) AS client, '192.168.0.' || (k % 3 + 1) AS server,
+    CASE event_type WHEN 'view' THEN 3868 WHEN 'click' THEN 2123 WHEN 'error' THEN 53 WHEN 'purchase' THEN 443 ELSE 36412 END AS port
+  FROM base),
+pk AS (
+  SELECT *, CASE WHEN answer THEN server ELSE client END AS src_ip, CASE WHEN answer THEN client ELSE server END AS dst_ip,
+    CASE WHEN answer THEN port ELSE 40000 END AS src_port, CASE WHEN answer THEN 40000 ELSE port END AS dst_port,
+    CASE event_type WHEN 'view' THEN 'sctp' WHEN 'signup' THEN 'sctp' WHEN 'purchase' THEN 'tcp' ELSE 'udp' END AS proto,
+    CASE event_type WHEN 'view' THEN 'eth:ip:sctp:diameter' WHEN 'signup' THEN 'eth:ip:sctp:s1ap:nas-eps'
+      WHEN 'click' THEN 'eth:ip:udp:gtpv2' WHEN 'error' THEN 'eth:ip:udp:dns' ELSE 'eth:ip:tcp:http2:json' END AS stack,
+    CASE event_type WHEN 'view' THEN 'diameter' WHEN 'signup' THEN 's1ap' WHEN 'click' THEN 'gtpv2' WHEN 'error' THEN 'dns' ELSE 'http' END AS top_protocol,
+    CASE WHEN event_type = 'signup' AND k % 5 = 0 THEN 'chunks=[''0'', ''3'']'
+      WHEN event_type = 'purchase' THEN concat_ws(';', CASE WHEN k % 11 = 0 THEN 'retransmission' END, CASE WHEN k % 13 = 0 THEN 'out_of_order' END)
+      ELSE '' END AS notes,
+    CASE k % 3 WHEN 0 THEN 2001 WHEN 1 THEN 5004 ELSE 3002 END AS code,
+    CASE k % 3 WHEN 0 THEN 200 WHEN 1 THEN 404 ELSE 503 END AS http,
+    'DNS ' || CASE k % 3 WHEN 1 THEN 'A' WHEN 2 THEN 'AAAA' ELSE 'TYPE99' END || ' Host' || (k % 4) || '.Example.org' AS dns
+  FROM sides),
+labelled AS (
+  SELECT *,
+    CASE event_type
+      WHEN 'view' THEN 'Update-Location' || CASE WHEN k = 7 THEN '' WHEN answer THEN ' Answer' ELSE ' Request' END || ' (316)'
+        || CASE WHEN answer THEN ' · Result ' || code ELSE '' END
+      WHEN 'click' THEN CASE k % 4 WHEN 0 THEN 'Create Session Request (32)'
+        WHEN 1 THEN 'Create Session Response (33)' || CASE k % 8 WHEN 1 THEN ' · Cause 16' ELSE ' · Cause 73 (No resources available)' END
+        WHEN 2 THEN 'Modify Bearer Request (34)' ELSE 'Modify Bearer Response (35)' END
+      WHEN 'error' THEN dns || CASE WHEN NOT answer THEN '' WHEN k % 10 = 3 THEN ' · NXDOMAIN' WHEN k % 4 > 0 THEN ' · NOERROR (' || (k % 4) || ' ans)' ELSE ' · NOERROR' END
+      WHEN 'purchase' THEN CASE WHEN answer THEN 'HTTP ' || http || CASE http WHEN 200 THEN ' OK' WHEN 404 THEN ' Not Found' ELSE ' Service Unavailable' END
+        ELSE 'POST /nsmf/' || (k % 5) END
+      ELSE CASE k % 4 WHEN 0 THEN 'Attach Request' WHEN 1 THEN 'Attach Accept' WHEN 2 THEN 'Attach Complete' ELSE 'NAS-EPS 0x99' END
+    END AS name0,
+    CASE event_type
+      WHEN 'view' THEN CASE WHEN NOT answer THEN 'request' WHEN code >= 3000 THEN 'error' ELSE 'response' END
+      WHEN 'click' THEN CASE WHEN k % 8 = 5 THEN 'error' WHEN answer THEN 'response' ELSE 'request' END
+      WHEN 'error' THEN CASE WHEN NOT answer THEN 'request' WHEN k % 10 = 3 THEN 'error' ELSE 'response' END
+      WHEN 'purchase' THEN CASE WHEN (answer AND http >= 400) OR notes <> '' THEN 'error' ELSE 'request' END
+      ELSE CASE WHEN notes <> '' THEN 'error' ELSE 'request' END
+    END AS status,
+    CASE event_type WHEN 'view' THEN 'diameter.hopbyhopid:0x' || ((k // 2) % 4) WHEN 'click' THEN 'gtpv2.seq:' || ((k // 4) % 3)
+      WHEN 'error' THEN 'dns.id:0x' || ((k // 2) % 5) WHEN 'purchase' THEN 'http2.streamid:' || (k % 6) END AS correlation_id,
+    CASE WHEN src_ip = '192.168.0.1' THEN 'alias:core-1' ELSE 'ip:' || src_ip END AS src_node,
+    CASE WHEN dst_ip = '192.168.0.1' THEN 'alias:core-1' ELSE 'ip:' || dst_ip END AS dst_node
+  FROM pk),
+msg AS (SELECT * EXCLUDE (name0), CASE WHEN event_type = 'view' AND k >= 50 THEN replace(name0, 'Update-Location', 'Authentication-Information') ELSE name0 END AS n1 FROM labelled),
+flow AS (SELECT * EXCLUDE (n1), CASE WHEN event_type = 'view' AND k >= 50 THEN replace(n1, '(316)', '(318)') ELSE n1 END AS message_name,
+    (us - 1704067200000000) / 1000000.0::DOUBLE AS rel FROM msg)
+"""
+# runs of equal packets as events
+EVENTS = """
+marks AS (SELECT *, CASE WHEN lag(src_node || '|' || dst_node || '|' || message_name || '|' || top_protocol) OVER w
+    = src_node || '|' || dst_node || '|' || message_name || '|' || top_protocol THEN 0 ELSE 1 END AS starts
+  FROM flow WINDOW w AS (PARTITION BY capture_id ORDER BY packet_no)),
+numbered AS (SELECT *, sum(starts) OVER (PARTITION BY capture_id ORDER BY packet_no) AS event_no FROM marks),
+ev AS (SELECT capture_id, event_no, min(packet_no) AS first_packet_no, max(packet_no) AS last_packet_no, arg_min(src_node, packet_no) AS src_node,
+    arg_min(dst_node, packet_no) AS dst_node, arg_min(message_name, packet_no) AS message_name, arg_min(status, packet_no) AS status,
+    arg_min(correlation_id, packet_no) AS correlation_id, count(*) AS repeat_count, arg_max(rel, packet_no) AS last_relative_ms, arg_min(rel, packet_no) AS rel
+  FROM numbered GROUP BY 1, 2)
+"""

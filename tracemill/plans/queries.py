@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.operators import anomalies as an
-from tracemill.operators import classify, selection, stats, timing
+from tracemill.operators import classify, decode, flow, pairing, selection, stats, timing
 from tracemill.operators import endpoints as ep
 from tracemill.operators import privacy as pv
 from tracemill.plans import views
 from tracemill.sources import index as index_source
+from tracemill.sources import packets as packet_source
 from tracemill.functions.pseudonym import sha_hex
 from tracemill.functions.tables import PRIVACY_PROFILES
 from tracemill.sources.profiles import builtin_profiles
@@ -378,3 +379,159 @@ def leak_audit(spark, sf_dir):
 @query
 def canonical_classes(spark, sf_dir):
     return pv.canonical_rollup(classified_leaves(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ full packets
+def opened_packets(spark, sf_dir):
+    return packet_source.with_leaves(views.trace_packets(spark, sf_dir))
+
+
+def normal_packets(spark, sf_dir, profile="lte-core"):
+    return decode.normalise(opened_packets(spark, sf_dir), builtin_profiles()[profile])
+
+
+@query
+def packet_leaves(spark, sf_dir):
+    """Leaves of all packets, counted per layer and path with the digits of list positions left out."""
+    leaves = packet_source.leaf_table(opened_packets(spark, sf_dir), "capture_id")
+    return leaves.groupBy("capture_id", "top", "path", "depth", "in_list", "is_text").agg(
+        F.count("*").alias("leaves"), F.min("value").alias("smallest"), F.countDistinct("value").alias("values")
+    )
+
+
+@query
+def normalised_packets(spark, sf_dir):
+    return normal_packets(spark, sf_dir).select(
+        "capture_id", "packet_no", F.round("time_rel_ms", 6).alias("time_rel_ms"), "time_epoch", "top_protocol",
+        F.array_join("frame_protocols", ":").alias("stack"), "src_ip", "dst_ip", "transport.proto", "transport.src_port",
+        "transport.dst_port", "transport.stream", "transport.anomaly", F.array_join("transport.notes", ";").alias("notes"), "is_valid",
+    )
+
+
+@query
+def message_fields(spark, sf_dir):
+    rows = normal_packets(spark, sf_dir).select("capture_id", "packet_no", F.explode(F.expr(decode.field_map())).alias("path", "value"))
+    return rows.groupBy("capture_id", "path").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+
+
+@query
+def verbatim_fields(spark, sf_dir):
+    rows = normal_packets(spark, sf_dir, "lte-s6a").where("top_protocol = 'diameter'")
+    rows = rows.select("capture_id", "packet_no", F.explode(F.expr(decode.field_map())).alias("path", "value"))
+    return rows.groupBy("capture_id", "path").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+
+
+@query
+def deep_fields(spark, sf_dir):
+    rows = opened_packets(spark, sf_dir)
+    return rows.select(
+        "capture_id",
+        F.expr(decode.field("frame.number")).cast("bigint").alias("packet_no"),
+        F.expr(decode.deep_field(["gtpv2.cause", "dns.flags.rcode", "nas_eps.message_type"])).alias("found"),
+        F.expr(decode.field("diameter.avp")).alias("avp"),
+    )
+
+
+# ------------------------------------------------------------------ flow
+def flow_input(spark, sf_dir):
+    end = lambda side: F.expr(
+        f"struct({side}_ip as ip, cast(null as string) as hostname,"
+        f" if({side}_ip = '192.168.0.1', 'core-1', null) as alias, if(startswith({side}_ip, '192.'), 'mme', 'enb') as role)"
+    )
+    return normal_packets(spark, sf_dir).withColumn("src", end("src")).withColumn("dst", end("dst"))
+
+
+def all_events(spark, sf_dir):
+    return flow.flow_events(flow_input(spark, sf_dir), max_events=0)
+
+
+@query
+def message_labels(spark, sf_dir):
+    return flow.flow_packets(flow_input(spark, sf_dir)).select(
+        "capture_id", "packet_no", "message_name", "status", "correlation_id", "src_node", "dst_node"
+    )
+
+
+@query
+def flow_events(spark, sf_dir):
+    return all_events(spark, sf_dir).select(
+        "capture_id", "event_no", "first_packet_no", "last_packet_no", "src_node", "dst_node", "message_name", "status",
+        "correlation_id", "detail_label", "repeat_count", F.round("last_relative_ms", 6).alias("last_relative_ms"),
+    )
+
+
+@query
+def flow_capped(spark, sf_dir):
+    return flow.flow_events(flow_input(spark, sf_dir)).select("capture_id", "event_no", "first_packet_no", "message_name", "repeat_count")
+
+
+@query
+def event_refs(spark, sf_dir):
+    return flow.event_refs(flow.numbered(flow.flow_packets(flow_input(spark, sf_dir))))
+
+
+def events_for_pairing(spark, sf_dir):
+    """Pairing input straight from the event table, without decoding packets."""
+    return views.trace_base(spark, sf_dir).selectExpr(
+        "capture_id",
+        "frame_no as event_no",
+        "event_type as protocol",
+        "if(k % 10 < 3, null, concat('id:', k div 20)) as correlation_id",
+        "concat(array('Alpha', 'Beta', 'Gamma')[user_id % 3], if(k % 2 = 0, ' Request', ' Response')) as message_name",
+        "if(k % 2 = 0, 'request', if(k % 7 = 0, 'error', 'response')) as status",
+        "if(k % 2 = 0, concat('a', user_id % 2), concat('b', k % 3)) as src_node",
+        "if(k % 2 = 0, concat('b', k % 3), concat('a', user_id % 2)) as dst_node",
+        "k % 2 = 0 as is_request",
+        "k % 2 = 1 as is_response",
+    )
+
+
+@query
+def fifo_pairs(spark, sf_dir):
+    rows = views.trace_base(spark, sf_dir).selectExpr(
+        "capture_id", "user_id", "frame_no", "event_type in ('view', 'signup') as asks"
+    ).where("event_type in ('view', 'signup', 'click', 'purchase')")
+    return pairing.fifo_pairs(rows, ["capture_id", "user_id"], "frame_no", "asks")
+
+
+@query
+def paired_events(spark, sf_dir):
+    return pairing.pair_events(events_for_pairing(spark, sf_dir))
+
+
+@query
+def pair_write_back(spark, sf_dir):
+    events = events_for_pairing(spark, sf_dir)
+    return pairing.write_back(events, pairing.pair_events(events)).select(
+        "capture_id", "event_no", "status", "is_request", "is_response", "paired_event_id"
+    )
+
+
+@query
+def flow_phases(spark, sf_dir):
+    return flow.phases(all_events(spark, sf_dir), "lte-core")
+
+
+@query
+def flow_nodes(spark, sf_dir):
+    return flow.nodes(flow.flow_packets(flow_input(spark, sf_dir)), "lte-core")
+
+
+@query
+def flow_totals(spark, sf_dir):
+    packets = flow_input(spark, sf_dir)
+    shown = flow.capped(packets)
+    return flow.totals(packets, shown, flow.flow_events(packets))
+
+
+@query
+def collapse_turns(spark, sf_dir):
+    """Runs of turns with the same role in each conversation."""
+    turns = views.table(spark, sf_dir, "conversations").selectExpr(
+        "conv_id as capture_id", "turn as packet_no", "cast(turn as double) as time_rel_ms", "cast(turn as string) as time_epoch",
+        "'chat' as top_protocol", "cast(array() as array<string>) as anomalies", "role as src_node", "'x' as dst_node",
+        "if(turn % 3 = 0, 'a', 'b') as message_name", "'request' as status", "cast(null as string) as correlation_id",
+    )
+    return flow.event_rows(flow.numbered(turns)).select(
+        F.col("capture_id").alias("conv_id"), "event_no", "src_node", "message_name", "first_packet_no", "last_packet_no", "repeat_count"
+    )

@@ -75,6 +75,138 @@ def packet_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ------------------------------------------------------------------ full packets
+def json_object(**fields: str) -> str:
+    """SQL text of a JSON object; a null value leaves its key out.  Values are SQL for JSON text."""
+    parts = ", ".join(f"concat('\"{name}\":', {value})" for name, value in fields.items())
+    return f"concat('{{', concat_ws(',', {parts}), '}}')"
+
+
+def text(sql: str) -> str:
+    """SQL text of a JSON string, null for null."""
+    return f"concat('\"', {sql}, '\"')"
+
+
+def trace_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as full packets ``(capture_id, layers)``: requests for even ``k``, answers for odd ``k``."""
+    answer, only = "k % 2 = 1", lambda kind, value: f"if(event_type = '{kind}', {value}, null)"
+    client, server = "concat('10.0.0.', user_id % 12 + 1)", "concat('192.168.0.', k % 3 + 1)"
+    src, dst = f"if({answer}, {server}, {client})", f"if({answer}, {client}, {server})"
+    port = by_type(SERVICE_PORT)
+    ports = {
+        name: {
+            f"{name}.srcport": text(f"if({answer}, {port}, 40000)"),
+            f"{name}.dstport": text(f"if({answer}, 40000, {port})"),
+        }
+        for name in ("sctp", "tcp", "udp")
+    }
+    carried = lambda name, **more: f"if({by_type(TRANSPORT)} = '{name}', {json_object(**ports[name], **more)}, null)"
+    seconds = "concat(({0}) div 1000000, '.', lpad(cast(({0}) % 1000000 as string), 6, '0'))"
+    layers = json_object(
+        frame=json_object(
+            **{
+                "frame.number": text("frame_no"),
+                "frame.time_epoch": text(seconds.format("us")),
+                "frame.time_relative": text(seconds.format("us - 1704067200000000")),
+                "frame.protocols": text(by_type(STACK)),
+            }
+        ),
+        ip=json_object(**{"ip.src": text(src), "ip.dst": text(dst)}),
+        sctp=carried(
+            "sctp",
+            **{
+                "sctp.assoc_index": text("user_id"),
+                "sctp.chunk_type": "if(event_type = 'signup' and k % 5 = 0, '[\"0\",\"3\"]', null)",
+            },
+        ),
+        tcp=carried(
+            "tcp",
+            **{
+                "tcp.stream": text("user_id"),
+                "tcp.analysis.retransmission": "if(k % 11 = 0, '\"1\"', null)",
+                "tcp.analysis.out_of_order": "if(k % 13 = 0, '\"1\"', null)",
+            },
+        ),
+        udp=carried("udp", **{"udp.stream": text("user_id")}),
+        diameter=only(
+            "view",
+            json_object(
+                **{
+                    "diameter.cmd.code": "if(k < 50, '\"316\"', '\"318\"')",
+                    "diameter.flags": "if(k % 2 = 1, '\"0x40\"', '\"0xc0\"')",
+                    "diameter.flags.request": "case when k = 7 then null when k % 2 = 1 then '\"0\"' else '\"1\"' end",
+                    "diameter.hopbyhopid": text("concat('0x', (k div 2) % 4)"),
+                    "diameter.Result-Code": f"if({answer}, case k % 3 when 0 then '\"2001\"' when 1 then '5004' else '\"3002\"' end, null)",
+                    "diameter.avp": "'[\"aa\",\"bb\"]'",
+                    "diameter.avp_tree": json_object(
+                        **{"diameter.Session-Id": text("concat('node;', k)"), "e212.imsi": text("concat('26201', lpad(cast(user_id as string), 10, '0'))")}
+                    ),
+                    "_ws.expert": "'{\"_ws.expert.message\":\"note\"}'",
+                }
+            ),
+        ),
+        gtpv2=only(
+            "click",
+            json_object(
+                **{
+                    "gtpv2.message_type": "case k % 4 when 0 then '\"32\"' when 1 then '\"33\"' when 2 then '\"34\"' else '\"35\"' end",
+                    "gtpv2.seq": text("(k div 4) % 3"),
+                    "gtpv2.apn": "'\"internet.mnc001\"'",
+                    "Cause : ": "case k % 8 when 1 then '{\"gtpv2.cause\":\"16\"}' when 5 then '{\"gtpv2.cause\":\"0x49\"}' end",
+                }
+            ),
+        ),
+        dns=only(
+            "error",
+            json_object(
+                **{
+                    "dns.id": text("concat('0x', (k div 2) % 5)"),
+                    "Queries": json_object(
+                        **{
+                            "host": json_object(
+                                **{
+                                    "dns.qry.name": text("concat('Host', k % 4, '.Example.org.')"),
+                                    "dns.qry.type": "case k % 3 when 1 then '\"1\"' when 2 then '\"28\"' else '\"99\"' end",
+                                }
+                            )
+                        }
+                    ),
+                    "dns.flags_tree": json_object(
+                        **{
+                            "dns.flags.response": f"if({answer}, '\"1\"', '\"0\"')",
+                            "dns.flags.rcode": f"if({answer}, if(k % 10 = 3, '\"3\"', '\"0\"'), null)",
+                        }
+                    ),
+                    "dns.count.answers": text("k % 4"),
+                }
+            ),
+        ),
+        http2=only(
+            "purchase",
+            json_object(
+                **{
+                    "http2.headers.method": f"if({answer}, null, '\"POST\"')",
+                    "http2.headers.path": f"if({answer}, null, {text('concat({0}, k % 5)'.format(repr('/nsmf/')))})",
+                    "http2.headers.status": f"if({answer}, case k % 3 when 0 then '\"200\"' when 1 then '\"404\"' else '\"503\"' end, null)",
+                    "http2.streamid": text("k % 6"),
+                }
+            ),
+        ),
+        s1ap=only(
+            "signup",
+            json_object(
+                **{
+                    "s1ap.procedureCode": text("k % 50"),
+                    "s1ap.nas_pdu_tree": json_object(
+                        **{"nas_eps.message_type": "case k % 4 when 0 then '\"0x41\"' when 1 then '\"0x42\"' when 2 then '\"67\"' else '\"0x99\"' end"}
+                    ),
+                }
+            ),
+        ),
+    )
+    return trace_base(spark, sf_dir).select("capture_id", F.expr(layers).alias("layers"))
+
+
 # ------------------------------------------------------------------ lookup tables
 def lookups(spark: SparkSession, sf_dir: str):
     """Lookup tables made of the nation and region tables."""
