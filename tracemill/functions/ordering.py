@@ -14,13 +14,14 @@ not depend on the block size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1 << 18
 BLOCK = "_block"
+TASK_LIMIT = 1000  # up to here Spark limits a row_number filter inside each task
 
 
 def with_block(df: DataFrame, order: str, block_rows: int | None = None) -> DataFrame:
@@ -102,29 +103,66 @@ def first_rows(
 ) -> DataFrame:
     """The first ``limit`` rows per key; zero or less keeps all.
 
-    Block counts tell which blocks lie wholly before the cut, so rows behind it are dropped
-    before anything is sorted, and only the cut block is numbered.
+    For a small limit every task keeps its own first rows before the shuffle.  For a large one,
+    block counts tell which blocks lie before the cut; rows behind it are dropped unsorted, and
+    only the cut block is numbered.
     """
     if limit <= 0:
         return df
+    if limit <= TASK_LIMIT:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+        return df.withColumn("_rn", place).where(F.col("_rn") <= limit).drop("_rn")
     rows = with_block(df, order, block_rows)
     counts = rows.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(_across(keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = (
         counts.withColumn("_before", before)
         .where(F.col("_before") < limit)
-        .select(*keys, BLOCK, (F.lit(limit) - F.col("_before")).alias("_room"), (F.col("_n")).alias("_n"))
+        .select(*keys, BLOCK, (F.lit(limit) - F.col("_before")).alias("_room"))
     )
     return (
         rows.join(kept, [*keys, BLOCK])
         .withColumn("_rn", F.row_number().over(_inside(keys, order)))
         .where(F.col("_rn") <= F.col("_room"))
-        .drop("_rn", "_room", "_n", BLOCK)
+        .drop("_rn", "_room", BLOCK)
     )
 
 
 def islands(
-    df: DataFrame, keys: Sequence[str], order: str, starts: Column, out: str, block_rows: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    columns: Sequence[str],
+    joined: Callable[[Column, Column], Column],
+    out: str,
+    block_rows: int | None = None,
 ) -> DataFrame:
-    """Number runs of rows: ``starts`` is true on the first row of a run."""
-    return running_sum(df, keys, order, {out: starts.cast("bigint")}, block_rows)
+    """Number runs of rows per key, from 1.
+
+    ``joined(previous, current)`` tells from two structs of ``columns`` whether the current row
+    continues the run of the previous one; null counts as no.
+    """
+    continues = lambda previous, current: F.coalesce(joined(previous, current), F.lit(False))
+    inside = _inside(keys, order)
+    rows = with_block(df, order, block_rows).withColumn("_here", F.struct(*columns))
+    rows = rows.withColumn("_near", F.lag("_here").over(inside)).withColumn("_rn", F.row_number().over(inside))
+    starts = (F.col("_rn") > 1) & ~continues(F.col("_near"), F.col("_here"))
+    rows = rows.withColumn("_start", starts.cast("bigint"))
+    rows = rows.withColumn("_local", F.sum("_start").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+
+    across = _across(keys)
+    blocks = rows.groupBy(*keys, BLOCK).agg(
+        F.min_by("_here", order).alias("_first"),
+        F.max_by("_here", order).alias("_last"),
+        F.sum("_start").alias("_starts"),
+    )
+    blocks = blocks.withColumn("_carried", F.lag("_last").over(across))
+    opens = ~(F.col("_carried").isNotNull() & continues(F.col("_carried"), F.col("_first")))
+    blocks = blocks.withColumn("_opens", opens.cast("bigint"))
+    earlier = F.sum(F.col("_opens") + F.col("_starts")).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select(*keys, BLOCK, (F.coalesce(earlier, F.lit(0)) + F.col("_opens")).alias("_base"))
+    return (
+        rows.join(blocks, [*keys, BLOCK])
+        .withColumn(out, F.col("_base") + F.col("_local"))
+        .drop("_here", "_near", "_rn", "_start", "_local", "_base", BLOCK)
+    )

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import labels, tables
 from tracemill.functions.sqltext import select_once
-from tracemill.functions.ordering import first_rows, islands, neighbour
+from tracemill.functions.ordering import first_rows, islands
 from tracemill.operators.pairing import pair_events, write_back
+from tracemill.session import cut_lineage
 
 ORDER = "packet_no"
 
@@ -42,14 +43,14 @@ def flow_packets(packets: DataFrame) -> DataFrame:
 def numbered(flow: DataFrame, collapse: bool = True, block_rows: int | None = None) -> DataFrame:
     """Add ``event_no``: runs of equal (source, destination, name, protocol) are one event."""
     signature = ["src_node", "dst_node", "message_name", "top_protocol"]
-    if not collapse:
-        return islands(flow, ["capture_id"], ORDER, F.lit(True), "event_no", block_rows)
-    rows = neighbour(flow, ["capture_id"], ORDER, signature, "_previous", block_rows=block_rows)
-    same = F.lit(True)
-    for name in signature:
-        same = same & F.col(f"_previous.{name}").eqNullSafe(F.col(name))
-    starts = F.col("_previous").isNull() | ~same
-    return islands(rows, ["capture_id"], ORDER, starts, "event_no", block_rows).drop("_previous")
+
+    def same(previous, current):
+        equal = F.lit(collapse)
+        for name in signature:
+            equal = equal & previous[name].eqNullSafe(current[name])
+        return equal
+
+    return islands(flow, ["capture_id"], ORDER, signature, same, "event_no", block_rows)
 
 
 def event_rows(packets: DataFrame) -> DataFrame:
@@ -99,8 +100,12 @@ def event_refs(packets: DataFrame) -> DataFrame:
 
 
 def flow_events(packets: DataFrame, max_events: int = tables.FLOW_EVENT_CAP, collapse: bool = True, block_rows: int | None = None) -> DataFrame:
-    """Events of normalised packets, before pairing."""
-    return event_rows(numbered(flow_packets(capped(packets, max_events, block_rows)), collapse, block_rows))
+    """Events of normalised packets, before pairing.
+
+    The labelled packets are written once: numbering reads them twice, and decoding is the costly part.
+    """
+    shown = cut_lineage(flow_packets(capped(packets, max_events, block_rows)))
+    return event_rows(numbered(shown, collapse, block_rows))
 
 
 def paired_events(events: DataFrame, block_rows: int | None = None) -> DataFrame:
@@ -111,9 +116,8 @@ def phases(events: DataFrame, profile: str = "", block_rows: int | None = None)
     """Runs of events of one phase kind, numbered per capture."""
     rows = events.select("capture_id", "event_no", F.expr(labels.phase(labels.profile_family(profile))).alias("phase"))
     rows = rows.select("capture_id", "event_no", "phase.*")
-    rows = neighbour(rows, ["capture_id"], "event_no", ["kind"], "_previous", block_rows=block_rows)
-    starts = F.col("_previous").isNull() | (F.col("_previous.kind") != F.col("kind"))
-    runs = islands(rows, ["capture_id"], "event_no", starts, "phase_no", block_rows)
+    same = lambda previous, current: previous["kind"] == current["kind"]
+    runs = islands(rows, ["capture_id"], "event_no", ["kind"], same, "phase_no", block_rows)
     out = runs.groupBy("capture_id", "phase_no").agg(
         F.min_by("kind", "event_no").alias("kind"),
         F.min_by("label", "event_no").alias("label"),

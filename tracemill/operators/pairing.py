@@ -13,41 +13,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import labels
-from tracemill.functions.ordering import BLOCK, running_sum, with_block
+from tracemill.functions.ordering import BLOCK, with_block
+from tracemill.session import cut_lineage
 
 
-def matched_responses(df: DataFrame, keys: Sequence[str], order: str, request: str, block_rows: int | None = None) -> DataFrame:
-    """Add ``_matched``: the row is a response that takes a waiting request."""
-    rows = with_block(df, order, block_rows).withColumn("_step", F.when(F.col(request), 1).otherwise(-1).cast("bigint"))
+def fifo_pairs(df: DataFrame, keys: Sequence[str], order: str, request: str, block_rows: int | None = None) -> DataFrame:
+    """Pairs ``(keys, request, response)`` of order values.  Keys must not be null."""
+    rows = with_block(df.select(*keys, order, F.col(request).alias("_asks")), order, block_rows)
+    rows = rows.withColumn("_step", F.when(F.col("_asks"), 1).otherwise(-1).cast("bigint"))
     inside = Window.partitionBy(*keys, BLOCK).orderBy(order)
-    rows = rows.withColumn("_sum", F.sum("_step").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_low", F.min("_sum").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    upto, past = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_sum", F.sum("_step").over(upto)).withColumn("_n", F.row_number().over(inside))
+    rows = rows.withColumn("_low", F.min("_sum").over(past))
+
     across = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy(*keys, BLOCK).agg(F.sum("_step").alias("_total"), F.min("_sum").alias("_lowest"))
+    blocks = rows.groupBy(*keys, BLOCK).agg(
+        F.sum("_step").alias("_total"), F.min("_sum").alias("_lowest"), F.count(F.lit(1)).alias("_rows")
+    )
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_total").over(across), F.lit(0)))
+    blocks = blocks.withColumn("_rows_before", F.coalesce(F.sum("_rows").over(across), F.lit(0)))
     blocks = blocks.withColumn("_carried_low", F.min(F.col("_before") + F.col("_lowest")).over(across))
-    rows = rows.join(blocks.select(*keys, BLOCK, "_before", "_carried_low"), [*keys, BLOCK])
-    level = F.col("_before") + F.col("_sum")
-    floor = F.least(F.lit(0), F.col("_carried_low"), F.col("_before") + F.col("_low"))  # least skips nulls
-    return rows.withColumn("_matched", (~F.col(request)) & (level >= floor)).drop(
-        "_step", "_sum", "_low", "_before", "_carried_low"
-    )
+    rows = rows.join(blocks.select(*keys, BLOCK, "_before", "_rows_before", "_carried_low"), [*keys, BLOCK])
 
-
-def fifo_pairs(df: DataFrame, keys: Sequence[str], order: str, request: str, block_rows: int | None = None) -> DataFrame:
-    """Pairs ``(keys, request, response)`` of order values.  Keys must not be null."""
-    narrow = df.select(*keys, order, F.col(request).alias("_request"))
-    marked = matched_responses(narrow, keys, order, "_request", block_rows)
-    counted = running_sum(
-        marked,
-        keys,
-        order,
-        {"_nth_request": F.col("_request").cast("bigint"), "_nth_response": F.col("_matched").cast("bigint")},
-        block_rows,
+    level, seen = F.col("_before") + F.col("_sum"), F.col("_rows_before") + F.col("_n")
+    floor = F.least(F.lit(0), F.col("_carried_low"), F.col("_before") + F.col("_low"))  # least skips nulls
+    asked = (seen + level) / 2  # requests so far: half of rows plus their balance
+    # answers so far = requests so far minus those still waiting, which is the height above the floor
+    answered = asked - (level - F.least(floor, level))
+    matched = ~F.col("_asks") & (level >= floor)
+    nth = F.when(F.col("_asks"), asked).when(matched, answered).cast("bigint")
+    return (
+        rows.select(*keys, F.col(order).alias("_order"), "_asks", nth.alias("_nth"))
+        .where(F.col("_nth").isNotNull())
+        .groupBy(*keys, "_nth")
+        .agg(
+            F.max(F.when(F.col("_asks"), F.col("_order"))).alias("request"),
+            F.max(F.when(~F.col("_asks"), F.col("_order"))).alias("response"),
+        )
+        .where(F.col("request").isNotNull() & F.col("response").isNotNull())
+        .drop("_nth")
     )
-    asked = counted.where("_request").select(*keys, F.col("_nth_request").alias("_nth"), F.col(order).alias("request"))
-    answered = counted.where("_matched").select(*keys, F.col("_nth_response").alias("_nth"), F.col(order).alias("response"))
-    return asked.join(answered, [*keys, "_nth"]).drop("_nth")
 
 
 def pair_keys(events: DataFrame) -> DataFrame:
@@ -70,10 +75,11 @@ def pair_events(events: DataFrame, block_rows: int | None = None) -> DataFrame:
 
     Events are paired by correlation id, or by message name where there is none; responses with an
     id that find no request are then tried by name against the requests still open.  No event is
-    in two pairs.
+    in two pairs.  The narrow keys and the first pairs are written once, since both are read twice.
     """
-    keyed = pair_keys(events)
+    keyed = cut_lineage(pair_keys(events))
     strict = fifo_pairs(keyed, ["capture_id", "strict_key"], "event_no", "asks", block_rows).drop("strict_key")
+    strict = cut_lineage(strict)
     done = strict.select("capture_id", F.explode(F.array("request", "response")).alias("event_no"))
     open_events = keyed.where("asks or has_id").join(done, ["capture_id", "event_no"], "left_anti")
     loose = fifo_pairs(open_events, ["capture_id", "loose_key"], "event_no", "asks", block_rows).drop("loose_key")

@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.ordering import islands, neighbour, running_sum
+from tracemill.functions.ordering import BLOCK, islands, neighbour
 
 BURST_GAP_MS = 1000.0
 BURST_SIZE = 5
+GAP_BLOCK_US = 1 << 20
+NO_GAP_BLOCK = -(1 << 62)
 
 
 def gaps(
@@ -25,25 +27,6 @@ def gaps(
     return paired.withColumn("gap", F.col(time) - F.col(f"_previous.{time}")).drop("_previous")
 
 
-def nearest_rank(
-    df: DataFrame, keys: Sequence[str], value: str, share: float, out: str, block_width: int | None = None
-) -> DataFrame:
-    """Value at index ``floor((n - 1) * share)`` of the sorted integer values of each key, exactly.
-
-    Equal values are counted first; the counts are then scanned in blocks of the value range, so
-    no key is sorted in one task.
-    """
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    total = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    scanned = running_sum(counted, keys, value, {"_upto": F.col("_n")}, block_width or 1 << 20)
-    rank = F.floor((F.col("_total") - 1) * F.lit(share)) + 1
-    return (
-        scanned.join(total, list(keys))
-        .where((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank))
-        .select(*keys, F.col(value).alias(out))
-    )
-
-
 def gap_stats(
     df: DataFrame,
     keys: Sequence[str],
@@ -53,25 +36,48 @@ def gap_stats(
 ) -> DataFrame:
     """Packets, duration, and min / max / mean / p95 gap in milliseconds, three decimals; keys with one row are left out.
 
-    The p95 is taken over gaps in whole microseconds, which is the precision of the result.
+    The p95 is the gap at index ``floor((n - 1) * 0.95)`` of the sorted gaps, exactly.  Equal gaps
+    (in whole microseconds, the precision of the result) are counted first, and the counts are
+    scanned in blocks of the value range, so no key is sorted in one task.
     """
-    with_gaps = gaps(df, keys, time, order, block_rows)
-    stats = with_gaps.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("packet_count"),
-        F.round(F.max(time) - F.min(time), 3).alias("duration_ms"),
-        F.round(F.min("gap"), 3).alias("gap_min"),
-        F.round(F.max("gap"), 3).alias("gap_max"),
-        F.round(F.avg("gap"), 3).alias("gap_mean"),
+    rows = gaps(df, keys, time, order, block_rows)
+    counted = rows.groupBy(*keys, F.round(F.col("gap") * 1000, 0).cast("bigint").alias("_us")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min("gap").alias("_lo"),
+        F.max("gap").alias("_hi"),
+        F.sum("gap").alias("_sum"),
+        F.min(time).alias("_from"),
+        F.max(time).alias("_to"),
     )
-    micros = with_gaps.where(F.col("gap").isNotNull()).select(
-        *keys, F.round(F.col("gap") * 1000, 0).cast("bigint").alias("_us")
+    # the first row of a key has no gap: it counts as a packet and for the duration only
+    counted = counted.withColumn(BLOCK, F.coalesce(F.expr(f"_us div {GAP_BLOCK_US}"), F.lit(NO_GAP_BLOCK)))
+    counted = counted.withColumn("_gaps", F.when(F.col("_us").isNotNull(), F.col("_n")).otherwise(0))
+    key = Window.partitionBy(*keys)
+    before = key.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counted.groupBy(*keys, BLOCK).agg(
+        F.sum("_n").alias("_rows"), F.sum("_gaps").alias("_gaps"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"),
+        F.sum("_sum").alias("_sum"), F.min("_from").alias("_from"), F.max("_to").alias("_to"),
     )
-    p95 = nearest_rank(micros, keys, "_us", 0.95, "_p95")
+    total = F.sum("_gaps").over(key)
+    blocks = blocks.select(
+        *keys,
+        BLOCK,
+        F.coalesce(F.sum("_gaps").over(before), F.lit(0)).alias("_before"),
+        (F.floor((total - 1) * F.lit(0.95)) + 1).alias("_rank"),
+        F.sum("_rows").over(key).alias("packet_count"),
+        F.round(F.max("_to").over(key) - F.min("_from").over(key), 3).alias("duration_ms"),
+        F.round(F.min("_lo").over(key), 3).alias("gap_min"),
+        F.round(F.max("_hi").over(key), 3).alias("gap_max"),
+        F.round(F.sum("_sum").over(key) / total, 3).alias("gap_mean"),
+    )
+    inside = Window.partitionBy(*keys, BLOCK).orderBy("_us").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("_before") + F.col("_local")
     return (
-        stats.where(F.col("packet_count") >= 2)
-        .join(p95, list(keys))
-        .withColumn("gap_p95", F.round(F.col("_p95") / 1000, 3))
-        .drop("_p95")
+        counted.select(*keys, BLOCK, "_us", "_gaps", F.sum("_gaps").over(inside).alias("_local"))
+        .join(blocks, [*keys, BLOCK])
+        .where((upto >= F.col("_rank")) & (upto - F.col("_gaps") < F.col("_rank")))
+        .withColumn("gap_p95", F.round(F.col("_us") / 1000, 3))
+        .select(*keys, "packet_count", "duration_ms", "gap_min", "gap_max", "gap_mean", "gap_p95")
     )
 
 
@@ -85,10 +91,9 @@ def bursts(
     block_rows: int | None = None,
 ) -> DataFrame:
     """Runs of at least ``min_size`` rows whose gaps stay within ``0..max_gap`` (inclusive)."""
-    close = F.col("gap").between(0, max_gap)
-    numbered = islands(
-        gaps(df, keys, time, order, block_rows), keys, order, F.coalesce(~close, F.lit(True)), "_run", block_rows
-    )
+    timed = df.where(F.col(time).isNotNull()).select(*keys, order, time)
+    close = lambda previous, current: (current[time] - previous[time]).between(0, max_gap)
+    numbered = islands(timed, keys, order, [time], close, "_run", block_rows)
     return (
         numbered.groupBy(*keys, "_run")
         .agg(
