@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.operators import anomalies as an
-from tracemill.operators import classify, decode, flow, pairing, selection, stats, timing
+from tracemill.operators import classify, decode, domains, enrichment, flow, pairing, ranking, selection, stats, timing
+from tracemill.operators import evidence as evidence_ops
 from tracemill.operators import endpoints as ep
 from tracemill.operators import privacy as pv
 from tracemill.plans import views
+from tracemill.session import cut_lineage
 from tracemill.sources import index as index_source
 from tracemill.sources import packets as packet_source
 from tracemill.functions.pseudonym import sha_hex
@@ -535,3 +537,111 @@ def collapse_turns(spark, sf_dir):
     return flow.event_rows(flow.numbered(turns)).select(
         F.col("capture_id").alias("conv_id"), "event_no", "src_node", "message_name", "first_packet_no", "last_packet_no", "repeat_count"
     )
+
+
+# ------------------------------------------------------------------ evidence, domains, ranking
+def mix_parts(spark, sf_dir):
+    df = views.mix_index(spark, sf_dir)
+    totals = df.groupBy("capture_id").agg(F.count("*").alias("total_packets"))
+    peers = df.where("name is not null").select("capture_id", "name", "role").distinct()
+    dns = peers.where("capture_id like '%2'").select("capture_id", "name")
+    return totals, stats.protocol_counts(df), stats.transport_counts(df), stats.raw_protocols(df), peers, dns
+
+
+def mix_captures(spark, sf_dir):
+    """Evidence per capture, written once: one small row per capture that every rule reads."""
+    return cut_lineage(domains.with_domains(cut_lineage(evidence_ops.capture_evidence(*mix_parts(spark, sf_dir)))))
+
+
+@query
+def ranking_evidence(spark, sf_dir):
+    totals, counts, transports, raw, _, _ = mix_parts(spark, sf_dir)
+    return evidence_ops.evidence(counts, transports, raw, totals)
+
+
+@query
+def signalling_evidence(spark, sf_dir):
+    totals, counts, transports, raw, _, _ = mix_parts(spark, sf_dir)
+    return evidence_ops.evidence(counts, transports, raw, totals, signalling=True)
+
+
+@query
+def naming_evidence(spark, sf_dir):
+    _, _, _, _, peers, dns = mix_parts(spark, sf_dir)
+    out = evidence_ops.naming_evidence(evidence_ops.naming_words(dns, peers))
+    return out.withColumn("naming_reasons", F.array_join("naming_reasons", "; "))
+
+
+@query
+def domain_infer(spark, sf_dir):
+    rows = domains.domain_rows(evidence_ops.capture_evidence(*mix_parts(spark, sf_dir)))
+    return rows.select("capture_id", "rank", "domain", "score", "role")
+
+
+@query
+def dominant_signalling(spark, sf_dir):
+    return domains.dominant_signalling(mix_captures(spark, sf_dir))
+
+
+@query
+def relevant_signalling(spark, sf_dir):
+    return domains.relevant_signalling(mix_captures(spark, sf_dir))
+
+
+@query
+def capture_context(spark, sf_dir):
+    out = domains.capture_context(mix_captures(spark, sf_dir))
+    return out.select("capture_id", joined("link_or_envelope_protocols"), joined("transport_support_protocols"))
+
+
+def mix_scored(spark, sf_dir):
+    return ranking.score_profiles(mix_captures(spark, sf_dir), builtin_profiles().values())
+
+
+@query
+def profile_base_scores(spark, sf_dir):
+    rows = ranking.base_scores(ranking.with_profiles(mix_captures(spark, sf_dir), builtin_profiles().values()))
+    return rows.where("not naming and base > 0").select("capture_id", "profile", F.round("base", 4).alias("base"))
+
+
+@query
+def profile_rank(spark, sf_dir):
+    return ranking.recommended(mix_scored(spark, sf_dir)).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+@query
+def profile_suppressed(spark, sf_dir):
+    return ranking.suppressed(mix_scored(spark, sf_dir)).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+@query
+def best_profile(spark, sf_dir):
+    captures = mix_captures(spark, sf_dir)
+    scored = ranking.score_profiles(captures, builtin_profiles().values())
+    return ranking.best_profile(captures, ranking.recommended(scored))
+
+
+@query
+def trace_shape(spark, sf_dir):
+    rows = enrichment.with_shape(mix_captures(spark, sf_dir))
+    return rows.select("capture_id", "trace_shape", F.array_join("trace_shape_reasons", "; ").alias("why"), "signalling", "counted")
+
+
+@query
+def capture_enrichment(spark, sf_dir):
+    captures = mix_captures(spark, sf_dir)
+    ranked = ranking.recommended(ranking.score_profiles(captures, builtin_profiles().values()), 6)
+    rows = enrichment.enrich(captures, ranked)
+    return rows.select(
+        "capture_id", "trace_shape", "classification_state", F.array_join("network_anomalies", "; ").alias("network_anomalies"),
+        F.array_join("classification_notes", "; ").alias("classification_notes"), F.array_join("next_step_hints", "; ").alias("next_step_hints"),
+    )
+
+
+@query
+def discovery_union(spark, sf_dir):
+    """Top protocols of the trace under the union of all profiles."""
+    from tracemill.sources.profiles import discovery_profile
+
+    df = classify.with_top_protocol(views.packet_index(spark, sf_dir), discovery_profile(builtin_profiles().values()))
+    return stats.protocol_counts(df)

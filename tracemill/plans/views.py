@@ -253,3 +253,27 @@ def endpoint_columns() -> tuple[Column, Column]:
 
     code = F.concat(F.lit(" pc-"), (F.col("frame_no") % 6).cast("string"))
     return endpoint(F.col("src_ip"), F.col("src_port")), endpoint(F.col("dst_ip"), F.col("dst_port"), code)
+
+
+# ------------------------------------------------------------------ protocol mixes
+MIX = """
+diameter s1ap nas-eps gtpv2 dns ngap nas-5gs http2 json sip sdp map tcap sccp bssap dtap gtp udp data gsm_map
+""".split()
+MIX_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+def mix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as captures with different protocol mixes: one capture per user class of 40."""
+    listed = ", ".join(f"'{p}'" for p in MIX)
+    place = "case event_type " + " ".join(f"when '{t}' then {i}" for i, t in enumerate(MIX_TYPES)) + " end"
+    rows = trace_base(spark, sf_dir).selectExpr("user_id % 40 as c", "frame_no", "k", f"{place} as place")
+    return rows.selectExpr(
+        "concat('m', c) as capture_id",
+        "frame_no",
+        # some captures show most types only in the protocol stack
+        f"if(c % 4 = 3 and place > 1, 'tcp', array({listed})[(c * 3 + if(c % 5 = 0, place, place div 2)) % {len(MIX)}]) as top_protocol",
+        f"array('sctp', 'udp', 'tcp')[(c + place) % 3] as transport",
+        f"array('eth', 'ip', array({listed})[(c * 3 + place) % {len(MIX)}]) as protocols",
+        "if(k % 9 = 0, concat(array('mme', 'pcscf-ims', 'smf', 'host', 'sbc')[c % 5], '-', k, if(c % 2 = 0, '.epc.mnc001.mcc262.3gppnetwork.org', '.example')), null) as name",
+        "if(k % 9 = 0 and c % 3 = 0, array('mme', 'hss', 'Other')[k % 3], null) as role",
+    )
