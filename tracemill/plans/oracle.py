@@ -392,3 +392,150 @@ m AS (SELECT *, CASE WHEN lag(role || message_name) OVER (PARTITION BY conv_id O
 n AS (SELECT *, sum(st) OVER (PARTITION BY conv_id ORDER BY turn) AS event_no FROM m)
 SELECT conv_id, event_no, min(role) AS src_node, min(message_name) AS message_name, min(turn) AS first_packet_no, max(turn) AS last_packet_no, count(*) AS repeat_count
 FROM n GROUP BY 1, 2"""
+
+
+# ------------------------------------------------------------------ evidence, domains, ranking
+def _profile_values() -> str:
+    """The profile catalogue as SQL rows."""
+    from tracemill.sources.profiles import NAMING_PROFILE, builtin_profiles, profile_rows
+
+    listed = lambda items: "[" + ", ".join(f"'{i}'" for i in items) + "]"
+    return ", ".join(
+        f"('{r['profile']}', {listed(r['relevant'])}, {listed(r['strong'])}, {listed(r['triggers'])}, {listed(r['weak'])})"
+        for r in profile_rows(builtin_profiles().values())
+        if r["profile"] != NAMING_PROFILE
+    )
+
+
+def _combo_values() -> str:
+    from tracemill.functions import rules
+
+    rows = [
+        f"({i}, [{', '.join(repr(p) for p in need.split())}], '{domain}', {score}::DOUBLE)"
+        for i, (need, domain, score, _) in enumerate(rules.DOMAIN_COMBOS)
+    ]
+    return ", ".join(rows)
+
+
+MIX_LIST = (
+    "['diameter', 's1ap', 'nas-eps', 'gtpv2', 'dns', 'ngap', 'nas-5gs', 'http2', 'json', 'sip', 'sdp', 'map', 'tcap', 'sccp',"
+    " 'bssap', 'dtap', 'gtp', 'udp', 'data', 'gsm_map']"
+)
+LINKS = "'eth', 'ip', 'tcp', 'udp', 'sctp', 'data'"
+MIX = f"""
+base AS (SELECT user_id % 40 AS c, event_id + 1 AS frame_no, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+    CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS place FROM events),
+mix AS (SELECT 'm' || c AS capture_id,
+    CASE WHEN c % 4 = 3 AND place > 1 THEN 'tcp' ELSE {MIX_LIST}[(c * 3 + CASE WHEN c % 5 = 0 THEN place ELSE place // 2 END) % 20 + 1] END AS top,
+    ['sctp', 'udp', 'tcp'][(c + place) % 3 + 1] AS transport, {MIX_LIST}[(c * 3 + place) % 20 + 1] AS inner_protocol,
+    CASE WHEN k % 9 = 0 THEN ['mme', 'pcscf-ims', 'smf', 'host', 'sbc'][c % 5 + 1] || '-' || k
+      || CASE WHEN c % 2 = 0 THEN '.epc.mnc001.mcc262.3gppnetwork.org' ELSE '.example' END END AS name FROM base),
+totals AS (SELECT capture_id, count(*) AS total FROM mix GROUP BY 1),
+pc AS (SELECT capture_id, top AS name, count(*) AS n FROM mix GROUP BY 1, 2),
+tc AS (SELECT capture_id, transport AS name, count(*) AS n FROM mix GROUP BY 1, 2),
+names AS (SELECT capture_id, name FROM pc UNION SELECT capture_id, name FROM tc UNION SELECT capture_id, inner_protocol FROM mix
+  UNION SELECT capture_id, 'eth' FROM mix UNION SELECT capture_id, 'ip' FROM mix),
+own AS (SELECT names.capture_id, names.name, coalesce(pc.n, CASE WHEN names.name IN ({LINKS}) THEN tc.n END, 0) AS n FROM names
+  LEFT JOIN pc ON pc.capture_id = names.capture_id AND pc.name = names.name LEFT JOIN tc ON tc.capture_id = names.capture_id AND tc.name = names.name)"""
+
+
+def evidence_sql(owners: str, tag: str) -> str:
+    return f"""
+{tag}_spread AS (SELECT capture_id, unnest({owners}) AS protocol, n FROM own),
+{tag} AS (SELECT capture_id, protocol, packets, CASE WHEN packets = 0 THEN CASE WHEN protocol IN ({LINKS}) THEN 0.35 ELSE 0.85 END
+    WHEN packets / total < 0.005 THEN 0.2 WHEN packets / total < 0.01 THEN 0.4 WHEN packets / total < 0.05 THEN 0.7 ELSE 1.0 END::DOUBLE AS factor,
+    CASE WHEN packets > 0 THEN 'count' ELSE 'raw' END AS source
+  FROM (SELECT capture_id, protocol, CAST(sum(n) AS BIGINT) AS packets FROM {tag}_spread GROUP BY 1, 2) JOIN totals USING (capture_id))"""
+
+
+RANK_EV = evidence_sql("CASE name WHEN 'http2' THEN ['http2', 'http'] WHEN 'gsm_map' THEN ['gsm_map', 'map'] WHEN 'bssap' THEN ['bssap', 'bssap+'] ELSE [name] END", "ev")
+SIG_EV = evidence_sql("CASE name WHEN 'http2' THEN ['http'] WHEN 'gsm_map' THEN ['map'] ELSE [name] END", "sig")
+ORACLE["ranking_evidence"] = f"WITH {MIX}, {RANK_EV} SELECT * FROM ev"
+ORACLE["signalling_evidence"] = f"WITH {MIX}, {SIG_EV} SELECT * FROM sig"
+DOMAINS = f"""
+combos(ord, need, domain, base) AS (VALUES {_combo_values()}),
+present AS (SELECT capture_id, list(protocol) AS present FROM ev GROUP BY 1),
+tried AS (SELECT p.capture_id, c.ord, c.domain, c.base, unnest(c.need) AS protocol FROM present p JOIN combos c
+    ON len(list_filter(c.need, lambda x: NOT list_contains(p.present, x))) = 0
+  UNION ALL SELECT capture_id, 99, 'legacy-2g3g-gprs', 0.65::DOUBLE, 'gtp' FROM present
+    WHERE list_contains(present, 'gtp') AND list_contains(present, 'udp') AND NOT list_contains(present, 'gtpv2') AND NOT list_contains(present, 'gtpv1')),
+rated AS (SELECT t.capture_id, t.ord, t.domain, min(t.base) * min(CASE WHEN t.protocol NOT IN ({LINKS}) THEN e.factor END) AS score
+  FROM tried t JOIN ev e USING (capture_id, protocol) GROUP BY 1, 2, 3),
+best AS (SELECT capture_id, domain, max(score) AS score, min(ord) AS first_ord FROM rated GROUP BY 1, 2),
+kept AS (SELECT *, count(*) FILTER (WHERE domain <> 'dns-support') OVER (PARTITION BY capture_id) AS others FROM best),
+found AS (SELECT capture_id, domain, round(score, 2) AS score, first_ord, count(*) OVER (PARTITION BY capture_id) AS n FROM kept
+  WHERE score >= 0.35 AND NOT (domain = 'dns-support' AND others > 0)),
+domains AS (SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY score DESC, first_ord) AS rank, domain, score,
+    CASE WHEN n = 1 OR score >= 0.7 THEN 'primary' WHEN score >= 0.4 THEN 'secondary' ELSE 'supporting' END AS role FROM found)"""
+ORACLE["domain_infer"] = f"WITH {MIX}, {RANK_EV}, {DOMAINS} SELECT * FROM domains"
+SIGNALS = """
+roles AS (SELECT s.*, CASE WHEN protocol IN ('ngap', 'nas-5gs', 'http', 'json', 's1ap', 'nas-eps', 'diameter', 'gtpv2', 'sip', 'sdp', 'dns', 'map', 'tcap', 'sccp', 'bssap', 'dtap') THEN 1
+    WHEN protocol IN ('sctp', 'tcp', 'udp') THEN 2 ELSE 3 END AS role,
+  coalesce(map {'ngap': 120, 'nas-5gs': 115, 'http': 105, 'json': 100, 's1ap': 96, 'sip': 94, 'sdp': 92, 'dns': 90, 'nas-eps': 88, 'diameter': 86,
+    'gtpv2': 84, 'map': 76, 'tcap': 74, 'sccp': 72, 'bssap': 68, 'dtap': 64}[protocol], 0) AS priority, d.domain AS primary_domain
+  FROM sig s LEFT JOIN domains d ON d.capture_id = s.capture_id AND d.rank = 1),
+usable AS (SELECT * FROM roles WHERE role = 2 OR (role = 1 AND (source = 'count' OR primary_domain IS NULL OR primary_domain = 'dns-support'
+  OR (primary_domain = '5g-sa-core' AND protocol IN ('ngap', 'nas-5gs', 'http', 'json', 'dns'))
+  OR (primary_domain = '5g-sa-core-sbi' AND protocol IN ('http', 'json', 'dns'))
+  OR (primary_domain = 'lte-eps' AND protocol IN ('s1ap', 'nas-eps', 'diameter', 'gtpv2', 'dns'))
+  OR (primary_domain = 'ims-voice' AND protocol IN ('sip', 'sdp', 'dns'))
+  OR (primary_domain = 'legacy-2g3g' AND protocol IN ('map', 'tcap', 'sccp', 'bssap', 'dtap'))
+  OR (primary_domain = 'legacy-2g3g-gprs' AND protocol IN ('dns')))))"""
+BY = "CASE WHEN source = 'count' THEN 0 ELSE 1 END, packets DESC, factor DESC, priority DESC, protocol"
+ORACLE["dominant_signalling"] = f"""
+WITH {MIX}, {RANK_EV}, {SIG_EV}, {DOMAINS}, {SIGNALS},
+s AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY {BY}) AS place, count(*) FILTER (WHERE factor >= 0.5) OVER (PARTITION BY capture_id) AS strong
+  FROM usable WHERE role = 1),
+chosen AS (SELECT capture_id, protocol, CASE WHEN source = 'count' THEN 'strong' ELSE 'supporting' END AS strength, packets, place FROM s
+  WHERE CASE WHEN strong > 0 THEN factor >= 0.5 ELSE place <= 5 END),
+both_kinds AS (SELECT * FROM chosen UNION ALL SELECT capture_id, protocol, 'supporting', packets, 1000 FROM usable
+  WHERE protocol = 'sctp' AND capture_id IN (SELECT capture_id FROM chosen))
+SELECT * FROM (SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY place) AS rank, protocol, strength, nullif(packets, 0) AS packets FROM both_kinds) WHERE rank <= 10"""
+ORACLE["relevant_signalling"] = f"""
+WITH {MIX}, {RANK_EV}, {SIG_EV}, {DOMAINS}, {SIGNALS}
+SELECT * FROM (SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY role, {BY}) AS rank, protocol FROM usable) WHERE rank <= 12"""
+ORACLE["capture_context"] = f"""
+WITH {MIX}, {SIG_EV}
+SELECT capture_id, coalesce(string_agg(protocol, ',' ORDER BY protocol) FILTER (WHERE protocol IN ('eth', 'ip', 'data', 'gtp')), '') AS link_or_envelope_protocols,
+  coalesce(string_agg(protocol, ',' ORDER BY protocol) FILTER (WHERE protocol IN ('sctp', 'tcp', 'udp')), '') AS transport_support_protocols FROM sig GROUP BY 1"""
+ORACLE["profile_base_scores"] = f"""
+WITH {MIX}, {RANK_EV}, prof(profile, relevant, strong, triggers, weak) AS (VALUES {_profile_values()}),
+uses AS (
+  SELECT profile, protocol, 5.0::DOUBLE AS weight FROM (SELECT profile, unnest(strong) AS protocol FROM prof)
+  UNION ALL SELECT profile, protocol, 2.0 FROM (SELECT profile, strong, unnest(triggers) AS protocol FROM prof) WHERE NOT list_contains(strong, protocol)
+  UNION ALL SELECT profile, protocol, 0.5 FROM (SELECT profile, strong, triggers, unnest(weak) AS protocol FROM prof)
+    WHERE NOT list_contains(strong, protocol) AND NOT list_contains(triggers, protocol)),
+signal AS (SELECT e.capture_id, u.profile, sum(u.weight * e.factor) AS score FROM uses u JOIN ev e USING (protocol)
+  WHERE protocol NOT IN ('ip', 'ipv6', 'tcp', 'udp', 'sctp') GROUP BY 1, 2),
+carried AS (SELECT e.capture_id, p.profile, sum(CASE e.protocol WHEN 'sctp' THEN 0.5 ELSE 0.2 END::DOUBLE) AS bonus FROM prof p JOIN ev e
+  ON e.protocol IN ('sctp', 'tcp', 'udp') AND list_contains(p.relevant, e.protocol) GROUP BY 1, 2)
+SELECT s.capture_id, s.profile, round(s.score + coalesce(c.bonus, 0), 4) AS base FROM signal s LEFT JOIN carried c USING (capture_id, profile)"""
+SHAPE = f"""
+tot AS (SELECT capture_id, CAST(sum(n) AS BIGINT) AS counted, CAST(coalesce(sum(n) FILTER (WHERE name NOT IN ({LINKS})), 0) AS BIGINT) AS signalling FROM pc GROUP BY 1),
+raws AS (SELECT capture_id, list(protocol ORDER BY protocol) AS signals FROM roles WHERE role = 1 GROUP BY 1),
+dom AS (SELECT capture_id, count(*) FILTER (WHERE score >= 0.6) AS high, count(*) FILTER (WHERE score < 0.6) AS medium,
+    list(domain ORDER BY rank) FILTER (WHERE score >= 0.6) AS hs, list(domain ORDER BY rank) FILTER (WHERE score < 0.6) AS ms FROM domains GROUP BY 1),
+shape AS (SELECT capture_id, counted, signalling, CASE
+    WHEN signalling / counted < 0.05 AND signals IS NULL THEN 'transport_only|less than 5% signaling protocol traffic detected'
+    WHEN signalling / counted < 0.05 THEN CASE WHEN high IS NULL THEN 'unknown|' ELSE 'single_domain|' END
+      || 'decoded top protocols are coarse, but raw signaling hints are present: ' || array_to_string(signals[1:4], ', ')
+    WHEN high IS NULL THEN 'unknown|no domain signal strong enough to classify'
+    WHEN high = 1 AND medium = 0 THEN 'single_domain|strong ' || hs[1] || ' signal, no competing domain'
+    WHEN high >= 2 THEN 'mixed_domain|co-dominant domains: ' || array_to_string(hs[1:3], ', ')
+    WHEN high = 1 THEN 'mixed_domain|primary domain ' || hs[1] || '; secondary signals: ' || array_to_string(ms[1:2], ', ')
+    WHEN medium = 1 THEN 'single_domain|moderate ' || ms[1] || ' signal'
+    ELSE 'mixed_domain|mixed moderate signals: ' || array_to_string(ms[1:3], ', ') END AS s
+  FROM tot LEFT JOIN raws USING (capture_id) LEFT JOIN dom USING (capture_id))"""
+ORACLE["trace_shape"] = f"""
+WITH {MIX}, {RANK_EV}, {SIG_EV}, {DOMAINS}, {SIGNALS}, {SHAPE}
+SELECT capture_id, split_part(s, '|', 1) AS trace_shape, split_part(s, '|', 2) AS why, signalling, counted FROM shape"""
+ORACLE["naming_evidence"] = f"""
+WITH {MIX},
+n AS (SELECT capture_id, bool_or(name LIKE '%3gppnetwork.org%') AS net, bool_or(name LIKE '%pcscf%') AS pcscf, bool_or(name LIKE '%3gpp%') AS ctx
+  FROM mix WHERE name IS NOT NULL GROUP BY 1)
+SELECT capture_id, CASE WHEN net THEN 3 ELSE 0 END AS strong_names, pcscf::INT + ctx::INT AS supporting_names,
+  CASE WHEN net THEN 'DNS trace matches telecom core naming — APN/realm/core service resolution support traffic; 3gppnetwork.org naming detected;'
+    || ' APN/EPC MCC/MNC naming pattern detected; MCC/MNC operator naming pattern detected' || CASE WHEN pcscf THEN '; P-CSCF IMS host naming' ELSE '' END || '; 3GPP naming context'
+  ELSE '' END AS naming_reasons FROM n"""
+ORACLE["discovery_union"] = pkt("""
+SELECT capture_id, 'ip' AS protocol, count(*) AS packets, min(frame_no) AS first_frame FROM pkt GROUP BY 1""")
