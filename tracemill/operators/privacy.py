@@ -327,3 +327,64 @@ def canonical_rollup(classified: DataFrame) -> DataFrame:
         .groupBy("canonical_class")
         .agg(F.sum("n").alias("leaves"))
     )
+
+
+# ------------------------------------------------------------------ whole packets
+PACKET_TEXTS = {
+    "time_epoch": "time_epoch",
+    "top_protocol": "top_protocol",
+    **{f"{side}.{part}": f"{side}.{part}" for side in ("src", "dst") for part in ("ip", "hostname", "alias", "role", "site")},
+    "transport.proto": "transport.proto",
+    "transport.stream": "transport.stream",
+    "transport.sctp_stream": "transport.sctp_stream",
+}
+PACKET_LISTS = {"frame_protocols": "frame_protocols", "transport.notes": "transport.notes", "anomalies": "anomalies"}
+
+
+def protect_packets(
+    packets: DataFrame, modes: dict[str, str], numbering: Numbering | None = None, key: Column | None = None
+) -> DataFrame:
+    """Protect every text of normalised packets: addresses, names, labels, times, notes and message fields.
+
+    ``src`` and ``dst`` are resolved endpoints with ``labels``.  Message fields have the path
+    ``message.fields.<path>``, as the rules expect.
+    """
+    text = lambda path, value: f"named_struct('path', '{path}', 'value', {value}, 'is_text', true)"
+    transport = packets.schema["transport"].dataType.fieldNames()
+    kept = lambda path: not path.startswith("transport.") or path.split(".")[1] in transport
+    texts = ", ".join(text(path, col) for path, col in PACKET_TEXTS.items() if kept(path))
+    lists = ", ".join(f"transform(coalesce({col}, array()), v -> {text(path, 'v')})" for path, col in PACKET_LISTS.items() if kept(path))
+    labels = ", ".join(
+        f"transform(map_entries(coalesce({side}.labels, cast(map() as map<string,string>))),"
+        f" e -> named_struct('path', concat('{side}.labels.', e.key), 'value', e.value, 'is_text', true))"
+        for side in ("src", "dst")
+    )
+    rows = packets.withColumn("_texts", F.expr(f"filter(concat(array({texts}), {lists}, {labels}), l -> l.value is not null)"))
+    rows = protect_leaf_lists(rows, "_texts", modes, "top_protocol", "", numbering, key)
+    rows = protect_leaf_lists(rows, "fields", modes, "top_protocol", "message.fields.", numbering, key)
+    one = lambda path: f"get(filter(_texts, l -> l.path = '{path}'), 0).value"
+    many = lambda path: f"transform(filter(_texts, l -> l.path = '{path}'), l -> l.value)"
+
+    def endpoint(side: str) -> str:
+        parts = ", ".join(f"{one(f'{side}.{part}')} as {part}" for part in ("ip", "hostname", "alias", "role", "site"))
+        start = f"{side}.labels."
+        entries = f"transform(filter(_texts, l -> startswith(l.path, '{start}')), l -> struct(substr(l.path, {len(start) + 1}) as key, l.value as value))"
+        return f"struct({parts}, map_from_entries({entries}) as labels)"
+
+    carried = ", ".join(
+        f"{one(f'transport.{f}')} as {f}" if f in ("proto", "stream", "sctp_stream") else f"{many('transport.notes')} as notes" if f == "notes" else f"transport.{f} as {f}"
+        for f in transport
+    )
+    # the classes above read the original protocol, so it is replaced last
+    out = {
+        "src": endpoint("src"),
+        "dst": endpoint("dst"),
+        "transport": f"struct({carried})",
+        "frame_protocols": many("frame_protocols"),
+        "anomalies": many("anomalies"),
+        "time_epoch": one("time_epoch"),
+        "top_protocol": one("top_protocol"),
+    }
+    return rows.select(
+        *[F.expr(out[c]).alias(c) if c in out else F.col(c) for c in packets.columns]
+    )

@@ -539,3 +539,68 @@ SELECT capture_id, CASE WHEN net THEN 3 ELSE 0 END AS strong_names, pcscf::INT +
   ELSE '' END AS naming_reasons FROM n"""
 ORACLE["discovery_union"] = pkt("""
 SELECT capture_id, 'ip' AS protocol, count(*) AS packets, min(frame_no) AS first_frame FROM pkt GROUP BY 1""")
+
+
+# ------------------------------------------------------------------ summaries and artifacts
+ORACLE["findings"] = pkt(f"""
+, {DIAMETER}, {GTP}, found AS ({ALL_ANOMALIES}), layers AS (SELECT capture_id, layer, count(*) AS n FROM found GROUP BY 1, 2),
+top AS (SELECT capture_id, top_protocol, count(*) AS n, row_number() OVER (PARTITION BY capture_id ORDER BY count(*) DESC, min(frame_no)) AS rn FROM pkt GROUP BY 1, 2),
+g AS (SELECT *, time_rel_ms - lag(time_rel_ms) OVER (PARTITION BY capture_id ORDER BY frame_no) AS gap FROM pkt),
+r AS (SELECT capture_id, gap, row_number() OVER (PARTITION BY capture_id ORDER BY gap) AS rn, count(*) OVER (PARTITION BY capture_id) AS n FROM g WHERE gap IS NOT NULL),
+i AS (SELECT *, sum(CASE WHEN gap BETWEEN 0 AND 120000 THEN 0 ELSE 1 END) OVER (PARTITION BY capture_id ORDER BY frame_no) AS run FROM g),
+b AS (SELECT capture_id, run FROM i GROUP BY 1, 2 HAVING count(*) >= 5)
+SELECT capture_id, 0 AS ord, sum(n) || ' anomalies detected (' || string_agg(layer || ': ' || n, ', ' ORDER BY layer) || ')' AS text FROM layers GROUP BY 1
+UNION ALL SELECT capture_id, rn, top_protocol || ' accounts for ' || n || ' normalized packets' FROM top WHERE rn <= 3
+UNION ALL SELECT capture_id, 10, 'High p95 inter-packet delay: ' || regexp_replace(CAST(CAST(round(gap, 3) AS DECIMAL(20, 3)) AS VARCHAR), '0{{1,2}}$', '')
+  || ' ms — possible congestion or gaps' FROM r WHERE rn = CAST(floor((n - 1) * 0.95::DOUBLE) AS BIGINT) + 1 AND gap > 500
+UNION ALL SELECT capture_id, 11, count(*) || ' burst period(s) detected (≥5 packets within 1 s)' FROM b GROUP BY 1""")
+ORACLE["capture_summary"] = pkt(f"""
+, {DIAMETER}, {GTP}, found AS ({ALL_ANOMALIES}), layers AS (SELECT capture_id, layer, count(*) AS n FROM found GROUP BY 1, 2),
+win AS (SELECT * FROM pkt QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY frame_no) <= 500),
+g AS (SELECT *, time_rel_ms - lag(time_rel_ms) OVER (PARTITION BY capture_id ORDER BY frame_no) AS gap FROM win),
+r AS (SELECT capture_id, gap, row_number() OVER (PARTITION BY capture_id ORDER BY gap) AS rn, count(*) OVER (PARTITION BY capture_id) AS n FROM g WHERE gap IS NOT NULL),
+slow AS (SELECT capture_id FROM r WHERE rn = CAST(floor((n - 1) * 0.95::DOUBLE) AS BIGINT) + 1 AND gap > 500),
+i AS (SELECT *, sum(CASE WHEN gap BETWEEN 0 AND 120000 THEN 0 ELSE 1 END) OVER (PARTITION BY capture_id ORDER BY frame_no) AS run FROM g),
+b AS (SELECT DISTINCT capture_id FROM (SELECT capture_id, run FROM i GROUP BY 1, 2 HAVING count(*) >= 5)),
+tp AS (SELECT capture_id, string_agg(p || '=' || n, ',' ORDER BY p) AS top_protocols, count(*) AS kinds, sum(n) AS timed FROM (SELECT capture_id, top_protocol AS p, count(*) AS n FROM win GROUP BY 1, 2) GROUP BY 1),
+tr AS (SELECT capture_id, string_agg(p || '=' || n, ',' ORDER BY p) AS transport, sum(n) AS total FROM (SELECT capture_id, transport AS p, count(*) AS n FROM pkt GROUP BY 1, 2) GROUP BY 1),
+la AS (SELECT capture_id, string_agg(layer || '=' || n, ',' ORDER BY layer) AS layers FROM layers GROUP BY 1),
+cv AS (SELECT capture_id, least(count(*), 25) AS conversations FROM ({CONVERSATIONS}) GROUP BY 1)
+SELECT capture_id, CAST(total AS BIGINT) AS total_packets, top_protocols, transport, layers, conversations, total > 500 AS truncated,
+  1 + least(kinds, 3) + (capture_id IN (SELECT capture_id FROM slow))::INT + (capture_id IN (SELECT capture_id FROM b))::INT AS findings, 13 AS modes, CAST(timed AS BIGINT) AS timed
+FROM tp JOIN tr USING (capture_id) JOIN la USING (capture_id) JOIN cv USING (capture_id)""")
+ORACLE["quality_warnings"] = pkt("""
+, n AS (SELECT capture_id, count(*) AS n FROM pkt GROUP BY 1)
+SELECT capture_id, 'detail_truncated' AS code, format('detail artifact contains 500 of {:,} exported packets.', n) AS message FROM n WHERE n > 500
+UNION ALL SELECT capture_id, 'no_relevant_protocols_detected', 'no relevant protocols were detected in the inspected capture.' FROM n
+UNION ALL SELECT capture_id, 'pseudonym_mapping_created', 'a pseudonym mapping sidecar was created and should be handled separately.' FROM n""")
+ORACLE["message_excerpt"] = """
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id AS capture_id, least(min(n), 3) AS included_messages, min(n) AS available_messages, min(n) > 3 AS detail_excerpt_truncated,
+  '[' || string_agg('{"packet_no":' || turn || ',"role":"' || role || '"}', ',' ORDER BY turn) FILTER (WHERE rn <= 3) || ']' AS messages FROM t GROUP BY 1"""
+ORACLE["artifact_names"] = """
+SELECT event_id, 'analyze_' || event_type || '_' || user_id || '_.._k_' || CAST(json_extract_string(props, '$.k') AS INTEGER) || '_' ||
+  CASE WHEN event_id % 3 = 0 THEN 'start_' || event_id ELSE strftime(ts, '%Y%m%d_%H%M%S') END AS prefix FROM events"""
+ORACLE["next_versions"] = """
+WITH v AS (SELECT DISTINCT 'analyze_u' || user_id AS artifact_prefix, 1 + (event_id * 7) % 23 AS version FROM events WHERE event_type <> 'error'),
+free AS (SELECT artifact_prefix, unnest(range(1, 25)) AS version FROM (SELECT DISTINCT artifact_prefix FROM v))
+SELECT artifact_prefix, min(version) AS next_version FROM free ANTI JOIN v USING (artifact_prefix, version) GROUP BY 1"""
+ORACLE["status_counts"] = pkt("""
+, s AS (SELECT capture_id, stream, count(*) AS n, count(*) FILTER (WHERE tcp_retransmission) AS bad FROM pkt GROUP BY 1, 2),
+c AS (SELECT CASE WHEN bad > 5 THEN 'failed' WHEN n < 50 THEN 'skipped' ELSE 'ok' END AS status, count(*) AS captures FROM s GROUP BY 1)
+SELECT status, captures, CAST(sum(captures) OVER () AS BIGINT) AS total FROM c""")
+ORACLE["protected_packets"] = packets("""
+SELECT capture_id, packet_no, top_protocol, '[redacted]' AS time_epoch, '[redacted]' AS src_ip, '[redacted]' AS src_name, 'core' AS src_alias,
+  '[redacted]' AS dst_zone, CAST(user_id AS VARCHAR) AS stream,
+  CASE event_type
+    WHEN 'view' THEN concat_ws(';', 'diameter.cmd.code=' || CASE WHEN k < 50 THEN '316' ELSE '318' END, 'diameter.flags=' || CASE WHEN answer THEN '0x40' ELSE '0xc0' END,
+      CASE WHEN k <> 7 THEN 'diameter.flags.request=' || CASE WHEN answer THEN '0' ELSE '1' END END, 'diameter.hopbyhopid=0x' || ((k // 2) % 4),
+      CASE WHEN answer THEN 'diameter.Result-Code=' || code END, 'diameter.avp=aa', 'diameter.avp=bb', 'diameter.avp_tree.diameter.Session-Id=node;' || k,
+      'diameter.avp_tree.e212.imsi=26201XXXXXXXXXX (Germany)')
+    WHEN 'click' THEN concat_ws(';', 'gtpv2.message_type=' || (32 + k % 4), 'gtpv2.seq=' || ((k // 4) % 3), 'gtpv2.apn=[redacted]',
+      CASE k % 8 WHEN 1 THEN 'Cause : .gtpv2.cause=16' WHEN 5 THEN 'Cause : .gtpv2.cause=0x49' END)
+    WHEN 'error' THEN ''
+    WHEN 'purchase' THEN concat_ws(';', CASE WHEN NOT answer THEN 'http2.headers.method=POST' END, CASE WHEN NOT answer THEN 'http2.headers.path=/nsmf/' || (k % 5) END,
+      CASE WHEN answer THEN 'http2.headers.status=' || http END, 'http2.streamid=' || (k % 6))
+    ELSE 's1ap.procedureCode=' || (k % 50) || ';s1ap.nas_pdu_tree.nas_eps.message_type=' || CASE k % 4 WHEN 0 THEN '0x41' WHEN 1 THEN '0x42' WHEN 2 THEN '67' ELSE '0x99' END
+  END AS fields FROM pk""")

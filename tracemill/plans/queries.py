@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.operators import anomalies as an
-from tracemill.operators import classify, decode, domains, enrichment, flow, pairing, ranking, selection, stats, timing
+from tracemill.operators import classify, decode, domains, enrichment, flow, pairing, ranking, selection, stats, summary, timing
 from tracemill.operators import evidence as evidence_ops
 from tracemill.operators import endpoints as ep
 from tracemill.operators import privacy as pv
@@ -645,3 +645,96 @@ def discovery_union(spark, sf_dir):
 
     df = classify.with_top_protocol(views.packet_index(spark, sf_dir), discovery_profile(builtin_profiles().values()))
     return stats.protocol_counts(df)
+
+
+# ------------------------------------------------------------------ summaries and artifacts
+@query
+def findings(spark, sf_dir):
+    df = lte_index(spark, sf_dir)
+    layers = an.anomaly_counts(an.all_anomalies(df, "lte-core"))
+    gaps = timing.gap_stats(df, ["capture_id"])
+    runs = timing.bursts(df, ["capture_id"], max_gap=BURST_GAP)
+    return summary.findings(layers, stats.protocol_counts(df), gaps, runs)
+
+
+@query
+def capture_summary(spark, sf_dir):
+    df = lte_index(spark, sf_dir)
+    profile = builtin_profiles()["lte-core"]
+    chosen = selection.first_packets(df, FIRST_N)
+    counts = stats.protocol_counts(chosen)
+    layers = an.anomaly_counts(an.all_anomalies(df, "lte-core"))
+    gaps, runs = timing.gap_stats(chosen, ["capture_id"]), timing.bursts(chosen, ["capture_id"], max_gap=BURST_GAP)
+    rows = summary.summary_rows(
+        stats.capture_meta(df, profile.relevant), stats.top_conversations(stats.conversations(df)), counts, stats.transport_counts(df),
+        layers, summary.findings(layers, counts, gaps, runs), selection.coverage(df, chosen), gaps, profile.name, PRIVACY_PROFILES["share"],
+    )
+    pairs = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return rows.select(
+        "capture_id", "packet_message_counts.total_packets", pairs("packet_message_counts.top_protocols").alias("top_protocols"),
+        pairs("packet_message_counts.transport").alias("transport"), pairs("anomaly_counts_by_layer").alias("layers"),
+        F.size("conversations").alias("conversations"), F.col("coverage.detail_truncated").alias("truncated"),
+        F.size("deterministic_findings").alias("findings"), F.size("privacy_modes").alias("modes"),
+        F.col("timing_stats.packet_count").alias("timed"),
+    )
+
+
+@query
+def quality_warnings(spark, sf_dir):
+    df = lte_index(spark, sf_dir)
+    cover = selection.coverage(df, selection.first_packets(df, FIRST_N))
+    relevant = stats.sorted_lists(stats.relevant_protocols(stats.protocol_counts(df), ["sip"]), "protocol", "relevant_protocols")
+    rows = cover.select("capture_id", F.struct("detail_truncated", "truncation_note").alias("coverage")).join(relevant, "capture_id", "left")
+    return summary.quality_warnings(rows, pseudonyms=True)
+
+
+@query
+def message_excerpt(spark, sf_dir):
+    turns = views.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("capture_id"), F.col("turn").alias("packet_no"), "role")
+    return summary.excerpt(turns, 3)
+
+
+@query
+def artifact_names(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "events").selectExpr(
+        "event_id", "concat(' ', event_type, ' (', user_id, ')..', props, '-') as stem",
+        "if(event_id % 3 = 0, null, if(event_id % 3 = 1, cast(unix_seconds(cast(ts as timestamp)) as string), concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), '.123456789Z'))) as first_seen",
+    )
+    return rows.selectExpr("event_id", f"{summary.artifact_prefix('analyze', 'stem', 'first_seen', 'event_id')} as prefix")
+
+
+@query
+def next_versions(spark, sf_dir):
+    names = views.table(spark, sf_dir, "events").selectExpr(
+        "concat('analyze_u', user_id, '_V_', 1 + (event_id * 7) % 23, if(event_id % 2 = 0, '_detail', ''), if(event_type = 'error', '.txt', '.json')) as name"
+    )
+    return summary.next_versions(summary.parse_artifacts(names))
+
+
+@query
+def batch_overview(spark, sf_dir):
+    events = cut_lineage(all_events(spark, sf_dir))
+    packets = flow.flow_packets(flow_input(spark, sf_dir))
+    linked = pairing.write_back(events, pairing.pair_events(events))
+    return flow.overview(linked, flow.nodes(packets, "lte-core"), flow.phases(linked, "lte-core"))
+
+
+@query
+def status_counts(spark, sf_dir):
+    df = views.packet_index(spark, sf_dir)
+    per_stream = df.groupBy("capture_id", "stream").agg(F.count("*").alias("n"), F.count_if("tcp_retransmission").alias("bad"))
+    return summary.status_counts(per_stream.selectExpr("case when bad > 5 then 'failed' when n < 50 then 'skipped' else 'ok' end as status"))
+
+
+@query
+def protected_packets(spark, sf_dir):
+    """Every packet with its texts protected: identities hashed away, telephone-like numbers masked, uris removed."""
+    end = lambda s: F.expr(f"struct({s}_ip as ip, concat('node-', {s}_ip) as hostname, 'core' as alias, 'mme' as role, cast(null as string) as site, map('zone', {s}_ip) as labels)")
+    packets = normal_packets(spark, sf_dir).withColumn("src", end("src")).withColumn("dst", end("dst"))
+    modes = {"ip": "mask", "payload_text": "mask", "imsi": "keep_mcc_mnc_mask_msin", "hostname": "remove", "apn_dnn": "mask"}
+    rows = pv.protect_packets(packets, modes)
+    return rows.select(
+        "capture_id", "packet_no", "top_protocol", "time_epoch", F.col("src.ip").alias("src_ip"), F.col("src.hostname").alias("src_name"),
+        F.col("src.alias").alias("src_alias"), F.col("dst.labels")["zone"].alias("dst_zone"), "transport.stream",
+        F.expr("array_join(transform(fields, l -> concat(l.path, '=', l.value)), ';')").alias("fields"),
+    )
