@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import tables
+from tracemill.functions.sqltext import bound
 from tracemill.functions.pseudonym import DIGEST_BYTES, blake_hex, blake_hex_list
 
 EXEMPT_PATHS = ("privacy.modes", "privacy_modes")
@@ -57,8 +58,9 @@ def matches(value: str, pattern: str) -> str:
     return f"{value} rlike r'{VALUE_PATTERNS[pattern]}'"
 
 
-def _any_part(path: str, parts: str) -> str:
-    return " or ".join(f"contains(lower({path}), '{p}')" for p in parts.split())
+def _any_part(parts: str) -> str:
+    """SQL test of the lower-cased path ``q``."""
+    return " or ".join(f"contains(q, '{p}')" for p in parts.split())
 
 
 def data_class(path: str, value: str, protocol: str = "''", is_text: str = "true") -> str:
@@ -67,18 +69,19 @@ def data_class(path: str, value: str, protocol: str = "''", is_text: str = "true
     Rules bound to a protocol come first, then the general ones (path part or value pattern),
     then the free-text rule, which looks at text only.
     """
-    exempt = " or ".join(f"startswith(lower({path}), '{p}')" for p in EXEMPT_PATHS)
+    exempt = " or ".join(f"startswith(q, '{p}')" for p in EXEMPT_PATHS)
     cases = [f"when {exempt} then null"]
     for kind, protocols, parts in tables.PROTOCOL_PRIVACY_RULES:
         listed = ", ".join(f"'{p}'" for p in protocols.split())
-        cases.append(f"when lower({protocol}) in ({listed}) and ({_any_part(path, parts)}) then '{kind}'")
+        cases.append(f"when lower({protocol}) in ({listed}) and ({_any_part(parts)}) then '{kind}'")
     for kind, parts, pattern in tables.GENERIC_PRIVACY_RULES:
-        test = _any_part(path, parts) + (f" or {matches(value, pattern)}" if pattern else "")
+        test = _any_part(parts) + (f" or {matches(value, pattern)}" if pattern else "")
         cases.append(f"when {test} then '{kind}'")
-    markers = " or ".join(f"contains(lower({value}), '{m}')" for m in tables.FREE_TEXT_MARKERS)
-    free = " or ".join([markers] + [matches(value, p) for p in ("email", "uri", "token", "imsi", "msisdn")])
+    markers = " or ".join(f"contains(lowered, '{m}')" for m in tables.FREE_TEXT_MARKERS)
+    # e-mail, uri and token values were caught by their general rules already
+    free = " or ".join([f"({bound(f'lower({value})', 'lowered', markers)})", matches(value, "imsi"), matches(value, "msisdn")])
     cases.append(f"when {is_text} and ({free}) then 'payload_text'")
-    return "case " + " ".join(cases) + " end"
+    return bound(f"lower({path})", "q", "case " + " ".join(cases) + " end")
 
 
 # ------------------------------------------------------------------ protection
