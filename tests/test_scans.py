@@ -6,7 +6,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.functions.ordering import first_rows, islands, neighbour, ordinal
+from tracemill.functions.ordering import first_rows, islands, neighbour, ordinal, sorted_place
 from tracemill.operators import timing
 from tracemill.operators.pairing import fifo_pairs
 
@@ -113,3 +113,13 @@ def test_unordered_times_keep_export_order(spark):
     (row,) = timing.gap_stats(df, ["capture_id"]).collect()
     assert (row.gap_min, row.gap_max, row.gap_mean, row.gap_p95, row.duration_ms) == (-50.0, 100.0, 50.0, 100.0, 150.0)
     assert timing.bursts(df, ["capture_id"], min_size=2).count() == 2
+
+
+def test_sorted_place(spark):
+    rng = random.Random(9)
+    data = [(rng.choice("ab"), f"x{rng.randint(0, 50):02d}", i) for i in range(500)]
+    df = spark.createDataFrame(data, "k string, label string, id int").repartition(7)
+    got = {(r.k, r.id): r.p for r in sorted_place(df, ["k"], ["label", "id"], "p").collect()}
+    for key in "ab":
+        wanted = sorted((label, i) for k, label, i in data if k == key)
+        assert all(got[key, i] == place for place, (_, i) in enumerate(wanted))

@@ -19,6 +19,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.session import cut_lineage
+
 BLOCK_ROWS = 1 << 18
 BLOCK = "_block"
 TASK_LIMIT = 1000  # up to here Spark limits a row_number filter inside each task
@@ -128,6 +130,22 @@ def first_rows(
     )
 
 
+def sorted_place(df: DataFrame, keys: Sequence[str], ordering: Sequence[str], out: str) -> DataFrame:
+    """Add the 0-based place of each row in the order of any columns, per key.
+
+    Rows are range-partitioned and sorted, which spreads a hot key over many tasks; the sorted rows
+    are written once, since their partition numbers must not change between two reads.
+    """
+    order = [*keys, *ordering]
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cut_lineage(rows.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
+    parts = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    joined = rows.join(parts, [*keys, "_part"])
+    return joined.withColumn(out, F.col("_before") + F.col("_row") - F.col("_first")).drop("_part", "_row", "_first", "_before")
+
+
 def islands(
     df: DataFrame,
     keys: Sequence[str],

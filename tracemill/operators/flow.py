@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import labels, tables
 from tracemill.functions.sqltext import select_once
-from tracemill.functions.ordering import first_rows, islands
+from tracemill.functions.ordering import first_rows, islands, sorted_place
 from tracemill.operators.pairing import pair_events, write_back
 from tracemill.session import cut_lineage
 
@@ -135,8 +135,11 @@ def phases(events: DataFrame, profile: str = "", block_rows: int | None = None)
     )
 
 
-def nodes(packets: DataFrame, profile: str = "") -> DataFrame:
-    """Distinct endpoints with the attributes they had first, in lane order."""
+def nodes(packets: DataFrame, profile: str = "", few: bool = False) -> DataFrame:
+    """Distinct endpoints with the attributes they had first, in lane order.
+
+    ``few`` says that the packets are those of a capped flow, whose nodes one window can number.
+    """
     seen = packets.selectExpr(
         "capture_id",
         "packet_no",
@@ -157,8 +160,10 @@ def nodes(packets: DataFrame, profile: str = "") -> DataFrame:
         "capture_id", "id", "_f.label as label", "_f.role as role", "'endpoint' as family", "_f.pseudonymized as pseudonymized",
         f"coalesce({priority}[lower(_f.role)], {tables.OTHER_LANE}) as lane_priority",
     )
-    lane = Window.partitionBy("capture_id").orderBy("lane_priority", F.coalesce("label", F.lit("")), "id")
-    return rows.withColumn("lane_index", F.row_number().over(lane) - 1)
+    order = ["lane_priority", "label", "id"]
+    if few:
+        return rows.withColumn("lane_index", F.row_number().over(Window.partitionBy("capture_id").orderBy(*order)) - 1)
+    return sorted_place(rows, ["capture_id"], order, "lane_index")
 
 
 def totals(packets: DataFrame, shown: DataFrame, events: DataFrame, max_events: int = tables.FLOW_EVENT_CAP) -> DataFrame:

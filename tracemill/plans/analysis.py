@@ -144,7 +144,7 @@ def analyze(index: DataFrame, packets: DataFrame, options: Options) -> dict[str,
         "leaks": privacy.leak_audit(classified, options.modes),
         "flow_events": paired,
         "flow_refs": flow.event_refs(flow.numbered(slim, options.collapse_repeats)),
-        "flow_nodes": flow.nodes(slim, profile.name),
+        "flow_nodes": flow.nodes(slim, profile.name, few=options.flow_events > 0),
         "flow_phases": flow.phases(paired, profile.name),
         "flow_totals": flow.totals(detail, shown, paired, options.flow_events),
         "warnings": summary.quality_warnings(summary_rows),

@@ -278,7 +278,8 @@ def element_overview(spark, sf_dir):
 # ------------------------------------------------------------------ privacy
 def text_leaves(spark, sf_dir):
     """Every text of the tables as a leaf with a path."""
-    part = lambda name, key, path, value: views.table(spark, sf_dir, name).selectExpr(
+    read = lambda name, key: views.spread(views.table(spark, sf_dir, name), key) if name in ("documents", "pages") else views.table(spark, sf_dir, name)
+    part = lambda name, key, path, value: read(name, key).selectExpr(
         f"'{name}' as capture_id", f"cast({key} as string) as leaf", f"{path} as path", f"{value} as value"
     )
     return (

@@ -25,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when the input has fewer splits than that, as a single small file has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def by_type(values: dict) -> str:
     """SQL case over the event type."""
     show = lambda v: str(v) if isinstance(v, int) else f"'{v}'"
@@ -204,7 +210,7 @@ def trace_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         ),
     )
-    return trace_base(spark, sf_dir).select("capture_id", F.expr(layers).alias("layers"))
+    return spread(trace_base(spark, sf_dir), "frame_no").select("capture_id", F.expr(layers).alias("layers"))
 
 
 # ------------------------------------------------------------------ lookup tables

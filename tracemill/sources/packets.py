@@ -46,7 +46,7 @@ def _open_level(level: int) -> str:
         places = f"i.top as top, {name} as second, concat(i.path, '.', {name}) as path"
     else:
         places = f"i.top as top, coalesce(i.second, {name}) as second, concat(i.path, '.', {name}) as path"
-    repeated = "size(filter(m, o -> o.key = e.key)) > 1"
+    repeated = "dup and size(filter(m, o -> o.key = e.key)) > 1"
     member = (
         f"struct(array_append(i.pos, n) as pos, {places}, {name} as key, i.depth + 1 as depth,"
         f" if(i.depth = 1, i.in_list, i.top_list) as top_list, i.under_list or i.in_list as under_list,"
@@ -56,7 +56,10 @@ def _open_level(level: int) -> str:
         "struct(array_append(i.pos, n) as pos, i.top as top, i.second as second, i.path as path, i.key as key, i.depth as depth,"
         " i.top_list as top_list, i.under_list as under_list, true as in_list, v as value)"
     )
-    members = bound("map_entries(from_json(i.value, 'map<string,string>'))", "m", f"transform(m, (e, n) -> {member})")
+    # only an object with a repeated key pays for finding which one it is
+    has_repeats = "size(array_distinct(transform(m, o -> o.key))) < size(m)"
+    opened = bound(has_repeats, "dup", f"transform(m, (e, n) -> {member})")
+    members = bound("map_entries(from_json(i.value, 'map<string,string>'))", "m", opened)
     opened = (
         "flatten(transform(its, i -> case"
         f" when startswith(i.value, '{{') then {members}"
