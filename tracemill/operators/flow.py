@@ -163,7 +163,8 @@ def nodes(packets: DataFrame, profile: str = "", few: bool = False) -> DataFrame
     order = ["lane_priority", "label", "id"]
     if few:
         return rows.withColumn("lane_index", F.row_number().over(Window.partitionBy("capture_id").orderBy(*order)) - 1)
-    return sorted_place(rows, ["capture_id"], order, "lane_index")
+    # written first, because range partitioning reads its input twice
+    return sorted_place(cut_lineage(rows), ["capture_id"], order, "lane_index")
 
 
 def totals(packets: DataFrame, shown: DataFrame, events: DataFrame, max_events: int = tables.FLOW_EVENT_CAP) -> DataFrame:
