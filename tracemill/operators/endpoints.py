@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tracemill.functions.addresses import address_bits, address_width, network_length, network_prefix
 from tracemill.functions.convert import lookup
 from tracemill.functions.tables import ELEMENT_TYPES, HOSTNAME_ELEMENTS, PORT_ELEMENTS, PORT_ROLES
+from tracemill.session import cut_lineage
 
 ENTRY = "struct<hostname:string,alias:string,role:string,site:string,labels:map<string,string>,override:string>"
 KNOWN_PORTS = sorted(set(PORT_ROLES) | set(PORT_ELEMENTS))
@@ -147,7 +148,8 @@ def resolve(endpoints: DataFrame, lookups: Lookups, override: Column | None = No
     from the service port.
     """
     none_entry = F.lit(None).cast(ENTRY)
-    rows = endpoints.select("endpoint", "endpoint.*").distinct()
+    # few rows beside the packets, read once per lookup: written once
+    rows = cut_lineage(endpoints.select("endpoint", "endpoint.*").distinct())
     addresses = rows.where("ip is not null").select("ip").distinct()
 
     by_ip, by_host, networks = _last_by("ip", lookups), _last_by("hostname", lookups), _networks(lookups)
@@ -281,7 +283,7 @@ def attach(df: DataFrame, lookups: Lookups, src: Column, dst: Column) -> DataFra
     """Add resolved ``src`` and ``dst`` structs to packets."""
     rows = df.withColumn("_src", src).withColumn("_dst", dst)
     distinct = rows.select(F.explode(F.array("_src", "_dst")).alias("endpoint")).distinct()
-    resolved = resolve(distinct, lookups)
+    resolved = cut_lineage(resolve(distinct, lookups))
     rows = rows.withColumn("_src_key", endpoint_key(F.col("_src"))).withColumn("_dst_key", endpoint_key(F.col("_dst")))
     for side in ("src", "dst"):
         named = resolved.select(F.col("endpoint_key").alias(f"_{side}_key"), F.col("resolved").alias(side))

@@ -82,7 +82,8 @@ def discover(index: DataFrame, options: Options, profiles: dict[str, Profile] |
 
 def detail_packets(packets: DataFrame, options: Options) -> DataFrame:
     """Selected full packets ``(capture_id, layers)`` as normalised, named and reduced rows; malformed ones stay marked."""
-    rows = decode.normalise(with_leaves(packets), options.profile, options.time_scale)
+    # decoding is the costly part and is read for the endpoints and again for the packets
+    rows = cut_lineage(decode.normalise(with_leaves(packets), options.profile, options.time_scale))
     side = lambda s: endpoint(F.col(f"{s}_ip"), F.col(f"transport.{s}_port"), F.col(f"{s}_point_code"))
     return attach(rows, options.lookups, side("src"), side("dst"))
 
