@@ -1,18 +1,21 @@
 """Run every registered query beside its SQL and compare the rows.
 
-``python tests/compare.py SF_DIR [name ...]`` prints one line per query.
+``python tests/compare.py SF_DIR [name ...]`` prints one line per query.  Floats must be equal in
+their printed form; set ``DIGITS`` to compare fewer digits.
 """
 
 from __future__ import annotations
 
 import decimal
 import math
+import os
 import pathlib
 import sys
 import time
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent.parent))
 
+DIGITS = int(os.environ.get("DIGITS", "17"))
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -34,7 +37,7 @@ def plain(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return float(f"{value:.9g}")
+        return float(f"{value:.{DIGITS}g}")
     if isinstance(value, bool):
         return value
     if isinstance(value, list):

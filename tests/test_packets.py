@@ -142,3 +142,14 @@ def test_read_packet_files(spark, tmp_path, array):
     df = ps.with_leaves(ps.read_packets(spark, str(tmp_path), json_array=array))
     got = sorted((r.capture_id, r.n) for r in df.selectExpr("capture_id", f"{decode.field('frame.number')} as n").collect())
     assert got == [("cap", "1"), ("cap", "2")]
+
+
+def test_out_of_range_numbers_become_null(spark):
+    rows = decode.normalise(opened(
+        spark,
+        frame(1, "eth:ip:tcp:app", tcp={"tcp.srcport": "99999999999", "tcp.dstport": "1"}, app={"gtpv2.message_type": "1e40", "diameter.cmd.code": "9" * 30}),
+    ), Profile("p", ["app"], ["app"]))
+    (row,) = labels.with_labels(labels.with_message_fields(rows)).select("transport.src_port", "transport.dst_port", "message_name").collect()
+    assert tuple(row) == (None, 1, "APP")
+    times = spark.createDataFrame([("9" * 30,), ("1712390000.5",), ("x",)], "t string").selectExpr(f"{labels.epoch_time('t')} as e").collect()
+    assert times[0].e is None and times[1].e is not None and times[2].e is None

@@ -47,7 +47,7 @@ def any_base_int(col: Column) -> Column:
         .when(text.rlike("^0b[01]{1,62}$"), F.conv(body, 2, 10).try_cast("bigint"))
         .when(text.rlike("^0o[0-7]{1,20}$"), F.conv(body, 8, 10).try_cast("bigint"))
         .when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
-        .when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"), text.try_cast("double").cast("bigint"))
+        .when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"), text.try_cast("double").try_cast("bigint"))
     )
 
 
@@ -63,7 +63,7 @@ def epoch_timestamp(col: Column) -> Column:
     """Epoch seconds or ISO-8601 text to a timestamp; nanoseconds are cut to microseconds."""
     text = clean(col)
     number = text.rlike(r"^[+-]?[0-9]+(\.[0-9]*)?$")
-    micros = F.floor(text.try_cast("decimal(38,9)") * F.lit(1000000)).cast("bigint")
+    micros = F.floor(text.try_cast("decimal(20,9)") * F.lit(1000000)).cast("bigint")
     return F.when(number, F.timestamp_micros(micros)).otherwise(F.try_to_timestamp(text))
 
 

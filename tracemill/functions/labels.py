@@ -46,7 +46,7 @@ def any_int(text: str) -> str:
         " when t rlike '^0x[0-9a-f]{1,15}$' then cast(conv(substr(t, 3), 16, 10) as bigint)"
         " when t rlike '^0b[01]{1,62}$' then cast(conv(substr(t, 3), 2, 10) as bigint)"
         " when t rlike '^0o[0-7]{1,20}$' then cast(conv(substr(t, 3), 8, 10) as bigint)"
-        " when t rlike '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?$' then cast(try_cast(t as double) as bigint) end",
+        " when t rlike '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?$' then try_cast(try_cast(t as double) as bigint) end",
     )
 
 
@@ -247,5 +247,5 @@ def epoch_time(text: str) -> str:
     """Epoch seconds or ISO text to a timestamp."""
     return (
         f"if(trim({text}) rlike '^[+-]?[0-9]+([.][0-9]*)?$',"
-        f" timestamp_micros(cast(floor(try_cast(trim({text}) as decimal(38,9)) * 1000000) as bigint)), try_to_timestamp(nullif(trim({text}), '')))"
+        f" timestamp_micros(cast(floor(try_cast(trim({text}) as decimal(20,9)) * 1000000) as bigint)), try_to_timestamp(nullif(trim({text}), '')))"
     )

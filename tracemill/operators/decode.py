@@ -75,7 +75,7 @@ def transport(f: str = "f") -> str:
     def context(proto: str, stream: str, sctp_stream: str, anomaly: str, notes: str) -> str:
         port = lambda side: integer(of(f"{proto}.{side}port")) if proto != "ip" else "cast(null as bigint)"
         return (
-            f"struct('{proto}' as proto, cast({port('src')} as int) as src_port, cast({port('dst')} as int) as dst_port,"
+            f"struct('{proto}' as proto, try_cast({port('src')} as int) as src_port, try_cast({port('dst')} as int) as dst_port,"
             f" {stream} as stream, {sctp_stream} as sctp_stream, {anomaly} as anomaly, {notes} as notes)"
         )
 

@@ -151,7 +151,7 @@ def safe_segment(text: str) -> str:
 
 def timestamp_segment(epoch: str) -> str:
     """SQL text: yyyymmdd_hhmmss of epoch seconds or ISO text, null when unreadable."""
-    seconds = f"try_cast({epoch} as decimal(38,9))"
+    seconds = f"try_cast({epoch} as decimal(20,9))"
     wall_clock = f"try_to_timestamp(regexp_replace(regexp_replace({epoch}, r'([.]\\d{{6}})\\d+', '$1'), '(Z|[+-][0-9]{{2}}:?[0-9]{{2}})$', ''))"
     moment = f"if({seconds} is not null, timestamp_micros(cast(floor({seconds} * 1000000) as bigint)), {wall_clock})"
     return f"date_format({moment}, 'yyyyMMdd_HHmmss')"

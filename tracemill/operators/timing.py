@@ -45,7 +45,8 @@ def gap_stats(
         F.count(F.lit(1)).alias("_n"),
         F.min("gap").alias("_lo"),
         F.max("gap").alias("_hi"),
-        F.sum("gap").alias("_sum"),
+        F.min(F.struct(F.col(order).alias("o"), F.col(time).alias("t"))).alias("_head"),
+        F.max(F.struct(F.col(order).alias("o"), F.col(time).alias("t"))).alias("_tail"),
         F.min(time).alias("_from"),
         F.max(time).alias("_to"),
     )
@@ -56,9 +57,11 @@ def gap_stats(
     before = key.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     blocks = counted.groupBy(*keys, BLOCK).agg(
         F.sum("_n").alias("_rows"), F.sum("_gaps").alias("_gaps"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"),
-        F.sum("_sum").alias("_sum"), F.min("_from").alias("_from"), F.max("_to").alias("_to"),
+        F.min("_head").alias("_head"), F.max("_tail").alias("_tail"), F.min("_from").alias("_from"), F.max("_to").alias("_to"),
     )
     total = F.sum("_gaps").over(key)
+    # the gaps add up to the way from the first to the last row, whatever the order of summation
+    whole = F.max("_tail").over(key)["t"] - F.min("_head").over(key)["t"]
     blocks = blocks.select(
         *keys,
         BLOCK,
@@ -68,7 +71,7 @@ def gap_stats(
         F.round(F.max("_to").over(key) - F.min("_from").over(key), 3).alias("duration_ms"),
         F.round(F.min("_lo").over(key), 3).alias("gap_min"),
         F.round(F.max("_hi").over(key), 3).alias("gap_max"),
-        F.round(F.sum("_sum").over(key) / total, 3).alias("gap_mean"),
+        F.round(F.try_divide(whole, total), 3).alias("gap_mean"),
     )
     inside = Window.partitionBy(*keys, BLOCK).orderBy("_us").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("_before") + F.col("_local")

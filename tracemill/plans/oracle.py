@@ -86,7 +86,8 @@ r AS (SELECT {keys}, gap, row_number() OVER (PARTITION BY {keys} ORDER BY gap) A
       FROM g WHERE gap IS NOT NULL),
 p AS (SELECT {keys}, round(gap, 3) AS gap_p95 FROM r WHERE rn = CAST(floor((n - 1) * 0.95::DOUBLE) AS BIGINT) + 1),
 s AS (SELECT {keys}, count(*) AS packet_count, round(max(time_rel_ms) - min(time_rel_ms), 3) AS duration_ms,
-        round(min(gap), 3) AS gap_min, round(max(gap), 3) AS gap_max, round(avg(gap), 3) AS gap_mean FROM g GROUP BY {keys})
+        round(min(gap), 3) AS gap_min, round(max(gap), 3) AS gap_max,
+        round((arg_max(time_rel_ms, frame_no) - arg_min(time_rel_ms, frame_no)) / nullif(count(*) - 1, 0), 3) AS gap_mean FROM g GROUP BY {keys})
 SELECT * FROM s JOIN p USING ({keys}) WHERE packet_count >= 2""")
 
 

@@ -54,8 +54,8 @@ def parse_index(lines: DataFrame, fields: Sequence[str] = INDEX_FIELDS, line: st
         )
 
     frame_no = strict_int(field("frame.number"))
-    src_port = strict_int(by_transport("sctp.srcport", "tcp.srcport", "udp.srcport")).cast("int")
-    dst_port = strict_int(by_transport("sctp.dstport", "tcp.dstport", "udp.dstport")).cast("int")
+    src_port = strict_int(by_transport("sctp.srcport", "tcp.srcport", "udp.srcport")).try_cast("int")
+    dst_port = strict_int(by_transport("sctp.dstport", "tcp.dstport", "udp.dstport")).try_cast("int")
     return cut.select(
         "capture_id",
         F.col(line).alias("line"),
