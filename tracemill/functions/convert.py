@@ -16,10 +16,6 @@ def clean(col: Column) -> Column:
     return F.nullif(F.trim(col, F.lit(BLANKS)), F.lit(""))
 
 
-def first_filled(*cols: Column) -> Column:
-    return F.coalesce(*[clean(c) for c in cols])
-
-
 def strict_int(col: Column) -> Column:
     """Decimal integer with optional sign; floats and other text give null."""
     text = F.trim(col, F.lit(BLANKS))
@@ -38,52 +34,7 @@ def decimal_or_hex(col: Column) -> Column:
     return F.when(text.startswith("0x"), hex_int(text)).otherwise(strict_int(text))
 
 
-def any_base_int(col: Column) -> Column:
-    """Integer from ``0x``, ``0o``, ``0b``, decimal, or float text (cut towards zero)."""
-    text = F.lower(F.trim(col))
-    body = F.substring(text, 3, 64)
-    return (
-        F.when(text.startswith("0x"), hex_int(text))
-        .when(text.rlike("^0b[01]{1,62}$"), F.conv(body, 2, 10).try_cast("bigint"))
-        .when(text.rlike("^0o[0-7]{1,20}$"), F.conv(body, 8, 10).try_cast("bigint"))
-        .when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
-        .when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"), text.try_cast("double").try_cast("bigint"))
-    )
-
-
-def flag(col: Column) -> Column:
-    """True / false from a fixed set of words, else null."""
-    word = F.lower(F.trim(col))
-    return F.when(word.isin("1", "true", "yes", "set"), F.lit(True)).when(
-        word.isin("0", "false", "no", "unset"), F.lit(False)
-    )
-
-
-def epoch_timestamp(col: Column) -> Column:
-    """Epoch seconds or ISO-8601 text to a timestamp; nanoseconds are cut to microseconds."""
-    text = clean(col)
-    number = text.rlike(r"^[+-]?[0-9]+(\.[0-9]*)?$")
-    micros = F.floor(text.try_cast("decimal(20,9)") * F.lit(1000000)).cast("bigint")
-    return F.when(number, F.timestamp_micros(micros)).otherwise(F.try_to_timestamp(text))
-
-
 def lookup(table: Mapping, key: Column, value_type: str = "string") -> Column:
     """Value of a small constant table, null for other keys."""
     pairs = [F.lit(part) for item in table.items() for part in item]
     return F.create_map(*pairs)[key].cast(value_type)
-
-
-def contains_any(text: Column, words) -> Column:
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | text.contains(word)
-    return hit
-
-
-def has_any(items: Column, wanted) -> Column:
-    return F.coalesce(F.arrays_overlap(items, F.array(*[F.lit(w) for w in wanted])), F.lit(False))
-
-
-def has_all(items: Column, wanted) -> Column:
-    return F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), items)) == 0
-

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import tables
-from tracemill.functions.sqltext import bound
+from tracemill.functions.sqltext import bound, sql_map
 
 # fields read at the top of the message, and fields found anywhere below it
 TOP_FIELDS = [
@@ -31,12 +31,6 @@ DEEP_FIELDS = {
 }
 
 
-def sql_map(table: dict) -> str:
-    """A constant SQL map."""
-    show = lambda v: str(v) if isinstance(v, int) else "'" + str(v).replace("'", "\\'") + "'"
-    return "map(" + ", ".join(f"{show(k)}, {show(v)}" for k, v in table.items()) + ")"
-
-
 def any_int(text: str) -> str:
     """Integer written in any base, or a float cut to an integer."""
     return bound(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tracemill.functions.addresses import address_bits, address_width, network_length, network_prefix
 from tracemill.functions.convert import lookup
 from tracemill.functions.tables import ELEMENT_TYPES, HOSTNAME_ELEMENTS, PORT_ELEMENTS, PORT_ROLES
+from tracemill.functions.sqltext import sql_map
 from tracemill.session import cut_lineage
 
 ENTRY = "struct<hostname:string,alias:string,role:string,site:string,labels:map<string,string>,override:string>"
@@ -204,12 +205,6 @@ def _resolved() -> Column:
 
 
 # ------------------------------------------------------------------ network elements
-def sql_map(table: dict) -> str:
-    """A constant SQL map."""
-    show = lambda v: str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
-    return "map(" + ", ".join(f"{show(k)}, {show(v)}" for k, v in table.items()) + ")"
-
-
 def hostname_element(name: str) -> str:
     """Element type of the first pattern that the host name contains."""
     cases = " ".join(f"when contains(lower({name}), '{part}') then '{kind}'" for part, kind in HOSTNAME_ELEMENTS)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import labels, tables
-from tracemill.functions.sqltext import select_once
+from tracemill.functions.sqltext import select_once, sql_map
 from tracemill.functions.ordering import first_rows, islands, sorted_place
 from tracemill.operators.pairing import pair_events, write_back
 from tracemill.session import cut_lineage
@@ -155,7 +155,7 @@ def nodes(packets: DataFrame, profile: str = "", few: bool = False) -> DataFrame
         ).alias("_f")
     )
     family = labels.profile_family(profile)
-    priority = labels.sql_map(tables.LANE_PRIORITY.get(family, tables.LANE_PRIORITY["generic"]))
+    priority = sql_map(tables.LANE_PRIORITY.get(family, tables.LANE_PRIORITY["generic"]))
     rows = first.selectExpr(
         "capture_id", "id", "_f.label as label", "_f.role as role", "'endpoint' as family", "_f.pseudonymized as pseudonymized",
         f"coalesce({priority}[lower(_f.role)], {tables.OTHER_LANE}) as lane_priority",
