@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import langid, packing, quality, sharding
+from tracemill.llm import langid, minhash, packing, quality, sharding
 from tracemill.llm.common import is_fold
 
 
@@ -20,6 +20,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", is_fold(F.col("doc_id"), 0).alias("held_out"), "score", "predicted")
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     documents = table(spark, sf_dir, "documents")
@@ -37,5 +42,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op6_language, op7_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_neardup, op6_language, op7_packing, op10_sharding)}
 ORACLE: dict[str, str] = {}
