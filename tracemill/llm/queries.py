@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import langid, minhash, packing, quality, sharding
-from tracemill.llm.common import is_fold
+from tracemill.llm import decontaminate, langid, minhash, packing, quality, sharding, warc
+from tracemill.llm.common import Run, is_fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back."""
+    archives = Run(spark, "warc").land(warc.write_archives(table(spark, sf_dir, "pages")), "archives")
+    records = warc.read_archives(archives, payloads=False)
+    sound = F.when(F.col("problem").isNull(), F.col("record_type")).otherwise(F.raise_error(F.concat_ws(": ", "path", "problem")))
+    return records.select("page_id", "payload_bytes", "payload_digest", sound.alias("record_type"), "refers_to")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     documents = table(spark, sf_dir, "documents")
@@ -37,10 +45,28 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, and its shard among one more."""
     return sharding.place(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_neardup, op6_language, op7_packing, op10_sharding)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_neardup, op4_warc, op6_language, op7_packing, op9_decontaminate, op10_sharding)}
+
+#: Upper-case base32 of a SHA-1 in hex: eight groups of 20 bits, four letters each.
+_BASE32 = """list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), 'string_agg', '')"""
+ORACLE: dict[str, str] = {
+    "op4_warc": f"""
+        WITH hashed AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+        firsts AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM hashed)
+        SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM firsts
+    """,
+}
