@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontaminate, langid, minhash, packing, quality, sharding, warc
+from tracemill.llm import decontaminate, langid, minhash, neighbours, packing, quality, sharding, warc
 from tracemill.llm.common import Run, is_fold
 
 
@@ -45,6 +45,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -55,7 +60,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_neardup, op4_warc, op6_language, op7_packing, op9_decontaminate, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_neardup, op4_warc, op6_language, op7_packing, op8_neighbours, op9_decontaminate, op10_sharding)}
 
 #: Upper-case base32 of a SHA-1 in hex: eight groups of 20 bits, four letters each.
 _BASE32 = """list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
