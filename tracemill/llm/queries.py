@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontaminate, langid, minhash, neighbours, packing, quality, sharding, warc
+from tracemill.llm import decontaminate, htmltext, langid, minhash, neighbours, packing, quality, sharding, warc
 from tracemill.llm.common import Run, is_fold
 
 
@@ -33,6 +33,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", sound.alias("record_type"), "refers_to")
 
 
+def op5_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     documents = table(spark, sf_dir, "documents")
@@ -60,7 +65,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_neardup, op4_warc, op6_language, op7_packing, op8_neighbours, op9_decontaminate, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_neardup, op4_warc, op5_htmltext, op6_language, op7_packing, op8_neighbours, op9_decontaminate, op10_sharding)}
 
 #: Upper-case base32 of a SHA-1 in hex: eight groups of 20 bits, four letters each.
 _BASE32 = """list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
