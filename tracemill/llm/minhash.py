@@ -36,8 +36,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.llm import hashing
 from tracemill.llm.common import Run, byte_slices
 from tracemill.llm.graph import components
+from tracemill.llm.hashing import mix
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -57,43 +59,9 @@ _WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix64)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    base = int(_BASE)
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for factor in (base, inverse):
-        steps = np.full(1 << bits, factor, dtype=np.uint64)
-        steps[0] = 1
-        out.append(np.cumprod(steps))
-    return out[0], out[1]
-
-
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, one after the other, and where the words of each text begin (one entry more)."""
-    parts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b" " + b" ".join(parts) + b" ", dtype=np.uint8)
-    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-    ends_of_text = np.cumsum(sizes + 1)
-    inside = _WORD_BYTE[data]
-    turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    starts, ends = turns[::2], turns[1::2]
-    power, inverse = _powers(max(20, int(len(data)).bit_length()))
-    sums = np.cumsum((data + np.uint64(1)) * power[: len(data)], dtype=np.uint64)
-    hashes = (sums[ends - 1] - sums[starts - 1]) * inverse[starts]
-    hashes = mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    bounds = np.concatenate([[0], np.searchsorted(starts, ends_of_text)])
-    return hashes, bounds
+    """Hashes of all words of all texts, in lower case, and where the words of each text begin (one entry more)."""
+    return hashing.word_hashes([t.lower().encode("utf-8", "surrogatepass") for t in texts], _WORD_BYTE)
 
 
 _PLACES = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * _BASE) | np.uint64(1)

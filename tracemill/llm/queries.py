@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontaminate, htmltext, langid, minhash, neighbours, packing, quality, sharding, warc
+from tracemill.llm import decontaminate, htmltext, langid, langmodel, minhash, neighbours, packing, quality, sharding, warc
 from tracemill.llm.common import Run, is_fold
 
 
@@ -25,6 +25,11 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op3_langmodel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document."""
+    return langmodel.score(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to an archive and read back."""
     archives = Run(spark, "warc").land(warc.write_archives(table(spark, sf_dir, "pages")), "archives")
@@ -65,7 +70,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_neardup, op4_warc, op5_htmltext, op6_language, op7_packing, op8_neighbours, op9_decontaminate, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_neardup, op3_langmodel, op4_warc, op5_htmltext, op6_language, op7_packing, op8_neighbours, op9_decontaminate, op10_sharding)}
 
 #: Upper-case base32 of a SHA-1 in hex: eight groups of 20 bits, four letters each.
 _BASE32 = """list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
