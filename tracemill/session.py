@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,19 +37,53 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
     return configure(builder.getOrCreate())
 
 
+_OWN_FOLDER = ""
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; only a local session without one gets a temporary folder of its own."""
+    global _OWN_FOLDER
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    _OWN_FOLDER = _OWN_FOLDER or tempfile.mkdtemp(prefix="tracemill-")
+    return _OWN_FOLDER
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows, if it is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_RUN_FOLDERS: dict[str, SparkSession] = {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder of the session and read it back.
+    """Write ``df`` as Parquet into the run folder of this process and read it back.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only a local session without
-    one gets a temporary folder.
+    The files lie below ``spark.checkpoint.dir``, where every executor reads them again after a loss, and
+    later steps read only the columns they need.  ``drop_intermediates``, or the end of the process, deletes the folder.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tracemill-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = f"{shared_folder(spark)}/tracemill-run-{_RUN_ID}"
+    _RUN_FOLDERS[folder] = spark
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediates() -> None:
+    """Delete what ``cut_lineage`` wrote; results that still read it must be written first."""
+    while _RUN_FOLDERS:
+        folder, spark = _RUN_FOLDERS.popitem()
+        try:
+            remove(spark, folder)
+        except Exception:  # noqa: BLE001  the session ended before; its folder is then the cluster's to clean
+            continue
+
+
+_RUN_ID = uuid.uuid4().hex
+atexit.register(drop_intermediates)
