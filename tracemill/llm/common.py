@@ -8,7 +8,6 @@ removes its folders when the driver process ends.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,19 +16,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
-
+from tracemill.session import remove, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; only a local session without one gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tracemill-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+SLICE_BYTES = 1 << 20
 
 
 class Run:
@@ -52,9 +41,7 @@ class Run:
 
     def _remove(self, path: str) -> None:
         try:
-            jvm = self.spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            remove(self.spark, path)
         except Exception:  # noqa: BLE001  the session may have ended; the folder is then the cluster's to clean
             return
 

@@ -12,8 +12,9 @@
 The article is the largest ``article`` left, else ``main`` (or role ``main``), else an element marked ``articleBody``, else the body.  Its blocks are
 joined by one line feed; in a block character references are decoded and white space becomes one space.
 
-Hosts and hashes are shuffled as (host, hash, page) rows that are counted before they meet, and the list of deleted hashes that
-goes back to a page is no longer than the page's own elements.
+Hosts and hashes are shuffled as (host, hash, page) rows that are counted before they meet.  A page is shuffled, compressed, only if
+a candidate stands in its text, so that the counts decide; the list of deleted hashes that goes back to it is no longer than its own
+elements.  The text of every other page is known when it is read.
 
 Defined cases: null html is an empty page; a page without text has the empty text.  A null or malformed url belongs to the empty host.
 Repeated rows are extracted each and count as one page.  Tags that never close end with their parent; a tag cut off by the end of the page
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -229,19 +231,33 @@ def candidates(article: Element, root: Element) -> Iterator[Element]:
         yield node
 
 
-def shared_subtrees(page: str) -> tuple[int, list[int]]:
-    """A hash of the article's text, and the hashes of the candidates."""
+def depends_on_counts(article: Element, root: Element) -> bool:
+    """Whether a candidate stands in the text that is left, so that the counts decide about it."""
+    waiting = {id(n) for n in candidates(article, root)}
+    marked, stack = article is not root, [article]
+    while waiting and stack:
+        node = stack.pop()
+        if id(node) in waiting:
+            return True
+        stack.extend(c for c in node.children if not isinstance(c, str) and not is_furniture(c, marked))
+    return False
+
+
+def shared_subtrees(page: str) -> tuple[int, list[int], bool]:
+    """A hash of the article's text, the hashes of the candidates, and whether the text depends on their counts."""
     root = parse(page)
     measure(root)
     article = find_article(root)
-    return article.hash, sorted({n.hash for n in candidates(article, root)})
+    return article.hash, sorted({n.hash for n in candidates(article, root)}), depends_on_counts(article, root)
 
 
-def main_text(page: str, recurring: set[int]) -> str:
-    """The article without furniture and without the candidates whose hash is in ``recurring``."""
+def main_text(page: str, recurring: set[int] | None) -> str | None:
+    """The article without furniture and without the candidates whose hash is in ``recurring``; None if that is not known but needed."""
     root = parse(page)
     measure(root)
     article = find_article(root)
+    if recurring is None and depends_on_counts(article, root):
+        return None
     deleted = {id(n) for n in candidates(article, root) if n.hash in recurring} if recurring else set()
     marked = article is not root
     blocks: list[str] = []
@@ -280,28 +296,61 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
+ELEMENTS = "page_key binary, host string, article long, subtree long, page_id long, url string, html binary"
+
+
 def _count_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per candidate, and one with the compressed page where the text depends on counts."""
+    coder = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         for part, texts in byte_slices(batch, "html"):
-            rows, articles, subtrees = [], [], []
+            rows, articles, subtrees, waiting, packed = [], [], [], [], []
             for row, page in enumerate(texts):
-                article, found = shared_subtrees(page)
+                article, found, depends = shared_subtrees(page)
                 rows += [row] * len(found)
                 articles += [article] * len(found)
                 subtrees += found
-            names = ("page_key", "host")
-            taken = part.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*(taken.column(n) for n in names), pa.array(articles, pa.int64()), pa.array(subtrees, pa.int64())], [*names, "article", "subtree"]
-            )
+                if depends:
+                    waiting.append(row)
+                    packed.append(coder.compress(page.encode("utf-8", "surrogatepass")))
+            keys, more = part.take(pa.array(rows, pa.int64())), part.take(pa.array(waiting, pa.int64()))
+            none = lambda n, kind: pa.nulls(n, kind)
+            columns = {
+                "page_key": pa.chunked_array([keys.column("page_key"), more.column("page_key")]),
+                "host": pa.chunked_array([keys.column("host"), more.column("host")]),
+                "article": pa.chunked_array([pa.array(articles, pa.int64()), none(len(waiting), pa.int64())]),
+                "subtree": pa.chunked_array([pa.array(subtrees, pa.int64()), none(len(waiting), pa.int64())]),
+                "page_id": pa.chunked_array([none(len(rows), pa.int64()), more.column("page_id")]),
+                "url": pa.chunked_array([none(len(rows), pa.string()), more.column("url").cast(pa.string())]),
+                "html": pa.chunked_array([none(len(rows), pa.binary()), pa.array(packed, pa.binary())]),
+            }
+            yield pa.table(columns).combine_chunks().to_batches()[0] if rows or waiting else pa.RecordBatch.from_pylist([], schema=pa.table(columns).schema)
+
+
+TEXTS = "page_id long, url string, text string"
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(ids: pa.Array, urls: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, urls.cast(pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+
+def _extract_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages whose text no count can change."""
     for batch in batches:
-        for part, texts in byte_slices(batch, "html"):
-            lists = part.column("recurring").to_pylist()
-            found = [main_text(page, set(hashes or ())) for page, hashes in zip(texts, lists, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(found, pa.string())], ["page_id", "url", "text"])
+        for part, pages in byte_slices(batch, "html"):
+            found = _texts(part.column("page_id"), part.column("url"), [main_text(page, None) for page in pages])
+            yield found.filter(pa.compute.is_valid(found.column("text")))
+
+
+def _extract_waiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The other pages, with the subtrees of theirs that recur."""
+    coder = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for start in range(0, batch.num_rows, 200):
+            part = batch.slice(start, 200)
+            pages = (coder.decompress(p).decode("utf-8", "surrogatepass") for p in part.column("html").to_pylist())
+            found = [main_text(page, set(hashes or ())) for page, hashes in zip(pages, part.column("recurring").to_pylist(), strict=True)]
+            yield _texts(part.column("page_id"), part.column("url"), found)
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -311,11 +360,14 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     ).withColumn("host", host(F.col("url")))
     rows = rows.withColumn("page_key", F.unhex(F.md5(F.concat_ws("\n", "host", "html").cast("binary"))))
-    elements = rows.select("page_key", "host", "html").mapInArrow(_count_elements, "page_key binary, host string, article long, subtree long")
-    elements = run.land(elements, "elements")
+    first_pass = run.land(rows.mapInArrow(_count_elements, ELEMENTS), "elements")
+    elements = first_pass.where(F.col("html").isNull()).select("page_key", "host", "article", "subtree")
+    waiting = first_pass.where(F.col("html").isNotNull()).select("page_key", "host", "page_id", "url", "html")
     counted = elements.select("host", "subtree", "article").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages"))
     recurring = counted.where(F.col("pages") >= least_pages).select("host", "subtree")
-    lists = elements.select("page_key", "host", "subtree").distinct().join(recurring, ["host", "subtree"])
-    lists = run.land(lists.groupBy("page_key").agg(F.collect_set("subtree").alias("recurring")), "recurring")
-    joined = rows.join(lists, "page_key", "left").select("page_id", "url", "html", "recurring")
-    return joined.mapInArrow(_extract, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
+    # Only pages whose text depends on the counts get them; all others are done where they are read.
+    asked = elements.join(waiting.select("page_key").distinct(), "page_key", "left_semi").select("page_key", "host", "subtree").distinct()
+    lists = asked.join(recurring, ["host", "subtree"]).groupBy("page_key").agg(F.collect_set("subtree").alias("recurring"))
+    rest = waiting.join(lists, "page_key", "left").select("page_id", "url", "html", "recurring").mapInArrow(_extract_waiting, TEXTS)
+    known = rows.select("page_id", "url", "html").mapInArrow(_extract_known, TEXTS)
+    return known.unionAll(rest).withColumn("n_chars", F.char_length("text").cast("long"))

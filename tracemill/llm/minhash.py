@@ -262,7 +262,8 @@ class Classes:
         prefixes = needed.select(prefix.alias("__prefix")).distinct()
         rows = self.rows.select(text_key(F.col("text")).alias("key"), "text").withColumn("__prefix", prefix)
         rows = rows.join(F.broadcast(prefixes), "__prefix", "left_semi").drop("__prefix")
-        return rows.join(needed, "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text"))
+        # Copies of one text shrink to one row before they are shuffled.
+        return rows.groupBy("key").agg(F.any_value("text").alias("text")).join(needed, "key", "left_semi")
 
     def _verify(self, stars: DataFrame) -> DataFrame:
         """similar, and the difference to the head: the features of either text alone, those of the head first."""
