@@ -46,8 +46,8 @@ def inputs(spark, tmp_path_factory):
         (folder / "full" / f"{name}.json").write_text("\n".join(json.dumps({"_source": {"layers": p}}) for p in items))
     index, rejects = ix.read_index(spark, str(folder / "index"))
     assert rejects.count() == 0
-    packets = ps.read_packets(spark, str(folder / "full"))
-    packets = packets.withColumn("frame_no", F.get_json_object("layers", "$['frame']['frame.number']").cast("bigint"))
+    packets, bad = ps.read_packets(spark, str(folder / "full"))
+    assert bad.count() == 0
     return index, packets
 
 
@@ -84,6 +84,12 @@ def test_analyze(spark, inputs, tmp_path):
     assert out["flow_nodes"].where("capture_id = 'one'").count() == 2
     audit = {r.data_class: r.originals for r in out["privacy_audit"].collect()}
     assert audit["imsi"] == 1
+    assert row.privacy_audit["imsi"] == 1 and row.dropped_packets is None
+    assert {c.src[:3] for c in row.conversations} == {"IP_"}
+    names = {(r.data_class, r.original): r.alias for r in out["pseudonyms"].collect()}
+    assert names["ip", "10.0.0.1"] == first.src.ip and names["hostname", "mme-west"] == first.src.hostname
+    assert not [r for r in out["leaks"].collect() if r.data_class in ("ip", "hostname", "imsi")]
+    assert not any("10.0.0." in str(r) for name in ("detail", "summary", "anomalies", "flow_events", "flow_nodes") for r in out[name].collect())
     assert {r.code for r in out["warnings"].where("capture_id = 'one'").collect()} == {"detail_truncated"}
 
     sinks.write_detail(out["detail"], str(tmp_path / "detail"))
@@ -103,6 +109,34 @@ def test_guards(spark, inputs):
         analysis.analyze(index, packets, options(spark, max_packets=3, fail_on_truncation=True))
     with pytest.raises(ValueError, match="key"):
         analysis.analyze(index, packets, options(spark, modes={"ip": "encrypt"}))
+    with pytest.raises(ValueError, match="key"):
+        analysis.analyze(index, packets, options(spark, modes={"ip": "encrypt"}, key=F.lit("too short")))
+
+
+def test_leaks_cover_addresses_that_stay(spark, inputs):
+    index, packets = inputs
+    leaks = analysis.analyze(index, packets, options(spark, modes=PRIVACY_PROFILES["internal"]))["leaks"]
+    found = {r.data_class for r in leaks.where("capture_id = 'one'").collect()}
+    assert "ip" in found and "hostname" in found
+
+
+def test_identity_and_rejects(spark, tmp_path):
+    line = json.dumps({"_source": {"layers": packet(1, "10.0.0.1", "10.0.0.2", "0xc0", "5")}})
+    for folder in ("a", "b"):
+        (tmp_path / "full" / folder).mkdir(parents=True)
+        (tmp_path / "full" / folder / "cap.json").write_text(f"{line}\n{{broken\n\n")
+        (tmp_path / "index" / folder).mkdir(parents=True)
+        (tmp_path / "index" / folder / "cap.txt").write_text(index_line(packet(1, "10.0.0.1", "10.0.0.2", "0xc0", "5")))
+    packets, bad = ps.read_packets(spark, f"{tmp_path}/full/*")
+    assert sorted((r.capture_id, r.frame_no) for r in packets.collect()) == [("a/cap", 1), ("b/cap", 1)]
+    assert sorted((r.capture_id, r.record) for r in bad.collect()) == [("a/cap", "{broken"), ("b/cap", "{broken")]
+    assert {(r.capture_id, r.kept, r.rejected) for r in ps.reject_counts(packets, bad).collect()} == {("a/cap", 1, 1), ("b/cap", 1, 1)}
+    index, _ = ix.read_index(spark, f"{tmp_path}/index/*/cap.txt")
+    assert sorted(r.capture_id for r in index.collect()) == ["a/cap", "b/cap"]
+    only, _ = ix.read_index(spark, f"{tmp_path}/index/a/cap.txt")
+    assert [r.capture_id for r in only.collect()] == ["cap"]
+    out = analysis.analyze(index, packets, options(spark))
+    assert out["detail"].count() == 2
 
 
 def test_inspect_and_discover(spark, inputs):

@@ -22,7 +22,7 @@ def opened(spark, *layers):
 
 
 def fields(spark, profile, *layers):
-    rows = decode.normalise(opened(spark, *layers), profile).select("packet_no", F.expr(decode.field_map()).alias("m")).collect()
+    rows = decode.normalise(opened(spark, *layers), profile).select("packet_no", decode.field_map().alias("m")).collect()
     return {r.packet_no: r.m for r in rows}
 
 
@@ -139,7 +139,9 @@ def test_read_packet_files(spark, tmp_path, array):
     packets = [{"_source": {"layers": frame(i, "ip:dns", dns={"dns.id": str(i)})}} for i in (1, 2)]
     text = json.dumps(packets) if array else "\n".join(json.dumps(p) for p in packets)
     (tmp_path / "cap.json").write_text(text)
-    df = ps.with_leaves(ps.read_packets(spark, str(tmp_path), json_array=array))
+    packets, rejects = ps.read_packets(spark, str(tmp_path), json_array=array)
+    assert rejects.count() == 0 and sorted(r.frame_no for r in packets.collect()) == [1, 2]
+    df = ps.with_leaves(packets)
     got = sorted((r.capture_id, r.n) for r in df.selectExpr("capture_id", f"{decode.field('frame.number')} as n").collect())
     assert got == [("cap", "1"), ("cap", "2")]
 

@@ -98,3 +98,35 @@ def test_audit_and_encryption(spark):
     out = pv.protect_leaves(df, {"ip": "encrypt"}, key=F.lit("0123456789abcdef")).where("data_class = 'ip'")
     plain = out.selectExpr("cast(aes_decrypt(unbase64(protected), '0123456789abcdef', 'GCM') as string) as p")
     assert sorted(r.p for r in plain.collect()) == ["a", "a", "b"]
+
+
+@pytest.mark.parametrize("depth", [3, 14, 40])
+def test_depth_changes_nothing(spark, depth):
+    import json
+
+    from tracemill.sources import packets as ps
+
+    tree = {"note": "call 26201012345678 now", "imsi": ["262011234567890", {"deep": "10.0.0.1"}]}
+    for _ in range(depth):
+        tree = {"x": tree}
+    df = spark.createDataFrame([("c", json.dumps(tree))], "capture_id string, layers string")
+    rows = pv.protect_leaf_lists(ps.with_leaves(df), "leaves", PRIVACY_PROFILES["share"], report="report").collect()
+    values = [l.value for l in rows[0].leaves]
+    assert values[0] == "[redacted]" and values[1].startswith("IMSI_") and values[2].startswith("IP_") and len(values) == 3
+    assert len(rows[0].report) == 3
+
+
+def test_payloads_of_any_shape(spark):
+    rows = spark.createDataFrame(
+        [("10.0.0.9", "to 10.0.0.1", ["10.0.0.1", "x"], {"k": "10.0.0.1", "mail": "a@b.org"}, [("10.0.0.1", 3), (None, 4)], ("10.0.0.1", 7), {"ip": "10.0.0.1"}), ("d",) + (None,) * 6],
+        "capture_id string, t string, l array<string>, m map<string,string>, s array<struct<src:string,n:int>>, o struct<a:string,b:int>, privacy_modes map<string,string>",
+    )
+    got = {r.capture_id: r for r in pv.protect_payload(rows, {"ip": "pseudonymize", "email": "remove"}, report="report").collect()}
+    alias = lambda text: "IP_" + hashlib.blake2s(f"ip:{text}".encode(), digest_size=4).hexdigest()
+    one = got["10.0.0.9"]
+    assert one.t == alias("to 10.0.0.1") and one.l == [alias("10.0.0.1"), "x"] and one.m == {"k": alias("10.0.0.1")}
+    assert [tuple(x) for x in one.s] == [(alias("10.0.0.1"), 3), (None, 4)] and tuple(one.o) == (alias("10.0.0.1"), 7)
+    assert one.privacy_modes == {"ip": "10.0.0.1"}
+    assert {(r.issued_class, r.original) for r in one.report if r.alias} == {("ip", "10.0.0.1"), ("ip", "to 10.0.0.1")}
+    assert tuple(got["d"])[:-1] == ("d",) + (None,) * 6 and got["d"].report == []
+    assert pv.protect_payload(rows.select("capture_id"), {"ip": "mask"}).columns == ["capture_id"]

@@ -32,14 +32,14 @@ DEEP_FIELDS = {
 
 
 def any_int(text: str) -> str:
-    """Integer written in any base, or a float cut to an integer."""
+    """Integer written in any base, or a float cut to an integer; null outside the 64-bit integers, the type of all counts here."""
     return bound(
         f"lower(trim({text}))",
         "t",
         "case when t rlike '^[+-]?[0-9]+$' then try_cast(t as bigint)"
-        " when t rlike '^0x[0-9a-f]{1,15}$' then cast(conv(substr(t, 3), 16, 10) as bigint)"
-        " when t rlike '^0b[01]{1,62}$' then cast(conv(substr(t, 3), 2, 10) as bigint)"
-        " when t rlike '^0o[0-7]{1,20}$' then cast(conv(substr(t, 3), 8, 10) as bigint)"
+        " when t rlike '^0x0*[0-9a-f]{1,16}$' then try_cast(conv(substr(t, 3), 16, 10) as bigint)"
+        " when t rlike '^0b0*[01]{1,64}$' then try_cast(conv(substr(t, 3), 2, 10) as bigint)"
+        " when t rlike '^0o0*[0-7]{1,21}$' then try_cast(conv(substr(t, 3), 8, 10) as bigint)"
         " when t rlike '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?$' then try_cast(try_cast(t as double) as bigint) end",
     )
 
@@ -64,21 +64,23 @@ def with_message_fields(df: DataFrame, fields: str = "fields") -> DataFrame:
     deep_names = [n for names in DEEP_FIELDS.values() for n in names]
     few = f"filter({fields}, l -> l.path in ({quoted(TOP_FIELDS)}) or l.key in ({quoted(deep_names)}))"
     top = f"filter(_few, l -> l.path in ({quoted(TOP_FIELDS)}))"
-    # the first value of a repeated field counts
-    first = bound(top, "t", "filter(t, (l, n) -> not exists(slice(t, 1, n), o -> o.path = l.path))")
+    # the first value of a repeated field counts where a text is wanted; as a number the field has none
+    repeated = "exists(slice(t, 1, n), o -> o.path = l.path)"
+    first = bound(top, "t", f"filter(t, (l, n) -> not {repeated})")
+    many = bound(top, "t", f"array_distinct(transform(filter(t, (l, n) -> {repeated}), l -> struct(concat('many:', l.path) as key, 'x' as value)))")
     deep = ", ".join(f"struct('{out}' as key, {deep_field(names, '_few')} as value)" for out, names in DEEP_FIELDS.items())
     deep = f"if(exists(_few, l -> l.key in ({quoted(deep_names)})), filter(array({deep}), e -> e.value is not null), array())"
-    entries = f"concat(transform({first}, l -> struct(l.path as key, l.value as value)), {deep})"
+    entries = f"concat(transform({first}, l -> struct(l.path as key, l.value as value)), {many}, {deep})"
     return df.withColumn("_few", F.expr(few)).withColumn("g", F.expr(f"map_from_entries({entries})")).drop("_few")
 
 
 def _numbers() -> dict[str, str]:
-    top = lambda *names: "coalesce(" + ", ".join(f"nullif(g['{n}'], '')" for n in names) + ")"
+    top = lambda *names: "coalesce(" + ", ".join(f"if(g['many:{n}'] is null, nullif(g['{n}'], ''), null)" for n in names) + ")"
     return {
         "result": any_int(top("diameter.Result-Code", "diameter.result_code")),
         "command": any_int(top("command_code", "diameter.cmd.code")),
         "http": any_int(top("http.response.code", "http2.headers.status")),
-        "gtp": any_int("g['gtpv2.message_type']"),
+        "gtp": any_int(top("gtpv2.message_type")),
         "cause": any_int("g['gtpv2_cause']"),
         "eps": any_int("g['nas_eps_type']"),
         "fgs": any_int("g['nas_5gs_type']"),

@@ -2,7 +2,8 @@
 
 A capture, a connection or a correlation id may hold a third of all rows, so a window
 ``PARTITION BY key ORDER BY frame_no`` would run in a single task.  Frame numbers are dense
-within a capture, so ``frame_no div BLOCK_ROWS`` cuts every key into blocks of bounded size.
+within a capture, so ``frame_no div BLOCK_ROWS`` cuts every key into blocks of bounded size; ``dense`` makes such an order
+from a sparse one.
 Each scan works in two steps:
 
 1. inside ``(key, block)`` with a normal window,
@@ -23,10 +24,11 @@ from tracemill.session import cut_lineage
 
 BLOCK_ROWS = 1 << 18
 BLOCK = "_block"
-TASK_LIMIT = 1000  # up to here Spark limits a row_number filter inside each task
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def with_block(df: DataFrame, order: str, block_rows: int | None = None) -> DataFrame:
+    """Add the block of each row; ``order`` must be dense, see ``dense``."""
     if BLOCK in df.columns:
         return df
     return df.withColumn(BLOCK, F.expr(f"`{order}` div {block_rows or BLOCK_ROWS}"))
@@ -111,7 +113,8 @@ def first_rows(
     """
     if limit <= 0:
         return df
-    if limit <= TASK_LIMIT:
+    # Spark cuts a row_number filter inside each task up to the limit that the session sets
+    if limit <= int(df.sparkSession.conf.get(GROUP_LIMIT, "1000")):
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
         return df.withColumn("_rn", place).where(F.col("_rn") <= limit).drop("_rn")
     rows = with_block(df, order, block_rows)
@@ -146,6 +149,15 @@ def sorted_place(df: DataFrame, keys: Sequence[str], ordering: Sequence[str], ou
     return joined.withColumn(out, F.col("_before") + F.col("_row") - F.col("_first")).drop("_part", "_row", "_first", "_before")
 
 
+def dense(df: DataFrame, keys: Sequence[str], order: str, out: str) -> DataFrame:
+    """Add a dense order per key for the block scans, from any sparse one, such as a timestamp.
+
+    With a sparse order every row would be a block of its own, and the scan across blocks would meet a whole key in one task.
+    Equal values of ``order`` get neighbouring places.
+    """
+    return sorted_place(df, keys, [order], out)
+
+
 def islands(
     df: DataFrame,
     keys: Sequence[str],

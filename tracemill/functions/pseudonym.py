@@ -50,3 +50,8 @@ def blake_hex_list(texts: Column, size: int = DIGEST_BYTES) -> Column:
 def sha_hex(text: Column, size: int = DIGEST_BYTES) -> Column:
     """A digest with built-in functions only, for users who need not match existing pseudonyms."""
     return F.left(F.sha2(text, 256), F.lit(2 * size))
+
+
+def sha_hex_list(texts: Column, size: int = DIGEST_BYTES) -> Column:
+    """The same for every item of an array column."""
+    return F.transform(texts, lambda t: F.left(F.sha2(t, 256), F.lit(2 * size)))

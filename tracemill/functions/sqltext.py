@@ -14,9 +14,15 @@ def select_once(df: DataFrame, *exprs: str) -> DataFrame:
     """``selectExpr`` whose expressions are evaluated once per row.
 
     A filter or an inferred null check on a plain projection is pushed below it, which repeats the
-    expressions it mentions; behind a generator it stays where it is.
+    expressions it mentions; behind a generator it stays where it is.  Plain columns are kept beside the
+    generator, so that a filter on them still reaches the scan.
     """
-    return df.selectExpr(f"inline(array(struct({', '.join(exprs)})))")
+    plain = {e.strip("`") for e in exprs if e.strip("`") in df.columns}
+    named = [e if " as " in e else f"{e} as {e.strip('`').rsplit('.', 1)[-1]}" for e in exprs if e.strip("`") not in plain]
+    outer = [f"`{e.strip('`')}`" if e.strip("`") in plain else e.rsplit(" as ", 1)[-1] if " as " in e else e.rsplit(".", 1)[-1] for e in exprs]
+    if not named:
+        return df.selectExpr(*outer)
+    return df.selectExpr(*[f"`{c}`" for c in plain], f"inline(array(struct({', '.join(named)})))").selectExpr(*outer)
 
 
 def sql_map(table: dict) -> str:

@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.convert import decimal_or_hex, strict_int
 from tracemill.functions.ordering import neighbour
+from tracemill.session import cut_lineage
 
 COLUMNS = ["capture_id", "section", "position", "frame_no", "layer", "severity", "kind", "text"]
 CREATE_SESSION_REQUEST, CREATE_SESSION_RESPONSE, ERROR_INDICATION = "32", "33", "26"
 CAUSE_ACCEPTED = 16
 GTP_PROFILES = ("lte-core", "")
+SIGNALS = """
+tcp_retransmission tcp_out_of_order diameter_flags diameter_cmd_code diameter_hop_by_hop_id diameter_result_code
+gtpv2_message_type gtpv2_seq_no gtpv2_cause
+""".split()
 
 
 def _shape(df: DataFrame, section: int, layer: str, severity, kind: str, text: Column, position="frame_no") -> DataFrame:
@@ -167,7 +172,14 @@ def gtp_anomalies(df: DataFrame, block_rows: int | None = None) -> DataFrame:
 
 
 def all_anomalies(df: DataFrame, profile_name: str = "", block_rows: int | None = None) -> DataFrame:
-    """Transport, then Diameter, then GTPv2; the last only for the profiles that ask for it."""
+    """Transport, then Diameter, then GTPv2; the last only for the profiles that ask for it.
+
+    The rows that any detector reads are picked in one scan and written once, since the detectors read them several times.
+    """
+    read = F.col("tcp_retransmission") | F.col("tcp_out_of_order") | F.col("diameter_flags").isNotNull() | F.col("diameter_cmd_code").isNotNull()
+    if profile_name in GTP_PROFILES:
+        read = read | F.col("gtpv2_message_type").isNotNull()
+    df = cut_lineage(df.where(read).select("capture_id", "frame_no", *SIGNALS))
     found = transport_anomalies(df).unionByName(diameter_anomalies(df, block_rows))
     if profile_name in GTP_PROFILES:
         found = found.unionByName(gtp_anomalies(df, block_rows))
@@ -179,7 +191,11 @@ def anomaly_counts(anomalies: DataFrame) -> DataFrame:
     return anomalies.groupBy("capture_id", "layer").agg(F.count(F.lit(1)).alias("anomalies"))
 
 
-def layer_of_text(text: Column) -> Column:
-    """Layer of a textual anomaly: the first bracketed word, else transport."""
-    inside = F.regexp_extract(text, r"^\[([^\]]*)\]", 1)
-    return F.when(text.rlike(r"^\[[^\]]*\]"), inside).otherwise(F.lit("transport"))
+def with_network_anomalies(anomalies: DataFrame, enriched: DataFrame) -> DataFrame:
+    """The stream of packet anomalies followed by the notes on the capture as a whole; these have no frame."""
+    notes = enriched.select("capture_id", F.posexplode("network_anomalies").alias("place", "text"))
+    rows = notes.select(
+        "capture_id", F.lit(5).alias("section"), F.col("place").cast("bigint").alias("position"), F.lit(None).cast("bigint").alias("frame_no"),
+        F.lit("network").alias("layer"), F.lit(None).cast("string").alias("severity"), F.lit("network").alias("kind"), "text",
+    )
+    return anomalies.unionByName(rows)

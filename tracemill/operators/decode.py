@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.sqltext import bound, select_once
@@ -137,8 +139,10 @@ def _verbatim(profile: Profile, name: str, in_layer: str, below: str, leaves: st
         lifted = f"l.depth >= 3 and l.top = '{layer}' and not l.top_list and startswith(l.key, '{layer}.')"
         parts.append(f"transform(filter({leaves}, l -> {lifted}), l -> {_kept('l.key')})")
     merged = f"concat({', '.join(parts)})"
-    # the first of equal (path, value) pairs stays
-    unique = bound(merged, "m", "filter(m, (l, n) -> not exists(slice(m, 1, n), o -> o.path = l.path and o.value = l.value))")
+    # the first of equal (path, value) pairs stays: equal pairs are neighbours after a sort, which also knows the old order
+    ranked = f"array_sort(transform({merged}, (l, n) -> struct(l.path as path, l.value as value, n as n, l as leaf)))"
+    first = bound(ranked, "r", "filter(r, (x, n) -> n = 0 or not (r[n - 1].path = x.path and r[n - 1].value = x.value))")
+    unique = f"transform(array_sort(transform({first}, x -> struct(x.n as n, x.leaf as leaf))), x -> x.leaf)"
     if name == "diameter" and not profile.keep_raw_avps:
         unique = f"filter({unique}, l -> not ({raw_avp('l.path')}))"
     return unique
@@ -182,9 +186,10 @@ def normalise(packets: DataFrame, profile: Profile, time_scale: float = 1.0, kee
         "transport",
         "transport.notes as anomalies",
         f"{retained(profile)} as fields",
+        "leaves is not null as parsed",
     )
     valid = " and ".join(single(c) for c in ("src_ip", "dst_ip", "transport.stream", "transport.sctp_stream"))
-    return rows.withColumn("is_valid", F.expr(valid))
+    return rows.withColumn("is_valid", F.expr(f"parsed and {valid}")).drop("parsed")
 
 
 def dropped_packets(normalised: DataFrame, capture: str = "capture_id") -> DataFrame:
@@ -199,9 +204,23 @@ def reduce_transport(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return df.withColumn("transport", F.expr("struct(" + ", ".join(f"{show(f)} as {f}" for f in known) + ")"))
 
 
-def field_map(fields: str = "fields") -> str:
-    """SQL map path -> text; several values of one path become a JSON array, in their order."""
-    paths = f"array_distinct(transform({fields}, l -> l.path))"
-    values = f"transform(filter({fields}, l -> l.path = p), l -> l.value)"
-    entry = bound(values, "v", "struct(p as key, if(size(v) = 1, v[0], to_json(v)) as value)")
-    return f"map_from_entries(transform({paths}, p -> {entry}))"
+def _maps(rows: pa.Array) -> pa.Array:
+    offsets, keys, values = [0], [], []
+    for leaves in rows.to_pylist():
+        found: dict[str, list[str]] = {}
+        for leaf in leaves or ():
+            found.setdefault(leaf["path"], []).append(leaf["value"])
+        keys += found
+        values += [v[0] if len(v) == 1 else json.dumps(v, separators=(",", ":"), ensure_ascii=False) for v in found.values()]
+        offsets.append(len(keys))
+    return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
+
+
+def field_map(fields: str = "fields") -> Column:
+    """Map path -> text; several values of one path become a JSON array, in their order.  One pass over the leaves."""
+
+    @F.arrow_udf("map<string,string>")
+    def mapped(rows: pa.Array) -> pa.Array:
+        return _maps(rows)
+
+    return mapped(F.transform(fields, lambda l: F.struct(l["path"].alias("path"), l["value"].alias("value"))))

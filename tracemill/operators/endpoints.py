@@ -142,11 +142,12 @@ def _networks(lookups: Lookups) -> DataFrame | None:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def resolve(endpoints: DataFrame, lookups: Lookups, override: Column | None = None) -> DataFrame:
+def resolve(endpoints: DataFrame, lookups: Lookups, override: Column | None = None, observed_ports: Column | None = None) -> DataFrame:
     """Distinct endpoints (column ``endpoint``) with ``resolved``: ip, hostname, alias, role, site, labels and element columns.
 
     Order: exact address, host name, first network, point code; a role not given there comes
-    from the service port.
+    from the service port.  ``observed_ports`` is an array of further ports of an endpoint; the element type then comes from the
+    first of all its ports, the service port before the others, that a rule mentions.
     """
     none_entry = F.lit(None).cast(ENTRY)
     # few rows beside the packets, read once per lookup: written once
@@ -179,7 +180,14 @@ def resolve(endpoints: DataFrame, lookups: Lookups, override: Column | None = No
     rows = rows.withColumn("name_known", F.coalesce("hostname", "entry.hostname"))
     rows = rows.withColumn("role", F.coalesce("entry.role", lookup(PORT_ROLES, F.col("port"))))
     wanted = F.col("entry.override") if override is None else F.coalesce(override, F.col("entry.override"))
-    rows = detect_elements(rows.withColumn("override", wanted), lookups.elements, addresses)
+    rows = rows.withColumn("override", wanted)
+    if observed_ports is not None:
+        ports = F.concat(F.array("port"), F.coalesce(observed_ports, F.array().cast("array<int>")))
+        rows = rows.withColumn("element_port", first_element_port(ports))
+        rows = rows.withColumn("has_port", F.col("has_port") | (F.size(F.array_compact(ports)) > 0))
+    else:
+        rows = rows.withColumn("element_port", F.col("port"))
+    rows = detect_elements(rows, lookups.elements, addresses)
     return rows.select("endpoint", endpoint_key(F.col("endpoint")).alias("endpoint_key"), _resolved().alias("resolved"))
 
 
@@ -251,7 +259,7 @@ def detect_elements(rows: DataFrame, elements: DataFrame | None, addresses: Data
         ("by_ip", 100, "ip_mapping"),
         ("by_net", 90, "subnet_mapping"),
         (hostname_element("name_known"), 80, "hostname_pattern"),
-        (port_element("port"), 50, "protocol"),
+        (port_element("element_port"), 50, "protocol"),
     ]
     signals = ", ".join(
         f"struct({kind} as type, {confidence} as confidence, '{source}' as source)" for kind, confidence, source in sources
@@ -267,7 +275,7 @@ def detect_elements(rows: DataFrame, elements: DataFrame | None, addresses: Data
         when size(_signals) = 0 then
           struct('unknown' as type, 0 as confidence, 'unknown' as source, cast(null as string) as warning)
         else struct(_signals[0].type as type, _signals[0].confidence as confidence, _signals[0].source as source,
-          if(exists(_signals, s -> s.type <> _signals[0].type), 'Conflicting detection signals', {port_warning("port")}) as warning)
+          if(exists(_signals, s -> s.type <> _signals[0].type), 'Conflicting detection signals', {port_warning("element_port")}) as warning)
     end"""
     active = "true" if elements is not None else "override is not null or name_known is not null or has_port"
     return rows.selectExpr("*", f"if({active}, {detected}, null) as element").drop("_signals", "_override")

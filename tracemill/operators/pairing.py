@@ -75,7 +75,9 @@ def pair_events(events: DataFrame, block_rows: int | None = None) -> DataFrame:
 
     Events are paired by correlation id, or by message name where there is none; responses with an
     id that find no request are then tried by name against the requests still open.  No event is
-    in two pairs.  The narrow keys and the first pairs are written once, since both are read twice.
+    in two pairs.  A rule that goes through the events in order and decides each response at once can differ: there an early response
+    may take a request by name that a later response would match by id.  Here matches by id always come first, which
+    needs no running state per key.  The narrow keys and the first pairs are written once, since both are read twice.
     """
     keyed = cut_lineage(pair_keys(events))
     strict = fifo_pairs(keyed, ["capture_id", "strict_key"], "event_no", "asks", block_rows).drop("strict_key")

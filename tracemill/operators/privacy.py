@@ -6,10 +6,12 @@ become one SQL ``CASE``, the modes another, and only pseudonyms pass through an
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from tracemill.functions import tables
 from tracemill.functions.sqltext import bound
@@ -105,11 +107,9 @@ def _split_at(valid: str, digits: str, length: str, plus: str, country: str) ->
 
 def country_code(digits: str) -> str:
     """SQL text for the calling code that starts ``digits``: longest first, else the first digit."""
-    ranges = " or ".join(
-        f"left({digits}, 3) between '{lo}' and '{hi}'" for lo, hi in (r.split("-") for r in tables.COUNTRY_CODES_3_RANGES)
-    )
+    three = ", ".join(f"'{c}'" for c in tables.COUNTRY_CODES_3)
     two = ", ".join(f"'{c}'" for c in tables.COUNTRY_CODES_2)
-    return f"case when length({digits}) >= 3 and ({ranges}) then left({digits}, 3) when left({digits}, 2) in ({two}) then left({digits}, 2) else left({digits}, 1) end"
+    return f"case when left({digits}, 3) in ({three}) then left({digits}, 3) when left({digits}, 2) in ({two}) then left({digits}, 2) else left({digits}, 1) end"
 
 
 def destination_code(cc: str, national: str, numbering: Numbering) -> str:
@@ -237,6 +237,9 @@ def protect_leaves(
     return rows.drop("_parts", "_in", "_digest", "_key")
 
 
+REPORT = "struct<data_class:string,issued_class:string,original:string,alias:string>"
+
+
 def protect_leaf_lists(
     df: DataFrame,
     leaves: str,
@@ -246,10 +249,15 @@ def protect_leaf_lists(
     numbering: Numbering | None = None,
     key: Column | None = None,
     digest_bytes: int = DIGEST_BYTES,
+    report: str | None = None,
+    keep_places: bool = False,
+    digest_list=blake_hex_list,
 ) -> DataFrame:
     """Protect a column of leaf arrays in place, without taking packets apart.
 
-    Items keep all their fields; only ``value`` changes, and items whose value becomes null go.
+    Items keep all their fields; only ``value`` changes, and items whose value becomes null go, unless ``keep_places`` is set.
+    ``report`` names an array column to which the same pass adds one REPORT for every classified leaf: its class and, where a
+    pseudonym was issued, the class, original and alias of that.
     """
     numbering = numbering or Numbering()
     path = f"concat('{path_prefix}', l.path)"
@@ -268,18 +276,51 @@ def protect_leaf_lists(
     )
     if any("pseudonymize" in m for m in modes.values()):
         inputs = f"transform(_info, i -> {digest_input('i.kind', 'i.leaf.value', 'i.parts', modes)})"
-        rows = rows.withColumn("_digests", blake_hex_list(F.expr(inputs), digest_bytes))
+        rows = rows.withColumn("_digests", digest_list(F.expr(inputs), digest_bytes))
     else:
         rows = rows.withColumn("_digests", F.expr("array_repeat(cast(null as string), size(_info))"))
+    if report is not None:
+        before = f"coalesce({report}, array())" if report in df.columns else f"cast(array() as array<{REPORT}>)"
+        rows = rows.withColumn(report, F.expr(f"concat({before}, {reported(modes)})"))
     value = protected("z._info.kind", "z._info.leaf.value", "z._info.parts", "z._digests", modes, "_key")
     fields = ", ".join(
         f"'{f}', {value if f == 'value' else f'z._info.leaf.{f}'}"
         for f in df.schema[leaves].dataType.elementType.fieldNames()
     )
-    out = f"filter(transform(arrays_zip(_info, _digests), z -> named_struct({fields})), l -> l.value is not null)"
+    out = f"transform(arrays_zip(_info, _digests), z -> named_struct({fields}))"
+    out = out if keep_places else f"filter({out}, l -> l.value is not null)"
     return rows.withColumn(leaves, F.expr(out)).drop("_info", "_digests", "_key")
 
 
+def reported(modes: dict[str, str]) -> str:
+    """SQL text: REPORT of every classified leaf of ``_info`` and ``_digests``."""
+    whole = [c for c, m in modes.items() if m == "pseudonymize"]
+    partial = [c for c, m in modes.items() if "_pseudonymize_" in m and _partial_fits(c, m)]
+    cases = {"issued_class": [], "original": [], "alias": []}
+    for cls in whole:
+        when = f"when z._info.kind = '{cls}' and z._digests is not null then"
+        cases["issued_class"].append(f"{when} '{cls}'")
+        cases["original"].append(f"{when} z._info.leaf.value")
+        cases["alias"].append(f"{when} concat('{cls.upper()}_', z._digests)")
+    for cls in partial:
+        when = f"when z._info.kind = '{cls}' and z._digests is not null then"
+        cases["issued_class"].append(f"{when} '{cls}_suffix'")
+        cases["original"].append(f"{when} concat(z._info.parts.prefix, ':', z._info.parts.suffix)")
+        cases["alias"].append(f"{when} concat('{cls.upper()}_SUFFIX_', z._digests)")
+    show = lambda name: f"case {' '.join(cases[name])} end" if cases[name] else "cast(null as string)"
+    parts = ", ".join(f"'{name}', {show(name)}" for name in cases)
+    known = "filter(arrays_zip(_info, _digests), z -> z._info.kind is not null and z._info.leaf.value is not null)"
+    return f"transform({known}, z -> named_struct('data_class', z._info.kind, {parts}))"
+
+
+def check_key(spark: SparkSession, modes: dict[str, str], key: Column | None) -> None:
+    """Fail before any data is read: the key itself is evaluated once, and must have a usable length."""
+    length = None
+    if key is not None and any("encrypt" in m for m in modes.values()):
+        length = spark.range(1).select(F.octet_length(key)).first()[0]
+    check_modes(modes, None if length is None else "0" * length)
+
+
 # ------------------------------------------------------------------ reports
 def pseudonym_map(classified: DataFrame, modes: dict[str, str], value: str = "value", digest=blake_hex, digest_bytes: int = DIGEST_BYTES) -> DataFrame:
     """Distinct ``(data_class, original, alias)`` of the fully pseudonymised classes."""
@@ -293,6 +334,17 @@ def pseudonym_map(classified: DataFrame, modes: dict[str, str], value: str = "va
     return distinct.withColumn("alias", F.concat(F.upper("data_class"), F.lit("_"), hashed))
 
 
+def issued_pseudonyms(reports: DataFrame, report: str = "report") -> DataFrame:
+    """Distinct ``(data_class, original, alias)`` that the protecting pass issued; partial ones have the class ``<class>_suffix``."""
+    rows = reports.select(F.explode(report).alias("r")).where(F.col("r.alias").isNotNull())
+    return rows.select(F.col("r.issued_class").alias("data_class"), "r.original", "r.alias").distinct()
+
+
+def open_leaves(reports: DataFrame, modes: dict[str, str], report: str = "report", capture: str = "capture_id") -> DataFrame:
+    """Leaves per capture and sensitive class that the protecting pass left in the clear."""
+    return leak_audit(reports.select(capture, F.explode(report).alias("r")).select(capture, "r.data_class"), modes, capture)
+
+
 def pseudonym_audit(mapping: DataFrame) -> DataFrame:
     """Distinct originals per class."""
     return mapping.groupBy("data_class").agg(F.count(F.lit(1)).alias("originals"))
@@ -345,7 +397,8 @@ PACKET_LISTS = {"frame_protocols": "frame_protocols", "transport.notes": "transp
 
 
 def protect_packets(
-    packets: DataFrame, modes: dict[str, str], numbering: Numbering | None = None, key: Column | None = None
+    packets: DataFrame, modes: dict[str, str], numbering: Numbering | None = None, key: Column | None = None,
+    report: str | None = None, digest_list=blake_hex_list,
 ) -> DataFrame:
     """Protect every text of normalised packets: addresses, names, labels, times, notes and message fields.
 
@@ -363,8 +416,8 @@ def protect_packets(
         for side in ("src", "dst")
     )
     rows = packets.withColumn("_texts", F.expr(f"filter(concat(array({texts}), {lists}, {labels}), l -> l.value is not null)"))
-    rows = protect_leaf_lists(rows, "_texts", modes, "top_protocol", "", numbering, key)
-    rows = protect_leaf_lists(rows, "fields", modes, "top_protocol", "message.fields.", numbering, key)
+    rows = protect_leaf_lists(rows, "_texts", modes, "top_protocol", "", numbering, key, report=report, digest_list=digest_list)
+    rows = protect_leaf_lists(rows, "fields", modes, "top_protocol", "message.fields.", numbering, key, report=report, digest_list=digest_list)
     one = lambda path: f"get(filter(_texts, l -> l.path = '{path}'), 0).value"
     many = lambda path: f"transform(filter(_texts, l -> l.path = '{path}'), l -> l.value)"
 
@@ -389,5 +442,68 @@ def protect_packets(
         "top_protocol": one("top_protocol"),
     }
     return rows.select(
-        *[F.expr(out[c]).alias(c) if c in out else F.col(c) for c in packets.columns]
+        *[F.expr(out[c]).alias(c) if c in out else F.col(c) for c in packets.columns], *([report] if report else [])
     )
+
+
+# ------------------------------------------------------------------ results of any shape
+EXEMPT_COLUMNS = ("capture_id", "schema_version", "profile", "privacy_modes")
+
+
+def _leaf(place: int, path: str, value: str) -> str:
+    return f"named_struct('place', {place}, 'path', {path}, 'value', {value}, 'is_text', true)"
+
+
+def _text_places(kind: DataType, sql: str, path: str, places: list[str]) -> str | None:
+    """Add to ``places`` the SQL of the leaves of every text below ``sql``; return SQL that puts the protected texts back, null if there is none."""
+    mine = f"filter(_leaves, l -> l.place = {len(places)})"
+    if isinstance(kind, StringType):
+        places.append(f"array({_leaf(len(places), repr(path), sql)})")
+        return f"get({mine}, 0).value"
+    if isinstance(kind, StructType):
+        parts, found = [], False
+        for f in kind.fields:
+            back = _text_places(f.dataType, f"{sql}.`{f.name}`", f"{path}.{f.name}" if path else f.name, places)
+            found = found or back is not None
+            parts.append(f"'{f.name}', {back or f'{sql}.`{f.name}`'}")
+        return f"if({sql} is null, null, named_struct({', '.join(parts)}))" if found else None
+    if isinstance(kind, MapType) and isinstance(kind.valueType, StringType):
+        below = f"concat('{path}.', e.key)"
+        places.append(f"transform(coalesce(map_entries({sql}), array()), e -> {_leaf(len(places), below, 'e.value')})")
+        # a removed value takes its key with it
+        kept = f"filter(transform(map_keys({sql}), (k, i) -> struct(k as key, {mine}[i].value as value)), x -> x.value is not null)"
+        return f"if({sql} is null, null, map_from_entries({kept}))"
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StringType):
+        places.append(f"transform(coalesce({sql}, array()), v -> {_leaf(len(places), repr(path), 'v')})")
+        return f"if({sql} is null, null, filter(transform({mine}, l -> l.value), v -> v is not null))"
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType):
+        parts, found = [], False
+        for f in kind.elementType.fields:
+            if isinstance(f.dataType, StringType):
+                place, found = len(places), True
+                below = f"{path}.{f.name}"
+                places.append(f"transform(coalesce({sql}, array()), v -> {_leaf(place, repr(below), f'v.`{f.name}`')})")
+                parts.append(f"'{f.name}', get(filter(_leaves, l -> l.place = {place}), i).value")
+            elif isinstance(f.dataType, (StructType, ArrayType, MapType)):
+                raise ValueError(f"{path}.{f.name}: texts in lists of lists are not protected; flatten them first")
+            else:
+                parts.append(f"'{f.name}', v.`{f.name}`")
+        return f"transform({sql}, (v, i) -> named_struct({', '.join(parts)}))" if found else None
+    return None
+
+
+def protect_payload(
+    df: DataFrame, modes: dict[str, str], numbering: Numbering | None = None, key: Column | None = None,
+    report: str | None = None, exempt: Sequence[str] = EXEMPT_COLUMNS, digest_list=blake_hex_list,
+) -> DataFrame:
+    """Protect every text of a result table, whatever its columns: plain, in structs, lists, lists of structs and map values.
+
+    Paths are those of the columns; the ``exempt`` columns stay as they are.  A removed text is null, and leaves its list or map.
+    """
+    places: list[str] = []
+    back = {f.name: _text_places(f.dataType, f"`{f.name}`", f.name, places) for f in df.schema.fields if f.name not in exempt}
+    if not places:
+        return df if report is None else df.withColumn(report, F.expr(f"cast(array() as array<{REPORT}>)"))
+    rows = df.withColumn("_leaves", F.expr(f"concat({', '.join(places)})"))
+    rows = protect_leaf_lists(rows, "_leaves", modes, numbering=numbering, key=key, report=report, keep_places=True, digest_list=digest_list)
+    return rows.select(*[F.expr(back[c]).alias(c) if back.get(c) else F.col(c) for c in df.columns], *([report] if report else []))

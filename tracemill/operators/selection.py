@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.ordering import first_rows
 from tracemill.functions.tables import DETAIL_LIMIT, OVERSIZE_FACTOR
+from tracemill.operators.stats import packets_in
 
 
 def first_packets(
@@ -44,7 +45,7 @@ def grouped(number: Column) -> Column:
 def coverage(available: DataFrame, included: DataFrame, capture: str = "capture_id") -> DataFrame:
     """How much of the capture the detail holds."""
     have = included.groupBy(capture).agg(F.count(F.lit(1)).alias("_included"))
-    both = available.groupBy(capture).agg(F.count(F.lit(1)).alias("detail_packets_available")).join(have, capture, "left")
+    both = available.groupBy(capture).agg(packets_in(available).alias("detail_packets_available")).join(have, capture, "left")
     both = both.select(
         capture,
         F.coalesce("_included", F.lit(0)).alias("detail_packets_included"),
@@ -64,7 +65,7 @@ def oversize(
     df: DataFrame, limit: int = DETAIL_LIMIT, factor: float = OVERSIZE_FACTOR, capture: str = "capture_id"
 ) -> DataFrame:
     """Captures with more than ``limit * factor`` packets, and by how much they exceed the limit."""
-    counted = df.groupBy(capture).agg(F.count(F.lit(1)).alias("total_exported"))
+    counted = df.groupBy(capture).agg(packets_in(df).alias("total_exported"))
     if limit <= 0 or factor <= 0:
         return counted.where(F.lit(False)).withColumn("ratio", F.lit(0.0))
     return counted.where(F.col("total_exported") > limit * factor).withColumn(

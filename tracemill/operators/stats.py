@@ -10,21 +10,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.tables import CONVERSATIONS_KEPT, DNS_NAME_SAMPLE
+from tracemill.session import cut_lineage
 
 CAPTURE = "capture_id"
+PACKETS = "cell_packets"
+
+
+def cells(df: DataFrame, capture: str = CAPTURE, order: str = "frame_no", epoch: str = "time_epoch") -> DataFrame:
+    """One aggregate of the index that counts, spans, protocol sets and name samples all follow from.
+
+    A cell is a (capture, stack, top protocol, transport, lower-cased name) with its packets, first and last frame, and first
+    and last time.  Write it once (``cut_lineage``) and hand it to the functions below in place of the index, which
+    is then scanned once for all of them.
+    """
+    timed = F.when(F.col(epoch).isNotNull(), F.col(order))
+    return df.groupBy(capture, "protocols", "top_protocol", "transport", F.lower("dns_qry_name").alias("dns_qry_name")).agg(
+        F.count(F.lit(1)).alias(PACKETS),
+        F.min(order).alias("first_frame"),
+        F.max(order).alias("last_frame"),
+        F.min(timed).alias("first_timed"),
+        F.min_by(epoch, timed).alias("first_epoch"),
+        F.max(timed).alias("last_timed"),
+        F.max_by(epoch, timed).alias("last_epoch"),
+    )
+
+
+def packets_in(df: DataFrame) -> Column:
+    """The number of packets that rows of an index, or cells, stand for."""
+    return F.sum(PACKETS) if PACKETS in df.columns else F.count(F.lit(1))
+
+
+def _first(df: DataFrame, order: str) -> Column:
+    return F.min("first_frame" if PACKETS in df.columns else order)
 
 
 def protocol_counts(df: DataFrame, capture: str = CAPTURE, top: str = "top_protocol", order: str = "frame_no") -> DataFrame:
     """Packets per top protocol, with the first frame that showed it."""
     return df.groupBy(capture, F.col(top).alias("protocol")).agg(
-        F.count(F.lit(1)).alias("packets"), F.min(order).alias("first_frame")
+        packets_in(df).alias("packets"), _first(df, order).alias("first_frame")
     )
 
 
 def transport_counts(df: DataFrame, capture: str = CAPTURE, transport: str = "transport", order: str = "frame_no") -> DataFrame:
     """Packets per transport; packets without one count as ``ip``."""
     return df.groupBy(capture, F.coalesce(F.col(transport), F.lit("ip")).alias("transport")).agg(
-        F.count(F.lit(1)).alias("packets"), F.min(order).alias("first_frame")
+        packets_in(df).alias("packets"), _first(df, order).alias("first_frame")
     )
 
 
@@ -95,6 +125,14 @@ def relevant_protocols(counts: DataFrame, relevant: list[str]) -> DataFrame:
 
 def span(df: DataFrame, capture: str = CAPTURE, order: str = "frame_no", epoch: str = "time_epoch") -> DataFrame:
     """Packet count, and first and last packet and time in export order (not the smallest or largest time)."""
+    if PACKETS in df.columns:
+        return df.groupBy(capture).agg(
+            packets_in(df).alias("packet_count"),
+            F.min("first_frame").alias("first_packet_number"),
+            F.max("last_frame").alias("last_packet_number"),
+            F.min_by("first_epoch", "first_timed").alias("first_seen_epoch"),
+            F.max_by("last_epoch", "last_timed").alias("last_seen_epoch"),
+        )
     timed = F.when(F.col(epoch).isNotNull(), F.col(order))
     return df.groupBy(capture).agg(
         F.count(F.lit(1)).alias("packet_count"),
@@ -116,7 +154,7 @@ def dns_names(
     first = (
         df.where(F.col(name) != "")
         .groupBy(capture, F.lower(name).alias("name"))
-        .agg(F.min(order).alias("first_frame"))
+        .agg(_first(df, order).alias("first_frame"))
     )
     return top_per_capture(first, limit, F.col("first_frame"), F.col("name"), capture=capture).drop("rank")
 
@@ -129,7 +167,8 @@ def sorted_lists(df: DataFrame, value: str, out: str, capture: str = CAPTURE) ->
 def capture_meta(
     df: DataFrame, relevant: list[str], capture: str = CAPTURE
 ) -> DataFrame:
-    """One row per capture: span, protocol sets and the sampled names."""
+    """One row per capture: span, protocol sets and the sampled names; one scan of the index."""
+    df = df if PACKETS in df.columns else cut_lineage(cells(df, capture))
     counts = protocol_counts(df, capture)
     empty = F.array().cast("array<string>")
     meta = (

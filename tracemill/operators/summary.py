@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.ordering import first_rows
+from tracemill.operators.privacy import protect_payload
 from tracemill.operators.stats import observed_protocols
 
 SLOW_P95_MS = 500
@@ -106,6 +107,15 @@ def summary_rows(
     )
 
 
+def with_audit(summary: DataFrame, dropped: DataFrame, reports: DataFrame) -> DataFrame:
+    """Add ``dropped_packets`` and ``privacy_audit`` (distinct pseudonymised values per class) to summary rows; null where there is none."""
+    issued = reports.select("capture_id", F.explode("report").alias("r")).where("r.alias is not null")
+    per_class = issued.select("capture_id", "r.issued_class", "r.original").distinct().groupBy("capture_id", "issued_class").agg(F.count(F.lit(1)).alias("n"))
+    audit = per_class.groupBy("capture_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("issued_class", "n")))).alias("privacy_audit"))
+    lost = dropped.where("dropped_packets > 0").select("capture_id", "dropped_packets")
+    return summary.join(lost, "capture_id", "left").join(audit, "capture_id", "left")
+
+
 def quality_warnings(summary: DataFrame, pseudonyms: bool = False, size_guard: bool = True, oversize_guard: bool = True) -> DataFrame:
     """(capture_id, code, message) of what a reader of the result should know."""
     rules = [
@@ -121,7 +131,12 @@ def quality_warnings(summary: DataFrame, pseudonyms: bool = False, size_guard: b
 
 
 def excerpt(messages: DataFrame, max_messages: int, order: str = "packet_no", key: str = "capture_id") -> DataFrame:
-    """First messages of each capture as one JSON array, with how many there are."""
+    """First messages of each capture as one JSON array, with how many there are.
+
+    A row holds at most ``max_messages`` of them; whoever wants all messages takes the rows themselves.
+    """
+    if max_messages <= 0:
+        raise ValueError("an excerpt needs a limit above 0")
     available = messages.groupBy(key).agg(F.count(F.lit(1)).alias("available_messages"))
     row = F.struct(F.col(order).alias("_o"), F.struct(*[c for c in messages.columns if c != key]).alias("_m"))
     chosen = first_rows(messages, [key], order, max_messages).groupBy(key).agg(
@@ -133,6 +148,24 @@ def excerpt(messages: DataFrame, max_messages: int, order: str = "packet_no", ke
     )
 
 
+# What a handed-over summary holds.
+HANDOFF_FIELDS = """
+profile relevant_protocols conversations packet_message_counts anomalies anomaly_counts_by_layer deterministic_findings
+probable_notable_findings coverage timing_stats burst_periods privacy_modes
+""".split()
+
+
+def handoff(summary: DataFrame, excerpts: DataFrame, modes: dict[str, str], numbering=None, key=None) -> DataFrame:
+    """(capture_id, summary, excerpt columns): the fields of a summary that are handed over, protected again, as one JSON text.
+
+    Fields that are tables of their own here (anomalies, bursts) are left out of the text when the rows do not carry them.
+    """
+    kept = summary.select("capture_id", *[c for c in HANDOFF_FIELDS if c in summary.columns])
+    hidden = protect_payload(kept, modes, numbering, key)
+    text = hidden.select("capture_id", F.to_json(F.struct(*[c for c in hidden.columns if c != "capture_id"])).alias("summary"))
+    return text.join(excerpts, "capture_id", "left")
+
+
 def status_counts(results: DataFrame) -> DataFrame:
     """Captures per status, with the grand total."""
     return results.groupBy("status").agg(F.count(F.lit(1)).alias("captures")).withColumn(

@@ -190,6 +190,7 @@ LEAVES = f"""
 leaves AS (
   SELECT 'documents' AS capture_id, CAST(doc_id AS VARCHAR) AS leaf, text AS value, 'value' AS how FROM documents
   UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), url, 'value' FROM pages
+  UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), html, 'value' FROM pages
   UNION ALL SELECT 'conversations', conv_id || '-' || turn, text, CASE WHEN turn % 2 = 0 THEN 'body' ELSE 'value' END FROM conversations
   UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), c_name, 'host' FROM customer
   UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name, 'realm' FROM supplier
@@ -204,6 +205,13 @@ ORACLE["protect_share"] = f"""
 WITH {LEAVES} SELECT capture_id, leaf, md5(CASE WHEN data_class IN ('ip', 'hostname', 'diameter_identity') THEN {ALIAS}
   WHEN data_class IN ('email', 'uri', 'payload_text') THEN '[redacted]' ELSE value END) AS protected
 FROM cls WHERE data_class IS DISTINCT FROM 'token'"""
+ORACLE["protect_deep"] = f"""
+WITH leaves AS (SELECT 'documents' AS capture_id, CAST(doc_id AS VARCHAR) AS leaf, text AS value FROM documents
+  UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), html FROM pages),
+cls AS (SELECT *, {VALUE_CLASS} AS data_class FROM leaves WHERE value IS NOT NULL)
+SELECT capture_id, leaf, 20 AS depth, md5(CASE WHEN data_class = 'ip' THEN {ALIAS}
+  WHEN data_class IN ('email', 'uri', 'payload_text') THEN '[redacted]' ELSE value END) AS protected
+FROM cls WHERE data_class IS DISTINCT FROM 'token'"""
 ORACLE["protect_lab"] = f"""
 WITH {LEAVES} SELECT capture_id, data_class, count(*) AS leaves, count(*) FILTER (WHERE data_class = 'uri' OR value = '[redacted]') AS masked
 FROM cls WHERE data_class IS NULL OR data_class NOT IN ('email', 'token', 'payload_text', 'diameter_identity') GROUP BY 1, 2"""
@@ -297,6 +305,22 @@ UNION ALL SELECT capture_id, 'http2', 'http2.http2.headers.status', 2, false, tr
 UNION ALL SELECT capture_id, 'http2', 'http2.http2.streamid', 2, false, true, CAST(k % 6 AS VARCHAR) FROM pk WHERE event_type = 'purchase'
 UNION ALL SELECT capture_id, 's1ap', 's1ap.s1ap.procedureCode', 2, false, true, CAST(k % 50 AS VARCHAR) FROM pk WHERE event_type = 'signup'
 UNION ALL SELECT capture_id, 's1ap', 's1ap.s1ap.nas_pdu_tree.nas_eps.message_type', 3, false, true, CASE k % 4 WHEN 0 THEN '0x41' WHEN 1 THEN '0x42' WHEN 2 THEN '67' ELSE '0x99' END FROM pk WHERE event_type = 'signup'"""
+ORACLE["packet_rejects"] = packets("""
+, bad AS (SELECT capture_id, packet_no % 17 = 3 OR packet_no % 19 = 4 OR packet_no % 23 = 5 AS rejected FROM pk)
+SELECT capture_id, count(*) FILTER (WHERE NOT rejected) AS kept, count(*) FILTER (WHERE rejected) AS rejected FROM bad GROUP BY 1""")
+ORACLE["packet_pseudonyms"] = packets(f"""
+, leaves AS ({LEAF_ROWS}),
+seen(data_class, original, prefix) AS (
+  SELECT DISTINCT 'ip', ip, 'IP_' FROM (SELECT src_ip AS ip FROM pk UNION SELECT dst_ip FROM pk)
+  UNION SELECT 'ip', 'node-' || ip, 'IP_' FROM (SELECT src_ip AS ip FROM pk UNION SELECT dst_ip FROM pk)
+  UNION SELECT 'hostname', value, 'HOSTNAME_' FROM leaves WHERE top = 'dns'
+  UNION SELECT 'apn_dnn', value, 'APN_DNN_' FROM leaves WHERE path = 'gtpv2.gtpv2.apn'
+  UNION SELECT 'imsi_suffix', '26201:' || substr(value, 6), 'IMSI_SUFFIX_' FROM leaves WHERE path LIKE '%e212.imsi')
+SELECT data_class, original, prefix || left(sha256(data_class || ':' || original), 8) AS alias FROM seen""")
+ORACLE["packet_leaks"] = packets("""
+SELECT capture_id, 'ip' AS data_class, 6 * count(*) AS leaves FROM pk GROUP BY 1
+UNION ALL SELECT capture_id, 'imsi', count(*) FROM pk WHERE event_type = 'view' GROUP BY 1
+UNION ALL SELECT capture_id, 'hostname', 5 * count(*) + count(*) FILTER (WHERE answer) FROM pk WHERE event_type = 'error' GROUP BY 1""")
 ORACLE["packet_leaves"] = packets(f"""
 , leaves AS ({LEAF_ROWS})
 SELECT capture_id, top, path, depth, in_list, is_text, count(*) AS leaves, min(value) AS smallest, count(DISTINCT value) AS values
@@ -578,7 +602,7 @@ UNION ALL SELECT capture_id, 'pseudonym_mapping_created', 'a pseudonym mapping s
 ORACLE["message_excerpt"] = """
 WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
 SELECT conv_id AS capture_id, least(min(n), 3) AS included_messages, min(n) AS available_messages, min(n) > 3 AS detail_excerpt_truncated,
-  '[' || string_agg('{"packet_no":' || turn || ',"role":"' || role || '"}', ',' ORDER BY turn) FILTER (WHERE rn <= 3) || ']' AS messages FROM t GROUP BY 1"""
+  '[' || string_agg('{"packet_no":' || turn || ',"role":"' || role || '"' || coalesce(',"text":' || CAST(to_json(text) AS VARCHAR), '') || '}', ',' ORDER BY turn) FILTER (WHERE rn <= 3) || ']' AS messages FROM t GROUP BY 1"""
 ORACLE["artifact_names"] = """
 SELECT event_id, 'analyze_' || event_type || '_' || user_id || '_.._k_' || CAST(json_extract_string(props, '$.k') AS INTEGER) || '_' ||
   CASE WHEN event_id % 3 = 0 THEN 'start_' || event_id ELSE strftime(ts, '%Y%m%d_%H%M%S') END AS prefix FROM events"""

@@ -16,7 +16,7 @@ from tracemill.plans import views
 from tracemill.session import cut_lineage
 from tracemill.sources import index as index_source
 from tracemill.sources import packets as packet_source
-from tracemill.functions.pseudonym import sha_hex
+from tracemill.functions.pseudonym import sha_hex, sha_hex_list
 from tracemill.functions.tables import PRIVACY_PROFILES
 from tracemill.sources.profiles import builtin_profiles
 
@@ -278,13 +278,13 @@ def element_overview(spark, sf_dir):
 # ------------------------------------------------------------------ privacy
 def text_leaves(spark, sf_dir):
     """Every text of the tables as a leaf with a path."""
-    read = lambda name, key: views.spread(views.table(spark, sf_dir, name), key) if name in ("documents", "pages") else views.table(spark, sf_dir, name)
-    part = lambda name, key, path, value: read(name, key).selectExpr(
+    part = lambda name, key, path, value: views.table(spark, sf_dir, name).selectExpr(
         f"'{name}' as capture_id", f"cast({key} as string) as leaf", f"{path} as path", f"{value} as value"
     )
     return (
         part("documents", "doc_id", "'message.fields.note'", "text")
         .unionByName(part("pages", "page_id", "'message.fields.link'", "url"))
+        .unionByName(part("pages", "page_id", "'message.fields.page'", "html"))
         .unionByName(part("conversations", "concat(conv_id, '-', turn)", "if(turn % 2 = 0, 'message.body', 'message.fields.info')", "text"))
         .unionByName(part("customer", "c_custkey", "'message.fields.origin-host'", "c_name"))
         .unionByName(part("supplier", "s_suppkey", "'message.fields.diameter.origin_realm'", "s_name"))
@@ -379,6 +379,19 @@ def leak_audit(spark, sf_dir):
     return pv.leak_audit(classified_leaves(spark, sf_dir), PRIVACY_PROFILES["lab"])
 
 
+@query
+def protect_deep(spark, sf_dir):
+    """Whole texts and pages below twenty nested keys: depth must not change what is protected."""
+    tree = lambda name, key, value: views.table(spark, sf_dir, name).selectExpr(
+        f"'{name}' as capture_id", f"cast({key} as string) as id",
+        f"concat(repeat('{{\"z\":', 19), to_json(named_struct('note', {value})), repeat('}}', 19)) as layers",
+    )
+    packets = tree("documents", "doc_id", "text").unionByName(tree("pages", "page_id", "html"))
+    leaves = packet_source.leaf_table(packet_source.with_leaves(packets), "capture_id", "id")
+    out = pv.protect_leaves(pv.classify_leaves(leaves, is_text="is_text"), PRIVACY_PROFILES["share"], digest=sha_hex)
+    return out.select("capture_id", F.col("id").alias("leaf"), "depth", F.md5("protected").alias("protected"))
+
+
 @query
 def canonical_classes(spark, sf_dir):
     return pv.canonical_rollup(classified_leaves(spark, sf_dir))
@@ -393,6 +406,17 @@ def normal_packets(spark, sf_dir, profile="lte-core"):
     return decode.normalise(opened_packets(spark, sf_dir), builtin_profiles()[profile])
 
 
+@query
+def packet_rejects(spark, sf_dir):
+    """Packet lines of the trace, some of them cut short, without layers, or with layers that are no object."""
+    line = (
+        "case when frame_no % 17 = 3 then left(layers, length(layers) - 2) when frame_no % 19 = 4 then '{\"_source\":{}}'"
+        " when frame_no % 23 = 5 then '{\"_source\":{\"layers\":\"text\"}}' else concat('{\"_source\":{\"layers\":', layers, '}}') end as value"
+    )
+    numbered = views.trace_packets(spark, sf_dir, "frame_no")
+    return packet_source.reject_counts(*packet_source.parse_packets(numbered.selectExpr("capture_id", line)))
+
+
 @query
 def packet_leaves(spark, sf_dir):
     """Leaves of all packets, counted per layer and path with the digits of list positions left out."""
@@ -413,14 +437,14 @@ def normalised_packets(spark, sf_dir):
 
 @query
 def message_fields(spark, sf_dir):
-    rows = normal_packets(spark, sf_dir).select("capture_id", "packet_no", F.explode(F.expr(decode.field_map())).alias("path", "value"))
+    rows = normal_packets(spark, sf_dir).select("capture_id", "packet_no", F.explode(decode.field_map()).alias("path", "value"))
     return rows.groupBy("capture_id", "path").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
 
 
 @query
 def verbatim_fields(spark, sf_dir):
     rows = normal_packets(spark, sf_dir, "lte-s6a").where("top_protocol = 'diameter'")
-    rows = rows.select("capture_id", "packet_no", F.explode(F.expr(decode.field_map())).alias("path", "value"))
+    rows = rows.select("capture_id", "packet_no", F.explode(decode.field_map()).alias("path", "value"))
     return rows.groupBy("capture_id", "path").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
 
 
@@ -545,7 +569,7 @@ def mix_parts(spark, sf_dir):
     df = views.mix_index(spark, sf_dir)
     totals = df.groupBy("capture_id").agg(F.count("*").alias("total_packets"))
     peers = df.where("name is not null").select("capture_id", "name", "role").distinct()
-    dns = peers.where("capture_id like '%2'").select("capture_id", "name")
+    dns = peers.select("capture_id", "name").distinct()
     return totals, stats.protocol_counts(df), stats.transport_counts(df), stats.raw_protocols(df), peers, dns
 
 
@@ -658,18 +682,23 @@ def findings(spark, sf_dir):
     return summary.findings(layers, stats.protocol_counts(df), gaps, runs)
 
 
-@query
-def capture_summary(spark, sf_dir):
-    df = lte_index(spark, sf_dir)
+def summary_of(df, modes):
+    """Summary rows of an index: four scans, for the cells, the conversations, the detail window and the anomalies."""
     profile = builtin_profiles()["lte-core"]
-    chosen = selection.first_packets(df, FIRST_N)
+    base = cut_lineage(stats.cells(df))
+    chosen = cut_lineage(selection.first_packets(df.select("capture_id", "frame_no", "time_rel_ms", "top_protocol"), FIRST_N))
     counts = stats.protocol_counts(chosen)
-    layers = an.anomaly_counts(an.all_anomalies(df, "lte-core"))
+    layers = cut_lineage(an.anomaly_counts(an.all_anomalies(df, profile.name)))
     gaps, runs = timing.gap_stats(chosen, ["capture_id"]), timing.bursts(chosen, ["capture_id"], max_gap=BURST_GAP)
-    rows = summary.summary_rows(
-        stats.capture_meta(df, profile.relevant), stats.top_conversations(stats.conversations(df)), counts, stats.transport_counts(df),
-        layers, summary.findings(layers, counts, gaps, runs), selection.coverage(df, chosen), gaps, profile.name, PRIVACY_PROFILES["share"],
+    return summary.summary_rows(
+        stats.capture_meta(base, profile.relevant), stats.top_conversations(stats.conversations(df)), counts, stats.transport_counts(base),
+        layers, summary.findings(layers, counts, gaps, runs), selection.coverage(base, chosen), gaps, profile.name, modes,
     )
+
+
+@query
+def capture_summary(spark, sf_dir):
+    rows = summary_of(lte_index(spark, sf_dir), PRIVACY_PROFILES["share"])
     pairs = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
     return rows.select(
         "capture_id", "packet_message_counts.total_packets", pairs("packet_message_counts.top_protocols").alias("top_protocols"),
@@ -691,7 +720,7 @@ def quality_warnings(spark, sf_dir):
 
 @query
 def message_excerpt(spark, sf_dir):
-    turns = views.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("capture_id"), F.col("turn").alias("packet_no"), "role")
+    turns = views.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("capture_id"), F.col("turn").alias("packet_no"), "role", "text")
     return summary.excerpt(turns, 3)
 
 
@@ -739,3 +768,32 @@ def protected_packets(spark, sf_dir):
         F.col("src.alias").alias("src_alias"), F.col("dst.labels")["zone"].alias("dst_zone"), "transport.stream",
         F.expr("array_join(transform(fields, l -> concat(l.path, '=', l.value)), ';')").alias("fields"),
     )
+
+
+def reported_packets(spark, sf_dir, modes):
+    """Packets with what the protecting pass issued and found."""
+    end = lambda s: F.expr(f"struct({s}_ip as ip, concat('node-', {s}_ip) as hostname, 'core' as alias, 'mme' as role, cast(null as string) as site, map('zone', {s}_ip) as labels)")
+    packets = normal_packets(spark, sf_dir).withColumn("src", end("src")).withColumn("dst", end("dst"))
+    return pv.protect_packets(packets, modes, report="report", digest_list=sha_hex_list)
+
+
+@query
+def packet_pseudonyms(spark, sf_dir):
+    modes = {"ip": "pseudonymize", "hostname": "pseudonymize", "apn_dnn": "pseudonymize", "imsi": "keep_mcc_mnc_pseudonymize_msin", "payload_text": "mask"}
+    return pv.issued_pseudonyms(reported_packets(spark, sf_dir, modes))
+
+
+@query
+def packet_leaks(spark, sf_dir):
+    modes = {**PRIVACY_PROFILES["internal"], "apn_dnn": "mask"}
+    return pv.open_leaves(reported_packets(spark, sf_dir, modes), modes)
+
+
+@query
+def protected_summary(spark, sf_dir):
+    """The conversations of the summary rows, protected like every text of a summary."""
+    modes = {**PRIVACY_PROFILES["share"], "payload_text": "remove"}
+    hidden = pv.protect_payload(summary_of(lte_index(spark, sf_dir), modes), modes, digest_list=sha_hex_list)
+    return hidden.select(
+        "capture_id", F.col("capture_metadata.first_seen_epoch").alias("first_seen"), F.posexplode("conversations").alias("place", "c")
+    ).select("capture_id", "first_seen", "place", "c.transport", "c.src", "c.dst", "c.packet_count")

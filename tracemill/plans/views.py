@@ -25,12 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when the input has fewer splits than that, as a single small file has."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def by_type(values: dict) -> str:
     """SQL case over the event type."""
     show = lambda v: str(v) if isinstance(v, int) else f"'{v}'"
@@ -93,8 +87,8 @@ def text(sql: str) -> str:
     return f"concat('\"', {sql}, '\"')"
 
 
-def trace_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as full packets ``(capture_id, layers)``: requests for even ``k``, answers for odd ``k``."""
+def trace_packets(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """``events`` as full packets ``(capture_id, layers)`` and columns to ``keep``: requests for even ``k``, answers for odd ``k``."""
     answer, only = "k % 2 = 1", lambda kind, value: f"if(event_type = '{kind}', {value}, null)"
     client, server = "concat('10.0.0.', user_id % 12 + 1)", "concat('192.168.0.', k % 3 + 1)"
     src, dst = f"if({answer}, {server}, {client})", f"if({answer}, {client}, {server})"
@@ -210,7 +204,7 @@ def trace_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         ),
     )
-    return spread(trace_base(spark, sf_dir), "frame_no").select("capture_id", F.expr(layers).alias("layers"))
+    return trace_base(spark, sf_dir).select("capture_id", *keep, F.expr(layers).alias("layers"))
 
 
 # ------------------------------------------------------------------ lookup tables

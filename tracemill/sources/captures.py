@@ -6,19 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions.tables import INPUT_LIMIT_MIB
-from tracemill.sources.index import capture_id_of
+from tracemill.sources.index import capture_key
+
+LARGEST_VALUE = (1 << 31) - 16  # bytes; Spark refuses longer binary values
 
 
 def capture_files(spark: SparkSession, path: str) -> DataFrame:
     """(capture_id, path, bytes) of all files; the content is not read."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(capture_id_of(F.col("path")).alias("capture_id"), "path", F.col("length").alias("bytes"))
+    return files.select(capture_key(F.col("path"), path).alias("capture_id"), "path", F.col("length").alias("bytes"))
 
 
 def capture_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file; Spark reads a file of up to 2 GB as one value."""
+    """SHA-256 of each file, null for files above LARGEST_VALUE, which no row can hold.
+
+    The filter on the length reaches the source, so the content of a larger file is never read.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(capture_id_of(F.col("path")).alias("capture_id"), F.sha2("content", 256).alias("capture_sha256"))
+    key = capture_key(F.col("path"), path).alias("capture_id")
+    small = files.where(F.col("length") <= LARGEST_VALUE).select(key, F.sha2("content", 256).alias("capture_sha256"))
+    return small.unionAll(files.where(F.col("length") > LARGEST_VALUE).select(key, F.lit(None).cast("string")))
 
 
 def too_large(files: DataFrame, limit_mib: int = INPUT_LIMIT_MIB) -> DataFrame:

@@ -1,10 +1,12 @@
 """Packet-index exports: one text line per packet, columns separated by ``|``.
 
-One file is one capture; its name without folder and extensions is the ``capture_id``.
+One file is one capture; its path below the folder that was read, without extension, is the ``capture_id``.
 """
 
 from __future__ import annotations
 
+import pathlib
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +22,33 @@ gtpv2_seq_no gtpv2_cause dns_qry_name
 """.split()
 
 
-def capture_id_of(path: Column) -> Column:
-    """File name without folder and last extension."""
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+def capture_key(path: Column, root: str | Sequence[str]) -> Column:
+    """Path of a file below the folder it was read from, without its last extension.
+
+    Files of one name in two folders are two captures.  Of several roots the longest that fits counts, and a file
+    that was named itself, or by a pattern, keeps the part of its path behind the last folder without a wildcard.
+    """
+    plain = F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    below = F.lit(None).cast("string")
+    for folder in sorted({fixed_folder(r) for r in ([root] if isinstance(root, str) else root)}, key=len):
+        below = F.when(F.startswith(plain, F.lit(folder)), F.substring(plain, len(folder) + 1, 1 << 20)).otherwise(below)
+    below = F.coalesce(below, F.ltrim(plain, F.lit("/")))
+    return F.regexp_replace(below, r"\.[^./]*$", "")
+
+
+def fixed_folder(root: str) -> str:
+    """The folder that a path or pattern lies in, with a slash at its end and without scheme and host."""
+    plain = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root)
+    if not plain.startswith("/") and "://" not in root:
+        plain = str(pathlib.PurePosixPath(pathlib.Path.cwd().as_posix()) / plain)
+    parts = plain.split("/")
+    for place, part in enumerate(parts):
+        if re.search(r"[*?\[{]", part):
+            return "/".join(parts[:place]).rstrip("/") + "/"
+    # a last part with an extension is a file
+    if "." in parts[-1]:
+        parts = parts[:-1]
+    return "/".join(parts).rstrip("/") + "/"
 
 
 def parse_index(lines: DataFrame, fields: Sequence[str] = INDEX_FIELDS, line: str = "value") -> DataFrame:
@@ -97,15 +123,15 @@ def protocol_stack(text: Column) -> Column:
 
 
 def read_index(
-    spark: SparkSession, path: str | Sequence[str], fields: Sequence[str] = INDEX_FIELDS
+    spark: SparkSession, path: str | Sequence[str], fields: Sequence[str] = INDEX_FIELDS, root: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Index rows and rejected lines ``(capture_id, line)`` of all files under ``path``.
 
     Blank lines are neither.  Both results come from the same scan expression; land the index
-    as Parquet partitioned by ``capture_id`` when it is read more than once.
+    with ``sinks.write_index`` when it is read more than once.  ``root`` is the folder that capture ids are relative to.
     """
     lines = spark.read.text(path).where(clean(F.col("value")).isNotNull())
-    parsed = parse_index(lines.select(capture_id_of(F.col("_metadata.file_path")).alias("capture_id"), "value"), fields)
+    parsed = parse_index(lines.select(capture_key(F.col("_metadata.file_path"), path if root is None else root).alias("capture_id"), "value"), fields)
     return keep_valid(parsed), parsed.where(~F.col("is_valid")).select("capture_id", "line")
 
 

@@ -6,6 +6,7 @@ them give plain DataFrames, so a lookup can as well come from a table.
 
 from __future__ import annotations
 
+import warnings
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,8 +106,21 @@ def check_element_types(rows: DataFrame) -> DataFrame:
     return canonical.selectExpr("ord", "kind", "value", "element_type", problem)
 
 
-def read_element_types(spark: SparkSession, path: str) -> DataFrame:
-    """``(ord, kind, value, element_type)`` from a strict CSV; one bad row rejects the file."""
+def read_element_types(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """``(ord, kind, value, element_type)`` from a CSV.  A bad row rejects the file.
+
+    ``strict`` raises then; otherwise the file counts as empty and a warning says why, so that a run goes on without it.
+    """
+    try:
+        return _element_types(spark, path)
+    except ValueError as problem:
+        if strict:
+            raise
+        warnings.warn(f"{path} is left out: {problem}", stacklevel=2)
+        return spark.createDataFrame([], "ord int, kind string, value string, element_type string")
+
+
+def _element_types(spark: SparkSession, path: str) -> DataFrame:
     header = "type,value,network_element_type"
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("ord", "line"))
     first = lines.where("ord = 0").select(F.sort_array(F.split("line", ",")).alias("names")).first()

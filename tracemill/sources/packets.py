@@ -1,99 +1,163 @@
 """Full packets: one JSON tree per packet, kept in its row as an array of leaves.
 
-A leaf is one scalar with its place in the tree.  The tree is opened level by level with built-in
-JSON functions inside the row, so nothing is shuffled and no Python runs.  Repeated keys stay
-separate leaves in their order, which is the list they stand for.
+A leaf is one scalar with its place in the tree.  An Arrow function parses the text of a batch of packets
+once, in one pass over each tree of any depth, so nothing is shuffled and no value is left unopened.  Repeated
+keys stay separate leaves in their order, which is the list they stand for.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.functions.sqltext import bound, select_once
-from tracemill.sources.index import capture_id_of
+from tracemill.sources.index import capture_key
+
+LEAF = (
+    "struct<pos:array<int>,top:string,second:string,path:string,key:string,depth:int,top_list:boolean,under_list:boolean,"
+    "in_list:boolean,value:string,is_text:boolean>"
+)
+FRAME_NUMBER = "$['frame']['frame.number']"
+
+
+class _Members(list):
+    """The (key, value) pairs of an object, repeated keys included."""
+
+
+class _Literal(str):
+    """A number as it is written."""
+
+
+_TREE = json.JSONDecoder(object_pairs_hook=_Members, parse_int=_Literal, parse_float=_Literal, parse_constant=_Literal, strict=False)
+
+
+def _leaves_of(tree: _Members) -> list[tuple]:
+    """Leaves of a packet in document order, as tuples in the order of LEAF."""
+    out: list[tuple] = []
+    # what is still to open: value, pos, top, second, path, key, depth, top_list, under_list, in_list
+    stack: list[tuple] = [(tree, (), None, None, "", "", 0, False, False, False)]
+    while stack:
+        value, pos, top, second, path, key, depth, top_list, under_list, in_list = stack.pop()
+        if isinstance(value, _Members):
+            names = [name for name, _ in value]
+            repeated = {n for n in names if names.count(n) > 1} if len(set(names)) < len(names) else ()
+            layer_listed = in_list if depth == 1 else top_list
+            below = under_list or in_list
+            opened = []
+            for n, (name, member) in enumerate(value):
+                if depth == 0:
+                    place = (name, None, name)
+                else:
+                    place = (top, name if second is None else second, f"{path}.{name}")
+                opened.append((member, (*pos, n), *place, name, depth + 1, layer_listed, below, name in repeated))
+            stack.extend(reversed(opened))
+        elif isinstance(value, list):
+            stack.extend((v, (*pos, n), top, second, path, key, depth, top_list, under_list, True) for n, v in reversed(list(enumerate(value))))
+        elif value is not None and depth > 0:
+            is_text = isinstance(value, str) and not isinstance(value, _Literal)
+            text = value if isinstance(value, str) else "true" if value else "false"
+            out.append((pos, top, second, path, key, depth, top_list, under_list, in_list, str(text), is_text))
+    return out
+
+
+def _strings(values: list[str | None]) -> pa.Array:
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:  # half of a surrogate pair in the export
+        return pa.array([None if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
+
+
+def _leaf_array(texts: list[str | None]) -> pa.Array:
+    offsets, rows, absent = [0], [], []
+    for text in texts:
+        found = None
+        try:
+            tree = _TREE.decode(text) if text is not None else None
+            found = _leaves_of(tree) if isinstance(tree, _Members) else None
+        except (ValueError, RecursionError):
+            found = None
+        absent.append(found is None)
+        rows += found or ()
+        offsets.append(len(rows))
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 11
+    pos_ends = [0]
+    for pos in columns[0]:
+        pos_ends.append(pos_ends[-1] + len(pos))
+    flat = pa.array([n for pos in columns[0] for n in pos], pa.int32())
+    fields = [pa.ListArray.from_arrays(pa.array(pos_ends, pa.int32()), flat)]
+    fields += [_strings(list(c)) for c in columns[1:5]]
+    fields += [pa.array(columns[5], pa.int32()), *(pa.array(c, pa.bool_()) for c in columns[6:9]), _strings(list(columns[9])), pa.array(columns[10], pa.bool_())]
+    names = [f.split(":")[0] for f in LEAF[len("struct<") : -1].replace("array<int>", "").split(",")]
+    items = pa.StructArray.from_arrays(fields, names)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items, mask=pa.array(absent))
+
+
+def leaves_of(layers: Column) -> Column:
+    """The leaves of a JSON object; null where the text is no complete object."""
+
+    @F.arrow_udf(f"array<{LEAF}>")
+    def opened(texts: pa.Array) -> pa.Array:
+        return _leaf_array(texts.to_pylist())
+
+    return opened(layers)
+
+
+RECORD = "_source struct<layers: string>, _corrupt string"
+
+
+def _sorted_out(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Packets and rejects of (capture_id, layers, record); ``record`` is set where the text is no JSON."""
+    # layers that are an object are a text that starts with a brace
+    sound = F.col("record").isNull() & F.coalesce(F.startswith("layers", F.lit("{")), F.lit(False))
+    number = F.get_json_object("layers", FRAME_NUMBER).try_cast("bigint")
+    packets = rows.where(sound).select("capture_id", number.alias("frame_no"), "layers")
+    return packets, rows.where(~sound).select("capture_id", F.coalesce("record", "layers", F.lit("")).alias("record"))
+
+
+def parse_packets(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Packets ``(capture_id, frame_no, layers)`` and rejects ``(capture_id, record)`` of ``(capture_id, value)`` lines."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    rows = lines.select("capture_id", F.from_json(line, RECORD, options).alias("r"))
+    return _sorted_out(rows.select("capture_id", F.col("r._source.layers").alias("layers"), F.col("r._corrupt").alias("record")))
+
+
+def read_packets(spark: SparkSession, path: str | Sequence[str], json_array: bool = False, root: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Packets ``(capture_id, frame_no, layers)`` and rejected records ``(capture_id, record)``.
+
+    Files hold one packet object per line; a line that is no such object, or has no layers, is rejected, and ``reject_counts`` tells
+    how many there are.  ``json_array`` reads files that are one JSON array each; such a file is read by one task, so
+    large captures belong into line files, which Spark splits.  ``root`` is the folder that capture ids are relative to.
+    """
+    capture = capture_key(F.col("_metadata.file_path"), path if root is None else root).alias("capture_id")
+    if not json_array:
+        lines = spark.read.text(path).select(capture, "value").where(F.trim("value") != "")
+        return parse_packets(lines)
+    options = {"multiLine": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    rows = spark.read.schema(RECORD).options(**options).json(path)
+    return _sorted_out(rows.select(capture, F.col("_source.layers").alias("layers"), F.col("_corrupt").alias("record")))
 
-MAX_DEPTH = 12
-# code points that no text uses: start of a JSON string, escaped backslash, escaped quote
-TEXT_MARK, BACKSLASH_MARK, QUOTE_MARK = "﷐", "﷑", "﷒"
 
+def reject_counts(packets: DataFrame, rejects: DataFrame) -> DataFrame:
+    """Kept and rejected records per capture."""
+    both = packets.select("capture_id", F.lit(0).alias("bad")).unionAll(rejects.select("capture_id", F.lit(1).alias("bad")))
+    return both.groupBy("capture_id").agg(F.count_if(F.col("bad") == 0).alias("kept"), F.count_if(F.col("bad") == 1).alias("rejected"))
 
-def read_packets(spark: SparkSession, path: str | Sequence[str], json_array: bool = False) -> DataFrame:
-    """``(capture_id, layers)`` from files with one packet object per line.
 
-    ``json_array`` reads files that are one JSON array each; such a file is read by one task, so
-    large captures belong into line files, which Spark splits.
-    """
-    packets = spark.read.schema("_source struct<layers: string>").option("multiLine", json_array).json(path)
-    return packets.select(capture_id_of(F.col("_metadata.file_path")).alias("capture_id"), F.col("_source.layers").alias("layers"))
-
-
-def marked(text: str) -> str:
-    """SQL text: JSON with a mark at the start of each string, so that a string is never taken for a nested value."""
-    plain = f"replace(replace({text}, '\\\\\\\\', '{BACKSLASH_MARK}'), '\\\\\"', '{QUOTE_MARK}')"
-    tagged = f"regexp_replace({plain}, '\"([^\"]*+)\"', '\"{TEXT_MARK}$1\"')"
-    return f"replace(replace({tagged}, '{BACKSLASH_MARK}', '\\\\\\\\'), '{QUOTE_MARK}', '\\\\\"')"
-
-
-def _open_level(level: int) -> str:
-    """SQL text: replace every object or array in ``_items`` by its members."""
-    name = "substr(e.key, 2)"
-    if level == 0:
-        places = f"{name} as top, cast(null as string) as second, {name} as path"
-    elif level == 1:
-        places = f"i.top as top, {name} as second, concat(i.path, '.', {name}) as path"
-    else:
-        places = f"i.top as top, coalesce(i.second, {name}) as second, concat(i.path, '.', {name}) as path"
-    repeated = "dup and size(filter(m, o -> o.key = e.key)) > 1"
-    member = (
-        f"struct(array_append(i.pos, n) as pos, {places}, {name} as key, i.depth + 1 as depth,"
-        f" if(i.depth = 1, i.in_list, i.top_list) as top_list, i.under_list or i.in_list as under_list,"
-        f" {repeated} as in_list, e.value as value)"
-    )
-    item = (
-        "struct(array_append(i.pos, n) as pos, i.top as top, i.second as second, i.path as path, i.key as key, i.depth as depth,"
-        " i.top_list as top_list, i.under_list as under_list, true as in_list, v as value)"
-    )
-    # only an object with a repeated key pays for finding which one it is
-    has_repeats = "size(array_distinct(transform(m, o -> o.key))) < size(m)"
-    opened = bound(has_repeats, "dup", f"transform(m, (e, n) -> {member})")
-    members = bound("map_entries(from_json(i.value, 'map<string,string>'))", "m", opened)
-    opened = (
-        "flatten(transform(its, i -> case"
-        f" when startswith(i.value, '{{') then {members}"
-        f" when startswith(i.value, '[') then transform(from_json(i.value, 'array<string>'), (v, n) -> {item})"
-        " else array(i) end))"
-    )
-    # most trees end after a few levels; the rest is then passed through untouched
-    return bound("_items", "its", f"if(exists(its, i -> left(i.value, 1) in ('{{', '[')), {opened}, its)")
-
-
-def with_leaves(packets: DataFrame, layers: str = "layers", depth: int = MAX_DEPTH) -> DataFrame:
+def with_leaves(packets: DataFrame, layers: str = "layers") -> DataFrame:
     """Add ``leaves`` and ``layer_names`` to packets.
 
     A leaf has ``pos`` (child numbers from the root), ``top`` and ``second`` (first two keys),
-    ``path`` (all keys), ``key`` (the last one), ``depth``, ``top_list`` (its layer
-    is a list), ``under_list`` (some key above is), ``in_list``, ``value`` and ``is_text``.  Nulls and empty objects have no leaf.  Anything deeper than ``depth`` stays
-    one leaf with JSON text.
+    ``path`` (all keys), ``key`` (the last one), ``depth`` (how many keys lead to it), ``top_list`` (its layer
+    is a list), ``under_list`` (some key above is), ``in_list``, ``value`` and ``is_text``.  Nulls and empty objects have no leaf.  A text
+    that cannot be parsed has null leaves, and its packet counts as malformed.
     """
-    root = (
-        "array(struct(cast(array() as array<int>) as pos, cast(null as string) as top, cast(null as string) as second,"
-        f" '' as path, '' as key, 0 as depth, false as top_list, false as under_list, false as in_list, {marked(layers)} as value))"
-    )
-    rows = packets.withColumn("layer_names", F.expr(f"coalesce(array_distinct(json_object_keys({layers})), array())"))
-    rows = rows.withColumn("_items", F.expr(root))
-    for level in range(depth):
-        rows = rows.withColumn("_items", F.expr(_open_level(level)))
-    is_text = f"startswith(l.value, '{TEXT_MARK}')"
-    leaf = (
-        "struct(l.pos as pos, l.top as top, l.second as second, l.path as path, l.key as key, l.depth as depth,"
-        f" l.top_list as top_list, l.under_list as under_list, l.in_list as in_list, replace(l.value, '{TEXT_MARK}', '') as value, {is_text} as is_text)"
-    )
-    leaves = f"transform(filter(_items, l -> l.value is not null and l.depth > 0), l -> {leaf})"
-    kept = [f"`{c}`" for c in packets.columns] + ["layer_names"]
-    return select_once(rows, *kept, f"{leaves} as leaves")
+    names = F.expr(f"coalesce(array_distinct(json_object_keys({layers})), array())")
+    rows = packets.withColumn("layer_names", names)
+    # behind a generator, so that later Arrow functions over the leaves are planned as a step of their own
+    return rows.select("*", F.explode(F.array(leaves_of(F.col(layers)))).alias("leaves"))
 
 
 def leaf_table(packets: DataFrame, *keep: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Rule profiles: which protocols matter, in which order, and which fields are kept.
 
-A profile is a small dimension held on the driver; expressions are generated from it, and
-``profile_table`` gives all of them as a DataFrame.
+A profile is a small dimension held on the driver; expressions are generated from it.  The built-in ones state protocols,
+priorities, aliases, verbatim layers and transport fields; their field whitelists are a parameter (``builtin_profiles``).
 """
 
 from __future__ import annotations
@@ -10,8 +10,6 @@ import pathlib
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
-
 from tracemill.functions import tables
 
 # Profile, relevant protocols, protocol priority ("=" repeats the relevant ones).
@@ -123,6 +121,11 @@ PROFILE_VERBATIM = {
     "volte-diameter-sh": ["diameter"],
     "volte-ims-core": ["diameter"],
 }
+# Profiles whose reduced transport keeps the SCTP stream.
+KEEP_SCTP_STREAM = """
+2g3g-ss7-geran 5g-cbc-cbs 5g-core 5g-n1-n2 5g-n2 5g-nas-5gs lte-core lte-s1 lte-s1-nas lte-s6a lte-sbc-cbc lte-sgs
+transport-core transport-sctp volte-diameter-cx volte-diameter-rx volte-diameter-sh volte-ims-core vonr-ims-core vonr-n1-n2-voice
+""".split()
 # Name start -> (family, domain) where a profile does not state its own.
 FAMILY_BY_PREFIX = {
     "lte-": ("lte", "eps"),
@@ -180,7 +183,11 @@ def _alias_table() -> dict[str, list[str]]:
     return tables._named(ALIASES)
 
 
-def builtin_profiles() -> dict[str, Profile]:
+def builtin_profiles(fields: dict[str, dict[str, list[str]]] | None = None) -> dict[str, Profile]:
+    """All built-in profiles by name; ``fields`` gives whitelists: profile name -> protocol -> field names.
+
+    A folder of rule files holds such lists: ``{p.name: p.fields for p in read_profiles(folder).values()}``.
+    """
     aliases = _alias_table()
     found: dict[str, Profile] = {}
     for line in CATALOGUE.strip().splitlines():
@@ -189,7 +196,10 @@ def builtin_profiles() -> dict[str, Profile]:
         priority = [p for word in priority_text.split() for p in (relevant if word == "=" else [word])]
         own = {p: aliases[p] for p in dict.fromkeys(relevant + priority) if p in aliases}
         own.update(PROFILE_ALIASES.get(name, {}))
-        found[name] = Profile(name, relevant, priority, own, verbatim=PROFILE_VERBATIM.get(name, []))
+        carried = [f for f in tables.REDUCED_TRANSPORT_FIELDS if f != "sctp_stream" or name in KEEP_SCTP_STREAM]
+        found[name] = Profile(
+            name, relevant, priority, own, dict((fields or {}).get(name, {})), PROFILE_VERBATIM.get(name, []), transport_fields=carried
+        )
     found[NAMING_PROFILE].selector = {
         "family": "cross-family",
         "domain": "core-support",
@@ -280,12 +290,3 @@ def profile_rows(profiles: Iterable[Profile]) -> list[dict]:
         for p in sorted(profiles, key=lambda p: p.name)
     ]
 
-
-def profile_table(spark: SparkSession, profiles: Iterable[Profile]) -> DataFrame:
-    names = [part.split()[0] for part in PROFILE_SCHEMA.split(",")]
-    return spark.createDataFrame([tuple(r[n] for n in names) for r in profile_rows(profiles)], PROFILE_SCHEMA)
-
-
-def privacy_table(spark: SparkSession) -> DataFrame:
-    rows = [(name, cls, mode) for name, modes in tables.PRIVACY_PROFILES.items() for cls, mode in modes.items()]
-    return spark.createDataFrame(rows, "privacy_profile string, data_class string, mode string")

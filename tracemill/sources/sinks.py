@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.ordering import BLOCK, with_block
 
 
-def _by_capture(df: DataFrame, order: str | None) -> DataFrame:
-    """Rows of one capture and block together: a large capture becomes many files, a small one a single file."""
-    if order is None:
-        return df.repartition("capture_id")
-    return with_block(df, order).repartition("capture_id", BLOCK).drop(BLOCK)
+BUCKETS = 64
+BUCKET = "capture_bucket"
 
 
-def write_detail(packets: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
+def bucket_of(capture: str = "capture_id", buckets: int = BUCKETS) -> Column:
+    """The folder of a capture: readers that look for one capture filter on it as well."""
+    return F.pmod(F.xxhash64(capture), F.lit(buckets)).cast("int")
+
+
+def _by_capture(df: DataFrame, order: str, buckets: int) -> DataFrame:
+    """Rows sorted by capture and order in a fixed number of folders.
+
+    The blocks of a large capture become files of their own; small captures share the first file of their folder, where
+    the sorted key keeps the statistics of row groups narrow.
+    """
+    rows = with_block(df.withColumn(BUCKET, bucket_of(buckets=buckets)), order)
+    return rows.repartition(BUCKET, BLOCK).sortWithinPartitions(BUCKET, "capture_id", order).drop(BLOCK)
+
+
+def write_detail(packets: DataFrame, path: str, fmt: str = "parquet", mode: str = "error", buckets: int = BUCKETS) -> None:
     """Protected packets, once per packet, schema version in every row."""
-    rows = _by_capture(packets.withColumn("schema_version", F.lit("1.0")), "packet_no")
-    rows.write.mode(mode).partitionBy("capture_id").format(fmt).save(path)
+    rows = _by_capture(packets.withColumn("schema_version", F.lit("1.0")), "packet_no", buckets)
+    rows.write.mode(mode).partitionBy(BUCKET).format(fmt).save(path)
 
 
-def write_index(index: DataFrame, path: str, mode: str = "error") -> None:
+def write_index(index: DataFrame, path: str, mode: str = "error", buckets: int = BUCKETS) -> None:
     """Land a parsed packet index, so that later steps read columns instead of text."""
-    _by_capture(index, "frame_no").write.mode(mode).partitionBy("capture_id").parquet(path)
+    _by_capture(index, "frame_no", buckets).write.mode(mode).partitionBy(BUCKET).parquet(path)
 
 
 def write_summary(summary: DataFrame, path: str, mode: str = "error") -> None:
