@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.plans.oracle_views import ENDPOINTS, EVENTS, PACKETS, PKT
+from tracemill.plans.oracle_views import ACCESS, ENDPOINTS, EVENTS, PACKETS, PKT
 
 ORACLE: dict[str, str] = {}
 
@@ -419,6 +419,56 @@ SELECT conv_id, event_no, min(role) AS src_node, min(message_name) AS message_na
 FROM n GROUP BY 1, 2"""
 
 
+def access(sql: str) -> str:
+    return f"WITH {ACCESS}{sql}"
+
+
+ORACLE["access_packets"] = access("""
+SELECT capture_id, packet_no, top_protocol, src_ip, dst_ip, CASE WHEN event_type = 'click' THEN CAST(k % 16 AS VARCHAR) END AS src_point_code,
+  CASE WHEN event_type = 'click' AND k % 3 > 0 THEN '9' END AS dst_point_code,
+  CASE event_type WHEN 'error' THEN 'udp' WHEN 'purchase' THEN 'tcp' ELSE 'sctp' END AS proto,
+  CASE event_type WHEN 'error' THEN 5060 WHEN 'purchase' THEN NULL ELSE 38412 END AS src_port, true AS is_valid FROM ac""")
+ORACLE["access_fields"] = access("""
+, f(capture_id, path, value) AS (
+  SELECT capture_id, 'ngap.x', '["a","b"]' FROM ac WHERE event_type = 'view' UNION ALL SELECT capture_id, 'ngap.procedureCode', code FROM ac WHERE event_type = 'view'
+  UNION ALL SELECT capture_id, 'nas_5gs.tree.nas_5gs.mm.message_type', code FROM ac WHERE event_type = 'signup'
+  UNION ALL SELECT capture_id, unnest(['sctp.srcport', 'sctp.dstport']), '38412' FROM ac WHERE event_type = 'click'
+  UNION ALL SELECT capture_id, 'message_name', code FROM ac WHERE event_type = 'error'
+  UNION ALL SELECT capture_id, 'tcp.stream', CAST(user_id AS VARCHAR) FROM ac WHERE event_type = 'purchase')
+SELECT capture_id, path, value, count(*) AS n FROM f GROUP BY ALL""")
+ORACLE["whitelist_fields"] = access("""
+SELECT capture_id, packet_no, 'ipv6.src' AS path, src_ip AS value FROM ac WHERE event_type = 'view'
+UNION ALL SELECT capture_id, packet_no, 'sctp.srcport', '38412' FROM ac WHERE event_type = 'view'
+UNION ALL SELECT capture_id, packet_no, 'udp.dstport', '5060' FROM ac WHERE event_type = 'error'
+UNION ALL SELECT capture_id, packet_no, 'frame.number', CAST(packet_no AS VARCHAR) FROM ac WHERE event_type = 'error'""")
+ORACLE["reduced_transport"] = access("""
+, kept(profile, kept) AS (VALUES ('lte-s6a', 'proto,src_port,dst_port,stream,sctp_stream,anomaly,notes'), ('volte-sip', 'proto,src_port,dst_port,stream,anomaly,notes'),
+  ('2g3g-gn', 'proto,src_port,dst_port,stream,anomaly,notes'))
+SELECT capture_id, profile, kept, count(*) AS packets FROM ac, kept GROUP BY ALL""")
+ORACLE["access_labels"] = access("""
+SELECT capture_id, packet_no, message_name, CASE WHEN message_name = 'Registration Reject' THEN 'error' ELSE 'request' END AS status FROM ac""")
+ORACLE["access_phases"] = access("""
+, marks AS (SELECT *, CASE WHEN lag(src_ip || '|' || dst_ip || '|' || message_name || '|' || top_protocol) OVER w = src_ip || '|' || dst_ip || '|' || message_name || '|' || top_protocol
+    THEN 0 ELSE 1 END AS starts FROM ac WINDOW w AS (PARTITION BY capture_id ORDER BY packet_no)),
+numbered AS (SELECT *, sum(starts) OVER (PARTITION BY capture_id ORDER BY packet_no) AS event_no FROM marks),
+ev AS (SELECT DISTINCT capture_id, event_no, message_name FROM numbered),
+ph AS (SELECT capture_id, event_no, '5g-n2' AS profile, CASE WHEN message_name LIKE 'Registration%' OR message_name = 'REGISTER' THEN 'registration|Registration'
+    ELSE 'signaling|Signaling' END AS kl FROM ev
+  UNION ALL SELECT capture_id, event_no, 'vonr-ims-core', CASE message_name WHEN 'REGISTER' THEN 'authentication|Authentication' WHEN 'INVITE sip' THEN 'signaling|Call Signaling'
+    WHEN '180 Ringing' THEN 'signaling|Call Signaling' WHEN 'Registration Reject' THEN 'failure|Failure / Retry' ELSE 'signaling|Signaling' END FROM ev),
+pm AS (SELECT *, CASE WHEN lag(split_part(kl, '|', 1)) OVER (PARTITION BY capture_id, profile ORDER BY event_no) = split_part(kl, '|', 1) THEN 0 ELSE 1 END AS st FROM ph),
+pn AS (SELECT *, sum(st) OVER (PARTITION BY capture_id, profile ORDER BY event_no) AS phase_no FROM pm)
+SELECT capture_id, profile, phase_no, 'phase-' || phase_no AS id, split_part(arg_min(kl, event_no), '|', 2) AS label, split_part(min(kl), '|', 1) AS kind,
+  'event-' || min(event_no) AS start_event, 'event-' || max(event_no) AS end_event FROM pn GROUP BY 1, 2, 3""")
+ORACLE["hostname_resolve"] = pkt("""
+SELECT DISTINCT 'MME-' || k AS hostname, CASE WHEN k < 25 AND k % 5 = 0 THEN 'mme-' || k END AS alias, CAST(NULL AS VARCHAR) AS role, 'MME' AS element_type,
+  'hostname_pattern' AS source FROM pkt WHERE event_type = 'error'""")
+ORACLE["detection_gate"] = pkt("""
+, s AS (SELECT src_ip AS ip, CAST(NULL AS INTEGER) AS port FROM pkt UNION SELECT dst_ip, CASE WHEN frame_no % 2 = 0 THEN dst_port END FROM pkt)
+SELECT port, CASE port WHEN 53 THEN 'DNS' WHEN 3868 THEN 'DRA' WHEN 2123 THEN 'SGW' WHEN 36412 THEN 'MME' WHEN 443 THEN 'unknown' END AS element_type,
+  CASE WHEN port = 443 THEN 'unknown' WHEN port IS NOT NULL THEN 'protocol' END AS source, count(DISTINCT ip) AS addresses FROM s GROUP BY 1, 2, 3""")
+
+
 # ------------------------------------------------------------------ evidence, domains, ranking
 def _profile_values() -> str:
     """The profile catalogue as SQL rows."""

@@ -153,3 +153,23 @@ ev AS (SELECT capture_id, event_no, min(packet_no) AS first_packet_no, max(packe
     arg_min(correlation_id, packet_no) AS correlation_id, count(*) AS repeat_count, arg_max(rel, packet_no) AS last_relative_ms, arg_min(rel, packet_no) AS rel
   FROM numbered GROUP BY 1, 2)
 """
+
+# packets of other networks
+ACCESS = """
+base AS (
+  SELECT 'c' || CAST(user_id % 4 AS VARCHAR) AS capture_id, event_id + 1 AS packet_no, user_id, event_type,
+         CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+  FROM events
+),
+ac AS (
+  SELECT *, CASE event_type WHEN 'view' THEN 'ngap' WHEN 'signup' THEN 'nas-5gs' WHEN 'click' THEN 'sctp' WHEN 'error' THEN 'sip' ELSE 'tcp' END AS top_protocol,
+    CASE WHEN event_type = 'view' THEN '2001:db8::' || (user_id % 9 + 1) ELSE '10.1.0.' || (user_id % 12 + 1) END AS src_ip,
+    CASE WHEN event_type = 'view' THEN '2001:db8::100' ELSE '10.2.0.' || (k % 3 + 1) END AS dst_ip,
+    CASE event_type WHEN 'view' THEN ['7', '0xa', '77', '0'][k % 4 + 1] WHEN 'signup' THEN ['0x41', '0x42', '0x44', '0x01'][k % 4 + 1]
+      WHEN 'error' THEN ['INVITE sip', '180 Ringing', 'REGISTER'][k % 3 + 1] END AS code,
+    CASE event_type WHEN 'view' THEN ['InitialContextSetup (7)', 'NGSetup (10)', 'NGAP Procedure 77', 'AMFConfigurationUpdate (0)'][k % 4 + 1]
+      WHEN 'signup' THEN ['Registration Request', 'Registration Accept', 'Registration Reject', 'NAS-5GS 0x01'][k % 4 + 1]
+      WHEN 'error' THEN ['INVITE sip', '180 Ringing', 'REGISTER'][k % 3 + 1] WHEN 'click' THEN 'SCCP' ELSE 'TCP' END AS message_name
+  FROM base
+)
+"""

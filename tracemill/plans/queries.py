@@ -459,6 +459,88 @@ def deep_fields(spark, sf_dir):
     )
 
 
+def access_normal(spark, sf_dir):
+    return decode.normalise(packet_source.with_leaves(views.access_packets(spark, sf_dir)), builtin_profiles()["vonr-ims-core"])
+
+
+@query
+def access_packets(spark, sf_dir):
+    """Addresses of both families, point codes of either layer, one-item lists."""
+    return access_normal(spark, sf_dir).select(
+        "capture_id", "packet_no", "top_protocol", "src_ip", "dst_ip", "src_point_code", "dst_point_code", "transport.proto", "transport.src_port", "is_valid"
+    )
+
+
+@query
+def access_fields(spark, sf_dir):
+    """Message fields with repeated keys and nested codes."""
+    rows = access_normal(spark, sf_dir).select("capture_id", F.explode(decode.field_map()).alias("path", "value"))
+    return rows.groupBy("capture_id", "path", "value").agg(F.count("*").alias("n"))
+
+
+@query
+def whitelist_fields(spark, sf_dir):
+    """Fields that a whitelist keeps although they lie outside the layer of their protocol."""
+    lists = {"vonr-ims-core": {"ngap": ["ipv6.src", "sctp.srcport"], "sip": ["udp.dstport", "frame.number"]}}
+    rows = decode.normalise(packet_source.with_leaves(views.access_packets(spark, sf_dir)), builtin_profiles(lists)["vonr-ims-core"])
+    kept = rows.where("top_protocol in ('ngap', 'sip')").select("capture_id", "packet_no", F.explode(decode.field_map()).alias("path", "value"))
+    return kept.where("path not like 'ngap.%' and path <> 'message_name'")
+
+
+@query
+def reduced_transport(spark, sf_dir):
+    """The transport fields that three profiles keep."""
+    parts = []
+    for name in ("lte-s6a", "volte-sip", "2g3g-gn"):
+        rows = decode.reduce_transport(access_normal(spark, sf_dir), builtin_profiles()[name].transport_fields)
+        shown = F.to_json("transport", {"ignoreNullFields": "false"})
+        parts.append(rows.groupBy("capture_id", F.lit(name).alias("profile"), F.json_object_keys(shown).alias("kept")).agg(F.count("*").alias("packets")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("kept", F.array_join("kept", ","))
+
+
+def access_flow(spark, sf_dir):
+    end = lambda side: F.expr(f"struct({side}_ip as ip, cast(null as string) as hostname, cast(null as string) as alias, cast(null as string) as role)")
+    return access_normal(spark, sf_dir).withColumn("src", end("src")).withColumn("dst", end("dst"))
+
+
+@query
+def access_labels(spark, sf_dir):
+    """Names and status of NGAP, 5GS and named messages."""
+    return flow.flow_packets(access_flow(spark, sf_dir)).select("capture_id", "packet_no", "message_name", "status")
+
+
+@query
+def access_phases(spark, sf_dir):
+    """Phases by the rules of the 5G and of the voice family."""
+    events = cut_lineage(flow.flow_events(access_flow(spark, sf_dir), max_events=0))
+    parts = [flow.phases(events, name).withColumn("profile", F.lit(name)) for name in ("5g-n2", "vonr-ims-core")]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def hostname_resolve(spark, sf_dir):
+    """Endpoints known by name only, in any spelling."""
+    index = views.packet_index(spark, sf_dir).where("dns_qry_name is not null")
+    names = views.lookups(spark, sf_dir)
+    named = index.select(ep.endpoint(F.lit(None).cast("string"), hostname=F.concat(F.lit("MME-"), F.regexp_extract("dns_qry_name", "[0-9]+", 0))).alias("endpoint")).distinct()
+    return ep.resolve(named, names).select(
+        "endpoint.hostname", F.col("resolved.alias").alias("alias"), F.col("resolved.role").alias("role"), F.col("resolved.element_type").alias("element_type"),
+        F.col("resolved.element_source").alias("source"),
+    )
+
+
+@query
+def detection_gate(spark, sf_dir):
+    """Element types are looked for only where something speaks for one: without lookups, a name or a port."""
+    src = ep.endpoint(F.col("src_ip"))
+    dst = ep.endpoint(F.col("dst_ip"), F.when(F.col("frame_no") % 2 == 0, F.col("dst_port")))
+    seen = ep.occurrences(views.packet_index(spark, sf_dir), src, dst)
+    found = ep.resolve(seen.select("endpoint"), ep.Lookups())
+    return found.groupBy(F.col("endpoint.port").alias("port"), F.col("resolved.element_type").alias("element_type"), F.col("resolved.element_source").alias("source")).agg(
+        F.countDistinct("endpoint.ip").alias("addresses")
+    )
+
+
 # ------------------------------------------------------------------ flow
 def flow_input(spark, sf_dir):
     end = lambda side: F.expr(

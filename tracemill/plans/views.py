@@ -207,6 +207,43 @@ def trace_packets(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     return trace_base(spark, sf_dir).select("capture_id", *keep, F.expr(layers).alias("layers"))
 
 
+def access_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as packets of other networks, with what exports spell in odd ways.
+
+    IPv6 beside IPv4, one-item lists, repeated keys, numbers without quotes, point codes in either layer, procedure and
+    message codes of the 5G core, and messages that carry their name.
+    """
+    only = lambda kind, value: f"if(event_type = '{kind}', {value}, null)"
+    seconds = "concat(({0}) div 1000000, '.', lpad(cast(({0}) % 1000000 as string), 6, '0'))"
+    stack = {
+        "view": "eth:ipv6:sctp:ngap", "signup": "eth:ip:sctp:nas-5gs", "click": "eth:ip:sctp:m3ua:mtp3:sccp", "error": "eth:ip:udp:sip",
+        "purchase": "eth:ip:tcp",
+    }
+    repeated = "concat('{\"ngap.x\":\"a\",\"ngap.procedureCode\":', case k % 4 when 0 then '\"7\"' when 1 then '\"0xa\"' when 2 then '\"77\"' else '0' end, ',\"ngap.x\":\"b\"}')"
+    codes = lambda name: json_object(**{f"{name}.opc": text("k % 16"), f"{name}.dpc": "if(k % 3 = 0, '\"\"', '\"9\"')"})
+    layers = json_object(
+        frame=json_object(
+            **{
+                "frame.number": text("frame_no"), "frame.time_epoch": text(seconds.format("us")),
+                "frame.time_relative": text(seconds.format("us - 1704067200000000")), "frame.protocols": text(by_type(stack)),
+            }
+        ),
+        ip=f"if(event_type = 'view', null, {json_object(**{'ip.src': "concat('[', {0}, ']')".format(text("concat('10.1.0.', user_id % 12 + 1)")), 'ip.dst': text("concat('10.2.0.', k % 3 + 1)")})})",
+        ipv6=only("view", json_object(**{"ipv6.src": text("concat('2001:db8::', user_id % 9 + 1)"), "ipv6.dst": "'[\"2001:db8::100\"]'"})),
+        sctp=f"if(event_type in ('view', 'signup', 'click'), {json_object(**{'sctp.srcport': '38412', 'sctp.dstport': text('38412')})}, null)",
+        udp=only("error", json_object(**{"udp.srcport": "'\"5060\"'", "udp.dstport": "'\"5060\"'"})),
+        tcp=only("purchase", json_object(**{"tcp.stream": text("user_id")})),
+        ngap=only("view", repeated),
+        **{
+            "nas-5gs": only("signup", json_object(**{"nas_5gs.tree": json_object(**{"nas_5gs.mm.message_type": "case k % 4 when 0 then '\"0x41\"' when 1 then '\"0x42\"' when 2 then '\"0x44\"' else '\"0x01\"' end"})})),
+            "mtp3": only("click", f"if(k % 2 = 0, {codes('mtp3')}, null)"),
+            "mtp3mg": only("click", f"if(k % 2 = 1, {codes('mtp3mg')}, null)"),
+        },
+        sip=only("error", json_object(message_name="case k % 3 when 0 then '\"INVITE sip\"' when 1 then '[\"180 Ringing\"]' else '\"REGISTER\"' end")),
+    )
+    return trace_base(spark, sf_dir).select("capture_id", F.expr(layers).alias("layers"))
+
+
 # ------------------------------------------------------------------ lookup tables
 def lookups(spark: SparkSession, sf_dir: str):
     """Lookup tables made of the nation and region tables."""
