@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tracemill.plans import oracle_rank
 from tracemill.plans.oracle_views import ACCESS, ENDPOINTS, EVENTS, PACKETS, PKT
 
 ORACLE: dict[str, str] = {}
@@ -247,6 +248,8 @@ WITH {SUBSCRIBERS} SELECT c_custkey, path, CASE
   ELSE '[redacted]' END AS protected FROM sub"""
 ORACLE["pseudonym_sha"] = f"""
 WITH {LEAVES} SELECT DISTINCT data_class, value AS original, {ALIAS} AS alias FROM cls WHERE data_class IN ('diameter_identity', 'hostname', 'apn_dnn')"""
+ORACLE["pseudonym_forms"] = f"""
+WITH {LEAVES} SELECT DISTINCT data_class, value AS original, true AS well_formed, 1 AS aliases FROM cls WHERE data_class IN ('diameter_identity', 'hostname', 'apn_dnn')"""
 ORACLE["pseudonym_audit"] = f"""
 WITH {LEAVES} SELECT data_class, count(DISTINCT value) AS originals FROM cls WHERE data_class IN ('ip', 'hostname', 'diameter_identity') GROUP BY 1"""
 ORACLE["pseudonym_collisions"] = f"""
@@ -399,6 +402,24 @@ pm AS (SELECT *, CASE WHEN lag(kl) OVER (PARTITION BY capture_id ORDER BY event_
 pn AS (SELECT *, sum(st) OVER (PARTITION BY capture_id ORDER BY event_no) AS phase_no FROM pm)
 SELECT capture_id, phase_no, 'phase-' || phase_no AS id, split_part(min(kl), '|', 2) AS label, split_part(min(kl), '|', 1) AS kind,
   'event-' || min(event_no) AS start_event, 'event-' || max(event_no) AS end_event FROM pn GROUP BY 1, 2""")
+ORACLE["batch_overview"] = packets(f""", {EVENTS},
+fev AS (SELECT capture_id, event_no, arg_min(src_node, packet_no) AS s, arg_min(dst_node, packet_no) AS d, lower(arg_min(message_name, packet_no)) AS name,
+    arg_min(status, packet_no) AS status, arg_min(correlation_id, packet_no) AS corr, arg_min(top_protocol, packet_no) AS protocol, count(*) AS packets FROM numbered GROUP BY 1, 2),
+stems AS (SELECT *, status = 'response' OR regexp_matches(name, ' response| answer| ack| complete|accept|success| aia') AS answers,
+    CASE WHEN regexp_matches(name, '( response| answer| resp| request| req)$') THEN trim(regexp_replace(name, '( response| answer| resp| request| req)$', '')) ELSE name END AS stem FROM fev),
+routed AS (SELECT *, NOT answers AS asks, CASE WHEN answers THEN d || '|' || s ELSE s || '|' || d END AS route FROM stems),
+keyed AS (SELECT *, protocol || '|' || coalesce(corr, stem) || '|' || route AS strict_key, protocol || '|' || stem || '|' || route AS loose_key FROM routed),
+{fifo_sql('keyed', 'capture_id, strict_key', 'event_no', 'asks', 'a')},
+done AS (SELECT capture_id, event_no FROM pairs_a UNION SELECT capture_id, response FROM pairs_a),
+rest AS (SELECT * FROM keyed ANTI JOIN done USING (capture_id, event_no) WHERE asks OR corr IS NOT NULL),
+{fifo_sql('rest', 'capture_id, loose_key', 'event_no', 'asks', 'b')},
+linked AS (SELECT capture_id, 2 * count(*) AS paired FROM (SELECT capture_id FROM pairs_a UNION ALL SELECT capture_id FROM pairs_b) GROUP BY 1),
+lanes AS (SELECT capture_id, count(*) AS nodes FROM (SELECT capture_id, src_node FROM flow UNION SELECT capture_id, dst_node FROM flow) GROUP BY 1),
+ph AS (SELECT capture_id, event_no, {KIND} AS kl FROM ev),
+pm AS (SELECT capture_id, CASE WHEN lag(kl) OVER (PARTITION BY capture_id ORDER BY event_no) = kl THEN 0 ELSE 1 END AS st FROM ph),
+steps AS (SELECT capture_id, sum(st) AS phases FROM pm GROUP BY 1)
+SELECT capture_id, count(*) AS events, CAST(sum(packets) AS BIGINT) AS packets, count(*) FILTER (WHERE status = 'error') AS errors, min(coalesce(paired, 0)) AS paired,
+  min(nodes) AS nodes, CAST(min(phases) AS BIGINT) AS phases FROM fev JOIN lanes USING (capture_id) JOIN steps USING (capture_id) LEFT JOIN linked USING (capture_id) GROUP BY 1""")
 ORACLE["flow_nodes"] = packets("""
 , n AS (SELECT DISTINCT capture_id, src_node AS id, src_ip AS ip FROM flow UNION SELECT DISTINCT capture_id, dst_node, dst_ip FROM flow),
 a AS (SELECT capture_id, id, CASE WHEN id = 'alias:core-1' THEN 'core-1 (' || ip || ')' ELSE ip END AS label,
@@ -470,28 +491,6 @@ SELECT port, CASE port WHEN 53 THEN 'DNS' WHEN 3868 THEN 'DRA' WHEN 2123 THEN 'S
 
 
 # ------------------------------------------------------------------ evidence, domains, ranking
-def _profile_values() -> str:
-    """The profile catalogue as SQL rows."""
-    from tracemill.sources.profiles import NAMING_PROFILE, builtin_profiles, profile_rows
-
-    listed = lambda items: "[" + ", ".join(f"'{i}'" for i in items) + "]"
-    return ", ".join(
-        f"('{r['profile']}', {listed(r['relevant'])}, {listed(r['strong'])}, {listed(r['triggers'])}, {listed(r['weak'])})"
-        for r in profile_rows(builtin_profiles().values())
-        if r["profile"] != NAMING_PROFILE
-    )
-
-
-def _combo_values() -> str:
-    from tracemill.functions import rules
-
-    rows = [
-        f"({i}, [{', '.join(repr(p) for p in need.split())}], '{domain}', {score}::DOUBLE)"
-        for i, (need, domain, score, _) in enumerate(rules.DOMAIN_COMBOS)
-    ]
-    return ", ".join(rows)
-
-
 MIX_LIST = (
     "['diameter', 's1ap', 'nas-eps', 'gtpv2', 'dns', 'ngap', 'nas-5gs', 'http2', 'json', 'sip', 'sdp', 'map', 'tcap', 'sccp',"
     " 'bssap', 'dtap', 'gtp', 'udp', 'data', 'gsm_map']"
@@ -504,7 +503,8 @@ mix AS (SELECT 'm' || c AS capture_id,
     CASE WHEN c % 4 = 3 AND place > 1 THEN 'tcp' ELSE {MIX_LIST}[(c * 3 + CASE WHEN c % 5 = 0 THEN place ELSE place // 2 END) % 20 + 1] END AS top,
     ['sctp', 'udp', 'tcp'][(c + place) % 3 + 1] AS transport, {MIX_LIST}[(c * 3 + place) % 20 + 1] AS inner_protocol,
     CASE WHEN k % 9 = 0 THEN ['mme', 'pcscf-ims', 'smf', 'host', 'sbc'][c % 5 + 1] || '-' || k
-      || CASE WHEN c % 2 = 0 THEN '.epc.mnc001.mcc262.3gppnetwork.org' ELSE '.example' END END AS name FROM base),
+      || CASE WHEN c % 2 = 0 THEN '.epc.mnc001.mcc262.3gppnetwork.org' ELSE '.example' END END AS name,
+    CASE WHEN k % 9 = 0 AND c % 3 = 0 THEN ['mme', 'hss', 'Other'][(k // 9) % 3 + 1] END AS role FROM base),
 totals AS (SELECT capture_id, count(*) AS total FROM mix GROUP BY 1),
 pc AS (SELECT capture_id, top AS name, count(*) AS n FROM mix GROUP BY 1, 2),
 tc AS (SELECT capture_id, transport AS name, count(*) AS n FROM mix GROUP BY 1, 2),
@@ -528,7 +528,7 @@ SIG_EV = evidence_sql("CASE name WHEN 'http2' THEN ['http'] WHEN 'gsm_map' THEN
 ORACLE["ranking_evidence"] = f"WITH {MIX}, {RANK_EV} SELECT * FROM ev"
 ORACLE["signalling_evidence"] = f"WITH {MIX}, {SIG_EV} SELECT * FROM sig"
 DOMAINS = f"""
-combos(ord, need, domain, base) AS (VALUES {_combo_values()}),
+combos(ord, need, domain, base) AS (VALUES {oracle_rank.combo_values()}),
 present AS (SELECT capture_id, list(protocol) AS present FROM ev GROUP BY 1),
 tried AS (SELECT p.capture_id, c.ord, c.domain, c.base, unnest(c.need) AS protocol FROM present p JOIN combos c
     ON len(list_filter(c.need, lambda x: NOT list_contains(p.present, x))) = 0
@@ -574,14 +574,14 @@ WITH {MIX}, {SIG_EV}
 SELECT capture_id, coalesce(string_agg(protocol, ',' ORDER BY protocol) FILTER (WHERE protocol IN ('eth', 'ip', 'data', 'gtp')), '') AS link_or_envelope_protocols,
   coalesce(string_agg(protocol, ',' ORDER BY protocol) FILTER (WHERE protocol IN ('sctp', 'tcp', 'udp')), '') AS transport_support_protocols FROM sig GROUP BY 1"""
 ORACLE["profile_base_scores"] = f"""
-WITH {MIX}, {RANK_EV}, prof(profile, relevant, strong, triggers, weak) AS (VALUES {_profile_values()}),
+WITH {MIX}, {RANK_EV}, {oracle_rank.PROFILES.strip()},
 uses AS (
   SELECT profile, protocol, 5.0::DOUBLE AS weight FROM (SELECT profile, unnest(strong) AS protocol FROM prof)
   UNION ALL SELECT profile, protocol, 2.0 FROM (SELECT profile, strong, unnest(triggers) AS protocol FROM prof) WHERE NOT list_contains(strong, protocol)
   UNION ALL SELECT profile, protocol, 0.5 FROM (SELECT profile, strong, triggers, unnest(weak) AS protocol FROM prof)
     WHERE NOT list_contains(strong, protocol) AND NOT list_contains(triggers, protocol)),
 signal AS (SELECT e.capture_id, u.profile, sum(u.weight * e.factor) AS score FROM uses u JOIN ev e USING (protocol)
-  WHERE protocol NOT IN ('ip', 'ipv6', 'tcp', 'udp', 'sctp') GROUP BY 1, 2),
+  WHERE protocol NOT IN ('ip', 'ipv6', 'tcp', 'udp', 'sctp') AND u.profile <> 'core-name-resolution' GROUP BY 1, 2),
 carried AS (SELECT e.capture_id, p.profile, sum(CASE e.protocol WHEN 'sctp' THEN 0.5 ELSE 0.2 END::DOUBLE) AS bonus FROM prof p JOIN ev e
   ON e.protocol IN ('sctp', 'tcp', 'udp') AND list_contains(p.relevant, e.protocol) GROUP BY 1, 2)
 SELECT s.capture_id, s.profile, round(s.score + coalesce(c.bonus, 0), 4) AS base FROM signal s LEFT JOIN carried c USING (capture_id, profile)"""
@@ -604,6 +604,11 @@ shape AS (SELECT capture_id, counted, signalling, CASE
 ORACLE["trace_shape"] = f"""
 WITH {MIX}, {RANK_EV}, {SIG_EV}, {DOMAINS}, {SIGNALS}, {SHAPE}
 SELECT capture_id, split_part(s, '|', 1) AS trace_shape, split_part(s, '|', 2) AS why, signalling, counted FROM shape"""
+_RANKING = f"WITH {MIX}, {RANK_EV}, {SIG_EV}, {DOMAINS}, {oracle_rank.PROFILES}, {oracle_rank.RANKED}"
+ORACLE["profile_rank"] = f"{_RANKING} {oracle_rank.RANK}"
+ORACLE["profile_suppressed"] = f"{_RANKING} {oracle_rank.SUPPRESSED}"
+ORACLE["best_profile"] = f"{_RANKING} {oracle_rank.BEST}"
+ORACLE["capture_enrichment"] = f"{_RANKING}, {SIGNALS}, {SHAPE}, {oracle_rank.ENRICHED} {oracle_rank.ENRICHMENT}"
 ORACLE["naming_evidence"] = f"""
 WITH {MIX},
 n AS (SELECT capture_id, bool_or(name LIKE '%3gppnetwork.org%') AS net, bool_or(name LIKE '%pcscf%') AS pcscf, bool_or(name LIKE '%3gpp%') AS ctx

@@ -354,6 +354,14 @@ def pseudonym_blake(spark, sf_dir):
     return pv.pseudonym_map(classified_leaves(spark, sf_dir), modes)
 
 
+@query
+def pseudonym_forms(spark, sf_dir):
+    """What SQL can check of the keyed digests: every original once, one alias each, of the stated form."""
+    found = pseudonym_blake(spark, sf_dir)
+    form = F.col("alias").rlike("^[A-Z_]+_[0-9a-f]{8}$") & F.startswith("alias", F.concat(F.upper("data_class"), F.lit("_")))
+    return found.groupBy("data_class", "original").agg(F.every(form).alias("well_formed"), F.countDistinct("alias").cast("int").alias("aliases"))
+
+
 @query
 def pseudonym_audit(spark, sf_dir):
     modes = PRIVACY_PROFILES["share"]

@@ -312,5 +312,5 @@ def mix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"array('sctp', 'udp', 'tcp')[(c + place) % 3] as transport",
         f"array('eth', 'ip', array({listed})[(c * 3 + place) % {len(MIX)}]) as protocols",
         "if(k % 9 = 0, concat(array('mme', 'pcscf-ims', 'smf', 'host', 'sbc')[c % 5], '-', k, if(c % 2 = 0, '.epc.mnc001.mcc262.3gppnetwork.org', '.example')), null) as name",
-        "if(k % 9 = 0 and c % 3 = 0, array('mme', 'hss', 'Other')[k % 3], null) as role",
+        "if(k % 9 = 0 and c % 3 = 0, array('mme', 'hss', 'Other')[(k div 9) % 3], null) as role",
     )
