@@ -224,8 +224,8 @@ def gated(rows: DataFrame) -> DataFrame:
     )
 
 
-def final_scores(rows: DataFrame) -> DataFrame:
-    """Add domain alignment, context and mismatch, then damp DNS profiles below a clear naming profile."""
+def aligned_scores(rows: DataFrame) -> DataFrame:
+    """Add domain alignment, context and mismatch: ``scored`` and its ``reasons``."""
     rows = rows.selectExpr(
         "*",
         "get(domains, 0).domain as top_domain",
@@ -255,10 +255,22 @@ def final_scores(rows: DataFrame) -> DataFrame:
       when contains(r, 'telecom core naming') or contains(r, 'telecom core DNS naming') then 5 else 10 end"""
     ordered = f"transform(array_sort(transform(array_distinct({said}), r -> struct({rank} as k, r as r))), s -> s.r)"
     fallback = f"if(size(gate_reasons) = 0, array('{NO_MATCH}'), gate_reasons)"
-    rows = rows.selectExpr("*", f"{score} as scored", f"if(gated > 0, {ordered}, {fallback}) as reasons")
+    return rows.selectExpr("*", f"{score} as scored", f"if(gated > 0, {ordered}, {fallback}) as reasons")
+
+
+def with_naming_score(captures: DataFrame, profiles: Iterable[Profile]) -> DataFrame:
+    """Add the score of the naming profile to each capture: its one row per capture is scored first, so that no window has to find it."""
+    naming = [p for p in profiles if p.name == NAMING_PROFILE]
+    if not naming:
+        return captures.withColumn("naming_score", F.lit(0.0))
+    rows = aligned_scores(gated(base_scores(with_profiles(captures, naming))))
+    return rows.selectExpr(*[f"`{c}`" for c in captures.columns], "if(gated > 0, scored, 0D) as naming_score")
+
+
+def final_scores(rows: DataFrame) -> DataFrame:
+    """Scores with DNS profiles damped below a clear naming profile; rows carry ``naming_score``."""
+    rows = aligned_scores(rows)
     # a strong naming profile without any signalling anchor explains the DNS traffic better
-    core = F.max(F.expr("if(naming and gated > 0, scored, 0D)")).over(Window.partitionBy("capture_id"))
-    rows = rows.withColumn("naming_score", core)
     fan_out = f"naming_score >= 4.0 and not {has(*rules.FANOUT_ANCHORS)} and gated > 0 and not naming and not ({named(*rules.VOICE_DNS)} and {IMS_HINT})"
     rows = rows.withColumn("damp", F.expr(f"case when {fan_out} and endswith(profile, '-dns') then 'dns' when {fan_out} and {named(*rules.FANOUT_CORE)} then 'core' end"))
     return select_once(
@@ -301,7 +313,8 @@ def with_confidence(rows: DataFrame) -> DataFrame:
 
 def score_profiles(captures: DataFrame, profiles: Iterable[Profile]) -> DataFrame:
     """Every capture and profile with its final score; ``captures`` carries evidence and domains."""
-    return final_scores(gated(base_scores(with_profiles(captures, profiles))))
+    profiles = list(profiles)
+    return final_scores(gated(base_scores(with_profiles(with_naming_score(captures, profiles), profiles))))
 
 
 def recommended(scored: DataFrame, limit: int = 8) -> DataFrame:
