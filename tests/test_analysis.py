@@ -92,6 +92,18 @@ def test_analyze(spark, inputs, tmp_path):
     assert not any("10.0.0." in str(r) for name in ("detail", "summary", "anomalies", "flow_events", "flow_nodes") for r in out[name].collect())
     assert {r.code for r in out["warnings"].where("capture_id = 'one'").collect()} == {"detail_truncated"}
 
+    whole = summary.complete(
+        out["summary"], files=spark.createDataFrame([("one", "/x/one.pcap")], "capture_id string, path string"),
+        versions=spark.createDataFrame([("one", "2")], "capture_id string, version string"), start_packet=1, end_packet=5,
+    )
+    one = {r.capture_id: r for r in whole.collect()}["one"]
+    assert one.run.action == "analyze" and one.capture.filename == "one.pcap" and one.capture.first_packet_number == 1 and one.artifact.version == "2"
+    assert one.capture_sha256 is None and one.selection.end_packet_number == 5 and one.detail_truncated.included == 5
+    assert one.probable_notable_findings == one.deterministic_findings and "network_address" in one.privacy_policy.canonical_classes
+    text = summary.handoff(out["summary"], summary.excerpt(out["flow_events"].select("capture_id", F.col("event_no").alias("packet_no"), "message_name"), 2), modes)
+    given = {r.capture_id: r for r in text.collect()}["one"]
+    assert "10.0.0." not in given.summary and given.included_messages == 2 and set(json.loads(given.summary)) <= set(summary.HANDOFF_FIELDS)
+
     sinks.write_detail(out["detail"], str(tmp_path / "detail"))
     assert spark.read.parquet(str(tmp_path / "detail")).where("capture_id = 'one' and schema_version = '1.0'").count() == 5
     sinks.write_summary(out["summary"], str(tmp_path / "summary"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions import tables
 from tracemill.functions.ordering import first_rows
 from tracemill.operators.privacy import protect_payload
 from tracemill.operators.stats import observed_protocols
@@ -148,6 +149,49 @@ def excerpt(messages: DataFrame, max_messages: int, order: str = "packet_no", ke
     )
 
 
+def complete(
+    summary: DataFrame,
+    files: DataFrame | None = None,
+    digests: DataFrame | None = None,
+    versions: DataFrame | None = None,
+    action: str = "analyze",
+    start_packet: int | None = None,
+    end_packet: int | None = None,
+) -> DataFrame:
+    """The summary row with what identifies the run, the capture and the result.
+
+    ``files`` is (capture_id, path), ``digests`` (capture_id, capture_sha256), ``versions`` (capture_id, version); what is not given is null.
+    Anomaly texts and bursts have no bound and stay tables of their own.
+    """
+    rows = summary
+    for part, columns in ((files, "path string"), (digests, "capture_sha256 string"), (versions, "version string")):
+        name = columns.split()[0]
+        if part is not None:
+            rows = rows.join(part.select("capture_id", F.col(name).cast("string").alias(f"_{name}")), "capture_id", "left")
+        else:
+            rows = rows.withColumn(f"_{name}", F.lit(None).cast("string"))
+    number = lambda n: "cast(null as bigint)" if n is None else f"{n}L"
+    selection = "cast(null as struct<start_packet_number:bigint,end_packet_number:bigint>)"
+    if start_packet is not None or end_packet is not None:
+        selection = f"struct({number(start_packet)} as start_packet_number, {number(end_packet)} as end_packet_number)"
+    classes = ", ".join(f"'{c}', array({', '.join(repr(k) for k in kinds)})" for c, kinds in tables.CANONICAL_CLASSES.items())
+    return rows.selectExpr(
+        f"struct('{action}' as action) as run",
+        "struct(element_at(split(_path, '/'), -1) as filename, _path as path, capture_metadata.first_packet_number as first_packet_number,"
+        " capture_metadata.first_seen_epoch as first_seen, capture_metadata.last_seen_epoch as last_seen) as capture",
+        "struct(_version as version) as artifact",
+        "date_format(now(), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") as generated_at",
+        "_capture_sha256 as capture_sha256",
+        "'summary_sidecar' as artifact_role",
+        "* except (_path, _capture_sha256, _version)",
+        "deterministic_findings as probable_notable_findings",
+        f"struct(array('generic', 'protocol-aware', 'privacy-profile-overrides') as rule_layers, map({classes}) as canonical_classes) as privacy_policy",
+        f"{selection} as selection",
+        "if(coverage.detail_truncated, struct(coverage.detail_packets_included as included, coverage.detail_packets_available as total_exported,"
+        " coverage.truncation_note as note), null) as detail_truncated",
+    )
+
+
 # What a handed-over summary holds.
 HANDOFF_FIELDS = """
 profile relevant_protocols conversations packet_message_counts anomalies anomaly_counts_by_layer deterministic_findings
