@@ -47,6 +47,8 @@ def test_element_file_is_strict(spark, tmp_path):
     for text in ("type,value\nip,1.1.1.1\n", "type,value,network_element_type\nip,1.1.1.1,Toaster\n", "type,value,network_element_type\nip,nope,HSS\n"):
         with pytest.raises(ValueError):
             lk.read_element_types(spark, write(tmp_path, "bad.csv", text))
+        with pytest.warns(UserWarning, match="left out"):
+            assert lk.read_element_types(spark, write(tmp_path, "bad.csv", text), strict=False).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +121,12 @@ def test_last_named_occurrence_wins(spark, tables):
     assert types == {"DNS": 1, "unknown": 2, "SGW": 1}
     ports = spark.range(1).select(ep.first_element_port(F.array(F.lit(9), F.lit(None), F.lit(9), F.lit(53), F.lit(3868))).alias("p")).first().p
     assert ports == 53
+
+
+def test_element_type_from_observed_ports(spark):
+    rows = spark.createDataFrame([("10.0.0.1", None, [9, 36412, 53]), ("10.0.0.2", 2123, [53]), ("10.0.0.3", None, None)], "ip string, port int, seen array<int>")
+    ends = rows.select(ep.endpoint(F.col("ip"), F.col("port")).alias("endpoint"), "seen")
+    # the ports are a column beside the endpoint, keyed by it
+    seen = F.element_at(F.create_map(F.lit("10.0.0.1"), F.array(F.lit(9), F.lit(36412), F.lit(53)), F.lit("10.0.0.2"), F.array(F.lit(53))), F.col("ip"))
+    got = {r.ip: r.kind for r in ep.resolve(ends, ep.Lookups(), observed_ports=seen).select("endpoint.ip", F.col("resolved.element_type").alias("kind")).collect()}
+    assert got == {"10.0.0.1": "MME", "10.0.0.2": "SGW", "10.0.0.3": None}

@@ -155,3 +155,16 @@ def test_out_of_range_numbers_become_null(spark):
     assert tuple(row) == (None, 1, "APP")
     times = spark.createDataFrame([("9" * 30,), ("1712390000.5",), ("x",)], "t string").selectExpr(f"{labels.epoch_time('t')} as e").collect()
     assert times[0].e is None and times[1].e is not None and times[2].e is None
+
+
+def test_several_values_are_no_number(spark):
+    layers = [frame(1, "eth:ip:udp:app", app={"gtpv2.message_type": ["32", "33"]}), frame(2, "eth:ip:udp:app", app={"gtpv2.message_type": "0x00000000000000000021"})]
+    rows = decode.normalise(opened(spark, *layers), Profile("p", ["app"], ["app"]))
+    got = {r.packet_no: r.message_name for r in labels.with_labels(labels.with_message_fields(rows)).collect()}
+    assert got == {1: "APP", 2: "Create Session Response (33)"}
+
+
+def test_broken_trees_are_malformed(spark):
+    rows = decode.normalise(opened(spark, frame(1, "eth:ip:dns", dns={"dns.id": "1"}), '{"frame":', "[1]"), builtin_profiles()["lte-core"])
+    assert sorted(r.is_valid for r in rows.collect()) == [False, False, True]
+    assert decode.dropped_packets(rows).first().dropped_packets == 2
