@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import pathlib
 import tempfile
 import uuid
 
@@ -16,8 +18,21 @@ SETTINGS = {
 }
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package when the session was started in another folder.
+
+    The folder of the package goes to their search path, which serves all workers that see it; on a cluster without a
+    shared folder install the package, or ship it with ``--py-files``.
+    """
+    root = str(pathlib.Path(__file__).resolve().parent.parent)
+    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings to a running session."""
+    reach_workers(spark)
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
