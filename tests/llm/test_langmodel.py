@@ -36,58 +36,61 @@ def corpus():
     return [*rows, (120, None), (121, ""), (122, "Ünï É w1"), (123, "new " * 50), (None, "w1 w2"), (7, rows[7][1]), (124, "a\x0bb\x0cc d")]
 
 
-def counted(rows, folds):
-    uni, bi, starts = Counter(), Counter(), 0
+def counted(rows, folds, order):
+    """Counts of all n-grams up to ``order`` as tuples, the start of texts included, and the number of texts."""
+    grams, starts = [Counter() for _ in range(order + 1)], 0
     for doc_id, text in rows:
         if fold(doc_id) in folds:
-            sequence = tokens(text)
-            uni.update(sequence)
-            bi.update(zip(["<s>", *sequence], sequence, strict=False))
+            sequence = ["<s>"] * (order - 1) + tokens(text)
+            for n in range(1, order + 1):
+                grams[n].update(tuple(sequence[i - n + 1 : i + 1]) for i in range(order - 1, len(sequence)))
             starts += 1
-    return uni, bi, starts
-
-
-def plain_terms(rows, folds, text):
-    """(uniform, unigram, bigram) estimates and context count of each token."""
-    uni, bi, starts = counted(rows, folds)
-    total, words = sum(uni.values()), len(uni)
-    out, previous = [], "<s>"
-    for token in tokens(text):
-        context = starts if previous == "<s>" else uni[previous]
-        out.append((1 / (words + 1), uni[token] / max(total, 1), bi[previous, token] / context if context else 0.0, context))
-        previous = token
+    return grams, starts
+
+
+def plain_terms(rows, folds, text, order):
+    """Estimates (uniform first) and bucket of each token."""
+    grams, starts = counted(rows, folds, order)
+    total, words = sum(grams[1].values()), len(grams[1])
+    out, sequence = [], ["<s>"] * (order - 1) + tokens(text)
+    for i in range(order - 1, len(sequence)):
+        terms, bucket = [1 / (words + 1), grams[1][sequence[i],] / max(total, 1)], 0
+        for n in range(2, order + 1):
+            context = tuple(sequence[i - n + 1 : i])
+            seen = starts if i == order - 1 else grams[n - 1][context]
+            terms.append(grams[n][(*context, sequence[i])] / seen if seen else 0.0)
+            if seen:
+                bucket = 1 + (n - 2) * langmodel.BUCKETS + int(math.log2(seen))
+        out.append((*terms, bucket))
     return out
 
 
-def plain_weights(rows):
-    p, bucket = [], []
+def plain_weights(rows, order):
+    p, buckets = [], []
     for doc_id, text in rows:
         if fold(doc_id) == langmodel.DELETED_FOLD:
-            for *terms, context in plain_terms(rows, {0, 3, 4}, text):
+            for *terms, bucket in plain_terms(rows, {0, 3, 4}, text, order):
                 p.append([2.0 ** (-round(-4 * math.log2(t)) / 4) if t and i else t for i, t in enumerate(terms)])
-                bucket.append(1 + int(math.log2(context)) if context else 0)
-    return langmodel.fit_weights(np.array(p).T, np.array(bucket), np.ones(len(p)))
+                buckets.append(bucket)
+    return langmodel.fit_weights(np.array(p).T, np.array(buckets), np.ones(len(p)))
 
 
-@pytest.mark.parametrize("ranges", [1 << 20, 200])
-def test_scores_equal_plain_counting(spark, monkeypatch, ranges):
+@pytest.mark.parametrize(("order", "ranges"), [(2, 1 << 20), (2, 200), (3, 300)])
+def test_scores_equal_plain_counting(spark, monkeypatch, order, ranges):
     monkeypatch.setattr(langmodel, "RANGE_GRAMS", ranges)
     monkeypatch.setattr(langmodel, "BLOCK_BYTES", 1500)
     rows = corpus()
-    got = langmodel.score(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS block", "1 AS part")).collect()
+    got = langmodel.score(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS block", "1 AS part"), order).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got) == sorted((i is None, i) for i, _ in rows)
-    weights = plain_weights(rows)
-    uni = counted(rows, {0, 2, 3, 4})[0]
+    weights = plain_weights(rows, order)
+    uni = {gram[0]: n for gram, n in counted(rows, {0, 2, 3, 4}, order)[0][1].items()}
     total, words, texts = sum(uni.values()), len(uni), dict(rows)
     for r in got:
         sequence = tokens(texts[r["doc_id"]])
         assert r["held_out"] == (fold(r["doc_id"]) == 1) and r["train_tokens"] == total
         assert r["n_tokens"] == len(sequence) and r["n_known"] == sum(t in uni for t in sequence)
-        assert r["base_score"] == pytest.approx(sum(math.log10((uni[t] + 0.5) / (total + 0.5 * (words + 1))) for t in sequence))
-        score = 0.0
-        for *terms, context in plain_terms(rows, {0, 2, 3, 4}, texts[r["doc_id"]]):
-            bucket = 1 + int(math.log2(context)) if context else 0
-            score += math.log10(float(weights[bucket] @ terms))
+        assert r["base_score"] == pytest.approx(sum(math.log10((uni.get(t, 0) + 0.5) / (total + 0.5 * (words + 1))) for t in sequence))
+        score = sum(math.log10(float(weights[bucket] @ terms)) for *terms, bucket in plain_terms(rows, {0, 2, 3, 4}, texts[r["doc_id"]], order))
         assert r["score"] == pytest.approx(score, rel=1e-6)
     held = [r for r in got if r["held_out"] and (r["n_tokens"] or 0) > 5]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
@@ -95,11 +98,12 @@ def test_scores_equal_plain_counting(spark, monkeypatch, ranges):
 
 def test_probabilities_after_a_context_sum_to_one():
     rows = corpus()
-    uni, bi, _ = counted(rows, {0, 2, 3, 4})
-    weights, total = plain_weights(rows), sum(uni.values())
+    grams, _ = counted(rows, {0, 2, 3, 4}, 2)
+    weights, total = plain_weights(rows, 2), sum(grams[1].values())
     for previous in ("w3", "w7"):
-        w = weights[1 + int(math.log2(uni[previous]))]
-        mass = sum(w @ np.array([1 / (len(uni) + 1), uni[t] / total, bi[previous, t] / uni[previous]]) for t in uni) + w[0] / (len(uni) + 1)
+        seen = grams[1][previous,]
+        w = weights[1 + int(math.log2(seen))]
+        mass = sum(w @ np.array([1 / (len(grams[1]) + 1), n / total, grams[2][previous, t] / seen]) for (t,), n in grams[1].items()) + w[0] / (len(grams[1]) + 1)
         assert mass == pytest.approx(1)
 
 

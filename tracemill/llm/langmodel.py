@@ -23,7 +23,7 @@ power of two per estimate; EM runs over these few thousand counts on the driver.
 
 Tokens: A-Z in lower case, words are runs of other bytes than space and 0x09-0x0D, then one end token.  Defined cases: a null text is empty and has the end
 token only.  Repeated rows count and are scored each.  Without training tokens estimates are 0 and every token has the probability 1 / (V + 1) = 1.
-Words are told apart by 64-bit hashes.  Extra columns are not read.
+Words are told apart by 64-bit hashes, longer n-grams by GRAM_BITS.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -41,10 +41,11 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import Run, byte_slices, is_fold
 from tracemill.llm.hashing import mix, word_hashes
 
-ORDER = 2
+ORDER = 3
 EVALUATED_FOLD = 1  # never learned from
 DELETED_FOLD = 2  # the part that the weights are fitted to
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
+GRAM_BITS = 56  # of the hashes of n-grams with several words; words have 64
 RANGE_GRAMS = 1 << 20
 BYTES_PER_TOKEN = 6
 BUCKETS = 40
@@ -100,7 +101,7 @@ class Block:
             previous = np.roll(previous, 1)
             previous[first] = START
             running = running + previous * _PLACES[distance]
-            grams.append(mix(running + np.uint64(distance)))
+            grams.append(mix(running + np.uint64(distance)) >> np.uint64(64 - GRAM_BITS))
         return cls(grams, np.repeat(np.arange(len(texts)), lengths), lengths)
 
     def distinct(self, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +140,7 @@ def _counting(order: int, part_bits: int):
                 counts = np.bincount(place, weights=weight, minlength=len(grams)).astype(np.uint32)
                 if size == 1:
                     counts[np.searchsorted(grams, START)] = (~evaluated).sum()
-                parts = (grams >> np.uint64(64 - part_bits)).astype(np.int64) if part_bits else np.zeros(len(grams), dtype=np.int64)
+                parts = (grams >> np.uint64((64 if size == 1 else GRAM_BITS) - part_bits)).astype(np.int64) if part_bits else np.zeros(len(grams), dtype=np.int64)
                 cuts = np.flatnonzero(np.diff(parts)) + 1
                 rows = []
                 for first, last in zip([0, *cuts], [*cuts, len(grams)], strict=True):
