@@ -70,7 +70,8 @@ def plain_weights(rows, order):
     for doc_id, text in rows:
         if fold(doc_id) == langmodel.DELETED_FOLD:
             for *terms, bucket in plain_terms(rows, {0, 3, 4}, text, order):
-                p.append([2.0 ** (-round(-4 * math.log2(t)) / 4) if t and i else t for i, t in enumerate(terms)])
+                steps = [0, *langmodel.BIN_STEPS]
+                p.append([2.0 ** (-float(np.rint(-steps[i] * math.log2(t))) / steps[i]) if t and i else t for i, t in enumerate(terms)])
                 buckets.append(bucket)
     return langmodel.fit_weights(np.array(p).T, np.array(buckets), np.ones(len(p)))
 

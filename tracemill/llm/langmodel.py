@@ -18,8 +18,8 @@ Exact counts of all n-grams, in bounded memory and without a row per n-gram:
 3. The block's documents are read again, met with the answers by block id, and scored.  A block id is a hash of its documents; a block that finds no answer
    stops the job, since the input then changed between two reads.
 
-Ranges are as many as keep RANGE_GRAMS n-grams in one.  For the weights, held-out tokens are counted in bins of a quarter of a
-power of two per estimate; EM runs over these few thousand counts on the driver.
+Ranges are as many as keep RANGE_GRAMS n-grams in one.  For the weights, held-out tokens are counted in bins of half a power of two per estimate (a whole one for single words); EM runs over these
+counts on the driver, whose number the bins bound, not the corpus.
 
 Tokens: A-Z in lower case, words are runs of other bytes than space and 0x09-0x0D, then one end token.  Defined cases: a null text is empty and has the end
 token only.  Repeated rows count and are scored each.  Without training tokens estimates are 0 and every token has the probability 1 / (V + 1) = 1.
@@ -50,7 +50,8 @@ RANGE_GRAMS = 1 << 20
 BYTES_PER_TOKEN = 6
 BUCKETS = 40
 EM_ROUNDS = 200
-BINS_PER_DOUBLING = 4
+#: Steps per power of two of the estimates, single words first: coarse enough that a few ten thousand bins hold all held-out tokens.
+BIN_STEPS = (1, 2, 2, 2, 2, 2, 2, 2)
 LEAST_WEIGHT = 1e-7
 
 _WORD_BYTE = np.ones(256, dtype=bool)
@@ -252,7 +253,8 @@ def _binning(order: int, tokens: float, words: float):
             block = Block.of(texts, order)
             p, bucket = estimates(*_counts(block, answers, order, both=False), tokens, words)
             # 0 stands for an estimate of 0, else the bin counts down from 1.
-            bins = np.where(p[1:] > 0, 1 + np.rint(-BINS_PER_DOUBLING * np.log2(np.maximum(p[1:], 1e-300))), 0).astype(np.int16)
+            steps = np.array(BIN_STEPS[:order])[:, None]
+            bins = np.where(p[1:] > 0, 1 + np.rint(-steps * np.log2(np.maximum(p[1:], 1e-300))), 0).astype(np.int16)
             keys, n = np.unique(np.vstack([bucket.astype(np.int16), bins]), axis=1, return_counts=True)
             rows["bucket"] += keys[0].tolist()
             rows["bins"] += [k.tobytes() for k in np.ascontiguousarray(keys[1:].T)]
@@ -348,6 +350,6 @@ def score(documents: DataFrame, order: int = ORDER) -> DataFrame:
 def _weights(found, order: int, words: float) -> np.ndarray:
     found = found.sort_values(["bucket", "bins"])
     bins = np.stack([np.frombuffer(bytes(b), dtype=np.int16) for b in found["bins"]]) if len(found) else np.empty((0, order), np.int16)
-    p = np.where(bins > 0, 2.0 ** (-(bins - 1) / BINS_PER_DOUBLING), 0.0)
+    p = np.where(bins > 0, 2.0 ** (-(bins - 1) / np.array(BIN_STEPS[:order])), 0.0)
     p = np.vstack([np.full(len(found), 1 / (words + 1)), p.T]) if len(found) else np.empty((order + 1, 0))
     return fit_weights(p, found["bucket"].to_numpy(), found["n"].to_numpy(float))
