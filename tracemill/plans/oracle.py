@@ -493,18 +493,19 @@ SELECT port, CASE port WHEN 53 THEN 'DNS' WHEN 3868 THEN 'DRA' WHEN 2123 THEN 'S
 # ------------------------------------------------------------------ evidence, domains, ranking
 MIX_LIST = (
     "['diameter', 's1ap', 'nas-eps', 'gtpv2', 'dns', 'ngap', 'nas-5gs', 'http2', 'json', 'sip', 'sdp', 'map', 'tcap', 'sccp',"
-    " 'bssap', 'dtap', 'gtp', 'udp', 'data', 'gsm_map']"
+    " 'bssap', 'dtap', 'gtp', 'udp', 'data', 'gsm_map', 'isup', 'gtpv1', 'mtp3', 'ss7', 'cap', 'rtp', 'gsm_a', 'pfcp', 'bssmap', 'sbcap', 'rtcp', 'icmp']"
 )
+MIX_NAMES = "['mme', 'pcscf-ims', 'smf', 'host', 'sbc', 's10-inter-mme', 'amf-n26', 'registrar', 'sgw', 'pgw-s5', 'udm-ausf', 'hss']"
 LINKS = "'eth', 'ip', 'tcp', 'udp', 'sctp', 'data'"
 MIX = f"""
-base AS (SELECT user_id % 40 AS c, event_id + 1 AS frame_no, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+base AS (SELECT user_id % 120 AS c, 1 + (user_id % 120) // 40 AS step, event_id + 1 AS frame_no, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
     CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS place FROM events),
 mix AS (SELECT 'm' || c AS capture_id,
-    CASE WHEN c % 4 = 3 AND place > 1 THEN 'tcp' ELSE {MIX_LIST}[(c * 3 + CASE WHEN c % 5 = 0 THEN place ELSE place // 2 END) % 20 + 1] END AS top,
-    ['sctp', 'udp', 'tcp'][(c + place) % 3 + 1] AS transport, {MIX_LIST}[(c * 3 + place) % 20 + 1] AS inner_protocol,
-    CASE WHEN k % 9 = 0 THEN ['mme', 'pcscf-ims', 'smf', 'host', 'sbc'][c % 5 + 1] || '-' || k
+    CASE WHEN c % 4 = 3 AND place > 1 THEN 'tcp' ELSE {MIX_LIST}[(c * 3 + step * CASE WHEN c % 5 = 0 THEN place ELSE place // 2 END) % 32 + 1] END AS top,
+    ['sctp', 'udp', 'tcp'][(c + place) % 3 + 1] AS transport, {MIX_LIST}[(c * 3 + step * place) % 32 + 1] AS inner_protocol,
+    CASE WHEN k % 9 = 0 THEN {MIX_NAMES}[c % 12 + 1] || '-' || k
       || CASE WHEN c % 2 = 0 THEN '.epc.mnc001.mcc262.3gppnetwork.org' ELSE '.example' END END AS name,
-    CASE WHEN k % 9 = 0 AND c % 3 = 0 THEN ['mme', 'hss', 'Other'][(k // 9) % 3 + 1] END AS role FROM base),
+    CASE WHEN k % 9 = 0 AND c % 3 = 0 THEN ['mme', 'hss', 'sgw', 'pgw', 'Other'][(k // 9) % 5 + 1] END AS role FROM base),
 totals AS (SELECT capture_id, count(*) AS total FROM mix GROUP BY 1),
 pc AS (SELECT capture_id, top AS name, count(*) AS n FROM mix GROUP BY 1, 2),
 tc AS (SELECT capture_id, transport AS name, count(*) AS n FROM mix GROUP BY 1, 2),
@@ -544,18 +545,19 @@ domains AS (SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER
     CASE WHEN n = 1 OR score >= 0.7 THEN 'primary' WHEN score >= 0.4 THEN 'secondary' ELSE 'supporting' END AS role FROM found)"""
 ORACLE["domain_infer"] = f"WITH {MIX}, {RANK_EV}, {DOMAINS} SELECT * FROM domains"
 SIGNALS = """
-roles AS (SELECT s.*, CASE WHEN protocol IN ('ngap', 'nas-5gs', 'http', 'json', 's1ap', 'nas-eps', 'diameter', 'gtpv2', 'sip', 'sdp', 'dns', 'map', 'tcap', 'sccp', 'bssap', 'dtap') THEN 1
+roles AS (SELECT s.*, CASE WHEN protocol IN ('ngap', 'nas-5gs', 'nr-rrc', 'http', 'json', 'pfcp', 's1ap', 'nas-eps', 'diameter', 'gtpv2', 'gtpv1', 'sip', 'sdp', 'rtp',
+      'rtcp', 'dns', 'map', 'tcap', 'sccp', 'mtp3', 'm3ua', 'bssap', 'bssmap', 'dtap', 'isup', 'cap', 'sbcap') THEN 1
     WHEN protocol IN ('sctp', 'tcp', 'udp') THEN 2 ELSE 3 END AS role,
-  coalesce(map {'ngap': 120, 'nas-5gs': 115, 'http': 105, 'json': 100, 's1ap': 96, 'sip': 94, 'sdp': 92, 'dns': 90, 'nas-eps': 88, 'diameter': 86,
-    'gtpv2': 84, 'map': 76, 'tcap': 74, 'sccp': 72, 'bssap': 68, 'dtap': 64}[protocol], 0) AS priority, d.domain AS primary_domain
+  coalesce(map {'ngap': 120, 'nas-5gs': 115, 'http': 105, 'json': 100, 'pfcp': 98, 's1ap': 96, 'sip': 94, 'sdp': 92, 'dns': 90, 'nas-eps': 88, 'diameter': 86,
+    'gtpv2': 84, 'gtpv1': 78, 'map': 76, 'tcap': 74, 'sccp': 72, 'mtp3': 70, 'bssap': 68, 'dtap': 64, 'isup': 60}[protocol], 0) AS priority, d.domain AS primary_domain
   FROM sig s LEFT JOIN domains d ON d.capture_id = s.capture_id AND d.rank = 1),
 usable AS (SELECT * FROM roles WHERE role = 2 OR (role = 1 AND (source = 'count' OR primary_domain IS NULL OR primary_domain = 'dns-support'
-  OR (primary_domain = '5g-sa-core' AND protocol IN ('ngap', 'nas-5gs', 'http', 'json', 'dns'))
-  OR (primary_domain = '5g-sa-core-sbi' AND protocol IN ('http', 'json', 'dns'))
+  OR (primary_domain = '5g-sa-core' AND protocol IN ('ngap', 'nas-5gs', 'http', 'json', 'pfcp', 'dns'))
+  OR (primary_domain = '5g-sa-core-sbi' AND protocol IN ('http', 'json', 'pfcp', 'dns'))
   OR (primary_domain = 'lte-eps' AND protocol IN ('s1ap', 'nas-eps', 'diameter', 'gtpv2', 'dns'))
-  OR (primary_domain = 'ims-voice' AND protocol IN ('sip', 'sdp', 'dns'))
-  OR (primary_domain = 'legacy-2g3g' AND protocol IN ('map', 'tcap', 'sccp', 'bssap', 'dtap'))
-  OR (primary_domain = 'legacy-2g3g-gprs' AND protocol IN ('dns')))))"""
+  OR (primary_domain = 'ims-voice' AND protocol IN ('sip', 'sdp', 'dns', 'rtp', 'rtcp'))
+  OR (primary_domain = 'legacy-2g3g' AND protocol IN ('map', 'tcap', 'sccp', 'mtp3', 'bssap', 'dtap', 'isup', 'cap'))
+  OR (primary_domain = 'legacy-2g3g-gprs' AND protocol IN ('gtpv1', 'dns')))))"""
 BY = "CASE WHEN source = 'count' THEN 0 ELSE 1 END, packets DESC, factor DESC, priority DESC, protocol"
 ORACLE["dominant_signalling"] = f"""
 WITH {MIX}, {RANK_EV}, {SIG_EV}, {DOMAINS}, {SIGNALS},
@@ -571,7 +573,7 @@ WITH {MIX}, {RANK_EV}, {SIG_EV}, {DOMAINS}, {SIGNALS}
 SELECT * FROM (SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY role, {BY}) AS rank, protocol FROM usable) WHERE rank <= 12"""
 ORACLE["capture_context"] = f"""
 WITH {MIX}, {SIG_EV}
-SELECT capture_id, coalesce(string_agg(protocol, ',' ORDER BY protocol) FILTER (WHERE protocol IN ('eth', 'ip', 'data', 'gtp')), '') AS link_or_envelope_protocols,
+SELECT capture_id, coalesce(string_agg(protocol, ',' ORDER BY protocol) FILTER (WHERE protocol IN ('eth', 'ip', 'data', 'gtp', 'gsm_a', 'ss7', 'icmp')), '') AS link_or_envelope_protocols,
   coalesce(string_agg(protocol, ',' ORDER BY protocol) FILTER (WHERE protocol IN ('sctp', 'tcp', 'udp')), '') AS transport_support_protocols FROM sig GROUP BY 1"""
 ORACLE["profile_base_scores"] = f"""
 WITH {MIX}, {RANK_EV}, {oracle_rank.PROFILES.strip()},

@@ -295,22 +295,27 @@ def endpoint_columns() -> tuple[Column, Column]:
 # ------------------------------------------------------------------ protocol mixes
 MIX = """
 diameter s1ap nas-eps gtpv2 dns ngap nas-5gs http2 json sip sdp map tcap sccp bssap dtap gtp udp data gsm_map
+isup gtpv1 mtp3 ss7 cap rtp gsm_a pfcp bssmap sbcap rtcp icmp
 """.split()
 MIX_TYPES = ["click", "error", "purchase", "signup", "view"]
+MIX_NAMES = "mme pcscf-ims smf host sbc s10-inter-mme amf-n26 registrar sgw pgw-s5 udm-ausf hss".split()
+MIX_CAPTURES = 120
 
 
 def mix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as captures with different protocol mixes: one capture per user class of 40."""
-    listed = ", ".join(f"'{p}'" for p in MIX)
+    """The event table as captures with different protocol mixes: one capture per user class."""
+    listed = lambda names: ", ".join(f"'{n}'" for n in names)
     place = "case event_type " + " ".join(f"when '{t}' then {i}" for i, t in enumerate(MIX_TYPES)) + " end"
-    rows = trace_base(spark, sf_dir).selectExpr("user_id % 40 as c", "frame_no", "k", f"{place} as place")
+    rows = trace_base(spark, sf_dir).selectExpr(f"user_id % {MIX_CAPTURES} as c", "frame_no", "k", f"{place} as place")
+    # later captures take protocols that lie further apart in the list
+    rows = rows.withColumn("step", F.expr("1 + c div 40"))
     return rows.selectExpr(
         "concat('m', c) as capture_id",
         "frame_no",
         # some captures show most types only in the protocol stack
-        f"if(c % 4 = 3 and place > 1, 'tcp', array({listed})[(c * 3 + if(c % 5 = 0, place, place div 2)) % {len(MIX)}]) as top_protocol",
+        f"if(c % 4 = 3 and place > 1, 'tcp', array({listed(MIX)})[(c * 3 + step * if(c % 5 = 0, place, place div 2)) % {len(MIX)}]) as top_protocol",
         f"array('sctp', 'udp', 'tcp')[(c + place) % 3] as transport",
-        f"array('eth', 'ip', array({listed})[(c * 3 + place) % {len(MIX)}]) as protocols",
-        "if(k % 9 = 0, concat(array('mme', 'pcscf-ims', 'smf', 'host', 'sbc')[c % 5], '-', k, if(c % 2 = 0, '.epc.mnc001.mcc262.3gppnetwork.org', '.example')), null) as name",
-        "if(k % 9 = 0 and c % 3 = 0, array('mme', 'hss', 'Other')[(k div 9) % 3], null) as role",
+        f"array('eth', 'ip', array({listed(MIX)})[(c * 3 + step * place) % {len(MIX)}]) as protocols",
+        f"if(k % 9 = 0, concat(array({listed(MIX_NAMES)})[c % {len(MIX_NAMES)}], '-', k, if(c % 2 = 0, '.epc.mnc001.mcc262.3gppnetwork.org', '.example')), null) as name",
+        "if(k % 9 = 0 and c % 3 = 0, array('mme', 'hss', 'sgw', 'pgw', 'Other')[(k div 9) % 5], null) as role",
     )
