@@ -76,6 +76,14 @@ def packet_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ full packets
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace with its frames dealt over partitions, as the packet files of many captures are.
+
+    The same step at every size: the narrow rows are shuffled, into as many partitions as the session sets, before they become wide packets.
+    """
+    return trace_base(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "frame_no")
+
+
 def json_object(**fields: str) -> str:
     """SQL text of a JSON object; a null value leaves its key out.  Values are SQL for JSON text."""
     parts = ", ".join(f"concat('\"{name}\":', {value})" for name, value in fields.items())
@@ -204,7 +212,7 @@ def trace_packets(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
             ),
         ),
     )
-    return trace_base(spark, sf_dir).select("capture_id", *keep, F.expr(layers).alias("layers"))
+    return dealt(spark, sf_dir).select("capture_id", *keep, F.expr(layers).alias("layers"))
 
 
 def access_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +249,7 @@ def access_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         },
         sip=only("error", json_object(message_name="case k % 3 when 0 then '\"INVITE sip\"' when 1 then '[\"180 Ringing\"]' else '\"REGISTER\"' end")),
     )
-    return trace_base(spark, sf_dir).select("capture_id", F.expr(layers).alias("layers"))
+    return dealt(spark, sf_dir).select("capture_id", F.expr(layers).alias("layers"))
 
 
 # ------------------------------------------------------------------ lookup tables
