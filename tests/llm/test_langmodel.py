@@ -126,6 +126,21 @@ def test_trigrams_and_empty_tables(spark):
     assert all(r["score"] == 0 and r["train_tokens"] == 0 and r["n_known"] == 0 for r in only) and only
 
 
+def test_many_arrow_batches_per_partition(spark):
+    """Both passes cut the same blocks when a partition has several batches."""
+    table = spark.createDataFrame(corpus(), SCHEMA).coalesce(1)
+    whole = sorted((str(r["doc_id"]), r["score"]) for r in langmodel.score(table).collect())
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(option)
+    spark.conf.set(option, "7")
+    try:
+        cut = sorted((str(r["doc_id"]), r["score"]) for r in langmodel.score(table).collect())
+    finally:
+        spark.conf.set(option, before)
+    assert [i for i, _ in cut] == [i for i, _ in whole]
+    assert [s for _, s in cut] == pytest.approx([s for _, s in whole])
+
+
 def test_packed_arrays_come_back():
     values = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 1000).astype(np.uint64))
     assert (np.cumsum(langmodel.unpack(langmodel.pack(np.diff(values, prepend=np.uint64(0))), np.uint64)) == values).all()

@@ -113,10 +113,13 @@ class Block:
         return np.unique(grams, return_inverse=True)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bool, np.ndarray, np.ndarray, list[bytes]]]:
-    """(id, which begins with whether it is deleted; that; doc ids, whether each is evaluated, texts); documents of the deleted part have blocks of their own."""
+def _blocks(batches: Iterator[pa.RecordBatch], only_deleted: bool = False) -> Iterator[tuple[bytes, bool, np.ndarray, np.ndarray, list[bytes]]]:
+    """(id, which begins with whether it is deleted; that; doc ids, whether each is evaluated, texts); documents of the deleted part have blocks of their own.
+
+    Blocks end where Arrow batches end, so every pass has to read all rows: a filter before it would cut others.
+    """
     for batch in batches:
-        for deleted in (False, True):
+        for deleted in (True,) if only_deleted else (False, True):
             part = batch.filter(pa.compute.equal(batch.column("deleted"), deleted))
             for piece, texts in byte_slices(part, "text", BLOCK_BYTES):
                 encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -185,9 +188,7 @@ def _answer(group: pa.Table) -> pa.Table:
 
 def _payload(only_deleted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, deleted, ids, evaluated, texts in _blocks(batches):
-            if only_deleted and not deleted:
-                continue
+        for key, deleted, ids, evaluated, texts in _blocks(batches, only_deleted):
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
             packed = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
             columns = ([key], [deleted], [pack(np.stack([ids, evaluated.astype(np.int64)]).ravel())], [pack(sizes)], [packed])
@@ -334,7 +335,7 @@ def score(documents: DataFrame, order: int = ORDER) -> DataFrame:
     tokens = kept_tokens + (sums["deleted_tokens"] or 0)
     answers = answers.where(F.col("block").isNotNull()).select("block", "part", "size", "kept", "deleted")
 
-    held = rows.where("deleted").mapInArrow(_payload(True), BLOCK_SCHEMA).groupBy("block")
+    held = rows.mapInArrow(_payload(True), BLOCK_SCHEMA).groupBy("block")
     held_answers = answers.where(F.substring("block", 1, 1) == F.lit(bytes([1]))).groupBy("block")
     bins = held.cogroup(held_answers).applyInArrow(_binning(order, kept_tokens, kept_words), BIN_SCHEMA)
     found = bins.groupBy("bucket", "bins").agg(F.sum("n").alias("n")).toPandas()
