@@ -37,6 +37,29 @@ def test_pages(page, text):
     assert text_of(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='content-sidebar-wrap'><article><p>a story</p></article></div><div class='sidebar'>s</div>", "a story"),
+        ("<div id='page' class='with-sidebar'><p>a story without article</p></div><div class='menu'>m</div>", "a story without article"),
+        ("<article class='post comments-open'><p>a story</p><div class='share-box'>x</div></article><article><p>b</p></article>", "a story"),
+        ("<div class='no-sidebar'><main><p>a</p></main></div>", "a"),
+        ("<div class='widget'><div itemprop='articleBody'>a</div><p>outside</p></div>", "a"),
+        ("<article><div class='social-wrap'><p>all of the story</p></div><p>end</p></article>", "all of the story\nend"),
+        ("<article><p>short</p><section id='comments'><p>a much longer comment on it</p></section></article>", "short"),
+        ("<main><p>post</p><ol id='comments'><li><article class='comment'>a longer comment</article></ol></main>", "post"),
+        ("<article><p>post</p></article><div id='comments' class='comments-area'><article class='comment-body'>a longer comment</article></div>", "post"),
+        ("<article><div class='content-sidebar-wrap'><p>story</p></div></article><div>a long list of other things</div>", "story"),
+        ("<div class='site-nav-wrap'><article><p>post</p><div id='comments'>a longer comment</div></article></div>", "post"),
+        ("<div class='side-widget'><main>a story</main></div><article>teaser</article>", "a story"),
+        ("<article><p>post</p><div class='related'><a>other</a> <a>stories of ours</a></div></article>", "post"),
+        ("<nav>much text in the menu of this page</nav><div class='has-widget'><p>story</p></div><div class='ad'>ad</div>", "story"),
+    ],
+)
+def test_layout_words_do_not_remove_the_article(page, text):
+    assert text_of(page) == text
+
+
 def test_recurring_subtrees_go_and_passages_stay(spark):
     shared = "<p>A passage that many articles share.</p>"
     pages = []

@@ -7,7 +7,9 @@
    blocks of the article itself (paragraphs, headings, quotes, tables, lists without links) and subtrees with at least half of the
    article's text are never deleted for recurring: texts may share passages.
 4. What needs no counting goes as well: elements that are never text (scripts, styles, forms, ``nav``, ``aside``, ``footer`` ...),
-   hidden ones, and those whose role, class or id names a menu, header, footer, sidebar, notice, advert or comments.
+   hidden ones, and those whose role, class or id names a menu, header, footer, sidebar, notice, advert or comments.  Class and id words
+   are layout names as well (``content-sidebar-wrap``): they never remove the article, what holds it, or half of the page's text;
+   only a whole name such as ``comments`` beside other text does.
 
 The article is the largest ``article`` left, else ``main`` (or role ``main``), else an element marked ``articleBody``, else the body.  Its blocks are
 joined by one line feed; in a block character references are decoded and white space becomes one space.
@@ -59,6 +61,7 @@ FURNITURE = frozenset(
     "navigation newsletter notice overlay pagination pager popup promo promoted recommended related reply respond search share sharing sidebar signin signup skyscraper social sponsor sponsored subscribe "
     "subscription toolbar topbar widget".split()
 )
+REPLIES = frozenset("comment comments commentlist disqus respond reply".split())  # may be longer than the article they answer
 FRAME_ONLY = frozenset("header footer masthead".split())  # such words inside an article may name its own headline
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
@@ -69,11 +72,12 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children", "parent", "hash", "size", "links")
+    __slots__ = ("tag", "attributes", "children", "parent", "hash", "size", "own", "links", "spared")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None):
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Element | str] = []
+        self.spared = False
 
     def walk(self) -> Iterator[Element]:
         """This element and all below it, parents first."""
@@ -158,23 +162,24 @@ def measure(root: Element) -> None:
         state = blake2b(digest_size=8)
         attributes = node.attributes
         state.update(f"<{node.tag} {attributes.get('class', '')} {attributes.get('id', '')}>".encode("utf-8", "surrogatepass"))
-        size = links = 0
+        size = own = links = 0
         for child in node.children:
             if isinstance(child, str):
                 text = " ".join(child.split())
                 if text:
-                    size += len(text)
+                    own += len(text)
                     state.update(b"t" + text.encode("utf-8", "surrogatepass"))
             else:
                 size += child.size
                 links += child.links
                 state.update(b"e" + child.hash.to_bytes(8, "little", signed=True))
-        node.size, node.links = (0, 0) if node.tag in RAW else (size, size if node.tag == "a" else links)
+        size += own
+        node.own, node.size, node.links = (0, 0, 0) if node.tag in RAW else (own, size, size if node.tag == "a" else links)
         node.hash = int.from_bytes(state.digest(), "little", signed=True)
 
 
-def is_furniture(node: Element, inside: bool) -> bool:
-    """Whether the element says by itself that it is no main text."""
+def is_marked(node: Element, inside: bool) -> bool:
+    """Whether the element's tag, role or state says that it is no main text."""
     if node.tag in NEVER:
         return True
     attributes = node.attributes
@@ -184,34 +189,83 @@ def is_furniture(node: Element, inside: bool) -> bool:
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("aria-modal") == "true" or _HIDDEN.search(attributes.get("style", "")):
         return True
-    if attributes.get("role", "").lower() in ROLES:
-        return True
-    if node.tag in ("body", "main", "html"):
+    return attributes.get("role", "").lower() in ROLES
+
+
+def is_named(node: Element, inside: bool) -> bool:
+    """Whether a word of the element's class or id names furniture."""
+    if not node.attributes or node.tag in ("body", "main", "html"):
         return False
-    words = set(_WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
+    words = set(_WORDS.findall(f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}".lower()))
     return bool(words & FURNITURE) or (not inside and bool(words & FRAME_ONLY))
 
 
+def whole_names(node: Element) -> set[str]:
+    return set(f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}".lower().split())
+
+
+def is_furniture(node: Element, inside: bool) -> bool:
+    """Whether the element says by itself that it is no main text."""
+    return is_marked(node, inside) or (not node.spared and is_named(node, inside))
+
+
 def find_article(root: Element) -> Element:
-    """The element that holds the main text; the whole tree if none says so."""
-    articles, mains, bodies = [], [], []
-    stack = [(root, False)]
+    """The element that holds the main text, the whole tree if none says so; sets which elements no class or id word removes.
+
+    An article under such a word counts if the word is part of a layout name, or if there is no other.
+    """
+    found: dict[bool, list[list[Element]]] = {named: [[], [], []] for named in (False, True)}
+    whole: set[int] = set()
+    total, stack = 0, [(root, False, False, False)]
     while stack:
-        node, inside = stack.pop()
-        if node is not root and is_furniture(node, inside):
-            continue
+        node, inside, named, exact = stack.pop()
+        if node is not root:
+            if is_marked(node, inside):
+                continue
+            if is_named(node, inside):
+                named, exact = True, exact or bool(whole_names(node) & (FURNITURE | FRAME_ONLY))
+        total += node.own
+        if exact:
+            whole.add(id(node))
         if node.tag == "article" and not inside:
-            articles.append(node)
+            found[named][0].append(node)
         elif node.tag == "main" or node.attributes.get("role", "").lower() == "main":
-            mains.append(node)
+            found[named][1].append(node)
         elif node.attributes.get("itemprop", "").lower() == "articlebody":
-            bodies.append(node)
+            found[named][2].append(node)
         inner = inside or node.tag == "article"
-        stack.extend((c, inner) for c in reversed(node.children) if not isinstance(c, str))
-    for found in (articles, mains, bodies):
-        if found:
-            return max(found, key=lambda n: n.size)
-    return root
+        stack.extend((c, inner, named, exact) for c in reversed(node.children) if not isinstance(c, str))
+    article, other = (next((max(kind, key=lambda n: n.size) for kind in found[named] if kind), root) for named in (False, True))
+    if article is root:
+        article = other
+    else:
+        article = max([article, *(n for kind in found[True] for n in kind if id(n) not in whole)], key=lambda n: n.size)
+    _spare(article, article is not root, total)
+    return article
+
+
+def _spare(article: Element, marked: bool, total: int) -> None:
+    """Mark the elements of the article whose class or id names furniture, but which hold too much of its text to be that."""
+    text: dict[int, int] = {}
+    plain, order, stack = 0, [], [(article, False)]
+    while stack:
+        node, named = stack.pop()
+        if node is not article:
+            if is_marked(node, marked):
+                continue
+            named = named or is_named(node, marked)
+        plain += 0 if named else node.own
+        order.append((node, named))
+        stack.extend((c, named) for c in node.children if not isinstance(c, str))
+    for node, _ in reversed(order):
+        text[id(node)] = node.own + sum(text.get(id(c), 0) for c in node.children if not isinstance(c, str))
+    for node, named in order:
+        if not named or 2 * text[id(node)] < text[id(article)]:
+            continue
+        names = whole_names(node)
+        if plain and (names & REPLIES or 2 * node.links >= node.size or (2 * text[id(node)] < total and names & FURNITURE)):
+            continue
+        node.spared = True
 
 
 def candidates(article: Element, root: Element) -> Iterator[Element]:
