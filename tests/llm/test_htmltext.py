@@ -82,6 +82,29 @@ def test_recurring_subtrees_go_and_passages_stay(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_pages_without_article_keep_shared_passages_and_copies(spark):
+    shared = "<p>A passage that all of these stories quote, word by word.</p>"
+    body = '<div id="menu2"><p>Our pages</p></div><div class="c">{}</div><div class="f1">Seen {} times</div>'
+    story = '<p>The one story of this host.</p><div class="k"><p>Its second part.</p></div><p>Its end.</p>'
+    pages = [(i, f"http://a.example/{i}", FRAME.format(body=body.format(f"<p>Story {i}, with a text that is its own.</p>{shared}", i))) for i in range(10)]
+    pages += [(i, f"http://b.example/{i}", FRAME.format(body=body.format(story, i))) for i in range(10, 20)]
+    flat = "<h1>One</h1><p>The story stands in the body.</p><p>It goes on.</p><div class='f1'>Seen {} times</div>"
+    pages += [(i, f"http://c.example/{i}", f"<body>{flat.format(i)}</body>") for i in range(20, 30)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(10):
+        assert got[i] == f"Story {i}, with a text that is its own.\nA passage that all of these stories quote, word by word.\nSeen {i} times"
+    for i in range(10, 20):
+        assert "The one story of this host.\nIts second part.\nIts end." in got[i]
+    for i in range(20, 30):
+        assert got[i].startswith("One\nThe story stands in the body.\nIt goes on.")
+
+
+def test_parts_of_an_article_are_one_core():
+    root = htmltext.parse("<body><div id=m><p>menu</p></div><div id=c><section><p>a long first part of it</p></section><section><p>part two</p></section></div></body>")
+    htmltext.measure(root)
+    assert htmltext.find_core(htmltext.find_article(root), root).attributes == {"id": "c"}
+
+
 def test_empty_table(spark):
     assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 

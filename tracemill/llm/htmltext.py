@@ -12,7 +12,8 @@
    only a whole name such as ``comments`` beside other text does.
 
 The article is the largest ``article`` left, else ``main`` (or role ``main``), else an element marked ``articleBody``, else the body.  Its blocks are
-joined by one line feed; in a block character references are decoded and white space becomes one space.
+joined by one line feed; in a page without such an element, the block that holds most of the running text stands for the article when articles
+are told apart and text blocks are kept.  In a block character references are decoded and white space becomes one space.
 
 Hosts and hashes are shuffled as (host, hash, page) rows that are counted before they meet.  A page is shuffled, compressed, only if
 a candidate stands in its text, so that the counts decide; the list of deleted hashes that goes back to it is no longer than its own
@@ -268,17 +269,62 @@ def _spare(article: Element, marked: bool, total: int) -> None:
         node.spared = True
 
 
+def find_core(article: Element, root: Element) -> Element:
+    """The article, or on a page that marks none the lowest block with more than half of the text of its paragraphs, headings, quotes and tables."""
+    if article is not root:
+        return article
+    order, stack = [], [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        if node is not root and is_furniture(node, False):
+            continue
+        prose = inside or (node.tag in PROSE and 2 * node.links < node.size)
+        order.append((node, prose))
+        stack.extend((c, prose) for c in node.children if not isinstance(c, str))
+    text: dict[int, int] = {}
+    for node, prose in reversed(order):
+        text[id(node)] = (node.size - node.links if prose else 0) or sum(text.get(id(c), 0) for c in node.children if not isinstance(c, str))
+    core = root
+    while True:
+        below = [c for c in core.children if not isinstance(c, str) and text.get(id(c), 0)]
+        most = max(below, key=lambda c: text[id(c)], default=core)
+        # Parts of one article stand side by side under the same name.
+        name = most.attributes.get("class", "")
+        parts = sum(c.tag == most.tag and c.attributes.get("class", "") == name for c in below) if name or most.tag == "section" else 1
+        if most is core or most.tag in PROSE or most.tag in INLINE or parts > 1 or 2 * text[id(most)] <= text[id(core)]:
+            return core
+        core = most
+
+
+def article_hash(core: Element, article: Element) -> int:
+    """What tells articles apart: all of a marked article, else the text blocks of the core, or all of it if there are none."""
+    if core is article and core.parent is not None:
+        return core.hash
+    state, stack, some = blake2b(digest_size=8), [core], False
+    while stack:
+        node = stack.pop()
+        if node is not core and is_furniture(node, False):
+            continue
+        if node.tag in PROSE and 2 * node.links < node.size:
+            state.update(node.hash.to_bytes(8, "little", signed=True))
+            some = True
+        else:
+            stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
+    return int.from_bytes(state.digest(), "little", signed=True) if some else core.hash
+
+
 def candidates(article: Element, root: Element) -> Iterator[Element]:
     """Elements that go if they recur: those outside running text, and not what holds most of the article."""
-    within = set(map(id, article.walk())) if article is not root else set()
-    above, node = {id(root)}, article
+    core = find_core(article, root)
+    within = set(map(id, core.walk()))
+    above, node = {id(root)}, core
     while node is not None:
         above.add(id(node))
         node = node.parent
     for node in root.walk():
         if id(node) in above or node.tag in INLINE or node.tag in NEVER or node.tag in ("body", "head") or not node.size:
             continue
-        if 2 * node.size >= article.size and (article is root or id(node) in within):
+        if (id(node) in within and 2 * node.size >= core.size) or (article is root and 2 * node.size >= root.size):
             continue
         if id(node) in within and node.tag in PROSE and 2 * node.links < node.size:
             continue
@@ -302,7 +348,7 @@ def shared_subtrees(page: str) -> tuple[int, list[int], bool]:
     root = parse(page)
     measure(root)
     article = find_article(root)
-    return article.hash, sorted({n.hash for n in candidates(article, root)}), depends_on_counts(article, root)
+    return article_hash(find_core(article, root), article), sorted({n.hash for n in candidates(article, root)}), depends_on_counts(article, root)
 
 
 def main_text(page: str, recurring: set[int] | None) -> str | None:
