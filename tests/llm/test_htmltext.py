@@ -99,6 +99,19 @@ def test_pages_without_article_keep_shared_passages_and_copies(spark):
         assert got[i].startswith("One\nThe story stands in the body.\nIt goes on.")
 
 
+def test_templates_of_small_hosts(spark):
+    """On a host of few articles a subtree on half of them, at least three, is a template."""
+    notice = '<div class="k7"><p>Read our other stories</p></div>'
+    page = "<article><p>Story {} with a text that is long and its own.</p>{}</article>"
+    noticed = {"a": (4, 4), "b": (2, 2), "c": (9, 4), "d": (6, 3)}  # articles of the host, and how many show the notice
+    rows = [(100 * n + i, f"http://{h}.example/{i}", page.format(i, notice if i < shown else "")) for n, (h, (count, shown)) in enumerate(noticed.items()) for i in range(count)]
+    rows += [(1000 + i, f"http://e.example/{i}", page.format(1, notice)) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    with_notice = {i for i, text in got.items() if "Read our" in text}
+    assert with_notice == {100, 101, 200, 201, 202, 203, *range(1000, 1009)}
+
+
 def test_parts_of_an_article_are_one_core():
     root = htmltext.parse("<body><div id=m><p>menu</p></div><div id=c><section><p>a long first part of it</p></section><section><p>part two</p></section></div></body>")
     htmltext.measure(root)

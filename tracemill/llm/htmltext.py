@@ -3,8 +3,8 @@
 1. Every page is parsed into a tree; each element outside running text is hashed with all it holds (tags, class, id, text).
 2. Spark counts, per host and hash, on how many *different* articles' pages the subtree stands: copies of a page count once, so an
    article that a host shows under a hundred addresses is no template.
-3. A subtree on at least LEAST_PAGES such pages of its host is deleted, wherever it stands: menus, notices, adverts, boxes.  Text
-   blocks of the article itself (paragraphs, headings, quotes, tables, lists without links) and subtrees with at least half of the
+3. A subtree on at least LEAST_PAGES such pages of its host, or on FEW_PAGES that are half of the host's different articles, is deleted,
+   wherever it stands: menus, notices, adverts, boxes.  Text blocks of the article itself (paragraphs, headings, quotes, tables, lists without links) and subtrees with at least half of the
    article's text are never deleted for recurring: texts may share passages.
 4. What needs no counting goes as well: elements that are never text (scripts, styles, forms, ``nav``, ``aside``, ``footer`` ...),
    hidden ones, and those whose role, class or id names a menu, header, footer, sidebar, notice, advert or comments.  Class and id words
@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import Run, byte_slices
 
 LEAST_PAGES = 10
+FEW_PAGES = 3  # enough on a host where they are half of the different articles
+HOST_SALTS = 32
 
 # Element names of HTML and the words that name page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -400,16 +402,16 @@ ELEMENTS = "page_key binary, host string, article long, subtree long, page_id lo
 
 
 def _count_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per candidate, and one with the compressed page where the text depends on counts."""
+    """A row per candidate, one without a subtree per page, and one with the compressed page where the text depends on counts."""
     coder = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         for part, texts in byte_slices(batch, "html"):
             rows, articles, subtrees, waiting, packed = [], [], [], [], []
             for row, page in enumerate(texts):
                 article, found, depends = shared_subtrees(page)
-                rows += [row] * len(found)
-                articles += [article] * len(found)
-                subtrees += found
+                rows += [row] * (1 + len(found))
+                articles += [article] * (1 + len(found))
+                subtrees += [None, *found]
                 if depends:
                     waiting.append(row)
                     packed.append(coder.compress(page.encode("utf-8", "surrogatepass")))
@@ -463,10 +465,16 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     first_pass = run.land(rows.mapInArrow(_count_elements, ELEMENTS), "elements")
     elements = first_pass.where(F.col("html").isNull()).select("page_key", "host", "article", "subtree")
     waiting = first_pass.where(F.col("html").isNotNull()).select("page_key", "host", "page_id", "url", "html")
-    counted = elements.select("host", "subtree", "article").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages"))
-    recurring = counted.where(F.col("pages") >= least_pages).select("host", "subtree")
+    different = elements.select("host", "subtree", "article").distinct()
+    counted = different.where(F.col("subtree").isNotNull()).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages"))
+    # Half of the articles can be fewer than least_pages only on hosts of few articles; a host of many has its rows dealt over the salts.
+    sizes = different.where(F.col("subtree").isNull()).groupBy("host").agg(F.count(F.lit(1)).alias("articles")).where(F.col("articles") < 2 * least_pages)
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1))))
+    few = counted.where((F.col("pages") >= FEW_PAGES) & (F.col("pages") < least_pages)).withColumn("salt", F.pmod("subtree", F.lit(HOST_SALTS)).cast("int"))
+    few = few.join(sizes, ["host", "salt"]).where(2 * F.col("pages") >= F.col("articles"))
+    recurring = counted.where(F.col("pages") >= least_pages).select("host", "subtree").unionAll(few.select("host", "subtree"))
     # Only pages whose text depends on the counts get them; all others are done where they are read.
-    asked = elements.join(waiting.select("page_key").distinct(), "page_key", "left_semi").select("page_key", "host", "subtree").distinct()
+    asked = elements.where(F.col("subtree").isNotNull()).join(waiting.select("page_key").distinct(), "page_key", "left_semi").select("page_key", "host", "subtree").distinct()
     lists = asked.join(recurring, ["host", "subtree"]).groupBy("page_key").agg(F.collect_set("subtree").alias("recurring"))
     rest = waiting.join(lists, "page_key", "left").select("page_id", "url", "html", "recurring").mapInArrow(_extract_waiting, TEXTS)
     known = rows.select("page_id", "url", "html").mapInArrow(_extract_known, TEXTS)
