@@ -96,3 +96,22 @@ def test_broken_archives_end_with_one_row(spark):
     for broken in (content + content[:-3], content + b"garbage", content + content[:7], content + struct.pack("<II", warc.SKIPPABLE, 99)):
         rows = warc.read_archives(spark.createDataFrame([("a", broken)], "path string, content binary")).collect()
         assert [r["problem"] is None for r in rows] == [True, False]
+
+
+def test_a_common_payload_is_dealt_over_tasks(spark):
+    rows = [(i, f"http://h.example/{i}", "" if i % 3 else f"<p>page {i}</p>") for i in range(600)]
+    options = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = warc.read_archives(warc.write_archives(pages)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r["page_id"] for r in got) == list(range(600)) and all(r["problem"] is None for r in got)
+    empty = [r for r in got if r["page_id"] % 3]
+    assert sum(r["record_type"] == "response" for r in empty) == 1 and {r["refers_to"] for r in empty} == {None, 1}
+    paths = [r["path"] for r in empty]
+    assert max(map(paths.count, set(paths))) < 150

@@ -7,8 +7,9 @@ the block, the closing line ends, the HTTP length of a response against its payl
 reported in ``problem``; a broken frame ends its archive with one such row.
 
 ``write_archives`` turns pages into such archives.  Of pages with equal payloads of at least ``least_bytes`` bytes the one with the
-smallest page_id becomes a response and the others revisits that refer to it and carry no payload.  Pages are dealt by their rows, not by their
-payload, so a payload that a third of all pages share does not gather in one task; what is joined on the payload digest is one row per digest.
+smallest page_id becomes a response and the others revisits that refer to it and carry no payload.  Pages meet the first page of their payload by
+its digest; a payload on more than one in HOT_SHARE pages is dealt by rows over as many salts as its share asks for, so that no payload gathers in
+one task.
 
 Defined cases: a null html is an empty payload.  Repeated rows of the first page are responses each.  Where all pages of a payload lack an
 id they are responses; other pages without an id are revisits with an empty id.  Extra columns are not read.  No pages give no archives.
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import byte_slices, smallest
+from tracemill.llm.common import Run, byte_slices, smallest
 
 SKIPPABLE = 0x184D2A5D
 FRAME = 0xFD2FB528
@@ -39,6 +40,7 @@ DATE = "2024-01-01T00:00:00Z"  # pages carry no time of their own
 LEVEL = 3
 ARCHIVE_BYTES = 8 << 20  # of records before compression
 LEAST_BYTES = 0
+HOT_SHARE = 1024  # fewer than so many payloads are hot, whatever the number of pages
 #: The dictionary is trained from at most DICTIONARY_PAGES pages, SAMPLE_BYTES of each.
 DICTIONARY_PAGES = 400
 SAMPLE_BYTES = 4096
@@ -253,8 +255,15 @@ def write_archives(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
     )
     dictionary = pages.sparkSession.sparkContext.broadcast(train_dictionary(rows))  # DICTIONARY_BYTES at most
     rows = rows.withColumn("__digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    firsts = rows.groupBy("__digest").agg(F.min("page_id").alias("first"))
-    rows = rows.join(firsts, "__digest")
+    firsts = rows.groupBy("__digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("__n"))
+    firsts = Run(pages.sparkSession, "warc").land(firsts, "firsts")
+    total = firsts.agg(F.sum("__n")).first()[0] or 0
+    salts = F.when((F.col("__n") > 1) & (F.col("__n") * HOT_SHARE > total), F.ceil(F.col("__n") * HOT_SHARE / F.lit(max(total, 1)))).otherwise(1)
+    firsts = firsts.select("__digest", "first", salts.cast("int").alias("__salts"))
+    hot = firsts.where(F.col("__salts") > 1).select("__digest", "__salts")
+    rows = rows.join(F.broadcast(hot), "__digest", "left")
+    rows = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    rows = rows.join(firsts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))), ["__digest", "__salt"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
