@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracemill.llm import decontaminate, htmltext, langid, langmodel, minhash, neighbours, packing, quality, sharding, warc
+from tracemill.llm import decontaminate, hardnegatives, htmltext, langid, langmodel, minhash, neighbours, packing, quality, sharding, warc
 from tracemill.llm.common import Run, is_fold
 
 
@@ -71,8 +71,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"))
 
 
+def op11_hardnegatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hard negatives of each of the five best positives of every vector whose id is divisible by 100."""
+    label = F.col("label").cast("long")
+    embeddings = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hardnegatives.mine(embeddings, F.col("vec_id") % 100 == 0)
+
+
 OPERATORS = (
-    op1_quality, op2_neardup, op3_langmodel, op4_warc, op5_htmltext, op6_language, op7_packing, op8_neighbours, op9_decontaminate, op10_sharding
+    op1_quality, op2_neardup, op3_langmodel, op4_warc, op5_htmltext, op6_language, op7_packing, op8_neighbours, op9_decontaminate, op10_sharding,
+    op11_hardnegatives,
 )
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
@@ -88,4 +96,18 @@ ORACLE: dict[str, str] = {
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM firsts
     """,
+    "op11_hardnegatives": """
+        WITH v AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+                   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score
+              FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT p.anchor_id, p.other_id AS positive_id, (row_number() OVER best)::INT AS rank, s.other_id AS negative_id,
+               p.score AS positive_score, s.score AS negative_score
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+        WINDOW best AS (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id)
+        QUALIFY row_number() OVER best <= 5
+    """,
 }
