@@ -277,7 +277,8 @@ class Miner:
 
         count = max(1, -(-anchors.count() // (4 * ANCHOR_ROWS)))
         requests = anchors.repartition(count, "cell").sortWithinPartitions("cell").mapInArrow(request, REQUESTS)
-        met = self.blocks.join(requests, "cell").drop("cell")
+        # Spark would judge the requests by the size of the anchors, many times below their own, and broadcast them.
+        met = self.blocks.hint("merge").join(requests, "cell").drop("cell")
         best = Window.partitionBy("key", "window").orderBy(F.desc("score"), "vec_id")
         found = met.mapInArrow(meet, FOUND).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         self.passes += 1
