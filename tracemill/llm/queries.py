@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracemill.llm import decontaminate, hardnegatives, htmltext, langid, langmodel, minhash, neighbours, packing, quality, sharding, warc
+from tracemill.llm import decontaminate, hardnegatives, htmltext, langid, langmodel, minhash, neighbours, ngramjoin, packing, quality, sharding, warc
 from tracemill.llm.common import Run, is_fold
 
 
@@ -78,9 +78,14 @@ def op11_hardnegatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardnegatives.mine(embeddings, F.col("vec_id") % 100 == 0)
 
 
+def op13_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document among those of similar four-word sets."""
+    return ngramjoin.join(table(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     op1_quality, op2_neardup, op3_langmodel, op4_warc, op5_htmltext, op6_language, op7_packing, op8_neighbours, op9_decontaminate, op10_sharding,
-    op11_hardnegatives,
+    op11_hardnegatives, op13_ngramjoin,
 )
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
@@ -110,4 +115,18 @@ ORACLE: dict[str, str] = {
         WINDOW best AS (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id)
         QUALIFY row_number() OVER best <= 5
     """,
+    "op13_ngramjoin": r"""
+        WITH RECURSIVE words AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS MATERIALIZED (SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                 ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS s FROM words),
+        grams AS MATERIALIZED (SELECT r, len(s) AS n, unnest(s) AS g FROM sets),
+        common AS (SELECT x.r AS a, y.r AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS shared
+                   FROM grams x JOIN grams y ON x.g = y.g AND x.r <> y.r GROUP BY ALL),
+        links AS MATERIALIZED (SELECT a, b FROM common WHERE 100 * shared >= 85 * (na + nb - shared)),
+        reach AS (SELECT r AS a, r AS b FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+        SELECT s.doc_id, len(s.s) AS n_shingles, min(t.doc_id) AS component_id
+        FROM reach JOIN sets s ON s.r = reach.a JOIN sets t ON t.r = reach.b GROUP BY s.r, s.doc_id, len(s.s)
+    """,
 }
