@@ -86,13 +86,26 @@ def prefix(grams: np.ndarray, frequency: np.ndarray) -> np.ndarray:
     return grams[order[:length]]
 
 
-def range_counts(grams: np.ndarray) -> np.ndarray:
-    """How many n-grams of a set lie in each of RANGES ranges of hashes, apart from those that order them."""
-    return np.bincount((grams & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES)
+def range_counts(grams: np.ndarray, ranges: int = RANGES) -> np.ndarray:
+    """How many n-grams of a set lie in each range of hashes (by the low bits; the high ones order the set)."""
+    return np.bincount((grams & np.uint64(ranges - 1)).astype(np.int64), minlength=ranges)
+
+
+def outline(grams: np.ndarray) -> bytes:
+    """Counts by range, a byte each, with two to four n-grams a range on average and RANGES ranges at least."""
+    ranges = max(RANGES, 1 << (max(1, -(-len(grams) // 4)) - 1).bit_length())
+    return np.minimum(range_counts(grams, ranges), 255).astype(np.uint8).tobytes()
+
+
+def least_different(a: bytes, b: bytes) -> int:
+    """A number of n-grams in which two sets differ at least, by their outlines; the finer one is folded to the other's ranges."""
+    x, y = (np.frombuffer(o, dtype=np.uint8).astype(np.int64) for o in (a, b))
+    ranges = min(len(x), len(y))
+    return int(np.abs(x.reshape(-1, ranges).sum(axis=0) - y.reshape(-1, ranges).sum(axis=0)).sum())
 
 
 def most_different(n_a, n_b):
-    """In how many n-grams two linked sets can differ: n_a + n_b less twice the fewest they share; Columns, arrays or numbers."""
+    """In how many n-grams two linked sets can differ: n_a + n_b less twice the fewest they share."""
     return n_a + n_b - 2 * ((SHARE * (n_a + n_b) + 99 + SHARE) // (100 + SHARE))
 
 
@@ -118,7 +131,7 @@ def frequencies(documents: DataFrame) -> np.ndarray:
 
 
 def _signed(frequency: Broadcast):
-    """Of each row the key of its set, its size, its prefix and its counts by range; nulls without words."""
+    """Of each row the key of its set, its size, prefix and outline; nulls without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,14 +144,14 @@ def _signed(frequency: Broadcast):
                     pa.array([blake2b(s.tobytes(), digest_size=16).digest() if f else None for s, f in zip(sets, filled, strict=True)], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([prefix(s, frequency.value).view(np.int64) if f else None for s, f in zip(sets, filled, strict=True)], pa.list_(pa.int64())),
-                    pa.array([range_counts(s).astype(np.int32) if f else None for s, f in zip(sets, filled, strict=True)], pa.list_(pa.int32())),
+                    pa.array([outline(s) if f else None for s, f in zip(sets, filled, strict=True)], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SIGNED.split(", ")])
 
     return run
 
 
-SIGNED = "doc_id long, text_key binary, set_key binary, n long, prefix array<long>, ranges array<int>"
+SIGNED = "doc_id long, text_key binary, set_key binary, n long, prefix array<long>, outline binary"
 
 
 def _gram_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +161,12 @@ def _gram_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("text_key"), made], ["text_key", "grams"])
 
 
+def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch.column(n).to_pylist() for n in ("outline_a", "outline_b", "n_a", "n_b")), strict=True)
+        yield batch.select(["a", "b"]).filter(pa.array([least_different(a, b) <= most_different(n_a, n_b) for a, b, n_a, n_b in rows], pa.bool_()))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose whole sets link."""
     for batch in batches:
@@ -171,7 +190,7 @@ class Join:
         self.rows = self.rows.withColumn("text_key", row_key(F.col("text")))
         frequency = self.spark.sparkContext.broadcast(frequencies(self.rows))
         self.signed = self.run.land(self.rows.select("doc_id", "text_key", "text").mapInArrow(_signed(frequency), SIGNED), "signed")
-        kept = ("text_key", "n", "prefix", "ranges")
+        kept = ("text_key", "n", "prefix", "outline")
         sets = self.signed.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.any_value(F.struct(*kept)).alias("of"))
         sets = sets.select("set_key", "first", *(f"of.{c}" for c in kept)).withColumn("set", F.monotonically_increasing_id())
         self.sets = self.run.land(sets, "sets")
@@ -221,10 +240,8 @@ class Join:
         # At most what stands before the n-gram in both, the n-gram, and what is left behind it.
         most = F.least(place_a, place_b) + 1 + F.least(n_a - place_a - 1, n_b - place_b - 1)
         pairs = pairs.where(most >= fewest).select("a", "b").distinct()
-        ranges = lambda x: self.sets.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("ranges").alias(f"ranges_{x}"))
-        pairs = pairs.join(ranges("a"), "a").join(ranges("b"), "b")
-        different = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda s, x: s + x)
-        return pairs.where(different <= n_a + n_b - 2 * fewest).select("a", "b")
+        outlines = lambda x: self.sets.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("outline").alias(f"outline_{x}"))
+        return pairs.join(outlines("a"), "a").join(outlines("b"), "b").mapInArrow(_suffix_filter, "a long, b long")
 
     def _grams(self, needed: DataFrame, name: str) -> DataFrame:
         """set and its n-grams, from the text of one of its rows.
