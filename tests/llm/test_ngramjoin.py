@@ -105,7 +105,7 @@ def test_units_return_few_links_and_all_components():
     sets = [*gram_sets(texts)]
     counts = common_counts(sets)
     assert all(counts[a, b] == len(np.intersect1d(sets[a], sets[b])) for a in range(90) for b in range(a))
-    links = unit_links([(0, 0, 0, i, i, s.tobytes()) for i, s in enumerate(sets)])
+    links = unit_links([(0, 0, 0, i, i, len(s), s.tobytes()) for i, s in enumerate(sets)])
     near = [(a, b) for a in range(90) for b in range(a) if 100 * counts[a, b] >= 85 * (len(sets[a]) + len(sets[b]) - counts[a, b])]
     assert len(links) < 90 < len(near)
 
@@ -116,4 +116,4 @@ def test_units_return_few_links_and_all_components():
         return [label.index(x) for x in label]
 
     assert classes(links) == classes(near)
-    assert unit_links([(0, 0, 0, i, 7, s.tobytes()) for i, s in enumerate(sets)]) == []
+    assert unit_links([(0, 0, 0, i, 7, len(s), s.tobytes()) for i, s in enumerate(sets)]) == []

@@ -12,8 +12,8 @@ Two documents link when ``100 * |common| >= SHARE * |union|``; components are th
    of the differences of their counts over a partition) let it reach the share.
 4. *Verification.*  The sets of a pair left are compared whole, once per pair.
 5. *Rest.*  Two sets that met under one head, and whose components still differ, are compared in blocks: a unit of work is a pair of blocks of one head, at most
-   about BLOCK_GRAMS n-grams and BLOCK_SETS sets each; the length and suffix filters run over all its pairs at once, common n-grams of what is
-   left follow from one product of 0-1 matrices, and a unit returns at most one link less than it has sets.
+   about BLOCK_GRAMS n-grams and BLOCK_SETS sets each.  A first round runs the length and suffix filters over all pairs of a unit at once; for the sets that pass with
+   any other, a second round takes the common n-grams of all pairs from one product of 0-1 matrices, and a unit returns at most one link less than it has sets.
 
 So every pair that shares a prefix n-gram is filtered, compared, or already in one component, and no group of copies is written as all its pairs.
 
@@ -158,7 +158,7 @@ def _gram_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in byte_slices(batch, "text"):
             made = pa.array([s.tobytes() for s in gram_sets(texts)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("text_key"), made], ["text_key", "grams"])
+            yield pa.RecordBatch.from_arrays([part.column("set"), made], ["set", "grams"])
 
 
 def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,60 +252,90 @@ class Join:
         wanted = self.run.land(self.sets.select("set", "text_key").join(needed, "set"), name)
         rows = self.rows.select("text_key", "text").withColumn("__short", short)
         rows = rows.join(F.broadcast(wanted.select(short.alias("__short")).distinct()), "__short", "left_semi").drop("__short")
-        texts = rows.groupBy("text_key").agg(F.any_value("text").alias("text")).join(wanted, "text_key", "left_semi")
-        return texts.select("text_key", "text").mapInArrow(_gram_bytes, "text_key binary, grams binary").join(wanted, "text_key").select("set", "grams")
+        texts = rows.groupBy("text_key").agg(F.any_value("text").alias("text")).join(wanted, "text_key")
+        return texts.select("set", "text").mapInArrow(_gram_bytes, "set long, grams binary")
 
     def _rest(self, roots: DataFrame) -> DataFrame:
-        """Links between components among the sets of one head."""
+        """Links between components among the sets of one head: outlines tell which sets can have any, then their n-grams decide."""
         roots = roots.select(F.col("node").alias("set"), "root")
         members = self.crowded.select("head", "set", "n").distinct().join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
         members = self.run.land(members, "members")
+        near = self._units(members, self.sets.select("set", F.col("outline").alias("body")), "near").mapInArrow(_near_units, "head long, set long")
+        near = self.run.land(members.join(near.distinct(), ["head", "set"]), "near")
+        grams = self.run.land(self._grams(near.select("set").distinct(), "near-wanted"), "near-grams")
+        return self._units(near, grams.withColumnRenamed("grams", "body"), "open").mapInArrow(_link_units, "a long, b long").distinct()
+
+    def _units(self, members: DataFrame, bodies: DataFrame, name: str) -> DataFrame:
+        """The sets of heads with several components as rows (head, low, high, set, root, n, body), in order of their unit of work."""
         sums = members.groupBy("head").agg(
             F.min("root").alias("__least"), F.max("root").alias("__most"), F.sum("n").alias("grams_held"), F.count(F.lit(1)).alias("sets_held")
         )
         blocks = F.greatest(F.ceil(F.col("grams_held") / BLOCK_GRAMS), F.ceil(F.col("sets_held") / BLOCK_SETS)).cast("int").alias("blocks")
-        open_heads = self.run.land(sums.where("__least != __most").select("head", blocks), "open-heads")
-        opened = self.run.land(members.join(open_heads, "head"), "opened")
-        grams = self.run.land(self._grams(opened.select("set").distinct(), "open-wanted"), "open-grams")
-        block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-        rows = opened.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("head", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "set", "root", "n")
-        rows = rows.join(grams, "set").withColumn("unit", F.xxhash64("head", "low", "high"))
-        rows = rows.repartition("unit").sortWithinPartitions("unit", "head", "low", "high", "set")
-        return rows.select("head", "low", "high", "set", "root", "grams").mapInArrow(_link_units, "a long, b long").distinct()
+        heads = self.run.land(sums.where("__least != __most").select("head", blocks), f"{name}-heads")
+        opened = members.join(heads, "head").join(bodies, "set").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+        rows = opened.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("head", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "set", "root", "n", "body")
+        unit = F.xxhash64("head", "low", "high")
+        return rows.withColumn("unit", unit).repartition("unit").sortWithinPartitions("unit", "head", "low", "high", "set").drop("unit")
 
 
-def _link_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of one unit, two blocks of one head."""
+def _runs(batches: Iterator[pa.RecordBatch], work, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """What ``work`` finds in the rows of each unit, two blocks of one head, as pairs of numbers."""
     held: list[tuple] = []
+
+    def made(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names)
+
     for batch in batches:
         found: list[tuple[int, int]] = []
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and held[0][:3] != row[:3]:
-                found += unit_links(held)
+                found += work(held)
                 held = []
             held.append(row)
-        yield _pairs(found)
+        yield made(found)
     if held:
-        yield _pairs(unit_links(held))
+        yield made(work(held))
+
+
+def _near_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _runs(batches, near_sets, ["head", "set"])
+
+
+def _link_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _runs(batches, unit_links, ["a", "b"])
+
+
+def near_pairs(roots: list, sizes: list[int], outlines: list[bytes]) -> np.ndarray:
+    """Which pairs of sets of different components pass the length filter and the suffix filter, at twice as many ranges from step to step."""
+    root, size = np.unique(roots, return_inverse=True)[1], np.array(sizes)
+    near = (100 * np.minimum(size[:, None], size) >= SHARE * np.maximum(size[:, None], size)) & (root[:, None] != root)
+    counts = [np.frombuffer(o, dtype=np.uint8).astype(np.int32) for o in outlines]
+    ranges = RANGES
+    while True:
+        rows = np.array([r for r in np.flatnonzero(near.any(axis=1)) if len(counts[r]) >= ranges], dtype=np.int64)
+        if len(rows) < 2:
+            return near
+        folded = np.stack([counts[r].reshape(-1, ranges).sum(axis=0) for r in rows])
+        different = np.zeros((len(rows), len(rows)), dtype=np.int32)
+        for place in range(ranges):
+            different += np.abs(folded[:, place, None] - folded[:, place])
+        near[np.ix_(rows, rows)] &= different <= most_different(size[rows][:, None], size[rows])
+        ranges *= 2
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+def near_sets(rows: list[tuple]) -> list[tuple[int, int]]:
+    """head and set of the rows of a unit (.., set, root, n, outline) that may link to another one."""
+    near = near_pairs([r[4] for r in rows], [r[5] for r in rows], [r[6] for r in rows]).any(axis=1)
+    return [(rows[r][0], rows[r][3]) for r in np.flatnonzero(near)]
 
 
 def unit_links(rows: list[tuple]) -> list[tuple[int, int]]:
-    """Links between different components of one unit's rows (.., set, root, n-grams) that join what any link of the unit joins."""
+    """Links between different components of one unit's rows (.., set, root, n, n-grams) that join what any link of the unit joins."""
     roots = np.unique([r[4] for r in rows], return_inverse=True)[1]
-    sets = [np.frombuffer(r[5], dtype=np.uint64) for r in rows]
+    sets = [np.frombuffer(r[6], dtype=np.uint64) for r in rows]
     sizes = np.array([len(s) for s in sets])
-    near = 100 * np.minimum(sizes[:, None], sizes) >= SHARE * np.maximum(sizes[:, None], sizes)
-    near &= roots[:, None] != roots
-    counts = np.stack([range_counts(s) for s in sets]).astype(np.int32)
-    different = np.zeros(near.shape, dtype=np.int32)
-    for place in range(RANGES):
-        different += np.abs(counts[:, place, None] - counts[:, place])
-    near &= different <= most_different(sizes[:, None], sizes)
+    near = near_pairs(roots, sizes, [outline(s) for s in sets])
     open_rows = np.flatnonzero(near.any(axis=1))
     if not len(open_rows):
         return []
