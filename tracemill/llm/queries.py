@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracemill.llm import decontaminate, hardnegatives, htmltext, langid, langmodel, minhash, neighbours, ngramjoin, packing, quality, sharding, warc
+from tracemill.llm import conversations, decontaminate, hardnegatives, htmltext, langid, langmodel, minhash, neighbours, ngramjoin, packing, quality, sharding, warc
 from tracemill.llm.common import Run, is_fold
 
 
@@ -78,6 +78,11 @@ def op11_hardnegatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardnegatives.mine(embeddings, F.col("vec_id") % 100 == 0)
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged and repaired."""
+    return conversations.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document among those of similar four-word sets."""
     return ngramjoin.join(table(spark, sf_dir, "documents"))
@@ -85,7 +90,7 @@ def op13_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_quality, op2_neardup, op3_langmodel, op4_warc, op5_htmltext, op6_language, op7_packing, op8_neighbours, op9_decontaminate, op10_sharding,
-    op11_hardnegatives, op13_ngramjoin,
+    op11_hardnegatives, op12_conversations, op13_ngramjoin,
 )
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
