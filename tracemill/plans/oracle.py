@@ -686,3 +686,46 @@ SELECT capture_id, packet_no, top_protocol, '[redacted]' AS time_epoch, '[redact
       CASE WHEN answer THEN 'http2.headers.status=' || http END, 'http2.streamid=' || (k % 6))
     ELSE 's1ap.procedureCode=' || (k % 50) || ';s1ap.nas_pdu_tree.nas_eps.message_type=' || CASE k % 4 WHEN 0 THEN '0x41' WHEN 1 THEN '0x42' WHEN 2 THEN '67' ELSE '0x99' END
   END AS fields FROM pk""")
+
+# What a stream has closed: the watermark, in whole milliseconds, is ten minutes behind the latest time.
+MARK = "(SELECT (max(us) // 1000 - 600000) * 1000 FROM base)"
+HOUR = 3600000000
+
+
+def windowed(hours: int, keys: str) -> str:
+    width = hours * HOUR
+    return pkt(f"""
+    , w AS (SELECT pkt.*, us // {width} * {width} AS window_start FROM pkt JOIN base USING (capture_id, frame_no))
+    SELECT window_start, window_start + {width} AS window_end, {keys}, count(*) AS packets, min(frame_no) AS first_frame
+    FROM w WHERE window_start + {width} <= {MARK} GROUP BY ALL""")
+
+
+ORACLE["stream_protocol_windows"] = windowed(6, "capture_id, top_protocol AS protocol")
+ORACLE["stream_conversation_windows"] = windowed(
+    24, "capture_id, transport, coalesce(src_ip, 'unknown') AS src, coalesce(dst_ip, 'unknown') AS dst, top_protocol"
+)
+ORACLE["stream_bursts"] = pkt(f"""
+, s AS (SELECT *, CASE WHEN us - lag(us) OVER w <= 120000000 THEN 0 ELSE 1 END AS fresh FROM base WINDOW w AS (PARTITION BY capture_id ORDER BY us, frame_no)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY capture_id ORDER BY us, frame_no) AS run FROM s)
+SELECT capture_id, count(*) AS packet_count, min(frame_no) AS first_frame, min(us) AS start, max(us) AS end FROM r
+GROUP BY capture_id, run HAVING count(*) >= 5 AND max(us) + 120000000 <= {MARK}""")
+
+
+def timed_out(rows: str, key: str, columns: str) -> str:
+    return pkt(f"""
+    , m AS ({rows}),
+    mark AS (SELECT (least(max(us) FILTER (ask), max(us) FILTER (NOT ask)) // 1000 - 600000) * 1000 AS us FROM m)
+    SELECT capture_id, frame_no, {columns}, us AS asked_at FROM m WHERE ask AND us + {6 * HOUR} < (SELECT us FROM mark)
+      AND NOT EXISTS (SELECT 1 FROM m a WHERE NOT a.ask AND a.capture_id = m.capture_id AND a.{key} = m.{key} AND a.us BETWEEN m.us AND m.us + {6 * HOUR})""")
+
+
+ORACLE["stream_diameter_timeouts"] = timed_out(
+    """SELECT pkt.capture_id, pkt.frame_no, us, diameter_hop_by_hop_id AS hop_by_hop, diameter_cmd_code AS cmd, coalesce(diameter_flags, '') = '192' AS ask
+       FROM pkt JOIN base USING (capture_id, frame_no) WHERE diameter_cmd_code IS NOT NULL""",
+    "hop_by_hop", "hop_by_hop, cmd",
+)
+ORACLE["stream_session_timeouts"] = timed_out(
+    """SELECT pkt.capture_id, pkt.frame_no, us, gtpv2_seq_no AS seq, gtpv2_message_type = '32' AS ask
+       FROM pkt JOIN base USING (capture_id, frame_no) WHERE gtpv2_message_type IN ('32', '33')""",
+    "seq", "seq",
+)

@@ -13,9 +13,10 @@ from tracemill.operators import evidence as evidence_ops
 from tracemill.operators import endpoints as ep
 from tracemill.operators import privacy as pv
 from tracemill.plans import views
-from tracemill.session import cut_lineage
+from tracemill.session import cut_lineage, intermediate_path
 from tracemill.sources import index as index_source
 from tracemill.sources import packets as packet_source
+from tracemill.streaming import windows
 from tracemill.functions.pseudonym import sha_hex, sha_hex_list
 from tracemill.functions.tables import PRIVACY_PROFILES
 from tracemill.sources.profiles import builtin_profiles
@@ -887,3 +888,48 @@ def protected_summary(spark, sf_dir):
     return hidden.select(
         "capture_id", F.col("capture_metadata.first_seen_epoch").alias("first_seen"), F.posexplode("conversations").alias("place", "c")
     ).select("capture_id", "first_seen", "place", "c.transport", "c.src", "c.dst", "c.packet_count")
+
+
+# ------------------------------------------------------------------ streams
+def landed(spark: SparkSession, sf_dir: str, closing) -> DataFrame:
+    """What a stream of the whole trace closes, from the sink it is written to."""
+    index = classify.with_top_protocol(views.packet_index(spark, sf_dir, views.event_stream(spark, sf_dir)), builtin_profiles()["lte-core"])
+    closed, folder = closing(index), intermediate_path(spark)
+    query = windows.land(closed, f"{folder}/closed", f"{folder}/checkpoint", available_now=True)
+    query.awaitTermination()
+    return spark.read.schema(closed.schema).parquet(f"{folder}/closed")
+
+
+def micros(*names: str) -> list[F.Column]:
+    """Times as microseconds, equal in every engine."""
+    return [F.unix_micros(n).alias(n) for n in names]
+
+
+@query
+def stream_protocol_windows(spark, sf_dir):
+    rows = landed(spark, sf_dir, lambda index: windows.window_counts(index, windows.protocol_keys(), "6 hours"))
+    return rows.select(*micros("window_start", "window_end"), "capture_id", "protocol", "packets", "first_frame")
+
+
+@query
+def stream_conversation_windows(spark, sf_dir):
+    rows = landed(spark, sf_dir, lambda index: windows.window_counts(index, windows.conversation_keys(), "1 day"))
+    return rows.select(*micros("window_start", "window_end"), "capture_id", "transport", "src", "dst", "top_protocol", "packets", "first_frame")
+
+
+@query
+def stream_bursts(spark, sf_dir):
+    rows = landed(spark, sf_dir, lambda index: windows.session_bursts(index, BURST_GAP))
+    return rows.select("capture_id", "packet_count", "first_frame", *micros("start", "end"))
+
+
+@query
+def stream_diameter_timeouts(spark, sf_dir):
+    rows = landed(spark, sf_dir, lambda index: windows.diameter_timeouts(index, "6 hours"))
+    return rows.select("capture_id", "frame_no", "hop_by_hop", "cmd", *micros("asked_at"))
+
+
+@query
+def stream_session_timeouts(spark, sf_dir):
+    rows = landed(spark, sf_dir, lambda index: windows.session_timeouts(index, "6 hours"))
+    return rows.select("capture_id", "frame_no", "seq", *micros("asked_at"))

@@ -31,8 +31,13 @@ def by_type(values: dict) -> str:
     return "case event_type " + " ".join(f"when '{k}' then {show(v)}" for k, v in values.items()) + " end"
 
 
-def trace_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a file stream; the pattern lets the table be a file or a folder."""
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+
+
+def trace_base(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    return (table(spark, sf_dir, "events") if events is None else events).selectExpr(
         "concat('c', user_id % 4) as capture_id",
         "event_id + 1 as frame_no",
         "unix_micros(cast(ts as timestamp)) as us",
@@ -42,10 +47,10 @@ def trace_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def packet_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` with the columns of a packet index, plus ``time_rel_ms``."""
+def packet_index(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """``events`` (the table, or a stream of it) with the columns of a packet index, plus ``time_rel_ms``."""
     only = lambda kind, value, name: f"if(event_type = '{kind}', {value}, null) as {name}"
-    return trace_base(spark, sf_dir).selectExpr(
+    return trace_base(spark, sf_dir, events).selectExpr(
         "capture_id",
         "frame_no",
         "concat(us div 1000000, '.', lpad(cast(us % 1000000 as string), 6, '0')) as time_epoch",

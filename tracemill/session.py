@@ -76,6 +76,13 @@ def remove(spark: SparkSession, path: str) -> None:
 _RUN_FOLDERS: dict[str, SparkSession] = {}
 
 
+def intermediate_path(spark: SparkSession) -> str:
+    """A new path in the run folder of this process, which every executor sees."""
+    folder = f"{shared_folder(spark)}/tracemill-run-{_RUN_ID}"
+    _RUN_FOLDERS[folder] = spark
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the run folder of this process and read it back.
 
@@ -83,9 +90,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     later steps read only the columns they need.  ``drop_intermediates``, or the end of the process, deletes the folder.
     """
     spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/tracemill-run-{_RUN_ID}"
-    _RUN_FOLDERS[folder] = spark
-    path = f"{folder}/{uuid.uuid4().hex}"
+    path = intermediate_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
