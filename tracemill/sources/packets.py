@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.sources.arrays import array_items
 from tracemill.sources.index import capture_key
 
 LEAF = (
@@ -128,16 +129,14 @@ def read_packets(spark: SparkSession, path: str | Sequence[str], json_array: boo
     """Packets ``(capture_id, frame_no, layers)`` and rejected records ``(capture_id, record)``.
 
     Files hold one packet object per line; a line that is no such object, or has no layers, is rejected, and ``reject_counts`` tells
-    how many there are.  ``json_array`` reads files that are one JSON array each; such a file is read by one task, so
-    large captures belong into line files, which Spark splits.  ``root`` is the folder that capture ids are relative to.
+    how many there are.  ``json_array`` reads files that are one JSON array each; large ones are cut and read by many tasks, and what is no
+    such object is rejected by itself.  ``root`` is the folder that capture ids are relative to.
     """
+    if json_array:
+        return parse_packets(array_items(spark, path, root))
     capture = capture_key(F.col("_metadata.file_path"), path if root is None else root).alias("capture_id")
-    if not json_array:
-        lines = spark.read.text(path).select(capture, "value").where(F.trim("value") != "")
-        return parse_packets(lines)
-    options = {"multiLine": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    rows = spark.read.schema(RECORD).options(**options).json(path)
-    return _sorted_out(rows.select(capture, F.col("_source.layers").alias("layers"), F.col("_corrupt").alias("record")))
+    lines = spark.read.text(path).select(capture, "value").where(F.trim("value") != "")
+    return parse_packets(lines)
 
 
 def reject_counts(packets: DataFrame, rejects: DataFrame) -> DataFrame:
