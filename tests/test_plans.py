@@ -1,6 +1,8 @@
 """What plans must show: filters at the scan, few scans of the index, bounded files."""
 
+import hashlib
 import pathlib
+import random
 import re
 
 import pytest
@@ -78,9 +80,43 @@ def test_intermediates_are_deleted(spark):
     assert not folder.exists()
 
 
-def test_digest_of_files_that_fit_no_row(spark, tmp_path, monkeypatch):
-    (tmp_path / "small.pcap").write_bytes(b"abc")
-    (tmp_path / "large.pcap").write_bytes(b"x" * 100)
-    monkeypatch.setattr(captures, "LARGEST_VALUE", 50)
-    got = {r.capture_id: r.capture_sha256 for r in captures.capture_digests(spark, str(tmp_path)).collect()}
-    assert got["large"] is None and got["small"].startswith("ba7816bf")
+def test_digests_of_files_of_any_content(spark, tmp_path):
+    rng = random.Random(2)
+    held = {
+        "empty": b"", "feed": b"\n", "feeds": b"\n\n\n", "plain": b"abc", "ended": b"abc\n", "windows": b"a\r\nb\r\n", "marked": b"\xef\xbb\xbfa\nb", "marked2": b"\xef\xbb\xbfab\n",
+        "three": b"a\nbcd", "wide": bytes(300_000), "noise": rng.randbytes(3 << 20), "noise2": rng.randbytes(1 << 20) + b"\n",
+    }
+    for name, content in held.items():
+        (tmp_path / f"{name}.pcap").write_bytes(content)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        got = {r.capture_id: r.capture_sha256 for r in captures.capture_digests(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {name: hashlib.sha256(content).hexdigest() for name, content in held.items() if content}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_captures_are_replaced_and_a_failed_run_leaves_the_table(spark, tmp_path):
+    path = f"{tmp_path}/detail"
+    rows = lambda names, n, note: spark.range(n).select(F.explode(F.array(*map(F.lit, names))).alias("capture_id"), F.col("id").alias("packet_no"), F.lit(note).alias("note"))
+    table = lambda: sorted(tuple(r) for r in spark.read.parquet(path).groupBy("capture_id", "note").count().collect())
+    files = lambda: sorted(re.sub("part-([0-9]+)-.*", r"\1", str(f.relative_to(path))) for f in pathlib.Path(path).rglob("part-*"))
+    names = [f"c{i}" for i in range(20)]
+    sinks.replace_captures(rows(names, 30, "first"), path, "packet_no", buckets=4)
+    before = files()
+    sinks.replace_captures(rows(names, 30, "again"), path, "packet_no", buckets=4)
+    assert files() == before and table() == sorted((n, "again", 30) for n in names)
+    sinks.replace_captures(rows(["c3", "new"], 7, "third"), path, "packet_no", buckets=4)
+    third = sorted([(n, "again", 30) for n in names if n != "c3"] + [("c3", "third", 7), ("new", "third", 7)])
+    assert table() == third
+    broken = rows(["c4"], 5, "bad").withColumn("note", F.when(F.col("packet_no") == 4, F.raise_error(F.lit("stop")).cast("string")).otherwise(F.col("note")))
+    with pytest.raises(Exception, match="stop"):
+        sinks.replace_captures(broken, path, "packet_no", buckets=4)
+    assert table() == third
+    every = spark.createDataFrame([(n,) for n in [*names, "new"] if n != "c5"], "capture_id string")
+    sinks.replace_captures(rows(["c6"], 2, "last"), path, "packet_no", captures=every, buckets=4)
+    assert table() == [("c5", "again", 30), ("c6", "last", 2)]
+    written = sinks.runs(spark, path).groupBy("run_id").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    assert sorted((r.n, r.rows) for r in written.collect()) == [(2, 14), (20, 2), (20, 600), (20, 600)]

@@ -67,6 +67,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDER
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any file system that Spark knows."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of any file system that Spark knows, if it is there."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

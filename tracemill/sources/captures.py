@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions.tables import INPUT_LIMIT_MIB
+from tracemill.session import intermediate_path
 from tracemill.sources.index import capture_key
 
-LARGEST_VALUE = (1 << 31) - 16  # bytes; Spark refuses longer binary values
+UNCUT = 1 << 60  # bytes; as a split size and as the cost of opening a file it makes every file one task of its own
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
 
 
 def capture_files(spark: SparkSession, path: str) -> DataFrame:
@@ -17,15 +23,58 @@ def capture_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(capture_key(F.col("path"), path).alias("capture_id"), "path", F.col("length").alias("bytes"))
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path and SHA-256 of files that come line by line, one after the other."""
+    own: str | None = None
+    # The reader drops a byte order mark, which shows only at the end, so both readings are digested.
+    states: list = []
+    size = total = 0
+
+    def finished() -> pa.RecordBatch:
+        rows = []
+        if own is not None:
+            left = size - total  # a last line feed, a dropped mark, or both
+            for state in states:
+                state.update(b"\n" * (left in (1, 1 + len(BYTE_ORDER_MARK))))
+            rows = [(own, states[left >= len(BYTE_ORDER_MARK)].hexdigest())]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["path", "capture_sha256"])
+
+    for batch in batches:
+        paths, sizes, lines = (batch.column(n).to_pylist() for n in ("path", "bytes", "line"))
+        first = 0
+        while first < len(paths):
+            last = first
+            while last < len(paths) and paths[last] == paths[first]:
+                last += 1
+            part = b"\n".join(lines[first:last])
+            if paths[first] != own:
+                yield finished()
+                own, size, total, states = paths[first], sizes[first], 0, [hashlib.sha256(), hashlib.sha256(BYTE_ORDER_MARK)]
+            else:
+                part = b"\n" + part
+            total += len(part)
+            for state in states:
+                state.update(part)
+            first = last
+    yield finished()
+
+
 def capture_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file, null for files above LARGEST_VALUE, which no row can hold.
+    """SHA-256 of each file, whatever its size.
 
-    The filter on the length reaches the source, so the content of a larger file is never read.
+    A digest takes its bytes one after the other, so every file is one task, which reads it line by line, in constant memory but for its
+    longest run without a line feed (at most 2 GB).  Files without content have no row, here as in ``capture_files``: Spark reads none of them.  The split size that keeps files whole is set in a session of its own.
     """
-    files = spark.read.format("binaryFile").load(path)
-    key = capture_key(F.col("path"), path).alias("capture_id")
-    small = files.where(F.col("length") <= LARGEST_VALUE).select(key, F.sha2("content", 256).alias("capture_sha256"))
-    return small.unionAll(files.where(F.col("length") > LARGEST_VALUE).select(key, F.lit(None).cast("string")))
+    uncut = spark.newSession()
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        uncut.conf.set(name, str(UNCUT))
+    lines = uncut.read.option("lineSep", "\n").text(path)
+    meta = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")
+    digests = lines.select(*meta, F.col("value").cast("binary").alias("line")).mapInArrow(_digests, "path string, capture_sha256 string")
+    folder = intermediate_path(spark)
+    digests.write.parquet(folder)
+    found = spark.read.schema(digests.schema).parquet(folder)
+    return found.select(capture_key(F.col("path"), path).alias("capture_id"), "capture_sha256")
 
 
 def too_large(files: DataFrame, limit_mib: int = INPUT_LIMIT_MIB) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions.ordering import BLOCK, with_block
+from tracemill.session import cut_lineage, exists, remove
 
 
 BUCKETS = 64
@@ -38,6 +41,35 @@ def write_index(index: DataFrame, path: str, mode: str = "error", buckets: int =
     _by_capture(index, "frame_no", buckets).write.mode(mode).partitionBy(BUCKET).parquet(path)
 
 
+def replace_captures(df: DataFrame, path: str, order: str, captures: DataFrame | None = None, buckets: int = BUCKETS) -> None:
+    """Put the rows of ``captures`` (those in ``df`` unless given) in place of what the table at ``path`` holds of them.
+
+    Only the folders of these captures are written, with the other captures that share them, so a run that is repeated leaves the same files.
+    Rows are staged and moved in when all tasks are done; a run that fails before leaves the table as it was.  ``runs`` tells what each run wrote.
+    """
+    spark = df.sparkSession
+    new = cut_lineage(df)
+    own = cut_lineage((new if captures is None else captures).select("capture_id").distinct())
+    touched = own.select(bucket_of(buckets=buckets).alias(BUCKET)).distinct()
+    rows = new
+    if exists(spark, path):
+        old = spark.read.parquet(path).join(touched, BUCKET, "left_semi").drop(BUCKET)
+        # The files that this reads are replaced below.
+        rows = new.unionByName(cut_lineage(old.join(own, "capture_id", "left_anti")), allowMissingColumns=True)
+    rows = cut_lineage(rows)
+    _by_capture(rows, order, buckets).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    held = rows.select(bucket_of(buckets=buckets).alias(BUCKET)).distinct()
+    for row in touched.join(held, BUCKET, "left_anti").collect():  # at most one row per folder
+        remove(spark, f"{path}/{BUCKET}={row[0]}")
+    counts = own.join(new.groupBy("capture_id").agg(F.count(F.lit(1)).alias("rows")), "capture_id", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    counts.withColumns({"run_id": F.lit(uuid.uuid4().hex), "written_at": F.current_timestamp()}).write.mode("append").parquet(f"{path}-runs")
+
+
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    """run_id, written_at, capture_id and rows of every run that ``replace_captures`` finished."""
+    return spark.read.parquet(f"{path}-runs").select("run_id", "written_at", "capture_id", "rows")
+
+
 def write_summary(summary: DataFrame, path: str, mode: str = "error") -> None:
     """One JSON document per capture and line."""
     summary.select(F.to_json(F.struct(*summary.columns)).alias("value")).write.mode(mode).text(path)
