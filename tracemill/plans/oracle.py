@@ -729,3 +729,14 @@ ORACLE["stream_session_timeouts"] = timed_out(
        FROM pkt JOIN base USING (capture_id, frame_no) WHERE gtpv2_message_type IN ('32', '33')""",
     "seq", "seq",
 )
+
+ORACLE["replaced_index"] = pkt("""
+SELECT capture_id, frame_no, time_epoch, src_ip, dst_ip, CASE WHEN capture_id = 'c1' THEN upper(transport) ELSE transport END AS transport
+FROM pkt WHERE capture_id <> 'c1' OR frame_no % 2 = 0""")
+ORACLE["transport_notes"] = pkt(TRANSPORT_ANOMALIES)
+ORACLE["protected_summary"] = pkt(f"""
+, conv AS ({CONVERSATIONS}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY packet_count DESC, first_frame) AS rank FROM conv)
+SELECT capture_id, CAST(NULL AS VARCHAR) AS first_seen, CAST(rank - 1 AS INTEGER) AS place, transport,
+  CASE WHEN src LIKE '%.%' THEN 'IP_' || left(sha256('ip:' || src), 8) ELSE src END AS src,
+  CASE WHEN dst LIKE '%.%' THEN 'IP_' || left(sha256('ip:' || dst), 8) ELSE dst END AS dst, packet_count FROM ranked WHERE rank <= 25""")

@@ -16,6 +16,7 @@ from tracemill.plans import views
 from tracemill.session import cut_lineage, intermediate_path
 from tracemill.sources import index as index_source
 from tracemill.sources import packets as packet_source
+from tracemill.sources import sinks
 from tracemill.streaming import windows
 from tracemill.functions.pseudonym import sha_hex, sha_hex_list
 from tracemill.functions.tables import PRIVACY_PROFILES
@@ -890,6 +891,22 @@ def protected_summary(spark, sf_dir):
     ).select("capture_id", "first_seen", "place", "c.transport", "c.src", "c.dst", "c.packet_count")
 
 
+@query
+def transport_notes(spark, sf_dir):
+    """Transport anomalies as full packets show them."""
+    return an.note_anomalies(normal_packets(spark, sf_dir).where("is_valid"))
+
+
+@query
+def replaced_index(spark, sf_dir):
+    """The written index after one capture was written again without the packets of odd number."""
+    index = views.packet_index(spark, sf_dir).select("capture_id", "frame_no", "time_epoch", "src_ip", "dst_ip", "transport")
+    path = f"{intermediate_path(spark)}/index"
+    sinks.replace_captures(index, path, "frame_no", buckets=8)
+    sinks.replace_captures(index.where("capture_id = 'c1' AND frame_no % 2 = 0").withColumn("transport", F.upper("transport")), path, "frame_no", buckets=8)
+    return spark.read.parquet(path).drop(sinks.BUCKET)
+
+
 # ------------------------------------------------------------------ streams
 def landed(spark: SparkSession, sf_dir: str, closing) -> DataFrame:
     """What a stream of the whole trace closes, from the sink it is written to."""
