@@ -22,8 +22,16 @@ COLUMNS = {
     "op10_sharding": {
         "doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int",
     },
+    "op11_hardnegatives": {
+        "anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint", "positive_score": "bigint", "negative_score": "bigint",
+    },
+    "op12_conversations": {
+        "conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint", "illegal": "bigint", "cost": "bigint",
+        "audit": "string", "repaired_sha256": "string",
+    },
+    "op13_ngramjoin": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
 }
-PER_DOCUMENT = ("op1_quality", "op2_neardup", "op3_langmodel", "op6_language", "op7_packing", "op10_sharding")
+PER_DOCUMENT = ("op1_quality", "op2_neardup", "op3_langmodel", "op6_language", "op7_packing", "op10_sharding", "op13_ngramjoin")
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
