@@ -12,7 +12,8 @@ def components(edges: DataFrame, run: Run, name: str) -> DataFrame:
     """node and root (the smallest node of its component) of every node of ``edges`` (a, b).
 
     Each round every node takes the smallest label among itself and its neighbours, then the label of that label.  The
-    minimum is taken before rows are shuffled, so a node with very many neighbours does not gather them in one task.  Rounds
+    joins shuffle edges by node and nodes by label: a node with very many neighbours, or a label that very many nodes hold, relies on Spark splitting skewed
+    joins (``spark.sql.adaptive.skewJoin``); the minima themselves are taken before rows are shuffled again.  Rounds
     end when no label changes; their number grows with the logarithm of the longest path for stars and chains alike.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
