@@ -1,7 +1,7 @@
 """The three ways through the library: inspect, discover, analyze.
 
-Each takes DataFrames over any number of captures and gives a dictionary of lazy tables keyed by
-``capture_id``; the sinks write them.
+Each takes DataFrames over any number of captures and gives a dictionary of tables keyed by
+``capture_id``; the sinks write them.  Building them runs jobs: what several tables read is written once on the way.
 """
 
 from __future__ import annotations
