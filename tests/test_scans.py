@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.ordering import first_rows, islands, neighbour, ordinal, sorted_place
 from tracemill.operators import timing
-from tracemill.operators.pairing import fifo_pairs
+from tracemill.operators.pairing import fifo_pairs, pair_events, write_back
 
 
 def rows(seed, n=400, keys="ab"):
@@ -123,3 +123,42 @@ def test_sorted_place(spark):
     for key in "ab":
         wanted = sorted((label, i) for k, label, i in data if k == key)
         assert all(got[key, i] == place for place, (_, i) in enumerate(wanted))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pairing_in_event_order(spark, seed):
+    rng = random.Random(seed)
+    data = []
+    for i in range(250):
+        asks = rng.random() < 0.5
+        ends = ("a", "b") if asks else ("b", "a")
+        data.append(("c", i, "p", rng.choice([None, "id:1", "id:2", "id:3"]), "Go " + ("Request" if asks else "Response"), "request" if asks else "response", *ends, asks, not asks))
+    # a response without its id takes request 900 by name, the late one takes it by id as well
+    late = [(900, "id:9", True), (901, "id:8", False), (902, "id:9", False), (903, None, False)]
+    data += [("d", i, "p", c, "Go", "request" if q else "response", *(("a", "b") if q else ("b", "a")), q, not q) for i, c, q in late]
+    names = "capture_id string, event_no bigint, protocol string, correlation_id string, message_name string, status string, src_node string, dst_node string, is_request boolean, is_response boolean"
+    events = spark.createDataFrame(data, names)
+    queues, want, linked = {}, set(), {}
+    for capture, i, _, corr, _, _, _, _, asks, _ in data:
+        own, shared = queues.setdefault((capture, corr or "go"), deque()), queues.setdefault((capture, "go"), deque())
+        if asks:
+            own.append(i)
+            if own is not shared:
+                shared.append(i)
+            continue
+        queue = own or shared
+        if queue:
+            found = queue.popleft()
+            want.add((capture, found, i, "strict" if queue is own and corr else "loose"))
+            linked[capture, i], linked[capture, found] = found, i
+    pairs = pair_events(events, 7, order="events")
+    assert {tuple(r) for r in pairs.select("capture_id", "request", "response", "by").collect()} == want
+    got = {(r.capture_id, r.event_no): r.paired_event_id for r in write_back(events, pairs).collect()}
+    assert got == {(r[0], r[1]): f"event-{linked[r[0], r[1]]}" if (r[0], r[1]) in linked else None for r in data}
+    assert {("d", 900, 901, "loose"), ("d", 900, 902, "strict")} <= want
+    assert {(r.request, r.response) for r in pair_events(events.where("capture_id = 'd'")).collect()} == {(900, 902)}
+
+
+def test_unknown_pairing_order(spark):
+    with pytest.raises(ValueError):
+        pair_events(spark.createDataFrame([], "capture_id string"), order="time")

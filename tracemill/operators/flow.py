@@ -108,8 +108,8 @@ def flow_events(packets: DataFrame, max_events: int = tables.FLOW_EVENT_CAP, col
     return event_rows(numbered(shown, collapse, block_rows))
 
 
-def paired_events(events: DataFrame, block_rows: int | None = None) -> DataFrame:
-    return write_back(events, pair_events(events, block_rows))
+def paired_events(events: DataFrame, block_rows: int | None = None, order: str = "matches") -> DataFrame:
+    return write_back(events, pair_events(events, block_rows, order))
 
 
 def phases(events: DataFrame, profile: str = "", block_rows: int | None = None) -> DataFrame:

@@ -70,31 +70,48 @@ def pair_keys(events: DataFrame) -> DataFrame:
     )
 
 
-def pair_events(events: DataFrame, block_rows: int | None = None) -> DataFrame:
-    """Pairs ``(capture_id, request, response)`` of event numbers.
+def pair_events(events: DataFrame, block_rows: int | None = None, order: str = "matches") -> DataFrame:
+    """Pairs ``(capture_id, request, response, by)`` of event numbers.
 
     Events are paired by correlation id, or by message name where there is none; responses with an
-    id that find no request are then tried by name against the requests still open.  No event is
-    in two pairs.  A rule that goes through the events in order and decides each response at once can differ: there an early response
-    may take a request by name that a later response would match by id.  Here matches by id always come first, which
-    needs no running state per key.  The narrow keys and the first pairs are written once, since both are read twice.
+    id that find no request are then tried by name.
+
+    * ``order="matches"``: all matches by id come before any match by name, and only requests still open are tried by name. No event is
+      in two pairs.
+    * ``order="events"``: the events are walked in order and each response decides at once. A request waits under its id and under its
+      name, and each queue forgets it only when it is taken there, so a request can be in two pairs, one by id and one by name; a response never is.
+      The queue of an id does not depend on any queue of names: which responses find their id is one first-in-first-out pass, and the rest, in
+      order, meets all requests in a second one. So no running state per key is needed here either. Ids and message names do not share queues.
+
+    The narrow keys and the first pairs are written once, since both are read twice.
     """
+    if order not in ("matches", "events"):
+        raise ValueError(f"unknown pairing order: {order}")
     keyed = cut_lineage(pair_keys(events))
-    strict = fifo_pairs(keyed, ["capture_id", "strict_key"], "event_no", "asks", block_rows).drop("strict_key")
-    strict = cut_lineage(strict)
-    done = strict.select("capture_id", F.explode(F.array("request", "response")).alias("event_no"))
-    open_events = keyed.where("asks or has_id").join(done, ["capture_id", "event_no"], "left_anti")
-    loose = fifo_pairs(open_events, ["capture_id", "loose_key"], "event_no", "asks", block_rows).drop("loose_key")
+    by_id = keyed if order == "matches" else keyed.where("has_id")
+    strict = cut_lineage(fifo_pairs(by_id, ["capture_id", "strict_key"], "event_no", "asks", block_rows).drop("strict_key"))
+    if order == "matches":
+        done = strict.select("capture_id", F.explode(F.array("request", "response")).alias("event_no"))
+        rest = keyed.where("asks or has_id")
+    else:
+        done = strict.select("capture_id", F.col("response").alias("event_no"))
+        rest = keyed
+    waiting = rest.join(done, ["capture_id", "event_no"], "left_anti")
+    loose = fifo_pairs(waiting, ["capture_id", "loose_key"], "event_no", "asks", block_rows).drop("loose_key")
     return strict.withColumn("by", F.lit("strict")).unionByName(loose.withColumn("by", F.lit("loose")))
 
 
 def write_back(events: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Link both ends of each pair; the response gets status ``response`` unless it is an error."""
+    """Link both ends of each pair; the response gets status ``response`` unless it is an error.
+
+    A request in two pairs is linked to the later response.
+    """
     ends = pairs.selectExpr(
         "capture_id",
         "inline(array(struct(request as event_no, response as paired_no, false as _answer),"
         " struct(response as event_no, request as paired_no, true as _answer)))",
     )
+    ends = ends.groupBy("capture_id", "event_no").agg(F.max("paired_no").alias("paired_no"), F.max("_answer").alias("_answer"))
     linked = events.join(ends, ["capture_id", "event_no"], "left")
     status = F.expr("if(_answer and status <> 'error', 'response', status)")
     answer = F.coalesce("_answer", F.lit(False))

@@ -38,6 +38,7 @@ class Options:
     flow_events: int = FLOW_EVENT_CAP
     collapse_repeats: bool = True
     time_scale: float = 1.0
+    pairing: str = "matches"  # or "events", see pair_events
 
 
 def inspect(index: DataFrame, options: Options, profiles: dict[str, Profile] | None = None, candidates: int = 6) -> dict[str, DataFrame]:
@@ -147,7 +148,7 @@ def analyze(index: DataFrame, packets: DataFrame, options: Options) -> dict[str,
     shown = flow.capped(detail, options.flow_events)
     slim = cut_lineage(flow.flow_packets(shown))
     events = cut_lineage(flow.event_rows(flow.numbered(slim, options.collapse_repeats)))
-    paired = write_back(events, pair_events(events))
+    paired = write_back(events, pair_events(events, order=options.pairing))
     reports = good.select("capture_id", "report").unionAll(summary_rows.select("capture_id", "report")).unionAll(found.select("capture_id", "report"))
     pseudonyms = privacy.issued_pseudonyms(reports)
     summary_rows = summary.with_audit(summary_rows.drop("report"), dropped, reports)

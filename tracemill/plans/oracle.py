@@ -386,6 +386,18 @@ ORACLE["paired_events"] = pkt(f"{PAIRS} SELECT * FROM pairs")
 ORACLE["pair_write_back"] = pkt(f"""{PAIRS}
 SELECT pe.capture_id, pe.event_no, status, asks AS is_request, NOT asks AS is_response, 'event-' || coalesce(r.response, a.request) AS paired_event_id
 FROM pe LEFT JOIN pairs r ON r.capture_id = pe.capture_id AND r.request = pe.event_no LEFT JOIN pairs a ON a.capture_id = pe.capture_id AND a.response = pe.event_no""")
+IN_ORDER = f"""
+{PAIRS[:PAIRS.index("s_a AS")].rstrip()}
+ided AS (SELECT * FROM keyed WHERE corr IS NOT NULL),
+{fifo_sql('ided', 'capture_id, strict_key', 'event_no', 'asks', 'a')},
+rest AS (SELECT * FROM keyed ANTI JOIN (SELECT capture_id, response AS event_no FROM pairs_a) USING (capture_id, event_no)),
+{fifo_sql('rest', 'capture_id, loose_key', 'event_no', 'asks', 'b')},
+pairs AS (SELECT capture_id, event_no AS request, response, 'strict' AS by FROM pairs_a UNION ALL SELECT capture_id, event_no, response, 'loose' FROM pairs_b)"""
+ORACLE["paired_in_order"] = pkt(f"{IN_ORDER} SELECT * FROM pairs")
+ORACLE["pair_write_back_in_order"] = pkt(f"""{IN_ORDER},
+asked AS (SELECT capture_id, request, max(response) AS response FROM pairs GROUP BY 1, 2)
+SELECT pe.capture_id, pe.event_no, status, asks AS is_request, NOT asks AS is_response, 'event-' || coalesce(r.response, a.request) AS paired_event_id
+FROM pe LEFT JOIN asked r ON r.capture_id = pe.capture_id AND r.request = pe.event_no LEFT JOIN pairs a ON a.capture_id = pe.capture_id AND a.response = pe.event_no""")
 KIND = """CASE
   WHEN regexp_matches(lower(message_name), 'attach|initial ue|downlink nas transport') THEN 'registration|Registration'
   WHEN regexp_matches(lower(message_name), 'create session|modify bearer|gtpv2') THEN 'session_setup|Session Setup'

@@ -618,6 +618,20 @@ def paired_events(spark, sf_dir):
     return pairing.pair_events(events_for_pairing(spark, sf_dir))
 
 
+@query
+def paired_in_order(spark, sf_dir):
+    """Pairs as a walk through the events finds them, some requests by id and by name."""
+    return pairing.pair_events(events_for_pairing(spark, sf_dir), order="events")
+
+
+@query
+def pair_write_back_in_order(spark, sf_dir):
+    events = events_for_pairing(spark, sf_dir)
+    return pairing.write_back(events, pairing.pair_events(events, order="events")).select(
+        "capture_id", "event_no", "status", "is_request", "is_response", "paired_event_id"
+    )
+
+
 @query
 def pair_write_back(spark, sf_dir):
     events = events_for_pairing(spark, sf_dir)
