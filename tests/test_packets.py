@@ -69,6 +69,12 @@ def test_retained_fields(spark):
     named = Profile("own", ["dns"], ["dns"], fields={"dns": ["ip.src", "flat.dns"]})
     assert fields(spark, named, frame(9, "ip:dns", dns={"dns.id": "5"}, **{"flat.dns": "f"})) == {9: {"ip.src": "10.0.0.1", "dns.id": "5", "flat.dns": "f"}}
 
+    rule = builtin_profiles()["2g3g-ss7-geran"]
+    flat = frame(10, "ip:sctp:m3ua:gsm_map", **{"gsm_map.a": "1", "gsm_map": {"gsm_map.a": "2", "gsm_map.b": "3"}, "e212.imsi": "7", "sctp.x": "9", "isup.cic": "4"})
+    assert fields(spark, rule, flat) == {10: {"gsm_map.a": "1", "gsm_map.b": "3", "e212.imsi": "7"}}
+    assert rule.fields["tcp"] == [] and rule.fields["isup"] == ["isup.*", "e164.called_party_number.digits", "e164.calling_party_number.digits"]
+    assert builtin_profiles({"lte-dns": {"dns": ["dns.id"]}})["lte-dns"].fields["dns"] == ["dns.id"]
+
 
 def test_verbatim_diameter(spark):
     tree = {"diameter.avp": "raw", "diameter.Session-Id": "s1", "deep": {"diameter.Session-Id": "s2", "other": "o", "diameter.vendor_tree": {"diameter.Vendor-Id": "3"}}}

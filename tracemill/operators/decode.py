@@ -111,20 +111,30 @@ def retained(profile: Profile, protocol: str = "top_protocol", leaves: str = "le
         if name in profile.verbatim:
             cases.append(f"when {protocol} = '{name}' then {_verbatim(profile, name, in_layer, below, leaves)}")
             continue
-        allowed = profile.fields.get(name, [])
-        listed = "false"
-        if allowed:
-            flat = f"l.depth = 1 and l.key in ({quoted(allowed)})"
-            nested = f"l.depth >= 2 and l.second in ({quoted(allowed)}) and l.top = split_part(l.second, '.', 1) and not l.top_list"
-            listed = f"(({flat}) or ({nested}))"
         path = f"if(l.depth = 1, l.path, {below})"
-        cases.append(
-            f"when {protocol} = '{name}' then transform(filter({leaves}, l -> {listed} or {in_layer}),"
-            f" l -> {_kept(path)})"
-        )
+        chosen = f"filter({leaves}, l -> {in_layer})"
+        if profile.fields.get(name):
+            allowed = profile.fields[name]
+            nested = f"l.depth >= 2 and {_listed('l.second', allowed)} and l.top = split_part(l.second, '.', 1) and not l.top_list"
+            # a field that lies flat hides the one of the same name in a layer
+            chosen = bound(
+                f"transform(filter({leaves}, l -> l.depth = 1 and {_listed('l.key', allowed)}), l -> l.key)",
+                "flat",
+                f"filter({leaves}, l -> if(l.depth = 1, array_contains(flat, l.key), ({in_layer} or ({nested})) and not array_contains(flat, l.second)))",
+            )
+        cases.append(f"when {protocol} = '{name}' then transform({chosen}, l -> {_kept(path)})")
     return f"case {' '.join(cases)} else filter(transform({leaves}, l -> {_kept('l.path')}), l -> false) end"
 
 
+def _listed(name: str, allowed: Sequence[str]) -> str:
+    """SQL test whether a field is on a whitelist; ``x.*`` there stands for all names that start with ``x.``."""
+    whole = [a for a in allowed if not a.endswith(".*")]
+    tests = [f"startswith({name}, {quoted([a[:-1]])})" for a in allowed if a.endswith(".*")]
+    if whole:
+        tests.append(f"{name} in ({quoted(whole)})")
+    return f"({' or '.join(tests)})"
+
+
 def _kept(path: str) -> str:
     return f"struct({path} as path, l.key as key, l.pos as pos, l.in_list as in_list, l.value as value, l.is_text as is_text)"
 

@@ -474,6 +474,18 @@ SELECT capture_id, packet_no, 'ipv6.src' AS path, src_ip AS value FROM ac WHERE
 UNION ALL SELECT capture_id, packet_no, 'sctp.srcport', '38412' FROM ac WHERE event_type = 'view'
 UNION ALL SELECT capture_id, packet_no, 'udp.dstport', '5060' FROM ac WHERE event_type = 'error'
 UNION ALL SELECT capture_id, packet_no, 'frame.number', CAST(packet_no AS VARCHAR) FROM ac WHERE event_type = 'error'""")
+ORACLE["listed_fields"] = pkt("""
+, kept AS (
+  SELECT *, 'view' AS kind, 'map' AS top_protocol, 'gsm_map.opcode' AS path, CAST(k % 7 AS VARCHAR) AS value FROM base
+  UNION ALL SELECT *, 'view', 'map', 'e212.imsi', '26201' || user_id FROM base
+  UNION ALL SELECT *, 'signup', 'isup', 'isup.cic', CAST(k AS VARCHAR) FROM base
+  UNION ALL SELECT *, 'signup', 'isup', 'e164.called_party_number.digits', '49' || user_id FROM base
+  UNION ALL SELECT *, 'click', 'dns', 'dns.id', CAST(k AS VARCHAR) FROM base
+  UNION ALL SELECT *, 'click', 'dns', 'dns.a', '["1","2"]' FROM base
+  UNION ALL SELECT *, 'click', 'dns', 'dns.flags', CAST(k % 3 AS VARCHAR) FROM base
+  UNION ALL SELECT *, 'error', 'gsm_a.dtap', 'gsm_a.imsi', CAST(user_id AS VARCHAR) FROM base
+  UNION ALL SELECT *, 'error', 'gsm_a.dtap', 'gsm_a.dtap.code', CAST(k % 5 AS VARCHAR) FROM base)
+SELECT capture_id, frame_no AS packet_no, top_protocol, path, value FROM kept WHERE event_type = kind""")
 ORACLE["reduced_transport"] = access("""
 , kept(profile, kept) AS (VALUES ('lte-s6a', 'proto,src_port,dst_port,stream,sctp_stream,anomaly,notes'), ('volte-sip', 'proto,src_port,dst_port,stream,anomaly,notes'),
   ('2g3g-gn', 'proto,src_port,dst_port,stream,anomaly,notes'))

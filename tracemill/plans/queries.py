@@ -497,6 +497,13 @@ def whitelist_fields(spark, sf_dir):
     return kept.where("path not like 'ngap.%' and path <> 'message_name'")
 
 
+@query
+def listed_fields(spark, sf_dir):
+    """Flat fields, and fields of other layers, that the built-in lists keep."""
+    rows = decode.normalise(packet_source.with_leaves(views.flat_packets(spark, sf_dir)), builtin_profiles()["2g3g-ss7-geran"])
+    return rows.select("capture_id", "packet_no", "top_protocol", F.explode(decode.field_map()).alias("path", "value"))
+
+
 @query
 def reduced_transport(spark, sf_dir):
     """The transport fields that three profiles keep."""

@@ -257,6 +257,27 @@ def access_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt(spark, sf_dir).select("capture_id", F.expr(layers).alias("layers"))
 
 
+def flat_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as packets of a legacy core whose fields lie flat or in the layer of another protocol."""
+    only = lambda kind, value: f"if(event_type = '{kind}', {value}, null)"
+    stack = {
+        "view": "eth:ip:sctp:m3ua:sccp:tcap:gsm_map", "signup": "eth:ip:sctp:m3ua:isup", "click": "eth:ip:udp:dns",
+        "error": "eth:ip:sctp:m3ua:sccp:gsm_a.dtap", "purchase": "eth:ip:tcp",
+    }
+    layers = json_object(
+        **{
+            "frame.number": text("frame_no"), "frame.protocols": text(by_type(stack)), "ip.src": "'\"10.0.0.1\"'", "ip.dst": "'\"10.0.0.2\"'",
+            "gsm_map.opcode": only("view", text("k % 7")), "e212.imsi": only("view", text("concat('26201', user_id)")), "sccp.called": text("k"),
+            "isup.cic": only("signup", text("k")), "e164.called_party_number.digits": only("signup", text("concat('49', user_id)")),
+            "dns.id": only("click", text("k")), "dns.a": only("click", "'[\"1\",\"2\"]'"),
+            "dns": only("click", json_object(**{"dns.id": "'\"hidden\"'", "dns.flags": text("k % 3")})),
+            "gsm_a": only("error", json_object(**{"gsm_a.imsi": text("user_id"), "gsm_a.dtap.code": text("k % 5"), "gsm_a.other": "'\"x\"'"})),
+            "tcp.stream": text("user_id"),
+        }
+    )
+    return dealt(spark, sf_dir).select("capture_id", F.expr(layers).alias("layers"))
+
+
 # ------------------------------------------------------------------ lookup tables
 def lookups(spark: SparkSession, sf_dir: str):
     """Lookup tables made of the nation and region tables."""

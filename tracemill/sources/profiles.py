@@ -1,7 +1,8 @@
 """Rule profiles: which protocols matter, in which order, and which fields are kept.
 
 A profile is a small dimension held on the driver; expressions are generated from it.  The built-in ones state protocols,
-priorities, aliases, verbatim layers and transport fields; their field whitelists are a parameter (``builtin_profiles``).
+priorities, aliases, verbatim layers and transport fields.  Their field whitelists follow a rule: every signalling protocol keeps all fields
+named after its layers, wherever they lie, and the few fields of other layers that are listed here.  Shorter lists are a parameter (``builtin_profiles``).
 """
 
 from __future__ import annotations
@@ -126,6 +127,19 @@ KEEP_SCTP_STREAM = """
 2g3g-ss7-geran 5g-cbc-cbs 5g-core 5g-n1-n2 5g-n2 5g-nas-5gs lte-core lte-s1 lte-s1-nas lte-s6a lte-sbc-cbc lte-sgs
 transport-core transport-sctp volte-diameter-cx volte-diameter-rx volte-diameter-sh volte-ims-core vonr-ims-core vonr-n1-n2-voice
 """.split()
+# Protocols whose messages keep no fields from outside their layer.
+CARRIERS = "tcp udp sctp ip ipv6 tls ss7".split()
+# Protocol -> fields of other layers that its messages keep.
+FOREIGN_FIELDS = """
+bssap: gsm_a.imsi e212.imsi e164.msisdn gsm_a.rr.cause gsm_a.rr.RR_cause
+bssap+: gsm_a.rr.cause gsm_a.rr.RR_cause
+cap: e212.imsi e164.msisdn
+dtap: gsm_a.imsi
+gsm_a: e212.imsi e164.msisdn
+gsm_a.dtap: gsm_a.imsi e212.imsi e164.msisdn
+isup: e164.called_party_number.digits e164.calling_party_number.digits
+map: e212.imsi e164.msisdn
+"""
 # Name start -> (family, domain) where a profile does not state its own.
 FAMILY_BY_PREFIX = {
     "lte-": ("lte", "eps"),
@@ -183,10 +197,17 @@ def _alias_table() -> dict[str, list[str]]:
     return tables._named(ALIASES)
 
 
+def default_fields(protocol: str, layers: list[str]) -> list[str]:
+    """Names that messages of a protocol keep besides their layer; ``x.*`` stands for all names that start with ``x.``."""
+    if protocol in CARRIERS:
+        return []
+    return [f"{layer}.*" for layer in layers] + tables._named(FOREIGN_FIELDS).get(protocol, [])
+
+
 def builtin_profiles(fields: dict[str, dict[str, list[str]]] | None = None) -> dict[str, Profile]:
-    """All built-in profiles by name; ``fields`` gives whitelists: profile name -> protocol -> field names.
+    """All built-in profiles by name; ``fields`` replaces whitelists: profile name -> protocol -> field names (``x.*``: all that start with ``x.``).
 
-    A folder of rule files holds such lists: ``{p.name: p.fields for p in read_profiles(folder).values()}``.
+    What ``fields`` does not name follows ``default_fields``.  A folder of rule files holds such lists: ``{p.name: p.fields for p in read_profiles(folder).values()}``.
     """
     aliases = _alias_table()
     found: dict[str, Profile] = {}
@@ -197,8 +218,9 @@ def builtin_profiles(fields: dict[str, dict[str, list[str]]] | None = None) -> d
         own = {p: aliases[p] for p in dict.fromkeys(relevant + priority) if p in aliases}
         own.update(PROFILE_ALIASES.get(name, {}))
         carried = [f for f in tables.REDUCED_TRANSPORT_FIELDS if f != "sctp_stream" or name in KEEP_SCTP_STREAM]
+        lists = {p: default_fields(p, own.get(p, [p])) for p in priority} | (fields or {}).get(name, {})
         found[name] = Profile(
-            name, relevant, priority, own, dict((fields or {}).get(name, {})), PROFILE_VERBATIM.get(name, []), transport_fields=carried
+            name, relevant, priority, own, lists, PROFILE_VERBATIM.get(name, []), transport_fields=carried
         )
     found[NAMING_PROFILE].selector = {
         "family": "cross-family",
