@@ -1,6 +1,7 @@
 """Classification and protection of leaves."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +131,15 @@ def test_payloads_of_any_shape(spark):
     assert {(r.issued_class, r.original) for r in one.report if r.alias} == {("ip", "10.0.0.1"), ("ip", "to 10.0.0.1")}
     assert tuple(got["d"])[:-1] == ("d",) + (None,) * 6 and got["d"].report == []
     assert pv.protect_payload(rows.select("capture_id"), {"ip": "mask"}).columns == ["capture_id"]
+
+
+def test_gates_lose_no_match(spark):
+    rng = random.Random(3)
+    parts = ["1", "25", "255", ".", ":", "af", "AF", "::", "\u0661", "\u06f3", " ", "@", "a.bc", "http://", "HTTP\u017f://", "\u017fip:", "Tel:", "WWW.", "www", "cook\u0131e", "COOKIE", "coo\u212aie",
+             "bearer x", "BEARER", "10.0.0.1", "123456789012345", "e@x.org", "a:b:c", "author\u0130zation", "token=", "1234567890", "\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669\u0660", "+49", "\U0001d7ce", "x", "\n"]
+    values = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(6000)] + [None, ""]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").selectExpr("v", "lower(v) as lowered")
+    for name, pattern in pv.VALUE_PATTERNS.items():
+        both = rows.selectExpr(f"{pv.matches('v', name)} as gated", f"v rlike r'{pattern}' as plain")
+        assert both.where("coalesce(gated, false) <> coalesce(plain, false)").count() == 0
+        assert both.where("plain").count() > 20

@@ -56,8 +56,23 @@ def check_modes(modes: dict[str, str], key: str | bytes | None = None) -> None:
 
 
 # ------------------------------------------------------------------ classification
-def matches(value: str, pattern: str) -> str:
-    return f"{value} rlike r'{VALUE_PATTERNS[pattern]}'"
+# What a value must hold for a pattern to match, as a plain pattern that scans fast; other scripts have digits of their own.
+IP_GATE = r"[0-9\P{ASCII}][.][0-9\P{ASCII}]{1,3}[.]|[0-9a-fA-F]:[0-9a-fA-F]{1,4}:"
+NUMBER_GATE = r"[0-9\P{ASCII}]{10}"
+# Letters outside ASCII that equal an ASCII letter when case is ignored; lower-casing alone does not show them.
+ODD_CASE = "\u0130\u0131\u017f\u212a"
+LOWERED_WORDS = {"uri": "http:// https:// sip: tel: www.".split(), "token": "bearer authorization cookie token=".split()}
+
+
+def matches(value: str, pattern: str, lowered: str = "lowered") -> str:
+    """SQL test of a value pattern, behind a cheap test without which it cannot match; ``lowered`` is the value in lower case."""
+    full = f"{value} rlike r'{VALUE_PATTERNS[pattern]}'"
+    if pattern in LOWERED_WORDS:
+        words = " or ".join(f"contains({lowered}, '{w}')" for w in LOWERED_WORDS[pattern])
+        odd = " or ".join(f"contains({value}, '{c}')" for c in ODD_CASE)
+        return f"(({words} or {odd}) and {full})"
+    gate = f"contains({value}, '@')" if pattern == "email" else f"{value} rlike r'{IP_GATE if pattern == 'ip' else NUMBER_GATE}'"
+    return f"({gate} and {full})"
 
 
 def _any_part(parts: str) -> str:
@@ -76,14 +91,15 @@ def data_class(path: str, value: str, protocol: str = "''", is_text: str = "true
     for kind, protocols, parts in tables.PROTOCOL_PRIVACY_RULES:
         listed = ", ".join(f"'{p}'" for p in protocols.split())
         cases.append(f"when lower({protocol}) in ({listed}) and ({_any_part(parts)}) then '{kind}'")
+    late: list[str] = []  # from the first rule on that looks at the lower-case value, which is made once
     for kind, parts, pattern in tables.GENERIC_PRIVACY_RULES:
         test = _any_part(parts) + (f" or {matches(value, pattern)}" if pattern else "")
-        cases.append(f"when {test} then '{kind}'")
+        (late if late or pattern in LOWERED_WORDS else cases).append(f"when {test} then '{kind}'")
     markers = " or ".join(f"contains(lowered, '{m}')" for m in tables.FREE_TEXT_MARKERS)
     # e-mail, uri and token values were caught by their general rules already
-    free = " or ".join([f"({bound(f'lower({value})', 'lowered', markers)})", matches(value, "imsi"), matches(value, "msisdn")])
-    cases.append(f"when {is_text} and ({free}) then 'payload_text'")
-    return bound(f"lower({path})", "q", "case " + " ".join(cases) + " end")
+    late.append(f"when {is_text} and ({markers} or {matches(value, 'imsi')} or {matches(value, 'msisdn')}) then 'payload_text'")
+    rest = bound(f"lower({value})", "lowered", f"case {' '.join(late)} end")
+    return bound(f"lower({path})", "q", f"case {' '.join(cases)} else {rest} end")
 
 
 # ------------------------------------------------------------------ protection
