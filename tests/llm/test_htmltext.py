@@ -53,6 +53,9 @@ def test_pages(page, text):
         ("<div class='site-nav-wrap'><article><p>post</p><div id='comments'>a longer comment</div></article></div>", "post"),
         ("<div class='side-widget'><main>a story</main></div><article>teaser</article>", "a story"),
         ("<article><p>post</p><div class='related'><a>other</a> <a>stories of ours</a></div></article>", "post"),
+        ("<article><p>story</p><div class='share-price-table'><table><tr><td>1</td></tr></table></div><div class='share-box'><p>x</p></div></article>", "story\n1"),
+        ("<article><p>a story</p><div class='social-distancing'><p>rules</p></div><div class='related-posts-2'><p>x</p></div></article>", "a story\nrules"),
+        ("<article><p>a story</p><div class='price comments'><p>x</p></div><div class='ad-price'><a>x</a></div></article>", "a story"),
         ("<nav>much text in the menu of this page</nav><div class='has-widget'><p>story</p></div><div class='ad'>ad</div>", "story"),
     ],
 )
@@ -112,6 +115,22 @@ def test_templates_of_small_hosts(spark):
     assert with_notice == {100, 101, 200, 201, 202, 203, *range(1000, 1009)}
 
 
+def test_shared_blocks_of_any_tag_stay(spark):
+    """Passages in div and section blocks stay on hosts of few articles; a box with a name of its own goes."""
+    quote = "A passage that the four stories of this host quote, word by word, from one another."
+    shapes = [
+        "<article><div>Story {0} has its own text here.</div><div>{1}</div><div class='k7'>Read more</div></article>",
+        "<article><p>Story {0} has its own text here.</p><section><p>{1}</p></section><div class='k7'><p>Read more</p></div></article>",
+        "<article><div class=t>Story {0} has its own text here.</div><div class=t>{1}</div><div class=t>{0} ends.</div><div class='k7'><div>Read more</div></div></article>",
+        "<body><div id=c><div class=t>Story {0} has its own text here.</div><div class=t>{1}</div><div class=t>{0} ends.</div></div></body>",
+    ]
+    rows = [(10 * n + i, f"http://h{n}.example/{i}", shape.format(i, quote)) for n, shape in enumerate(shapes) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for page, text in got.items():
+        n, i = divmod(page, 10)
+        assert text == f"Story {i} has its own text here.\n{quote}" + (f"\n{i} ends." if n > 1 else "")
+
+
 def test_parts_of_an_article_are_one_core():
     root = htmltext.parse("<body><div id=m><p>menu</p></div><div id=c><section><p>a long first part of it</p></section><section><p>part two</p></section></div></body>")
     htmltext.measure(root)

@@ -4,12 +4,12 @@
 2. Spark counts, per host and hash, on how many *different* articles' pages the subtree stands: copies of a page count once, so an
    article that a host shows under a hundred addresses is no template.
 3. A subtree on at least LEAST_PAGES such pages of its host, or on FEW_PAGES that are half of the host's different articles, is deleted,
-   wherever it stands: menus, notices, adverts, boxes.  Text blocks of the article itself (paragraphs, headings, quotes, tables, lists without links) and subtrees with at least half of the
-   article's text are never deleted for recurring: texts may share passages.
+   wherever it stands: menus, notices, adverts, boxes.  Running text of the article itself (paragraphs, headings, quotes, tables, lists without links, blocks without a
+   name, rows of blocks of one name) and subtrees with at least half of the article's text are never deleted for recurring: texts may share passages.
 4. What needs no counting goes as well: elements that are never text (scripts, styles, forms, ``nav``, ``aside``, ``footer`` ...),
    hidden ones, and those whose role, class or id names a menu, header, footer, sidebar, notice, advert or comments.  Class and id words
    are layout names as well (``content-sidebar-wrap``): they never remove the article, what holds it, or half of the page's text;
-   only a whole name such as ``comments`` beside other text does.
+   only a whole name such as ``comments`` beside other text does.  In an article a name with words of another kind (``share-price-table``) removes no paragraphs and tables.
 
 The article is the largest ``article`` left, else ``main`` (or role ``main``), else an element marked ``articleBody``, else the body.  Its blocks are
 joined by one line feed; in a page without such an element, the block that holds most of the running text stands for the article when articles
@@ -64,6 +64,11 @@ FURNITURE = frozenset(
     "navigation newsletter notice overlay pagination pager popup promo promoted recommended related reply respond search share sharing sidebar signin signup skyscraper social sponsor sponsored subscribe "
     "subscription toolbar topbar widget".split()
 )
+# Words that may stand beside those in a name of furniture; any other word says that the name speaks of the text (share-price-table).
+LAYOUT = frozenset(
+    "area article articles author bar block body bottom box btn button buttons card col column container content count feed footer form foot group head header icon icons inner item items js label left "
+    "line link links list main message more news note outer page panel photo policy post posts right row section site slot small stories story text thread title top unit wide wrap wrapper".split()
+)
 REPLIES = frozenset("comment comments commentlist disqus respond reply".split())  # may be longer than the article they answer
 FRAME_ONLY = frozenset("header footer masthead".split())  # such words inside an article may name its own headline
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -200,7 +205,20 @@ def is_named(node: Element, inside: bool) -> bool:
     if not node.attributes or node.tag in ("body", "main", "html"):
         return False
     words = set(_WORDS.findall(f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}".lower()))
-    return bool(words & FURNITURE) or (not inside and bool(words & FRAME_ONLY))
+    if words & FURNITURE:
+        return not (inside and speaks_of_text(node) and holds_prose(node))
+    return not inside and bool(words & FRAME_ONLY)
+
+
+def speaks_of_text(node: Element) -> bool:
+    """Whether each name with a furniture word has words of another kind as well."""
+    parts = [set(_WORDS.findall(name)) for name in whole_names(node)]
+    return all(any(not w.isdigit() for w in words - FURNITURE - FRAME_ONLY - LAYOUT) for words in parts if words & FURNITURE)
+
+
+def holds_prose(node: Element) -> bool:
+    """Whether a paragraph, quote or table in the element is more text than links."""
+    return any(n.tag in ("p", "table", "blockquote", "pre", "dl") and 2 * n.links < n.size for n in node.walk())
 
 
 def whole_names(node: Element) -> set[str]:
@@ -315,10 +333,35 @@ def article_hash(core: Element, article: Element) -> int:
     return int.from_bytes(state.digest(), "little", signed=True) if some else core.hash
 
 
+def running_blocks(core: Element) -> set[int]:
+    """Blocks of the core that are running text, whatever their tag.
+
+    Text blocks; and, as long as all above them are so too, blocks without class, id and role, or three and more neighbours of one tag and class
+    that hold half of the text.  Links must be the smaller part.  A single block with a name of its own is a box and may be a template.
+    """
+    found, stack = set(), [(core, True)]
+    while stack:
+        node, plain = stack.pop()
+        alike: dict[tuple[str, str], list[int]] = {}
+        below = [c for c in node.children if not isinstance(c, str)]
+        for child in below:
+            group = alike.setdefault((child.tag, child.attributes.get("class", "")), [0, 0])
+            group[0] += 1
+            group[1] += child.size
+        for child in below:
+            count, size = alike[child.tag, child.attributes.get("class", "")]
+            unnamed = not child.attributes.keys() & {"class", "id", "role"}
+            text = child.tag in PROSE or (plain and (unnamed or (count >= 3 and 2 * size >= core.size)))
+            if text and 2 * child.links < child.size:
+                found.add(id(child))
+            stack.append((child, plain and text))
+    return found
+
+
 def candidates(article: Element, root: Element) -> Iterator[Element]:
     """Elements that go if they recur: those outside running text, and not what holds most of the article."""
     core = find_core(article, root)
-    within = set(map(id, core.walk()))
+    within, running = set(map(id, core.walk())), running_blocks(core)
     above, node = {id(root)}, core
     while node is not None:
         above.add(id(node))
@@ -328,7 +371,7 @@ def candidates(article: Element, root: Element) -> Iterator[Element]:
             continue
         if (id(node) in within and 2 * node.size >= core.size) or (article is root and 2 * node.size >= root.size):
             continue
-        if id(node) in within and node.tag in PROSE and 2 * node.links < node.size:
+        if id(node) in running:
             continue
         yield node
 
