@@ -150,3 +150,12 @@ def test_profile_catalogue():
     assert (row["family"], row["domain"], row["interface"], row["strong"], row["weak"]) == ("5g", "5g-sa-core", "n26", ["gtpv2", "http"], ["json", "udp"])
     union = discovery_profile(known.values())
     assert union.max_conversations == 50 and union.priority[:3] == ["bssap", "bssmap", "dtap"] and len(set(union.priority)) == len(union.priority)
+
+
+def test_windows_over_profiles_move_nothing(spark, tmp_path, captures):
+    captures.write.parquet(f"{tmp_path}/c")
+    for rank in (ranking.recommended, ranking.suppressed):
+        rows = rank(ranking.score_profiles(spark.read.parquet(f"{tmp_path}/c"), builtin_profiles().values()))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        first_expansion = plan.index("Generate inline(from_json") if "Generate inline(from_json" in plan else plan.index("Generate inline")
+        assert plan.count("Exchange") - plan.count("AQEShuffleRead") == 1 and plan.index("Exchange") > first_expansion

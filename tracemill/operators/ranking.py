@@ -312,9 +312,13 @@ def with_confidence(rows: DataFrame) -> DataFrame:
 
 
 def score_profiles(captures: DataFrame, profiles: Iterable[Profile]) -> DataFrame:
-    """Every capture and profile with its final score; ``captures`` carries evidence and domains."""
+    """Every capture and profile with its final score; ``captures`` carries evidence and domains.
+
+    The one row of a capture goes to its partition before it meets the profiles, so that the windows over them move nothing.
+    """
     profiles = list(profiles)
-    return final_scores(gated(base_scores(with_profiles(with_naming_score(captures, profiles), profiles))))
+    dealt = with_naming_score(captures, profiles).repartition("capture_id")
+    return final_scores(gated(base_scores(with_profiles(dealt, profiles))))
 
 
 def recommended(scored: DataFrame, limit: int = 8) -> DataFrame:

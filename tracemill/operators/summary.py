@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import tables
 from tracemill.functions.ordering import first_rows
+from tracemill.functions.pseudonym import blake_hex_list
 from tracemill.operators.privacy import protect_payload
 from tracemill.operators.stats import observed_protocols
 
@@ -199,13 +200,13 @@ probable_notable_findings coverage timing_stats burst_periods privacy_modes
 """.split()
 
 
-def handoff(summary: DataFrame, excerpts: DataFrame, modes: dict[str, str], numbering=None, key=None) -> DataFrame:
+def handoff(summary: DataFrame, excerpts: DataFrame, modes: dict[str, str], numbering=None, key=None, digest_list=blake_hex_list) -> DataFrame:
     """(capture_id, summary, excerpt columns): the fields of a summary that are handed over, protected again, as one JSON text.
 
     Fields that are tables of their own here (anomalies, bursts) are left out of the text when the rows do not carry them.
     """
     kept = summary.select("capture_id", *[c for c in HANDOFF_FIELDS if c in summary.columns])
-    hidden = protect_payload(kept, modes, numbering, key)
+    hidden = protect_payload(kept, modes, numbering, key, digest_list=digest_list)
     text = hidden.select("capture_id", F.to_json(F.struct(*[c for c in hidden.columns if c != "capture_id"])).alias("summary"))
     return text.join(excerpts, "capture_id", "left")
 

@@ -764,3 +764,12 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY packet_
 SELECT capture_id, CAST(NULL AS VARCHAR) AS first_seen, CAST(rank - 1 AS INTEGER) AS place, transport,
   CASE WHEN src LIKE '%.%' THEN 'IP_' || left(sha256('ip:' || src), 8) ELSE src END AS src,
   CASE WHEN dst LIKE '%.%' THEN 'IP_' || left(sha256('ip:' || dst), 8) ELSE dst END AS dst, packet_count FROM ranked WHERE rank <= 25""")
+ORACLE["summary_handoff"] = ORACLE["protected_summary"].replace("SELECT capture_id, CAST(NULL AS VARCHAR) AS first_seen,", """, shown AS (
+  SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY frame_no) AS rn, count(*) OVER (PARTITION BY capture_id) AS n FROM pkt),
+ex AS (SELECT capture_id, least(min(n), 3) AS included_messages, min(n) AS available_messages, '[' || string_agg('{"packet_no":' || frame_no ||
+  coalesce(',"transport":"' || transport || '"', '') || '}', ',' ORDER BY frame_no) FILTER (WHERE rn <= 3) || ']' AS messages FROM shown GROUP BY 1)
+SELECT capture_id, 'lte-core' AS profile, included_messages, available_messages, messages,""").replace("FROM ranked WHERE", "FROM ranked JOIN ex USING (capture_id) WHERE")
+NETWORK = "'10.' || ((c_custkey // 256) % 256) || '.' || (c_custkey % 256) || '.0'"
+ORACLE["host_file"] = f"SELECT {NETWORK} AS ip, 'host-' || c_custkey AS hostname FROM customer WHERE c_custkey % 5 < 3"
+ORACLE["subnet_file"] = f"SELECT {NETWORK} || '/24' AS cidr, 'net of ' || c_custkey AS alias FROM customer WHERE c_custkey % 5 < 3 AND c_custkey % 7 > 0"
+ORACLE["point_code_file"] = "SELECT 'PC-' || to_hex(c_custkey) AS point_code, 'code ' || c_custkey AS alias FROM customer WHERE c_custkey % 5 < 3"

@@ -16,6 +16,7 @@ from tracemill.plans import views
 from tracemill.session import cut_lineage, intermediate_path
 from tracemill.sources import index as index_source
 from tracemill.sources import packets as packet_source
+from tracemill.sources import lookups as lookup_files
 from tracemill.sources import sinks
 from tracemill.streaming import windows
 from tracemill.functions.pseudonym import sha_hex, sha_hex_list
@@ -912,6 +913,49 @@ def protected_summary(spark, sf_dir):
     ).select("capture_id", "first_seen", "place", "c.transport", "c.src", "c.dst", "c.packet_count")
 
 
+@query
+def summary_handoff(spark, sf_dir):
+    """What is handed over of each capture: the protected summary as one text, read again, and the first packets beside it."""
+    modes = {**PRIVACY_PROFILES["share"], "payload_text": "remove"}
+    index = lte_index(spark, sf_dir)
+    excerpts = summary.excerpt(index.selectExpr("capture_id", "frame_no as packet_no", "transport"), 3)
+    handed = summary.handoff(summary_of(index, modes), excerpts, modes, digest_list=sha_hex_list)
+    listed = F.from_json(F.get_json_object("summary", "$.conversations"), "array<struct<transport:string,src:string,dst:string,packet_count:bigint>>")
+    rows = handed.select("*", F.get_json_object("summary", "$.profile").alias("profile"), F.posexplode(listed).alias("place", "c"))
+    return rows.select("capture_id", "profile", "included_messages", "available_messages", "messages", "place", "c.*")
+
+
+def lookup_file(spark, sf_dir, line: str):
+    """The customers as lines of a lookup, with what such files hold besides, in text files that the query writes."""
+    lines = views.table(spark, sf_dir, "customer").selectExpr(
+        f"case c_custkey % 5 when 3 then '  # ' when 4 then concat('alone', c_custkey, '  ') else {line} end as line"
+    )
+    path = intermediate_path(spark)
+    lines.write.text(path)
+    return path
+
+
+NETWORK = "concat('10.', c_custkey div 256 % 256, '.', c_custkey % 256, '.0')"
+
+
+@query
+def host_file(spark, sf_dir):
+    path = lookup_file(spark, sf_dir, f"concat('\t', {NETWORK}, '  host-', c_custkey, ' further words')")
+    return lookup_files.read_hosts(spark, path).select("ip", "hostname")
+
+
+@query
+def subnet_file(spark, sf_dir):
+    path = lookup_file(spark, sf_dir, f"concat({NETWORK}, if(c_custkey % 7 = 0, '/99', '/24'), ' net of ', c_custkey, ' ')")
+    return lookup_files.read_subnets(spark, path).select("cidr", "alias")
+
+
+@query
+def point_code_file(spark, sf_dir):
+    path = lookup_file(spark, sf_dir, "concat('pc-', lower(hex(c_custkey)), '\t code ', c_custkey)")
+    return lookup_files.read_point_codes(spark, path).select("point_code", "alias")
+
+
 @query
 def transport_notes(spark, sf_dir):
     """Transport anomalies as full packets show them."""
