@@ -1,6 +1,7 @@
 """Windows, sessions and timeouts of a stream against their batch operators."""
 
 import itertools
+import random
 from collections import Counter
 
 import pytest
@@ -105,3 +106,31 @@ def test_session_timeouts(spark, streamed):
     last = [message(8, END, "32", "9"), message(9, END, "33", "9")]
     closed, _, _ = streamed([rows, last], lambda s: windows.session_timeouts(s, delay="1 minute"))
     assert rows_of(closed, "frame_no", "seq") == [(3, "2")]
+
+
+@pytest.mark.parametrize("delay", ["1 second", "1 minute"])
+def test_timeouts_of_many_requests_and_answers_of_one_key(spark, streamed, delay):
+    """Random times around the edges of the timeout, over three runs, against a plain loop; the watermark of the last run closes all but the last rows."""
+    rng = random.Random(3)
+    times = sorted(rng.randrange(0, 400_000_000, 500_000) + rng.choice([0, 0, 1]) for _ in range(300))
+    rows = [(ask if rng.random() < 0.7 else answer)(i, t / 1e6, rng.choice(["x", "y", "y", "z"]) if t < 100_000_000 or i % 9 else f"r{i}") for i, t in enumerate(times)]
+    last = [ask(998, 400, "end"), answer(999, 400, "end")]
+    closed, landed, _ = streamed([rows[:100], rows[100:200], rows[200:], last], lambda s: windows.diameter_timeouts(s, delay=delay))
+    micros = {r[1]: round(float(r[2]) * 1e6) for r in [*rows, *last]}
+    column = [c.split()[0] for c in SCHEMA.split(",")].index
+    given = [(r[column("diameter_hop_by_hop_id")], micros[r[1]]) for r in rows if r[column("diameter_flags")] == "0x40"]
+    open_ = [
+        (r[1], r[column("diameter_hop_by_hop_id")], micros[r[1]]) for r in rows if r[column("diameter_flags")] == "0xc0"
+        and not any(hop == r[column("diameter_hop_by_hop_id")] and 0 <= t - micros[r[1]] <= 30_000_000 for hop, t in given)
+    ]
+    wait = 1 if delay == "1 second" else 60
+    got = rows_of(closed.select("frame_no", "hop_by_hop", F.unix_micros("asked_at").alias("us")), "frame_no", "hop_by_hop", "us")
+    assert got == sorted(r for r in open_ if r[2] + 30_000_000 < (400 - wait) * 1_000_000) != []
+    batch = windows.diameter_timeouts(landed.where("frame_no < 998")).select("frame_no", "hop_by_hop", F.unix_micros("asked_at").alias("us"))
+    assert rows_of(batch, "frame_no", "hop_by_hop", "us") == sorted(open_)
+
+
+def test_timeouts_join_no_request_with_every_answer(spark, tmp_path):
+    spark.createDataFrame([ask(1, 1, "x")], SCHEMA).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    assert "Join" not in windows.diameter_timeouts(stream)._jdf.queryExecution().analyzed().toString()

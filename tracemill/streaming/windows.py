@@ -9,11 +9,13 @@ Every function takes the columns of the packet index and works on batches as wel
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracemill.operators.anomalies import CREATE_SESSION_REQUEST, CREATE_SESSION_RESPONSE, is_diameter_request
 from tracemill.operators.timing import BURST_GAP_MS, BURST_SIZE
@@ -74,18 +76,76 @@ def session_bursts(index: DataFrame, max_gap_ms: float = BURST_GAP_MS, min_size:
     return found.where(F.col("packet_count") >= min_size).drop("session_window")
 
 
+WAITING = "asked array<bigint>, kept array<string>, upto bigint, since bigint"
+
+
+def _still_open(width: int) -> Callable:
+    """State function of a key and slice: adds what arrives, gives the requests that the watermark closes without an answer, keeps the rest.
+
+    ``upto`` is the latest answer of the slice, ``since`` the earliest time that the first answer of the next slice still covers.
+    """
+
+    def closed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        place, waiting, upto, since = int(key[-1]), [], None, None
+        if state.exists:
+            asked, kept, upto, since = state.get
+            waiting = list(zip(asked, kept))
+        for rows in () if state.hasTimedOut else batches:
+            asks = rows["is_request"].to_numpy(bool)
+            waiting += zip(rows["us"][asks].tolist(), rows["kept"][asks].tolist())
+            given = rows["us"][~asks]
+            slices = given // width
+            own, following = given[slices == place], given[slices > place]
+            if not own.empty:
+                upto = int(own.max()) if upto is None else max(upto, int(own.max()))
+            if not following.empty:
+                first = int(following.min()) - width
+                since = first if since is None else min(since, first)
+        waiting = [(t, row) for t, row in waiting if (upto is None or t > upto) and (since is None or t < since)]
+        mark = state.getCurrentWatermarkMs()
+        done = [(t, row) for t, row in waiting if (t + width) // 1000 < mark]
+        waiting = [(t, row) for t, row in waiting if (t + width) // 1000 >= mark]
+        end = (place + 1) * width // 1000  # from here on no request of the slice can come
+        if waiting or end > mark:
+            state.update(([t for t, _ in waiting], [row for _, row in waiting], upto, since))
+            state.setTimeoutTimestamp(max(mark + 1, min((t + width) // 1000 for t, _ in waiting) if waiting else end))
+        elif state.exists:
+            state.remove()
+        if done:
+            yield pd.DataFrame({**{f"k{n}": [k] * len(done) for n, k in enumerate(key[:-1])}, "kept": [row for _, row in done], "us": [t for t, _ in done]})
+
+    return closed
+
+
 def timed_out(messages: DataFrame, keys: Sequence[str], timeout: str = TIMEOUT, delay: str = DELAY) -> DataFrame:
     """Requests (``is_request``) without an answer of the same keys at the same time or up to ``timeout`` later, each once.
 
-    Requests and answers wait for each other in the state of one outer join; a request leaves it ``timeout`` after its time by the watermark.
+    Time is cut into slices as long as the timeout.  Its own slice answers a request exactly if the last answer there does not come before it, the next
+    slice exactly if the first answer there comes in time.  So two times stand for all answers, and no request meets them one by one; an answer goes to its
+    own slice and to the one before.  On a stream, open requests wait in the state of their keys and slice until the watermark has passed their timeout.
     """
-    requests = messages.where("is_request").withColumnRenamed("event_time", "asked_at").drop("is_request").withWatermark("asked_at", delay)
-    answers = messages.where(~F.col("is_request")).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("event_time").alias("answered_at"))
-    answers = answers.withWatermark("answered_at", delay)
-    meets = F.expr(f"answered_at >= asked_at AND answered_at <= asked_at + INTERVAL {timeout}")
-    for key in keys:
-        meets = meets & (F.col(key) == F.col(f"__{key}"))
-    return requests.join(answers, meets, "leftOuter").where(F.col("answered_at").isNull()).drop("answered_at", *(f"__{k}" for k in keys))
+    width = messages.sparkSession.range(1).select(F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {timeout}"))).first()[0]
+    others = [c for c in messages.columns if c not in (*keys, "event_time", "is_request")]
+    out = [F.timestamp_micros("us").alias("asked_at") if c == "event_time" else F.col(c) for c in messages.columns if c != "is_request"]
+    us, place = F.unix_micros("event_time"), F.floor(F.unix_micros("event_time") / width)
+    # each side has a watermark of its own; the earlier one closes
+    requests = messages.where("is_request").withWatermark("event_time", delay)
+    answers = messages.where(~F.col("is_request")).dropna(subset=list(keys)).withWatermark("event_time", delay)
+    given = answers.select("event_time", *keys, us.alias("us"), F.explode(F.array(place, place - 1)).alias("slice"))
+    if not messages.isStreaming:
+        own = F.floor(F.col("us") / width) == F.col("slice")
+        first = F.min(F.when(~own, F.col("us"))) - width
+        spans = given.groupBy(*keys, "slice").agg(F.max(F.when(own, F.col("us"))).alias("upto"), first.alias("since"))
+        joined = requests.withColumn("us", us).withColumn("slice", place).join(spans, [*keys, "slice"], "left")
+        return joined.where("NOT (coalesce(us <= upto, false) OR coalesce(us >= since, false))").select(*out)
+    asked = requests.select("event_time", *keys, us.alias("us"), place.alias("slice"), F.to_json(F.struct(*others)).alias("kept"), F.lit(True).alias("is_request"))
+    both = asked.unionByName(given.withColumn("kept", F.lit(None).cast("string")).withColumn("is_request", F.lit(False)))
+    types = {f.name: f.dataType.simpleString() for f in messages.schema.fields}
+    shape = ", ".join(f"k{n} {types[k]}" for n, k in enumerate(keys)) + ", kept string, us bigint"
+    closed = both.groupBy(*keys, "slice").applyInPandasWithState(_still_open(width), shape, WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+    row = F.from_json("kept", messages.select(*others).schema)
+    named = closed.select(*[F.col(f"k{n}").alias(k) for n, k in enumerate(keys)], row.alias("row"), "us")
+    return named.select(*keys, "row.*", "us").select(*out)
 
 
 def diameter_timeouts(index: DataFrame, timeout: str = TIMEOUT, delay: str = DELAY) -> DataFrame:
