@@ -143,3 +143,12 @@ def test_gates_lose_no_match(spark):
         both = rows.selectExpr(f"{pv.matches('v', name)} as gated", f"v rlike r'{pattern}' as plain")
         assert both.where("coalesce(gated, false) <> coalesce(plain, false)").count() == 0
         assert both.where("plain").count() > 20
+
+
+def test_classes_of_fixed_paths_equal_those_of_any_path(spark):
+    values = ["10.0.0.1", "fe80:1:2::", "bob@x.org", "Bearer abc", "tel:1", "\u017fip:1", "0123456789", "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669", "012345678", "the imsi", "plain", "", None]
+    df = spark.createDataFrame([(v, p) for v in values for p in ("diameter", "http2", "")], "v string, p string")
+    paths = [*pv.PACKET_TEXTS, *pv.PACKET_LISTS, "privacy.modes.x", "a.APN", "diameter.user_name"]
+    both = [F.expr(pv.data_class(p, "v", "p", fixed=True)).eqNullSafe(F.expr(pv.data_class(f"'{p}'", "v", "p"))) for p in paths]
+    assert df.select(F.array(*both).alias("same")).where("not forall(same, s -> s)").count() == 0
+    assert "contains(q" not in pv.data_class("src.ip", "v", "p", fixed=True)
