@@ -51,6 +51,36 @@ def test_scans_of_the_index(spark, monkeypatch, name, most):
     assert sum(len(re.findall(r"FileScan parquet.*events\.parquet", text)) for text in seen) <= most
 
 
+@pytest.mark.skipif(not pathlib.Path(SF).exists(), reason="test tables are not here")
+def test_a_filter_on_the_transport_makes_the_field_map_once(spark):
+    assert plan(QUERIES["transport_notes"](spark, SF)).count("map_from_entries(") == 1
+
+
+@pytest.mark.skipif(not pathlib.Path(SF).exists(), reason="test tables are not here")
+@pytest.mark.parametrize("name", ["packet_pseudonyms", "packet_leaks"])
+def test_no_filter_makes_the_report_again(spark, name):
+    assert not re.search(r"Filter \(*size\(", plan(QUERIES[name](spark, SF)))
+
+
+@pytest.mark.skipif(not pathlib.Path(SF).exists(), reason="test tables are not here")
+@pytest.mark.parametrize("name", ["event_refs", "flow_totals", "batch_overview"])
+def test_packets_are_decoded_once(spark, monkeypatch, name):
+    seen = []
+    plain = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: (seen.append(plan(self._df)), plain(self, path, *a, **b))[1])
+    seen.append(plan(QUERIES[name](spark, SF)))
+    assert sum(len(re.findall(r"ArrowEvalPython \[opened\(", text)) for text in seen) == 1
+
+
+@pytest.mark.skipif(not pathlib.Path(SF).exists(), reason="test tables are not here")
+def test_phases_group_the_events_once(spark, monkeypatch):
+    seen = []
+    plain = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: (seen.append(plan(self._df)), plain(self, path, *a, **b))[1])
+    seen.append(plan(QUERIES["flow_phases"](spark, SF)))
+    assert sum(len(re.findall(r"Aggregate\(key.*partial_min\(packet_no", text)) for text in seen) == 1
+
+
 def test_many_captures_make_few_files(spark, tmp_path):
     rows = spark.range(20000).selectExpr("concat('c', id % 10000) as capture_id", "id div 10000 as packet_no")
     sinks.write_detail(rows, f"{tmp_path}/detail", buckets=8)
