@@ -102,9 +102,12 @@ def event_refs(packets: DataFrame) -> DataFrame:
 def flow_events(packets: DataFrame, max_events: int = tables.FLOW_EVENT_CAP, collapse: bool = True, block_rows: int | None = None) -> DataFrame:
     """Events of normalised packets, before pairing.
 
-    The labelled packets are written once: numbering reads them twice, and decoding is the costly part.
+    The labelled packets are written once: numbering reads them twice, and decoding is the costly part.  Packets that have been labelled
+    and written already, by ``cut_lineage`` of ``flow_packets``, are taken as they are.
     """
-    shown = cut_lineage(flow_packets(capped(packets, max_events, block_rows)))
+    shown = capped(packets, max_events, block_rows)
+    if "src_node" not in packets.columns:
+        shown = cut_lineage(flow_packets(shown))
     return event_rows(numbered(shown, collapse, block_rows))
 
 
@@ -113,9 +116,12 @@ def paired_events(events: DataFrame, block_rows: int | None = None, order: str =
 
 
 def phases(events: DataFrame, profile: str = "", block_rows: int | None = None) -> DataFrame:
-    """Runs of events of one phase kind, numbered per capture."""
+    """Runs of events of one phase kind, numbered per capture.
+
+    The kinds are written once: numbering reads them twice, and events are numbered and grouped themselves.
+    """
     rows = events.select("capture_id", "event_no", F.expr(labels.phase(labels.profile_family(profile))).alias("phase"))
-    rows = rows.select("capture_id", "event_no", "phase.*")
+    rows = cut_lineage(rows.select("capture_id", "event_no", "phase.*"))
     same = lambda previous, current: previous["kind"] == current["kind"]
     runs = islands(rows, ["capture_id"], "event_no", ["kind"], same, "phase_no", block_rows)
     out = runs.groupBy("capture_id", "phase_no").agg(
