@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,22 @@ def test_broken_trees_are_malformed(spark):
     rows = decode.normalise(opened(spark, frame(1, "eth:ip:dns", dns={"dns.id": "1"}), '{"frame":', "[1]"), builtin_profiles()["lte-core"])
     assert sorted(r.is_valid for r in rows.collect()) == [False, False, True]
     assert decode.dropped_packets(rows).first().dropped_packets == 2
+
+
+def test_leaves_and_maps_are_made_a_few_packets_at_a_time(monkeypatch):
+    texts = [None if n % 7 == 3 else '{"a":' if n % 7 == 5 else f'{{"x":{{"a":"{n}","b":[{n},null,true,{{"c":"d"}}],"a":"again"}},"y":1.50}}' for n in range(1500)]
+    seen = {ps: [], decode: []}
+    for module, name in ((ps, "_leaf_step"), (decode, "_map_step")):
+        step = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda rows, step=step, sizes=seen[module]: (sizes.append(len(rows)), step(rows))[1])
+    leaves = ps._leaf_array(pa.array(texts))
+    maps = decode._maps(leaves.slice(1)).to_pylist()
+    assert all(max(sizes) <= ps.STEP_ROWS and len(sizes) > 2 for sizes in seen.values())
+    rows = leaves.to_pylist()
+    assert len(rows) == 1500 and [r is None for r in rows] == [n % 7 in (3, 5) for n in range(1500)]
+    assert [(x["pos"], x["path"], x["value"], x["is_text"]) for x in rows[1000]] == [
+        ([0, 0], "x.a", "1000", True), ([0, 1, 0], "x.b", "1000", False), ([0, 1, 2], "x.b", "true", False), ([0, 1, 3, 0], "x.b.c", "d", True),
+        ([0, 2], "x.a", "again", True), ([1], "y", "1.50", False),
+    ]
+    assert maps[999] == [("x.a", '["1000","again"]'), ("x.b", '["1000","true"]'), ("x.b.c", "d"), ("y", "1.50")] and maps[2] == []
+    assert len(ps._leaf_array(pa.array([], pa.string()))) == len(decode._maps(leaves.slice(0, 0))) == 0
