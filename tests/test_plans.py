@@ -81,6 +81,32 @@ def test_phases_group_the_events_once(spark, monkeypatch):
     assert sum(len(re.findall(r"Aggregate\(keys?=\[capture_id#\d+, event_no#.*partial_", text)) for text in seen) == 1
 
 
+@pytest.fixture
+def trace(spark, tmp_path):
+    kinds = "element_at(array('view', 'signup', 'click', 'error', 'purchase'), cast(id % 5 as int) + 1) as event_type"
+    rows = spark.range(60).selectExpr(
+        "id as event_id", "timestamp_micros(1704067200000000 + id * 1000) as ts", "id % 7 as user_id", kinds, "1.0D as value", "concat('{\"k\":', id, '}') as props"
+    )
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Plans and columns of all that is written as Parquet."""
+    seen = []
+    plain = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: (seen.append((plan(self._df), self._df.columns)), plain(self, path, *a, **b))[1])
+    return seen
+
+
+def test_three_profiles_decode_the_packets_once(spark, trace, written):
+    out = QUERIES["reduced_transport"](spark, trace)
+    assert sum(text.count("ArrowEvalPython [opened(") for text in [*(text for text, _ in written), plan(out)]) == 1
+    rows = out.collect()
+    assert len(rows) == 3 * 4 and sum(r.packets for r in rows) == 3 * 60
+
+
 def test_many_captures_make_few_files(spark, tmp_path):
     rows = spark.range(20000).selectExpr("concat('c', id % 10000) as capture_id", "id div 10000 as packet_no")
     sinks.write_detail(rows, f"{tmp_path}/detail", buckets=8)
