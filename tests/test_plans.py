@@ -107,6 +107,12 @@ def test_three_profiles_decode_the_packets_once(spark, trace, written):
     assert len(rows) == 3 * 4 and sum(r.packets for r in rows) == 3 * 60
 
 
+def test_phases_write_what_they_read(spark, trace, written):
+    assert {r.profile for r in QUERIES["access_phases"](spark, trace).collect()} == {"5g-n2", "vonr-ims-core"}
+    assert [sorted(c) for _, c in written if "event_no" in c][0] == ["capture_id", "event_no", "message_name", "status"]
+    assert not any({"src", "dst"} & {*c} for _, c in written)
+
+
 def test_many_captures_make_few_files(spark, tmp_path):
     rows = spark.range(20000).selectExpr("concat('c', id % 10000) as capture_id", "id div 10000 as packet_no")
     sinks.write_detail(rows, f"{tmp_path}/detail", buckets=8)

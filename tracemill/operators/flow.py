@@ -107,7 +107,7 @@ def flow_events(packets: DataFrame, max_events: int = tables.FLOW_EVENT_CAP, col
     """
     shown = capped(packets, max_events, block_rows)
     if "src_node" not in packets.columns:
-        shown = cut_lineage(flow_packets(shown))
+        shown = cut_lineage(flow_packets(shown).drop("src", "dst"))
     return event_rows(numbered(shown, collapse, block_rows))
 
 
