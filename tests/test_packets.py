@@ -194,3 +194,14 @@ def test_leaves_and_maps_are_made_a_few_packets_at_a_time(monkeypatch):
     ]
     assert maps[999] == [("x.a", '["1000","again"]'), ("x.b", '["1000","true"]'), ("x.b.c", "d"), ("y", "1.50")] and maps[2] == []
     assert len(ps._leaf_array(pa.array([], pa.string()))) == len(decode._maps(leaves.slice(0, 0))) == 0
+
+
+def test_leaves_of_equal_keys_share_their_places(monkeypatch):
+    made, member = [], ps._Place.member
+    monkeypatch.setattr(ps._Place, "member", lambda self, name, *more: (made.append(name), member(self, name, *more))[1])
+    rows = ps._leaf_array(pa.array(['{"x":{"a":"1","b":[1,{"c":2}],"a":"1"},"y":{"a":"3"}}'] * 300)).to_pylist()
+    assert made == ["x", "a", "b", "c", "y", "a"]
+    assert len(rows) == 300 and all(r == rows[0] for r in rows)
+    assert [(x["pos"], x["path"], x["depth"], x["in_list"]) for x in rows[0]] == [
+        ([0, 0], "x.a", 2, True), ([0, 1, 0], "x.b", 2, True), ([0, 1, 1, 0], "x.b.c", 3, False), ([0, 2], "x.a", 2, True), ([1, 0], "y.a", 2, False)
+    ]

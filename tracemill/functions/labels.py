@@ -33,7 +33,7 @@ DEEP_FIELDS = {
 
 def any_int(text: str) -> str:
     """Integer written in any base, or a float cut to an integer; null outside the 64-bit integers, the type of all counts here."""
-    return bound(
+    number = bound(
         f"lower(trim({text}))",
         "t",
         "case when t rlike '^[+-]?[0-9]+$' then try_cast(t as bigint)"
@@ -42,6 +42,8 @@ def any_int(text: str) -> str:
         " when t rlike '^0o0*[0-7]{1,21}$' then try_cast(conv(substr(t, 3), 8, 10) as bigint)"
         " when t rlike '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?$' then try_cast(try_cast(t as double) as bigint) end",
     )
+    # a packet has few of the fields that numbers are read from
+    return f"if({text} is null, null, {number})"
 
 
 def flag(text: str) -> str:
